@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 WHITE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Bytes of text that a Python function gets at a time, or one longer text.
+SLICE_BYTES = 6_000_000
+
 _shipped: set[str] = set()
 
 
@@ -76,3 +79,44 @@ def squeezed(text: Column) -> Column:
 def buckets_for(rows: int, each: int) -> int:
     """Number of buckets so that one holds about `each` of `rows` hashed rows."""
     return max(1, -(-int(rows) // each))
+
+
+def map_texts(df: DataFrame, make, schema: str) -> DataFrame:
+    """Run a function over (id, text) rows, Arrow batch by batch.
+
+    df has the columns doc_id and text (not null). make() is called once a
+    task and gives a function from a list of texts to a list of tuples, one per
+    text; schema names the tuple's columns. The result has doc_id ahead of them.
+    Batches are cut into slices of a few MB of text, so memory follows the
+    longest text and not the batch.
+    """
+    import pyarrow as pa
+    from pyspark.sql.types import StructType
+
+    ship(df.sparkSession)
+    names = StructType.fromDDL(schema).names
+
+    def run(batches):
+        work = make()
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1)
+            at = 0
+            while at < batch.num_rows:
+                end, held = at, 0
+                while end < batch.num_rows and (end == at or held < SLICE_BYTES):
+                    held += len(texts[end].as_buffer() or b"")
+                    end += 1
+                rows = work(texts.slice(at, end - at).to_pylist())
+                yield pa.RecordBatch.from_arrays([ids.slice(at, end - at), *[pa.array([r[i] for r in rows], type=kinds[i]) for i in range(len(names))]], names=["doc_id", *names])
+                at = end
+
+    kind = dict(df.dtypes)["doc_id"]
+    out = StructType.fromDDL(f"doc_id {kind}, {schema}")
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kinds = [f.type for f in list(to_arrow_schema(out))[1:]]
+    return df.select("doc_id", "text").mapInArrow(run, out)
+
+
+def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))

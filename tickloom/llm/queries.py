@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, quality, sharding
+from . import bpe, exact_dedup, mixing, pii, quality, secrets, sharding, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1,
+        "op2_secret_scan": secrets.op2,
         "op3_quality_rules": quality.op3,
+        "op4_pii": pii.op4,
         "op5_sharding": sharding.op5,
         "op6_mixing": mixing.op6,
+        "op7_toxicity": toxicity.op7,
+        "op9_bpe": bpe.op9,
     }
 
 
