@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, pii, quality, secrets, sharding, toxicity
+from . import bpe, exact_dedup, mixing, near_dup, pii, quality, secrets, sharding, toxicity
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_sharding": sharding.op5,
         "op6_mixing": mixing.op6,
         "op7_toxicity": toxicity.op7,
+        "op8_ngram_join": near_dup.op8,
         "op9_bpe": bpe.op9,
     }
 
