@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, near_dup, pii, quality, secrets, sharding, toxicity
+from . import bpe, exact_dedup, mixing, near_dup, pii, quality, secrets, sharding, substring_dedup, toxicity
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_toxicity": toxicity.op7,
         "op8_ngram_join": near_dup.op8,
         "op9_bpe": bpe.op9,
+        "op10_substring_dedup": substring_dedup.op10,
     }
 
 
