@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from . import catalog
+
 
 def flagship(spark, sf_dir: str):
-    raise NotImplementedError
+    return catalog.flagship(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return dict(catalog.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(catalog.SQL)
