@@ -11,7 +11,7 @@ That is found by counting document frequencies over all tokens, and leaves few
 documents. Rows with equal sets are one class throughout.
 
 Within one token's posting list no pairs are made of documents that are
-connected already: first each member meets one leader of the list, and then
+connected already: first members meet a few leaders of the list, and then
 only members outside the list's largest component meet the rest. A group of
 thousands of near copies costs a few comparisons a member, and no link between
 components is lost.
@@ -30,6 +30,8 @@ from . import common
 BUCKET_TOKENS = 3_000_000
 #: Orders beyond the first, whose prefixes must meet as well.
 MORE_ORDERS = 2
+#: Leaders of a posting list that its members meet in a round, and rounds.
+LEADERS, ROUNDS = 8, 2
 WORD_CACHE = 500_000
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -203,8 +205,8 @@ def _prefixes(percent: int):
                     orders = [np.lexsort((tokens, df))[:left]]
                     level = np.log2(df).astype(np.int64)
                     orders += [np.lexsort((mixed(tokens, k), level))[:left] for k in range(1, MORE_ORDERS + 1)]
-                out.append({"doc_id": row["doc_id"], "n": size} | {f"p{k}": tokens[o].view(np.int64) for k, o in enumerate(orders)})
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("doc_id", pa.int64()), ("n", pa.int64())] + [(f"p{k}", pa.list_(pa.int64())) for k in range(MORE_ORDERS + 1)]))
+                out.append({"doc_id": row["doc_id"], "n": size, "alone": size - len(tokens)} | {f"p{k}": tokens[o].view(np.int64) for k, o in enumerate(orders)})
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("alone", pa.int64())] + [(f"p{k}", pa.list_(pa.int64())) for k in range(MORE_ORDERS + 1)]))
 
     return run
 
@@ -282,31 +284,44 @@ def _linked(rows: DataFrame, base: DataFrame, classes: DataFrame, total: int, wo
     shared = _dealt(sets, words, _bits(total), "long").groupBy("bucket").applyInArrow(_shared_tokens, "doc_id long, tokens array<long>, df array<int>")
     shared = shared.groupBy("doc_id").agg(F.collect_list("tokens").alias("tokens"), F.collect_list("df").alias("df"), F.sum(F.size("tokens")).alias("m"))
     shared = shared.join(able, "doc_id").filter(100 * F.col("m") >= percent * F.col("n_shingles"))
-    schema = "doc_id long, n long, " + ", ".join(f"p{k} array<long>" for k in range(MORE_ORDERS + 1))
+    schema = "doc_id long, n long, alone long, " + ", ".join(f"p{k} array<long>" for k in range(MORE_ORDERS + 1))
     info = common.saved(shared.select("doc_id", "n_shingles", "tokens", "df").mapInArrow(_prefixes(percent), schema), "prefixes")
 
-    post = info.select(F.explode("p0").alias("token"), "doc_id", "n")
-    near = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-    # Each member of a posting list against one leader, another in every list.
-    lead = post.groupBy("token").agg(F.min_by(F.struct("doc_id", "n"), F.xxhash64("token", "doc_id")).alias("lead"), F.count("*").alias("size"))
-    met = post.join(lead.filter("size > 1").select("token", F.col("lead.doc_id").alias("other"), F.col("lead.n").alias("m")), "token").filter(F.col("doc_id") != F.col("other")).filter(near)
-    pairs = met.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
-    first = common.saved(_verified(pairs, info, sets, percent), "links")
-    labels = components(first)
+    # rest: tokens of the set from this one on. What two sets share from their first common token on bounds their overlap.
+    post = info.select(F.posexplode("p0").alias("at", "token"), "doc_id", "n", "alone")
+    post = post.select("token", "doc_id", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("rest"))
+    near = (100 + percent) * F.least("rest", "other_rest") >= percent * (F.col("n") + F.col("m"))
+    # Members of a posting list against a few leaders, others in every list and round, across components.
+    links, labels = None, None
+    for turn in range(ROUNDS):
+        if labels is not None:
+            now = post.drop("c").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
+        else:
+            now = post.withColumn("c", F.col("doc_id"))
+        post = common.saved(now, "postings")
+        one = F.struct("doc_id", "n", "rest", "c")
+        lead = post.groupBy("token").agg(*[F.min_by(one, F.xxhash64(F.lit(turn * LEADERS + k), "token", "doc_id")).alias(f"l{k}") for k in range(LEADERS)], F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi")
+        lead = lead.select("token", F.explode(F.array_distinct(F.array(*[f"l{k}" for k in range(LEADERS)]))).alias("l"))
+        lead = lead.select("token", F.col("l.doc_id").alias("other"), F.col("l.n").alias("m"), F.col("l.rest").alias("other_rest"), F.col("l.c").alias("d"))
+        met = post.join(lead, "token").filter(F.col("c") != F.col("d")).filter(near)
+        pairs = met.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
+        found = common.saved(_verified(pairs, info, sets, percent), "links")
+        links = found if links is None else links.unionByName(found)
+        labels = components(links)
 
     # Members outside the largest component of a list against all others in it.
-    post = post.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
+    post = post.drop("c").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
     post = common.saved(post, "postings")
     by = post.groupBy("token", "c").agg(F.count("*").alias("size")).groupBy("token").agg(F.max_by("c", F.struct("size", "c")).alias("most"), F.count("*").alias("parts"))
     post = post.join(by.filter("parts > 1"), "token")
     left = post.filter("c <> most")
-    right = post.select("token", F.col("doc_id").alias("other"), F.col("n").alias("m"), F.col("c").alias("d"))
+    right = post.select("token", F.col("doc_id").alias("other"), F.col("n").alias("m"), F.col("rest").alias("other_rest"), F.col("c").alias("d"))
     met = left.join(right, "token").filter((F.col("c") != F.col("d")) & ((F.col("d") == F.col("most")) | (F.col("doc_id") < F.col("other")))).filter(near)
     pairs = met.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
     more = common.saved(_verified(pairs, info, sets, percent), "links")
     if more.isEmpty():
         return labels
-    return components(first.unionByName(more))
+    return components(links.unionByName(more))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
