@@ -14,7 +14,7 @@ from tickloom.llm import bpe, common, exact_dedup, mixing, near_dup, quality
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base limits and every quality rule."""
-    return quality.quality(docs).filter("kept").select(*docs.columns)
+    return quality.kept_rows(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -99,6 +99,19 @@ def quality(docs: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame:
     return df.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & verdict(rules))
 
 
+def kept_rows(docs: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame:
+    """The rows of docs that every rule keeps, with their own columns only.
+
+    The optimizer would push a plain filter below the projections and so write
+    their arrays out again inside each lambda, at a quadratic cost. A row number
+    in the condition keeps the filter where it is.
+    """
+    own = [F.col(c).alias(f"own_{i}") for i, c in enumerate(docs.columns)]
+    df = quality(docs.select(*own, F.col(text_col).alias("__of")), "__of", rules)
+    df = df.withColumn("__row", F.monotonically_increasing_id()).filter("kept AND __row >= 0")
+    return df.select(*[F.col(f"own_{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
 
 
