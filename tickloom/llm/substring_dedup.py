@@ -29,6 +29,10 @@ from . import common
 WINDOW, GRAM = 100, 40
 #: Phrases that one bucket of triggers holds on average.
 BUCKET_PHRASES = 800_000
+#: Windows to check that one bucket of hashes holds on average, and bits of either bucket at least.
+BUCKET_WINDOWS, LEAST_BITS = 1_000_000, 6
+#: Bytes of text, with 20 for each window to check, that are hashed at a time.
+SLICE_WINDOWS = 24_000_000
 #: Bytes that are hashed at a time.
 BLOCK = 1_000_000
 SINGLE, SHARED, REPEAT, CHECK = 0, 1, 2, 3
@@ -186,7 +190,7 @@ def _resolve(table: pa.Table) -> pa.Table:
 def repeats(rows: DataFrame, total_bytes: int) -> DataFrame:
     """Runs (doc_id, lo, hi, kind) of window starts that repeat, or whose phrase shares its trigger."""
     common.ship(rows.sparkSession)
-    bits = max(4, (total_bytes // 30 // BUCKET_PHRASES).bit_length())
+    bits = max(LEAST_BITS, (total_bytes // 30 // BUCKET_PHRASES).bit_length())
 
     def run(batches):
         for batch in batches:
@@ -204,26 +208,94 @@ def repeats(rows: DataFrame, total_bytes: int) -> DataFrame:
     return dealt.groupBy("bucket").applyInArrow(_resolve, "doc_id long, lo int, hi int, kind byte")
 
 
-def _windows(batches):
-    """(hash, doc_id, at) of the windows to check. Input: (doc_id, text, checks)."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            runs = batch.column(2)[i].as_py()
-            if not runs:
-                continue
-            doc, data = batch.column(0)[i].as_py(), np.frombuffer(batch.column(1)[i].as_py().encode(), np.uint8)
-            hashes, places = [], []
-            with np.errstate(over="ignore"):
-                for r in runs:
-                    if r["hi"] + WINDOW > len(data):
-                        continue
-                    sums = _sums(data[r["lo"] : r["hi"] + WINDOW])
-                    starts = np.arange(r["hi"] - r["lo"] + 1)
+def _first_windows(rows: list[tuple[int, bytes, list]], bits: int):
+    """Rows of WINDOW_COLUMNS for a slice of documents: the windows to check.
+
+    The first occurrence of a window in the slice goes to its hash's bucket; later
+    ones are repeats whatever other slices hold, and are dealt by document.
+    """
+    hashes, docs, places = [], [], []
+    with np.errstate(over="ignore"):
+        for doc, text, runs in rows:
+            data = np.frombuffer(text, np.uint8)
+            for lo, hi in runs:
+                for at in range(lo, min(hi, len(data) - WINDOW) + 1, BLOCK):
+                    part = data[at : min(hi + WINDOW, at + BLOCK + WINDOW - 1, len(data))]
+                    sums = _sums(part)
+                    starts = np.arange(len(part) - WINDOW + 1)
                     hashes.append(_hash(sums, starts, starts + WINDOW))
-                    places.append(starts + r["lo"])
-            if hashes:
-                h = np.concatenate(hashes).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(np.full(len(h), doc), pa.int64()), pa.array(np.concatenate(places), pa.int32())], names=["hash", "doc_id", "at"])
+                    places.append(starts + at)
+                    docs.append(np.full(len(starts), doc))
+    if not hashes:
+        return
+    h, doc, at = np.concatenate(hashes), np.concatenate(docs), np.concatenate(places).astype(np.int32)
+    order = np.lexsort((at, doc, h))
+    h, doc, at = h[order], doc[order], at[order]
+    first, again = _split(h, doc, at)
+    bucket = np.concatenate(((h[first] >> np.uint64(64 - bits)).astype(np.int32), (doc[again] % (1 << bits)).astype(np.int32)))
+    known = np.repeat([False, True], [len(first), len(again)])
+    pick = np.concatenate((first, again))
+    order = np.argsort(bucket, kind="stable")
+    bucket, known, pick = bucket[order], known[order], pick[order]
+    edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+    out = []
+    for a, b in zip(edges, edges[1:]):
+        mine, sure = pick[a:b][~known[a:b]], pick[a:b][known[a:b]]
+        out.append({"bucket": int(bucket[a]), "hashes": h[mine].view(np.int64), "docs": doc[mine], "places": at[mine], "done_docs": doc[sure], "done_places": at[sure]})
+    cols = {c: pa.array([r[c] for r in out], t) for c, t in (("bucket", pa.int32()), ("hashes", pa.list_(pa.int64())), ("docs", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("done_docs", pa.list_(pa.int64())), ("done_places", pa.list_(pa.int32())))}
+    yield pa.RecordBatch.from_pydict(cols)
+
+
+WINDOW_COLUMNS = "bucket int, hashes array<long>, docs array<long>, places array<int>, done_docs array<long>, done_places array<int>"
+
+
+def _split(h: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of first and of later occurrences, in arrays sorted by hash, document and place."""
+    if not len(h):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    new = np.concatenate(([True], h[1:] != h[:-1]))
+    first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    # Repeated rows of one id don't remove each other.
+    same = (doc == doc[first]) & (at == at[first])
+    return np.flatnonzero(new), np.flatnonzero(~new & ~same)
+
+
+def _resolve_windows(table: pa.Table) -> pa.Table:
+    """(doc_id, places) of the windows of one bucket that also start earlier."""
+    flat = lambda c: np.concatenate([x.values.to_numpy(zero_copy_only=False)[x.offsets[0].as_py() : x.offsets[-1].as_py()] for x in table.column(c).chunks if len(x)])
+    h, doc, at = flat("hashes"), flat("docs"), flat("places")
+    order = np.lexsort((at, doc, h))
+    h, doc, at = h[order], doc[order], at[order]
+    _, again = _split(h, doc, at)
+    doc, at = np.concatenate((doc[again], flat("done_docs"))), np.concatenate((at[again], flat("done_places")))
+    order = np.lexsort((at, doc))
+    doc, at = doc[order], at[order]
+    starts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.zeros(0, np.int64)
+    offsets = pa.array(np.concatenate((starts, [len(doc)])), pa.int32())
+    return pa.table({"doc_id": pa.array(doc[starts], pa.int64()), "places": pa.ListArray.from_arrays(offsets, pa.array(at, pa.int32()))})
+
+
+def repeated_windows(held: DataFrame, n_windows: int) -> DataFrame:
+    """(doc_id, places) of windows of held (doc_id, text, checks) that also start earlier.
+
+    One shuffle moves arrays of hashes, each window's first occurrence in a slice only.
+    """
+    bits = max(LEAST_BITS, (n_windows // BUCKET_WINDOWS).bit_length())
+
+    def run(batches):
+        rows, size = [], 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                runs = [(r["lo"], r["hi"]) for r in batch.column(2)[i].as_py()]
+                rows.append((batch.column(0)[i].as_py(), batch.column(1)[i].as_py().encode(), runs))
+                size += len(rows[-1][1]) + 20 * sum(b - a + 1 for a, b in runs)
+                if size > SLICE_WINDOWS:
+                    yield from _first_windows(rows, bits)
+                    rows, size = [], 0
+        yield from _first_windows(rows, bits)
+
+    dealt = held.filter(F.size("checks") > 0).select("doc_id", "text", "checks").mapInArrow(run, WINDOW_COLUMNS)
+    return dealt.groupBy("bucket").applyInArrow(_resolve_windows, "doc_id long, places array<int>")
 
 
 def removed_runs(repeat: list[dict], places: list[int], size: int) -> list[tuple[int, int]]:
@@ -266,11 +338,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     run = F.struct("lo", "hi")
     own = marks.groupBy("doc_id").agg(F.collect_list(F.when(F.col("kind") == REPEAT, run)).alias("repeats"), F.collect_list(F.when(F.col("kind") == CHECK, run)).alias("checks"))
     held = common.saved(rows.join(own, "doc_id"), "held")
-    windows = held.filter(F.size("checks") > 0).select("doc_id", "text", "checks").mapInArrow(_windows, "hash long, doc_id long, at int")
-    windows = common.saved(windows, "windows")
-    first = windows.groupBy("hash").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("hash", "first")
-    again = windows.join(first, "hash").filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("at") != F.col("first.at")))
-    places = again.groupBy("doc_id").agg(F.collect_list("at").alias("places"))
+    n_windows = marks.filter(F.col("kind") == CHECK).agg(F.sum(F.col("hi") - F.col("lo") + F.lit(1).cast("long"))).first()[0] or 0
+    places = repeated_windows(held, n_windows).groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias("places"))
     cut = held.join(places, "doc_id", "left").select("doc_id", "text", "repeats", "places")
     return cut.mapInArrow(_cut, "doc_id long, spans array<struct<start:int,end:int>>, kept binary")
 
