@@ -289,7 +289,7 @@ def _linked(rows: DataFrame, base: DataFrame, classes: DataFrame, total: int, wo
 
     # rest: tokens of the set from this one on. What two sets share from their first common token on bounds their overlap.
     post = info.select(F.posexplode("p0").alias("at", "token"), "doc_id", "n", "alone")
-    post = post.select("token", "doc_id", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("rest"))
+    post = post.select("token", "doc_id", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("rest"), F.floor(20 * F.col("alone") / F.col("n")).alias("far"))
     near = (100 + percent) * F.least("rest", "other_rest") >= percent * (F.col("n") + F.col("m"))
     # Members of a posting list against a few leaders, others in every list and round, across components.
     links, labels = None, None
@@ -300,7 +300,13 @@ def _linked(rows: DataFrame, base: DataFrame, classes: DataFrame, total: int, wo
             now = post.withColumn("c", F.col("doc_id"))
         post = common.saved(now, "postings")
         one = F.struct("doc_id", "n", "rest", "c")
-        lead = post.groupBy("token").agg(*[F.min_by(one, F.xxhash64(F.lit(turn * LEADERS + k), "token", "doc_id")).alias(f"l{k}") for k in range(LEADERS)], F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi")
+        # At first the lists of one group of copies have the same leaders, so a member meets these once: those
+        # with the fewest tokens of their own, to which most copies link. Then others in each list.
+        def place(k):
+            seed = F.lit(turn * LEADERS + k)
+            return F.struct("far", F.xxhash64(seed, "doc_id")) if turn == 0 else F.struct(F.xxhash64(seed, "token", "doc_id"))
+
+        lead = post.groupBy("token").agg(*[F.min_by(one, place(k)).alias(f"l{k}") for k in range(LEADERS)], F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi")
         lead = lead.select("token", F.explode(F.array_distinct(F.array(*[f"l{k}" for k in range(LEADERS)]))).alias("l"))
         lead = lead.select("token", F.col("l.doc_id").alias("other"), F.col("l.n").alias("m"), F.col("l.rest").alias("other_rest"), F.col("l.c").alias("d"))
         met = post.join(lead, "token").filter(F.col("c") != F.col("d")).filter(near)
