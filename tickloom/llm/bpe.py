@@ -27,7 +27,9 @@ from . import common
 #: Splits text ahead of the merges, as byte-level tokenizers do.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words, and chunks of text, whose encodings a worker keeps.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 200_000
+#: Bytes of text whose pieces a worker holds at a time.
+ENCODE_BYTES = 2_000_000
 #: Pieces of one text that are handled at a time.
 SLICE = 100_000
 #: Beyond every rank.
@@ -59,16 +61,33 @@ class Recent(dict):
         return out
 
 
-class Codec:
+class Decoder:
+    """Decoder of one vocabulary file of the byte-level BPE kind."""
+
+    def __init__(self, spec: str):
+        self.read(json.loads(spec))
+
+    def read(self, j: dict) -> dict[bytes, int]:
+        of = byte_chars()
+        vocab = {bytes(of[c] for c in k): v for k, v in j["model"]["vocab"].items()}
+        self.special = {t["content"]: t["id"] for t in j["added_tokens"]}
+        self.bytes = {v: k for k, v in vocab.items()} | {v: k.encode() for k, v in self.special.items()}
+        return vocab
+
+    def decode(self, ids) -> str:
+        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
+
+
+class Codec(Decoder):
     """Encoder and decoder of one vocabulary file of the byte-level BPE kind."""
 
     def __init__(self, spec: str):
         import regex
 
         j = json.loads(spec)
+        self.vocab = self.read(j)
         of = byte_chars()
         raw = lambda s: bytes(of[c] for c in s)
-        self.vocab = {raw(k): v for k, v in j["model"]["vocab"].items()}
         merges = [m.split(" ") if isinstance(m, str) else m for m in j["model"]["merges"]]
         pairs = [(self.vocab[raw(a)], self.vocab[raw(b)]) for a, b in merges]
         self.made = [self.vocab[raw(a + b)] for a, b in merges]
@@ -76,9 +95,6 @@ class Codec:
         self.parts = {t: (i, pairs[i]) for i, t in reversed([*enumerate(self.made)])}
         self.whole: dict[int, bool] = {}
         self.edges: dict[tuple, list] = {}
-        self.bytes = {v: k for k, v in self.vocab.items()}
-        self.special = {t["content"]: t["id"] for t in j["added_tokens"]}
-        self.bytes |= {v: k.encode() for k, v in self.special.items()}
         self.single = [self.vocab[bytes([b])] for b in range(256)]
         self.split = regex.compile(PATTERN)
         self.apart = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -245,18 +261,16 @@ class Codec:
         self.learn(short)
         return [np.frombuffer(b"".join(x for part, c in one for x in ([c] if part is None else self.encode_part(part, c))), np.int32) for one in plan]
 
-    def decode(self, ids) -> str:
-        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
-
 
-_codecs: dict[str, Codec] = {}
+_codecs: dict[tuple, Decoder] = {}
 
 
-def _codec(spec: str) -> Codec:
-    if spec not in _codecs:
+def _codec(spec: str, kind=Codec):
+    key = (kind, spec)
+    if key not in _codecs:
         _codecs.clear()
-        _codecs[spec] = Codec(spec)
-    return _codecs[spec]
+        _codecs[key] = kind(spec)
+    return _codecs[key]
 
 
 def default_vocabulary() -> str:
@@ -279,7 +293,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
         codec = _codec(spec.value)
         return lambda texts: [(ids,) for ids in codec.encode_batch(texts)]
 
-    return common.map_texts(common.id_and_text(docs, id_col, text_col), make, "ids array<int>")
+    return common.map_texts(common.id_and_text(docs, id_col, text_col), make, "ids array<int>", ENCODE_BYTES)
 
 
 def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -295,10 +309,10 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
     spec = spark.sparkContext.broadcast(Path(vocabulary or default_vocabulary()).read_text())
 
     def run(batches):
-        codec = _codec(spec.value)
+        codec = _codec(spec.value, Decoder)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
                 texts = [codec.decode(x.values.to_numpy().tolist() if x.is_valid else ()) for x in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
 

@@ -81,7 +81,7 @@ def buckets_for(rows: int, each: int) -> int:
     return max(1, -(-int(rows) // each))
 
 
-def map_texts(df: DataFrame, make, schema: str) -> DataFrame:
+def map_texts(df: DataFrame, make, schema: str, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Run a function over (id, text) rows, Arrow batch by batch.
 
     df has the columns doc_id and text (not null). make() is called once a
@@ -103,7 +103,7 @@ def map_texts(df: DataFrame, make, schema: str) -> DataFrame:
             at = 0
             while at < batch.num_rows:
                 end, held = at, 0
-                while end < batch.num_rows and (end == at or held < SLICE_BYTES):
+                while end < batch.num_rows and (end == at or held < slice_bytes):
                     held += len(texts[end].as_buffer() or b"")
                     end += 1
                 rows = work(texts.slice(at, end - at).to_pylist())
