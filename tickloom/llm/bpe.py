@@ -27,7 +27,7 @@ from . import common
 #: Splits text ahead of the merges, as byte-level tokenizers do.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words, and chunks of text, whose encodings a worker keeps.
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 300_000
 #: Bytes of text whose pieces a worker holds at a time.
 ENCODE_BYTES = 2_000_000
 #: Pieces of one text that are handled at a time.
