@@ -11,17 +11,17 @@ That is found by counting document frequencies over all tokens, and leaves few
 documents. Rows with equal sets are one class throughout.
 
 Within one token's posting list no pairs are made of documents that are
-connected already: first members meet a few leaders of the list, and then
-only members outside the list's largest component meet the rest. A group of
-thousands of near copies costs a few comparisons a member, and no link between
-components is lost.
+connected already: first members meet a few leaders of the list, then members
+outside the list's largest component meet more of it, and only those still
+outside meet the rest. A group of thousands of near copies costs a few
+comparisons a member, and no link between components is lost.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -32,6 +32,8 @@ BUCKET_TOKENS = 3_000_000
 MORE_ORDERS = 2
 #: Leaders of a posting list that its members meet in a round, and rounds.
 LEADERS, ROUNDS = 8, 2
+#: Members of a list's largest component that outsiders meet before they meet all.
+REACH = 64
 WORD_CACHE = 500_000
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -289,7 +291,7 @@ def _linked(rows: DataFrame, base: DataFrame, classes: DataFrame, total: int, wo
 
     # rest: tokens of the set from this one on. What two sets share from their first common token on bounds their overlap.
     post = info.select(F.posexplode("p0").alias("at", "token"), "doc_id", "n", "alone")
-    post = post.select("token", "doc_id", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("rest"), F.floor(20 * F.col("alone") / F.col("n")).alias("far"))
+    post = post.select("token", "doc_id", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("rest"), (F.col("alone") / F.col("n")).alias("far"))
     near = (100 + percent) * F.least("rest", "other_rest") >= percent * (F.col("n") + F.col("m"))
     # Members of a posting list against a few leaders, others in every list and round, across components.
     links, labels = None, None
@@ -315,19 +317,26 @@ def _linked(rows: DataFrame, base: DataFrame, classes: DataFrame, total: int, wo
         links = found if links is None else links.unionByName(found)
         labels = components(links)
 
-    # Members outside the largest component of a list against all others in it.
-    post = post.drop("c").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
-    post = common.saved(post, "postings")
-    by = post.groupBy("token", "c").agg(F.count("*").alias("size")).groupBy("token").agg(F.max_by("c", F.struct("size", "c")).alias("most"), F.count("*").alias("parts"))
-    post = post.join(by.filter("parts > 1"), "token")
-    left = post.filter("c <> most")
-    right = post.select("token", F.col("doc_id").alias("other"), F.col("n").alias("m"), F.col("rest").alias("other_rest"), F.col("c").alias("d"))
-    met = left.join(right, "token").filter((F.col("c") != F.col("d")) & ((F.col("d") == F.col("most")) | (F.col("doc_id") < F.col("other")))).filter(near)
-    pairs = met.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
-    more = common.saved(_verified(pairs, info, sets, percent), "links")
-    if more.isEmpty():
-        return labels
-    return components(links.unionByName(more))
+    # Members outside the largest component of a list: against its members with the fewest tokens of
+    # their own, by which most that link to it at all are joined; those still outside against all others.
+    for reach in (REACH, None):
+        post = post.drop("c").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
+        post = common.saved(post, "postings")
+        by = post.groupBy("token", "c").agg(F.count("*").alias("size")).groupBy("token").agg(F.max_by("c", F.struct("size", "c")).alias("most"), F.count("*").alias("parts"))
+        lists = post.join(by.filter("parts > 1"), "token")
+        left = lists.filter("c <> most").drop("far")
+        right = lists
+        if reach:
+            w = Window.partitionBy("token").orderBy("far", F.xxhash64("doc_id"), "doc_id")
+            right = lists.filter("c = most").withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= reach)
+        right = right.select("token", F.col("doc_id").alias("other"), F.col("n").alias("m"), F.col("rest").alias("other_rest"), F.col("c").alias("d"))
+        met = left.join(right, "token").filter((F.col("c") != F.col("d")) & ((F.col("d") == F.col("most")) | (F.col("doc_id") < F.col("other")))).filter(near)
+        pairs = met.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
+        more = common.saved(_verified(pairs, info, sets, percent), "links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = components(links)
+    return labels
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
