@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog
+from . import catalog, datasets  # noqa: F401  datasets adds its queries
 
 
 def flagship(spark, sf_dir: str):
