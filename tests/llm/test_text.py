@@ -135,6 +135,46 @@ def test_field_finds_more():
     assert "zX9qLm4TpV7rBn2KsW8e" in found
 
 
+def _pieces(*texts):
+    return [[(int(x[0]), x[2:].split(" ")) for x in run.split("\n")] for t in texts for run in secrets.labelled_runs(t)]
+
+
+def test_field_letters_only():
+    words = "the house stands by a river and people walk there every day with their friends "
+    learn = ["password: QwErTyUiOpAsDfGhJkLzXcVbNm " + words, words + "secret: CorrectHorseBatteryStaple " + words, "the password is not given " + words, "a token of thanks, " + words + "12 3.5"]
+    field = secrets.train(_pieces(*learn * 20))
+    for text, secret in (("Bearer MnBvCxZlKjHgFdSaPoIuYtReWq", "MnBvCxZlKjHgFdSaPoIuYtReWq"), (words + "token ZxCvBnMaSdFgHjKlQwErTyUi " + words, "ZxCvBnMaSdFgHjKlQwErTyUi")):
+        assert [text[a:b] for a, b in secrets.field_spans(text, field)] == [secret]
+    assert secrets.field_spans(words * 3, field) == []
+
+
+def test_field_whole_text():
+    """The decoder's tags are those of Viterbi over all tokens; training sees all of them."""
+    import random
+
+    rng = random.Random(4)
+    bag = ["the", "a", "key", "token:", "=", "x=1", "Bearer", "AbCdEfGhIjKlMnOpQrSt", "0123456789abcdef", "12", "naïve\x1cword", "'q'", "{", ";"]
+    names = sorted({f for t in (" ".join(bag), "{ ; =") for run in _pieces(t) for _, fs in run for f in fs})
+    for k in range(150):
+        pairs = [[rng.gauss(0, 1), rng.gauss(-1, 1), secrets.NEVER], [rng.gauss(0, 1) for _ in range(3)], [rng.gauss(0, 1) for _ in range(3)]]
+        field = secrets.Field({f: [rng.gauss(0.1 * (k % 5), 0.5), rng.gauss(0, 0.5), rng.gauss(0, 0.5)] for f in names}, pairs)
+        texts = [rng.choice(["", " ", "\t"]) + " ".join(rng.choice(bag) for _ in range(rng.randint(0, 40))) for _ in range(4)]
+        for text, got in zip(texts, secrets.Decoder(field).spans(texts)):
+            spots = [m.span() for m in re.finditer(common.WORD, text)]
+            tags = field.viterbi(secrets.features([text[a:b] for a, b in spots], secrets.file_features(text))) if spots else []
+            want = []
+            for (a, b), tag in zip(spots, tags):
+                if tag == 1:
+                    want.append([a, b])
+                elif tag == 2:
+                    want[-1][1] = b
+            strip = secrets._TRIM + "."
+            want = [(b - len(text[a:b].lstrip(strip)), a + len(text[a:b].rstrip(strip))) for a, b in want if text[a:b].strip(strip)]
+            assert got == want
+    late = _pieces("x=1 " * 100 + "password: hunter2hunter2x")
+    assert sum(map(len, late)) == 102 and [t for t, _ in late[-1]][-1] == 1
+
+
 def test_segments_brute():
     import random
 

@@ -1,9 +1,9 @@
 """Secret scan: a linear-chain conditional random field tags tokens, Viterbi decodes.
 
 Tags: O (outside), B (begins a secret), I (inside). Features of a token are its
-shape, the words beside it and properties of the whole file. A token without a
-digit or mark (MARKS) is O by constraint, so a chain falls apart, exactly, at
-such tokens, and only the runs between them are decoded.
+shape, the words beside it and properties of the whole file. Every token of
+every text is scored, and the tags are those of Viterbi over the whole text (see
+Decoder, which looks at a word once and leaves out only what can't matter).
 
 The field is trained on a bounded sample of rows (SAMPLE_ROWS), labelled by the
 base patterns; those patterns' own spans are always reported, and the field adds
@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 import re
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ from . import common
 from .pii import digest
 
 KINDS = ("assign", "access", "hex")
-#: Rows, at most, whose base spans label the training runs; and runs and tokens of a run.
+#: Rows, at most, whose base spans label the training runs; runs, and tokens of a run.
 SAMPLE_ROWS, SAMPLE_RUNS, RUN_TOKENS = 4000, 3000, 48
 EPOCHS, RATE, L2 = 8, 0.3, 1e-3
 SPANS = "array<struct<kind:string,start:int,end:int>>"
@@ -33,10 +34,13 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 MARKS = "0123456789=:_/+\"'"
 _MARK = re.compile(f"[{MARKS}]")
 _TOKEN = re.compile(common.WORD)
-_WHITE = frozenset(" \t\n\x0b\x0c\r")
 _KEY = re.compile(r"pass(word|wd|phrase)?|secret|token|api_?key|access_?key|private|credential|auth|bearer|pwd", re.I)
 _KEYS = ("pass", "secret", "token", "key")
 _TRIM = "\"'`,;!?()[]{}<>*&%$#"
+#: What a neighbouring word can be.
+_CLASSES = ("none", "sets", "keysets", "key", "mark", "plain")
+#: Bytes of words that a decoder remembers, about, and tokens that it scores at a time.
+CACHE_BYTES, BATCH_TOKENS = 48_000_000, 200_000
 
 
 def base_spans(text: str) -> list[tuple]:
@@ -56,22 +60,6 @@ def _secret_ranges(text: str) -> list[tuple[int, int]]:
     return out + [(a, b) for k, a, b in base_spans(text) if k != "assign"]
 
 
-def runs(text: str) -> list[list[tuple[int, int]]]:
-    """Maximal runs of neighbouring tokens that hold a mark, as (start, end) of each token."""
-    out, at, last = [], 0, -1
-    while m := _MARK.search(text, at):
-        a = m.start()
-        while a > at and text[a - 1] not in _WHITE:
-            a -= 1
-        b = _TOKEN.match(text, m.start()).end()
-        if out and not text[last:a].strip(" \t\n\x0b\x0c\r"):
-            out[-1].append((a, b))
-        else:
-            out.append([(a, b)])
-        at = last = b
-    return out
-
-
 def shape(token: str) -> list[str]:
     """Length, kinds of characters, and whether the token holds a key word or an assignment."""
     core = token.strip(_TRIM + ".")
@@ -104,13 +92,10 @@ def _beside(token: str) -> str:
     return "mark" if _MARK.search(token) else "plain"
 
 
-def features(text: str, run: list[tuple[int, int]], file: list[str]) -> list[list[str]]:
-    """Features of each token of a run."""
-    first, last = run[0][0], run[-1][1]
-    before = text[max(0, first - 80) : first].split()[-2:]
-    after = text[last : last + 80].split()[:1]
-    words = ["", "", *before][-2:] + [text[a:b] for a, b in run] + (after or [""])
-    return [[*shape(words[i]), f"p{_beside(words[i - 1])}", f"pp{_beside(words[i - 2])}", f"n{_beside(words[i + 1])}", *file] for i in range(2, 2 + len(run))]
+def features(words: list[str], file: list[str]) -> list[list[str]]:
+    """Features of each word of a text."""
+    near = ["none", "none", *map(_beside, words), "none"]
+    return [[*shape(w), f"p{near[i + 1]}", f"pp{near[i]}", f"n{near[i + 3]}", *file] for i, w in enumerate(words)]
 
 
 def file_features(text: str) -> list[str]:
@@ -138,7 +123,11 @@ class Field:
 
     def viterbi(self, feats: list[list[str]]) -> list[int]:
         """Best tags of a run; the tokens on either side are O."""
-        rows, pairs = self.scores(feats), self.pairs
+        return self.decode(self.scores(feats))
+
+    def decode(self, rows: list[list[float]]) -> list[int]:
+        """viterbi() of scores."""
+        pairs = self.pairs
         best, back = [pairs[0][t] + rows[0][t] for t in range(3)], []
         for row in rows[1:]:
             step = [max((best[s] + pairs[s][t], s) for s in range(3)) for t in range(3)]
@@ -199,15 +188,32 @@ def train(data: list[list[tuple[int, list[str]]]], epochs: int = EPOCHS) -> Fiel
 
 
 def labelled_runs(text: str) -> list[str]:
-    """Training runs of a text: tokens by line feeds, each its tag and features by spaces."""
-    secrets, file, out = _secret_ranges(text), file_features(text), []
-    for run in runs(text):
-        run, tags, last = run[:RUN_TOKENS], [], None
-        for a, b in run:
-            hit = next(((x, y) for x, y in secrets if x < b and a < y), None)
-            tags.append(0 if hit is None else 2 if hit == last else 1)
-            last = hit
-        out.append("\n".join(f"{t} {' '.join(f)}" for t, f in zip(tags, features(text, run, file))))
+    """Training runs of a text: all its tokens, by line feeds, each its tag and features by spaces.
+
+    A run has RUN_TOKENS tokens, and more where it would end within a secret.
+    """
+    secrets: list[tuple[int, int]] = []
+    for a, b in sorted(_secret_ranges(text)):
+        if secrets and a < secrets[-1][1]:
+            secrets[-1] = (secrets[-1][0], max(b, secrets[-1][1]))
+        else:
+            secrets.append((a, b))
+    spots = [m.span() for m in _TOKEN.finditer(text)]
+    tags, at, last = [], 0, None
+    for a, b in spots:
+        while at < len(secrets) and secrets[at][1] <= a:
+            at += 1
+        hit = at if at < len(secrets) and secrets[at][0] < b else None
+        tags.append(0 if hit is None else 2 if hit == last else 1)
+        last = hit
+    lines = [f"{t} {' '.join(f)}" for t, f in zip(tags, features([text[a:b] for a, b in spots], file_features(text)))]
+    out, at = [], 0
+    while at < len(lines):
+        end = at + RUN_TOKENS
+        while end < len(lines) and tags[end] == 2:
+            end += 1
+        out.append("\n".join(lines[at:end]))
+        at = end
     return out
 
 
@@ -227,29 +233,115 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Fiel
     return train([[(int(x[0]), x[2:].split(" ")) for x in r.run.split("\n")] for r in picked])
 
 
-def field_spans(text: str, field: Field) -> list[tuple[int, int]]:
-    """Secrets that the field tags, without quotes and marks around them."""
-    if not (found := runs(text)):
-        return []
-    file, out = file_features(text), []
-    for run in found:
-        tags = field.viterbi(features(text, run, file))
-        i = 0
-        while i < len(tags):
-            if tags[i] == 0:
-                i += 1
-                continue
-            a, b = run[i]
-            i += 1
-            while i < len(tags) and tags[i] == 2:
-                b = run[i][1]
-                i += 1
+class Decoder:
+    """Viterbi over every token of texts.
+
+    A token's scores are a sum over its shape, its neighbours' classes and its
+    file, so shape and class are kept per word, and the sums of many texts are
+    made at once. A stretch of tokens can be other than O only if that gains over
+    O; `gain` bounds what a token gives from above, whatever the tags beside it,
+    so tokens in no stretch with a sum of 0 or more are O in every best path.
+    Viterbi runs on the others, with the same tags as over the whole text.
+    """
+
+    def __init__(self, field: Field):
+        self.field, w, pairs = field, field.weights, field.pairs
+        none = [0.0, 0.0, 0.0]
+        self.near = {side: np.array([w.get(side + c, none) for c in _CLASSES]) for side in ("p", "pp", "n")}
+        self.file = {f: np.array(w.get(f, none)) for f in ("f=0", "f=1", "f=2", "f=3", "fcode", "ftext")}
+        end = max(0.0, pairs[1][0] - pairs[0][0], pairs[2][0] - pairs[0][0])
+        self.bound = [max(p[t] for p in pairs) - pairs[0][0] + end for t in (1, 2)]
+        self.reset()
+
+    def reset(self) -> None:
+        decoder = self
+
+        class Words(dict):
+            def __missing__(self, word: bytes) -> int:
+                return decoder.add(word)
+
+        # Number 0 is the empty word beyond both ends of a text.
+        self.words, self.held, self.rows, self.kind = Words(), 0, np.zeros((4096, 3)), np.zeros(4096, np.int8)
+        self.words[b""] = 0
+
+    def add(self, word: bytes) -> int:
+        at = self.words[word] = len(self.words)
+        if at == len(self.rows):
+            self.rows, self.kind = np.concatenate([self.rows, np.zeros_like(self.rows)]), np.concatenate([self.kind, np.zeros_like(self.kind)])
+        text = word.decode()
+        self.rows[at] = self.field.scores([shape(text)])[0]
+        self.kind[at] = _CLASSES.index(_beside(text))
+        self.held += len(word) + 200
+        return at
+
+    def spans(self, texts: list[str]) -> list[list[tuple[int, int]]]:
+        """Per text the secrets that the field tags, without quotes and marks around them."""
+        out: list[list[tuple[int, int]]] = []
+        batch, n = [], 0
+        for text in texts:
+            batch.append((text, text.encode().split()))  # bytes split at the white space of WORD
+            n += len(batch[-1][1])
+            if n >= BATCH_TOKENS:
+                out += self._batch(batch)
+                batch, n = [], 0
+        return out + self._batch(batch)
+
+    def _batch(self, batch: list) -> list[list[tuple[int, int]]]:
+        if self.held > CACHE_BYTES:
+            self.reset()
+        ids, firsts = [], []
+        for _, words in batch:
+            ids += (0, 0)
+            firsts.append(len(ids))
+            ids += map(self.words.__getitem__, words)
+            ids.append(0)
+        out: list[list[tuple[int, int]]] = [[] for _ in batch]
+        if not batch:
+            return out
+        at = np.array(ids)
+        kind = self.kind[at]
+        rows = self.rows[at]
+        rows[1:] += self.near["p"][kind[:-1]]
+        rows[2:] += self.near["pp"][kind[:-2]]
+        rows[:-1] += self.near["n"][kind[1:]]
+        files = np.array([sum(self.file[f] for f in file_features(text)) for text, _ in batch])
+        rows += np.repeat(files, [len(words) + 3 for _, words in batch], axis=0)
+        gain = np.maximum(rows[:, 1] + self.bound[0], rows[:, 2] + self.bound[1]) - rows[:, 0]
+        gain[at == 0] = -1.0
+        hot = np.unique(np.searchsorted(firsts, np.flatnonzero(gain >= -1e-6), "right") - 1)
+        for i in hot.tolist():
+            text, words = batch[i]
+            a, b = firsts[i], firsts[i] + len(words)
+            out[i] = self._text(text, rows[a:b], gain[a:b])
+        return out
+
+    def _text(self, text: str, rows, gain) -> list[tuple[int, int]]:
+        sums = np.concatenate([[0.0], np.cumsum(gain)])
+        low, high = np.minimum.accumulate(sums[:-1]), np.maximum.accumulate(sums[:0:-1])[::-1]
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], high - low >= -1e-6, [False]])))
+        tagged: list[list[int]] = []
+        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
+            for k, tag in enumerate(self.field.decode(rows[a:b].tolist()), a):
+                if tag == 1:
+                    tagged.append([k, k])
+                elif tag == 2:
+                    tagged[-1][1] = k
+        if not tagged:
+            return []
+        spots, out = [m.span() for m in _TOKEN.finditer(text)], []
+        for i, k in tagged:
+            a, b = spots[i][0], spots[k][1]
             core = text[a:b]
             a += len(core) - len(core.lstrip(_TRIM + "."))
             b -= len(core) - len(core.rstrip(_TRIM + "."))
             if a < b:
                 out.append((a, b))
-    return out
+        return out
+
+
+def field_spans(text: str, field: Field) -> list[tuple[int, int]]:
+    """Secrets that the field tags, without quotes and marks around them."""
+    return Decoder(field).spans([text])[0]
 
 
 def scan(docs: DataFrame, field: Field | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -264,17 +356,17 @@ def scan(docs: DataFrame, field: Field | None = None, id_col: str = "doc_id", te
     order = {k: i for i, k in enumerate((*KINDS, "field"))}
 
     def make():
-        own = Field(weights, pairs)
+        own = Decoder(Field(weights, pairs))
 
-        def work(text):
+        def work(text, found):
             out = base_spans(text)
-            for a, b in field_spans(text, own):
+            for a, b in found:
                 if not any(x < b and a < y for _, x, y in out):
                     out.append(("field", a, b))
             out.sort(key=lambda x: (x[1], order[x[0]]))
             return ([dict(zip(("kind", "start", "end"), s)) for s in out],)
 
-        return lambda texts: [work(t) for t in texts]
+        return lambda texts: [work(t, f) for t, f in zip(texts, own.spans(texts))]
 
     return common.map_texts(common.id_and_text(docs, id_col, text_col), make, f"spans {SPANS}")
 
