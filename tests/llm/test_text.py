@@ -135,6 +135,16 @@ def test_field_finds_more():
     assert "zX9qLm4TpV7rBn2KsW8e" in found
 
 
+def test_iban_ends():
+    for iban, after in (("DE89370400440532013000", " BIC COBADEFFXXX"), ("GB82 WEST 1234 5698 7654 32", " EUR"), ("DE89 3704 0044 0532 0130 00", " A"), ("DE89370400440532013000", " 12 34"), ("DE89370400440532013000", "."), ("DE89370400440532013000", "")):
+        for before in ("", "to ", "REF AB12CDEF "):
+            text = before + iban + after
+            assert [text[a:b] for k, a, b, _ in pii.spans_of(text) if k == "iban"] == [iban]
+    two = "DE89370400440532013000 GB82WEST12345698765432"
+    assert [two[a:b] for k, a, b, _ in pii.spans_of(two) if k == "iban"] == two.split()
+    assert not [k for k, *_ in pii.spans_of("DE88370400440532013000 BIC COBADEFFXXX xDE89370400440532013000") if k == "iban"]
+
+
 def _pieces(*texts):
     return [[(int(x[0]), x[2:].split(" ")) for x in run.split("\n")] for t in texts for run in secrets.labelled_runs(t)]
 

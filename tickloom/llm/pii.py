@@ -38,6 +38,17 @@ _IP = re.compile(r"[0-9](?<![0-9][0-9])[0-9]*+(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b")
+_BORDER = re.compile(r"\b")
+#: Characters of an IBAN, by country.
+_IBAN_SIZES = {
+    c: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in countries.split()
+}
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+] )\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9-])")
 _LOCAL_CHAR = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -64,6 +75,20 @@ def mod97(iban: str) -> bool:
     return left == 1
 
 
+def ibans(text: str):
+    """(start, end) from the left: of the ends at word borders the one of the country's size, else the longest, for which mod-97 holds."""
+    at = 0
+    while m := _IBAN.search(text, at):
+        a, at = m.start(), m.start() + 1
+        size = _IBAN_SIZES.get(text[a : a + 2])
+        ends = [b.start() for b in _BORDER.finditer(text, a + 15, m.end()) if text[b.start() - 1] != " "]
+        for b in sorted(ends, key=lambda b: (len(text[a:b].replace(" ", "")) != size, -b)):
+            if mod97(text[a:b]):
+                yield a, b
+                at = b
+                break
+
+
 def emails(text: str):
     """Leftmost matches: the part ahead of each @ reaches back to the last match at most."""
     done, at = 0, text.find("@")
@@ -91,9 +116,8 @@ def proposals(text: str):
         for m in _PHONE.finditer(text):
             if 9 <= len(_NOT_DIGIT.sub("", m[0])) <= 15:
                 yield "phone", m.start(), m.end()
-    for m in _IBAN.finditer(text):
-        if mod97(m[0]):
-            yield "iban", m.start(), m.end()
+    for a, b in ibans(text):
+        yield "iban", a, b
     for m in _SSN.finditer(text):
         if m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00" and m[0][7:] != "0000":
             yield "ssn", m.start(), m.end()
