@@ -47,6 +47,59 @@ def test_gate(spark):
     assert got == ["trade", "in_position", "stale_book", "trade"]
 
 
+def _outcomes_loop():
+    """Outcomes and trades of every trade as a signal, by a plain loop in time order."""
+    import bisect
+    import collections
+
+    import duckdb
+
+    from tickloom.plans import catalog as c
+
+    rows = duckdb.sql(f"SELECT event_type, epoch_us(ts) // 1000, event_id, value, CAST(json_extract(props, '$.k') AS BIGINT) FROM '{DATA}/events.parquet' ORDER BY 1, 2, 3").fetchall()
+    books, counts, trades = collections.defaultdict(list), collections.Counter(), collections.defaultdict(list)
+    for symbol, t, _, q, k in rows:
+        books[symbol].append((t, 100 + q / 100, k))
+
+    def fill(p, k, buys, size=20.0):
+        left, cost = size, 0.0
+        for i in range(20):
+            px, qty = (p + 0.1 * (i + 1), 1 + (k + 3 * i) % 5) if buys else (p - 0.1 * i, 1 + (k + i) % 7)
+            take = min(left, qty)
+            left, cost = left - take, cost + take * px
+        return cost / size if left <= 0 else None
+
+    for symbol, b in books.items():
+        times, free = [x[0] for x in b], -1
+        for t, p, _ in b:
+            q = (p - 100) * 100 - 50
+            if abs(q) < 20:
+                continue
+            a, z = t + 1000, t + 1000 + c.HORIZON
+            i, j = (bisect.bisect_right(times, x) - 1 for x in (a, z))
+            if a < free:
+                outcome = "in_position"
+            elif a - times[i] > c.HORIZON // 3 or z - times[j] > c.HORIZON // 3:
+                outcome = "stale_book"
+            else:
+                px, out = fill(b[i][1], b[i][2], q > 0), fill(b[j][1], b[j][2], q < 0)
+                outcome = "thin_book" if px is None or out is None else "trade"
+                if outcome == "trade":
+                    free = z
+                    trades[symbol].append((1 if q > 0 else -1) * (out - px) / px * 1e4 - 10)
+            counts[symbol, outcome] += 1
+    return counts, trades
+
+
+def test_backtest_all_signals(spark):
+    counts, trades = _outcomes_loop()
+    assert {(r.symbol, r.outcome): r.n for r in Q["e2_backtest"](spark, DATA).collect()} == dict(counts)
+    got = {r.symbol: r for r in Q["e3_metrics"](spark, DATA).collect()}
+    assert set(got) == set(trades)
+    for symbol, net in trades.items():
+        assert got[symbol].n == len(net) and got[symbol].net_total == pytest.approx(sum(net), abs=1e-3)
+
+
 def test_ridge(spark):
     from tickloom.operators import ridge
 

@@ -379,12 +379,12 @@ def e1(spark, d):
     return b.select("symbol", "u", r6(F.col("f.vwap"), "vwap", 5), F.col("f.filled").alias("filled"))
 
 
-def _signals(spark, d) -> DataFrame:
-    return _trades(spark, d).filter("a % 3 = 0").select("symbol", "t_ms", (F.col("q") - 50).alias("pred"))
+def _signals(t: DataFrame) -> DataFrame:
+    return t.select("symbol", "t_ms", (F.col("q") - 50).alias("pred"))
 
 
 def _gated(spark, d) -> DataFrame:
-    c = backtest.feasibility(_signals(spark, d), tables.book(spark, d), SYM, 20.0, 1000, HORIZON, HORIZON // 3, 20.0)
+    c = backtest.feasibility(_signals(_trades(spark, d)), tables.book(spark, d), SYM, 20.0, 1000, HORIZON, HORIZON // 3, 20.0)
     return backtest.gate(c, SYM)
 
 
@@ -392,7 +392,7 @@ def _gated(spark, d) -> DataFrame:
 m AS (SELECT DISTINCT symbol, t_ms FROM b), x AS (SELECT s.*, m.t_ms AS m1 FROM s ASOF LEFT JOIN m ON s.symbol = m.symbol AND s.te >= m.t_ms), y AS (SELECT x.*, m.t_ms AS m2 FROM x ASOF LEFT JOIN m ON x.symbol = m.symbol AND x.tx >= m.t_ms)
 SELECT symbol, CASE WHEN m1 IS NULL OR m2 IS NULL THEN 'no_data' WHEN te - m1 > {HORIZON // 3} OR tx - m2 > {HORIZON // 3} THEN 'stale_book' ELSE 'feasible' END AS reason, count(*) AS n FROM y GROUP BY ALL""")
 def e2c(spark, d):
-    c = backtest.feasibility(_signals(spark, d), tables.book(spark, d), SYM, 20.0, 1000, HORIZON, HORIZON // 3, 20.0)
+    c = backtest.feasibility(_signals(_trades(spark, d).filter("a % 3 = 0")), tables.book(spark, d), SYM, 20.0, 1000, HORIZON, HORIZON // 3, 20.0)
     return c.groupBy("symbol", F.coalesce("reason", F.lit("feasible")).alias("reason")).agg(F.count("*").alias("n"))
 
 
