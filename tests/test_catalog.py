@@ -47,6 +47,80 @@ def test_gate(spark):
     assert got == ["trade", "in_position", "stale_book", "trade"]
 
 
+def _gate_loop(rows):
+    """(key, sig, entry, exit, ok) in order of time: whether each is held."""
+    free, out = {}, []
+    for key, sig, entry, leave, ok in sorted(rows, key=lambda r: (r[0] or "", *r[1:4], not r[4])):
+        held = entry < free.get(key, -(2**62))
+        if ok and not held:
+            free[key] = leave
+        out.append((key or "", sig, entry, leave, ok, held))
+    return sorted(out)
+
+
+def test_gate_buckets(spark):
+    """Buckets shorter and longer than the hold, entries out of order, a null key: as one plain loop."""
+    import random
+
+    from tickloom.operators import backtest, timealign
+
+    rng = random.Random(5)
+    rows = []
+    for key in ("a", "b", None):
+        for _ in range(250):
+            sig = rng.randint(-300, 3000)
+            entry = sig + rng.randint(0, 40)
+            rows.append((key, sig, entry, entry + rng.randint(0, 120), rng.random() < 0.6))
+    df = spark.createDataFrame(rows, "symbol string, sig_t long, entry_t long, exit_t long, ok boolean").selectExpr("*", "1.0D AS pred", "1 AS side", "1.0D AS in_px", "1.0D AS out_px", "CASE WHEN NOT ok THEN 'thin_book' END AS reason")
+    for bucket in (7, 100, 10_000):
+        got = backtest.gate(df, ["symbol"], bucket).collect()
+        assert sorted((r.symbol or "", r.sig_t, r.entry_t, r.exit_t, r.outcome in ("trade",), r.outcome == "in_position") for r in got if r.outcome != "in_position") == sorted((k, a, e, x, ok, h) for k, a, e, x, ok, h in _gate_loop(rows) if not h)
+        assert len(got) == len(rows)
+        want, last = [], {}
+        for key, t in sorted(((r[0], r[1]) for r in rows), key=lambda x: (x[0] or "", x[1])):
+            if key not in last or t >= last[key] + 90:
+                last[key] = t
+                want.append((key or "", t))
+        kept = timealign.greedy_nonoverlap(df, ["symbol"], "sig_t", 90, bucket).collect()
+        assert sorted((r.symbol or "", r.sig_t) for r in kept) == want
+
+
+def test_gate_size(spark):
+    """No row of the gate's plan holds a key's rows as an array, and gaps aren't one window over all ids."""
+    from tickloom.operators import timealign
+    from tickloom.streaming import book
+
+    t = spark.createDataFrame([("a", 1), ("a", 5), ("a", 90), ("a", 91), ("b", 3)], "symbol string, a long")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan(timealign.greedy_nonoverlap(t, ["symbol"], "a", 2))
+    for bucket in (1, 3, 64, 1 << 18):
+        assert sorted(tuple(r) for r in book.id_gaps(t, ["symbol"], "a", bucket).collect()) == [("a", 2, 4), ("a", 6, 89)]
+    assert "__b" in plan(book.id_gaps(t, ["symbol"], "a"))
+
+
+def test_replay_batches(spark):
+    """A key's messages come in several batches, and its rows are those of one loop."""
+    import json
+
+    from tickloom.streaming import book
+
+    def body(u):
+        return json.dumps({"U": u, "u": u, "pu": u - 1, "bids": [[f"{50 + u % 9}.0", "1.000"]], "asks": [["101.0", "2.000"]]})
+
+    rows = [(s, "s0", kind, u, body(u)) for s in ("x", "y", None) for u in range(1, 60) for kind in (["snapshot", "depth"] if u == 1 else ["depth"])]
+    m = spark.createDataFrame(rows, "symbol string, session string, kind string, recv long, body string")
+    one = book.Book()
+    want = [r for s, _, kind, u, b in rows if s == "x" for r in (one.snapshot if kind == "snapshot" else one.event)(json.loads(b) | {"recv": u})]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = book.replay(m)
+        assert "FlatMapGroups" not in got._jdf.queryExecution().optimizedPlan().toString()
+        for s in ("x", "y", None):
+            assert [tuple(r)[2:] for r in got.collect() if r.symbol == s] == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def _outcomes_loop():
     """Outcomes and trades of every trade as a signal, by a plain loop in time order."""
     import bisect

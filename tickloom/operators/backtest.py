@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .timealign import asof_backward
+from .timealign import GATE_BUCKET, asof_backward, gate_free
 
 
 def walk_book(px: str, qty: str, size: float) -> Column:
@@ -37,27 +37,17 @@ def feasibility(signals: DataFrame, book: DataFrame, keys: list[str], size: floa
     return b.select(*keys, "sig_t", "pred", "side", "entry_t", "exit_t", F.col("in.vwap").alias("in_px"), F.col("out.vwap").alias("out_px"), reason.alias("reason"))
 
 
-def gate(candidates: DataFrame, keys: list[str]) -> DataFrame:
+def gate(candidates: DataFrame, keys: list[str], bucket: int = GATE_BUCKET) -> DataFrame:
     """candidates with outcome: trade, in_position, or the reason of infeasibility.
 
     In time order of a key: while a position is held, in_position; else the
     signal's own reason, which doesn't block; else a trade, which holds to exit_t.
-    The fold is sequential over a key's thresholded signals, one small array.
+    The fold is sequential over a key, a bucket of time at once (see gate_free).
     """
-    item = F.struct("sig_t", "entry_t", "exit_t", "reason", F.struct("pred", "side", "in_px", "out_px").alias("rest"))
-    per = candidates.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("__s"))
-    start = F.struct(F.lit(-(2**62)).cast("long").alias("free"), F.array().cast("array<string>").alias("out"))
-
-    def step(s, x):
-        held = x["entry_t"] < s["free"]
-        outcome = F.when(held, "in_position").otherwise(F.coalesce(x["reason"], F.lit("trade")))
-        free = F.when(~held & x["reason"].isNull(), x["exit_t"]).otherwise(s["free"])
-        return F.struct(free.alias("free"), F.concat(s["out"], F.array(outcome)).alias("out"))
-
-    folded = per.withColumn("__o", F.aggregate("__s", start, step, lambda s: s["out"]))
-    one = folded.select(*keys, F.explode(F.arrays_zip(F.col("__s"), F.col("__o"))).alias("z"))
-    z = "z.__s."
-    return one.select(*keys, F.col(z + "sig_t").alias("sig_t"), F.col(z + "entry_t").alias("entry_t"), F.col(z + "exit_t").alias("exit_t"), *[F.col(f"{z}rest.{c}").alias(c) for c in ("pred", "side", "in_px", "out_px")], F.col("z.__o").alias("outcome"))
+    rows = candidates.withColumns({"__entry": F.col("entry_t"), "__exit": F.col("exit_t"), "__ok": F.col("reason").isNull(), "__why": F.coalesce("reason", F.lit(""))})
+    gated = gate_free(rows, keys, ["sig_t", "entry_t", "exit_t", "__why", "pred", "side", "in_px", "out_px"], bucket)
+    outcome = F.when(F.col("held"), "in_position").otherwise(F.coalesce("reason", F.lit("trade")))
+    return gated.select(*keys, "sig_t", "entry_t", "exit_t", "pred", "side", "in_px", "out_px", outcome.alias("outcome"))
 
 
 def trades_of(gated: DataFrame, taker_bps: float = 5.0) -> DataFrame:

@@ -8,6 +8,8 @@ reach for a trailing window.
 
 from __future__ import annotations
 
+import bisect
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,16 +68,102 @@ def window_sums(left: DataFrame, right: DataFrame, keys: list[str], t: str, wind
     return out.filter("__g = 1").select(*left.columns, *sums)
 
 
-def greedy_nonoverlap(df: DataFrame, keys: list[str], t: str, hold: int) -> DataFrame:
+#: Milliseconds of time whose rows the sequential gates hold at once.
+GATE_BUCKET = 3_600_000
+
+
+def gate_step(entry: list, exit_: list, ok: list) -> tuple[list, list]:
+    """What a bucket's rows make of the time from which a key is free: (up to, out), ascending.
+
+    A key free from f is free from out[i] after the bucket, for the first up_to[i] >= f;
+    where there is none the bucket opens nothing and f stays. Rows are in order of the gate.
+    """
+    ahead, outs = [], []  # entries, negated, of the rows that are later than all before them, the nearest last
+    for e, x, use in zip(reversed(entry), reversed(exit_), reversed(ok)):
+        if not use or e is None:
+            continue
+        at = bisect.bisect_right(ahead, -x) - 1
+        out = outs[at] if at >= 0 else x
+        keep = bisect.bisect_left(ahead, -e)
+        del ahead[keep:], outs[keep:]
+        ahead.append(-e)
+        outs.append(out)
+    up_to, out = [], []
+    for e, x in zip(reversed(ahead), reversed(outs)):
+        if out and out[-1] == x:
+            up_to[-1] = -e
+        else:
+            up_to.append(-e)
+            out.append(x)
+    return up_to, out
+
+
+def gate_free(rows: DataFrame, keys: list[str], order: list[str], bucket: int = GATE_BUCKET) -> DataFrame:
+    """rows with held (boolean): whether an earlier row of the key is held at this one's __entry.
+
+    rows have __entry, __exit and __ok (may be held); a row that is ok and not held
+    itself holds to __exit. Rows go by `order`, whose first column is a time; a
+    bucket of it is folded at a time, and what a bucket makes of the free time is a
+    small table, over which it is carried from one bucket to the next.
+    """
+    import pyarrow as pa
+
+    never, columns = -(2**62), rows.columns
+    cut = rows.withColumn("__b", F.coalesce(F.floor(F.col(order[0]) / bucket).cast("long"), F.lit(never)))
+    by = [(c, "ascending") for c in order]
+    kinds = dict(cut.dtypes)
+    head = ", ".join(f"`{c}` {kinds[c]}" for c in keys)
+
+    def key_arrays(key, n, table):
+        return [pa.array([k.as_py()] * n, type=table.schema.field(c).type) for c, k in zip(keys, key)]
+
+    def steps(key, table):
+        t = table.sort_by(by)
+        up_to, out = gate_step(*(t.column(c).to_pylist() for c in ("__entry", "__exit", "__ok")))
+        n = len(out)
+        return pa.Table.from_arrays([*key_arrays(key, n, t), pa.array([key[-1].as_py()] * n, pa.int64()), pa.array(up_to, pa.int64()), pa.array(out, pa.int64())], names=[*keys, "__b", "__up_to", "__out"])
+
+    def carry(key, table):
+        t = table.sort_by([("__b", "ascending"), ("__up_to", "ascending")])
+        free, at, done = never, [], []
+        last = None
+        for b, up_to, out in zip(*(t.column(c).to_pylist() for c in ("__b", "__up_to", "__out"))):
+            if b == last:
+                continue  # this bucket's step is taken
+            if up_to >= free:
+                free, last = out, b
+                at.append(b)
+                done.append(free)
+        n = len(at)
+        return pa.Table.from_arrays([*key_arrays(key, n, t), pa.array(at, pa.int64()), pa.array(done, pa.int64())], names=[*keys, "__b", "__free"])
+
+    def fold(key, table):
+        known = table.column("__carry").to_pylist()
+        free = max((x for x in known if x is not None), default=never)
+        t = table.filter(table.column("__row")).sort_by(by)
+        held = []
+        for e, x, use in zip(*(t.column(c).to_pylist() for c in ("__entry", "__exit", "__ok"))):
+            held.append(e is not None and e < free)
+            if use and e is not None and e >= free:
+                free = x
+        return t.select(columns).append_column("held", pa.array(held, pa.bool_()))
+
+    changed = cut.groupBy(*keys, "__b").applyInArrow(steps, f"{head}, __b long, __up_to long, __out long").groupBy(*keys).applyInArrow(carry, f"{head}, __b long, __free long")
+    # The free time at a bucket is that after the last changing bucket before it.
+    spots = cut.select(*keys, "__b").distinct().unionByName(changed, allowMissingColumns=True).groupBy(*keys, "__b").agg(F.max("__free").alias("__free"))
+    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = spots.select(*keys, "__b", F.last("__free", ignorenulls=True).over(before).alias("__carry"), F.lit(False).alias("__row"))
+    both = cut.withColumn("__row", F.lit(True)).unionByName(carried, allowMissingColumns=True)
+    return both.groupBy(*keys, "__b").applyInArrow(fold, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", held boolean")
+
+
+def greedy_nonoverlap(df: DataFrame, keys: list[str], t: str, hold: int, bucket: int = GATE_BUCKET) -> DataFrame:
     """Rows kept by the greedy gate: a row is kept if it is hold or more after the last kept.
 
-    The gate is sequential within a key, over selected signals only; it folds the
-    sorted times in one expression.
+    The gate is sequential within a key; see gate_free.
     """
-    times = df.groupBy(*keys).agg(F.array_sort(F.collect_list(t)).alias("__t"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("kept"))
-    step = lambda s, x: F.when(s["last"].isNull() | (x >= s["last"] + hold), F.struct(x.alias("last"), F.concat(s["kept"], F.array(x)).alias("kept"))).otherwise(s)
-    return times.select(*keys, F.explode(F.aggregate("__t", start, step, lambda s: s["kept"])).alias(t))
+    rows = df.filter(F.col(t).isNotNull()).select(*keys, t, F.col(t).alias("__entry"), (F.col(t) + hold).alias("__exit"), F.lit(True).alias("__ok"))
+    return gate_free(rows, keys, [t], bucket).filter("NOT held").select(*keys, t)
 
 
 def position_ahead(df: DataFrame, keys: list[str], t: str, horizon: int, value: str) -> Column:
