@@ -93,12 +93,23 @@ def repeats_brute(rows):
     return out
 
 
-def test_repeats_brute(spark, monkeypatch):
-    rows = [tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").limit(80).collect()]
-    rows += [(5000, "ab" * 400), (5001, "x" * 99), (5002, rows[3][1][50:400] + "é" * 130), (5003, None), (5004, "é" * 200)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: tuple(r)[1:] for r in substring_dedup.digests(docs).collect()}
-    assert got == repeats_brute(rows)
+@pytest.mark.parametrize("hot", [substring_dedup.HOT_PHRASES, 3])
+def test_repeats_brute(spark, hot):
+    """Against a plain set of windows: 500 documents, half of them with parts of one hot passage."""
+    import random
+
+    rng = random.Random(3)
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").orderBy("doc_id").limit(500).collect()]
+    passage = rows[5][1][:230]
+    rows = [(i, t[: rng.randint(0, len(t))] + (passage[rng.randint(0, 40) : rng.randint(120, 230)] if rng.random() < 0.5 else "") + t[-200:]) for i, t in rows]
+    rows += [(90000, "ab" * 400), (90001, "x" * 99), (90002, rows[3][1][50:400] + "é" * 130), (90003, None), (90004, "é" * 200), (-7, "\x00" * 300), (90005, "z" * 100), (90006, "z" * 101)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    want = repeats_brute(rows)
+    cuts = {r.doc_id: r for r in substring_dedup.remove_repeats(docs, hot=hot).collect()}
+    got = {i: (sum(s.end - s.start for s in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for i, r in cuts.items()}
+    assert {i: w for i, (_, *w) in want.items() if w[0]} == {i: list(g) for i, g in got.items() if g[0]}
+    if hot > 3:
+        assert {r.doc_id: tuple(r)[1:] for r in substring_dedup.digests(docs).collect()} == want
 
 
 def test_bpe_reference(spark):

@@ -7,17 +7,25 @@ phrase's), so every window lies in one phrase wholly and equal windows lie in
 phrases of the same trigger, at the same place. The corpus is the sequence of
 phrases (the parse), and the dictionary holds each distinct phrase once.
 
-Of a phrase that occurs again, all occurrences but the first in corpus order
-repeat wholly. Different phrases of the dictionary that share a trigger may
-share windows: their windows, the suffixes of the phrase cut at WINDOW bytes,
-are brought together by hash over all of them, and all but the first in corpus
-order are repeats. Windows don't leave phrases, so the order of the parse is
-needed for first occurrences only; suffixes of phrases that are alone with their
-trigger, nearly all of a corpus, are never looked at.
+Of a phrase that occurs again, all occurrences but the first of the parse repeat
+wholly. Of the dictionary, only phrases that share a trigger can share windows.
+Their suffixes that begin at triggers, and their reversed prefixes that end
+there, are sorted by bytes into suffix arrays with common-prefix lengths: two
+windows are equal when both sides agree for as long as the window reaches. The
+suffix arrays put equal windows side by side, the parse gives them corpus order,
+and all but the first are repeats. Windows don't leave phrases, so of the parse
+its order is needed and not what follows a phrase. Phrases that are alone with
+their trigger, nearly all of a corpus, are never looked at.
+
+Whole phrases are told apart by 64 bits of their trigger and 128 of their
+content (at 10^13 phrases a wrong match has a chance below 10^-12), windows by
+their bytes.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,29 +35,34 @@ from . import common
 
 #: Bytes of a repeated string, and of the grams whose hashes set triggers.
 WINDOW, GRAM = 100, 40
-#: Phrases that one bucket of triggers holds on average.
-BUCKET_PHRASES = 800_000
-#: Windows to check that one bucket of hashes holds on average, and bits of either bucket at least.
-BUCKET_WINDOWS, LEAST_BITS = 1_000_000, 6
-#: Bytes of text, with 20 for each window to check, that are hashed at a time.
-SLICE_WINDOWS = 24_000_000
-#: Bytes that are hashed at a time.
-BLOCK = 1_000_000
-SINGLE, SHARED, REPEAT, CHECK = 0, 1, 2, 3
-
-_powers: list[np.ndarray] = []
-
-
-def _tables() -> list[np.ndarray]:
-    """Values of the bytes, powers of the hash's base, and powers of its inverse."""
-    if not _powers:
-        base = 0x9E3779B97F4A7C15 | 1
+#: Bytes at most of a window ahead of its trigger.
+AHEAD = WINDOW - GRAM
+#: Phrases that one bucket of triggers holds on average, and bits of a bucket at least.
+BUCKET_PHRASES, LEAST_BITS = 300_000, 6
+#: Dictionary phrases that one bucket of the suffix arrays holds on average.
+BUCKET_SORTED = 50_000
+#: Distinct phrases from which on a trigger's windows are dealt one by one, by their bytes.
+HOT_PHRASES = 50_000
+#: Bytes of text whose phrases a task holds at a time, and that are hashed at a time.
+SLICE_PARSED, BLOCK = 16_000_000, 500_000
+#: Bytes of phrases that a task deals at a time, and of texts that it cuts at a time.
+SLICE_DEALT, SLICE_CUT = 16_000_000, 4_000_000
+REPEAT, CHECK, HOT = 0, 1, 2
+
+_powers: dict[int, tuple] = {}
+
+
+def _tables(k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values of the bytes, powers of the k-th hash's base, and powers of its inverse."""
+    if k not in _powers:
+        base = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)[k]
         with np.errstate(over="ignore"):
             up = np.full(BLOCK + 2 * WINDOW + 1, base, np.uint64)
             down = np.full(len(up), pow(base, -1, 1 << 64), np.uint64)
             up[0] = down[0] = 1
-            _powers.extend([mixed(np.arange(1, 257, dtype=np.uint64)), np.multiply.accumulate(up), np.multiply.accumulate(down)])
-    return _powers
+            value = mixed(np.arange(1, 257, dtype=np.uint64) + np.uint64(1000 * k))
+            _powers[k] = value, np.multiply.accumulate(up), np.multiply.accumulate(down)
+    return _powers[k]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -58,15 +71,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _sums(data: np.ndarray) -> np.ndarray:
-    value, up, _ = _tables()
+def _sums(data: np.ndarray, k: int) -> np.ndarray:
+    value, up, _ = _tables(k)
     out = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(value[data] * up[: len(data)], out=out[1:])
     return out
 
 
-def _hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return mixed((sums[end] - sums[start]) * _tables()[2][start])
+def _hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, k: int) -> np.ndarray:
+    return mixed((sums[end] - sums[start]) * _tables(k)[2][start])
 
 
 def _smallest(h: np.ndarray, n: int) -> np.ndarray:
@@ -84,10 +97,11 @@ def _smallest(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def phrases(pieces: list[tuple[int, int, bytes]]):
-    """Phrases of a block: arrays trigger, content, place of the piece, lo, gram, hi.
+    """Phrases of a block in corpus order: arrays trigger, content (two), doc, lo, gram, last.
 
-    pieces: (document, offset, bytes), of BLOCK bytes together. lo and hi are the
-    first and last window start, gram the trigger's place, all in the document.
+    pieces: (document, offset, bytes), of BLOCK bytes together. lo is the first
+    window start in the document; from there gram is the distance to the trigger
+    and last that to the last window start.
     """
     pieces = [p for p in pieces if len(p[2]) >= WINDOW]
     if not pieces:
@@ -96,20 +110,22 @@ def phrases(pieces: list[tuple[int, int, bytes]]):
         data = np.frombuffer(b"".join(p[2] for p in pieces), np.uint8)
         sizes = np.array([len(p[2]) for p in pieces])
         ends = np.cumsum(sizes)
-        sums = _sums(data)
-        grams = np.arange(len(data) - GRAM + 1)
-        gram = _hash(sums, grams, grams + GRAM)
-        at = _smallest(gram, WINDOW - GRAM + 1)  # one for each window start
+        sums = _sums(data, 0)
+        hashes = mixed((sums[GRAM:] - sums[:-GRAM]) * _tables(0)[2][: len(sums) - GRAM])
+        at = _smallest(hashes, AHEAD + 1)  # one for each window start
         piece = np.repeat(np.arange(len(pieces)), sizes)[: len(at)]
         inside = np.arange(len(at)) + WINDOW <= ends[piece]
         new = np.concatenate(([True], (at[1:] != at[:-1]) | (piece[1:] != piece[:-1])))
         starts = np.flatnonzero(inside & new)
         stops = np.flatnonzero(inside & np.concatenate((new[1:] | ~inside[1:], [True])))
         q = at[starts]
-        content = _hash(sums, starts, stops + WINDOW) ^ mixed((q - starts).astype(np.uint64) * np.uint64(1009) + (stops - starts).astype(np.uint64) + np.uint64(7))
+        place = mixed((q - starts).astype(np.uint64) * np.uint64(1009) + (stops - starts).astype(np.uint64) + np.uint64(7))
+        content = _hash(sums, starts, stops + WINDOW, 0) ^ place
+        other = _hash(_sums(data, 1), starts, stops + WINDOW, 1) ^ place
         piece = piece[starts]
         shift = np.array([p[1] for p in pieces]) - (ends - sizes)
-        return gram[q], content, np.array([p[0] for p in pieces])[piece], starts + shift[piece], q + shift[piece], stops + shift[piece]
+        docs = np.array([p[0] for p in pieces], np.int64)
+        return hashes[q], content, other, docs[piece], (starts + shift[piece]).astype(np.int32), (q - starts).astype(np.int8), (stops - starts).astype(np.int8)
 
 
 def _pieces(rows: list[tuple[int, bytes]]):
@@ -127,203 +143,289 @@ def _pieces(rows: list[tuple[int, bytes]]):
         yield block
 
 
-COLUMNS = "bucket int, kinds array<byte>, triggers array<long>, contents array<long>, docs array<long>, lo array<int>, grams array<byte>, lasts array<byte>"
+_PHRASE = {"triggers": pa.int64(), "contents": pa.int64(), "others": pa.int64(), "docs": pa.int64(), "los": pa.int32(), "grams": pa.int8(), "lasts": pa.int8()}
+_DONE = {"done_docs": pa.int64(), "done_los": pa.int32(), "done_his": pa.int32()}
+_DDL = {pa.int64(): "long", pa.int32(): "int", pa.int8(): "byte"}
+COLUMNS = "bucket int, " + ", ".join(f"{c} array<{_DDL[k]}>" for c, k in (_PHRASE | _DONE).items())
+
+
+def _lists(buckets: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """Rows of COLUMNS: one per run of equal buckets, each column a list, the others empty."""
+    edges = np.flatnonzero(np.diff(buckets)) + 1
+    starts = np.concatenate(([0], edges))
+    full, none = pa.array(np.concatenate((starts, [len(buckets)])), pa.int32()), pa.array(np.zeros(len(starts) + 1, np.int32))
+    out = [pa.array(buckets[starts].astype(np.int32))]
+    for name, kind in (_PHRASE | _DONE).items():
+        x = columns.get(name)
+        if x is None:
+            out.append(pa.ListArray.from_arrays(none, pa.array([], kind)))
+        else:
+            out.append(pa.ListArray.from_arrays(full, pa.array(x.view(np.int64) if x.dtype == np.uint64 else x, kind)))
+    return pa.RecordBatch.from_arrays(out, names=["bucket", *_PHRASE, *_DONE])
+
+
+def _flat(table: pa.Table, names) -> list[np.ndarray]:
+    """The lists of each column, one after the other."""
+    out = []
+    for c in names:
+        parts = [x.flatten() for x in table.column(c).chunks]
+        out.append(np.concatenate([p.to_numpy(zero_copy_only=False) for p in parts]) if parts else np.zeros(0, np.int64))
+    return out
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Whether a row of sorted columns differs from the one ahead; the first does."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
+
+
+def _later(new: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Rows that start later than the first of their class: not the same place, as of repeated rows of one id."""
+    first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    return ~new & ((doc != doc[first]) | (place != place[first]))
 
 
 def _local(rows: list[tuple[int, bytes]], bits: int):
-    """Rows of COLUMNS for a slice of documents, phrases collapsed within the slice."""
+    """Rows of COLUMNS for a slice of documents.
+
+    The slice's first occurrence of a phrase goes to its trigger's bucket; later
+    ones repeat whatever other slices hold, and are dealt by document, as runs.
+    """
     rows.sort(key=lambda r: r[0])
     found = [f for block in _pieces(rows) if (f := phrases(block)) is not None]
     if not found:
         return
-    trigger, content, doc, lo, gram, hi = (np.concatenate(x) for x in zip(*found))
-    order = np.lexsort((content, trigger))  # stable: corpus order within
-    trigger, content, doc, lo, gram, hi = (x[order] for x in (trigger, content, doc, lo, gram, hi))
-    new_trigger = np.concatenate(([True], trigger[1:] != trigger[:-1]))
-    new = new_trigger | np.concatenate(([True], content[1:] != content[:-1]))
-    of = np.cumsum(new_trigger) - 1
-    several = (np.bincount(of, new) > 1)[of]
-    kind = np.where(new, np.where(several, CHECK, SINGLE), REPEAT).astype(np.int8)
-    # A repeat must start later than the first: repeated rows of one id don't remove each other.
-    first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-    same = ~new & (doc == doc[first]) & (lo == lo[first])
-    bucket = (trigger >> np.uint64(64 - bits)).astype(np.int32)
-    marker = new_trigger & several
-    keep = ~same
-    cols = [bucket, kind, trigger, content, doc, lo, gram - lo, hi - lo]
-    marks = [bucket[marker], np.full(marker.sum(), SHARED, np.int8), trigger[marker], *[x[marker] * 0 for x in (content, doc, lo, gram, hi)]]
-    cols = [np.concatenate((a[keep], b)) for a, b in zip(cols, marks)]
-    order = np.lexsort((cols[5], cols[4], cols[0]))
-    cols = [c[order] for c in cols]
-    edges = np.flatnonzero(np.diff(cols[0])) + 1
-    offsets = pa.array(np.concatenate(([0], edges, [len(cols[0])])), pa.int32())
-    kinds = (pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int8(), pa.int8())
-    views = [c.view(np.int64) if c.dtype == np.uint64 else c for c in cols]
-    lists = [pa.ListArray.from_arrays(offsets, pa.array(v.astype(k.to_pandas_dtype()), k)) for v, k in zip(views[1:], kinds)]
-    yield pa.RecordBatch.from_arrays([pa.array(cols[0][np.concatenate(([0], edges))], pa.int32()), *lists], names=["bucket", "kinds", "triggers", "contents", "docs", "lo", "grams", "lasts"])
-
-
-def _resolve(table: pa.Table) -> pa.Table:
-    """Runs (doc_id, lo, hi, kind) of window starts, REPEAT or CHECK, of one bucket of triggers."""
-    flat = lambda c: np.concatenate([x.values.to_numpy(zero_copy_only=False)[x.offsets[0].as_py() : x.offsets[-1].as_py()] for x in table.column(c).chunks if len(x)])
-    kind, trigger, content, doc, lo, last = (flat(c) for c in ("kinds", "triggers", "contents", "docs", "lo", "lasts"))
-    done = kind >= REPEAT
-    shared = np.unique(trigger[kind == SHARED])
-    pick = kind == SINGLE
-    out = [(doc[done], lo[done], last[done], kind[done])]
-    if pick.any():
-        trigger, content, doc, lo, last = (x[pick] for x in (trigger, content, doc, lo, last))
-        order = np.lexsort((lo, doc, content, trigger))
-        trigger, content, doc, lo, last = (x[order] for x in (trigger, content, doc, lo, last))
-        new_trigger = np.concatenate(([True], trigger[1:] != trigger[:-1]))
-        new = new_trigger | np.concatenate(([True], content[1:] != content[:-1]))
-        of = np.cumsum(new_trigger) - 1
-        several = (np.bincount(of, new) > 1)[of] | np.isin(trigger, shared)
-        first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-        again = ~new & ~((doc == doc[first]) & (lo == lo[first]))
-        for mask, k in ((again, REPEAT), (new & several, CHECK)):
-            out.append((doc[mask], lo[mask], last[mask], np.full(mask.sum(), k, np.int8)))
-    doc, lo, last, kind = (np.concatenate(x) for x in zip(*out))
-    return pa.table({"doc_id": pa.array(doc, pa.int64()), "lo": pa.array(lo, pa.int32()), "hi": pa.array(lo + last, pa.int32()), "kind": pa.array(kind, pa.int8())})
-
-
-def repeats(rows: DataFrame, total_bytes: int) -> DataFrame:
-    """Runs (doc_id, lo, hi, kind) of window starts that repeat, or whose phrase shares its trigger."""
+    columns = [np.concatenate(x) for x in zip(*found)]
+    del found
+    order = np.argsort(columns[0], kind="stable")  # corpus order within a trigger
+    columns = [x[order] for x in columns]
+    trigger, content, other, doc, lo, gram, last = columns
+    start = _changes(trigger)
+    often = np.flatnonzero(np.repeat(np.diff(np.append(np.flatnonzero(start), len(start))), np.diff(np.append(np.flatnonzero(start), len(start)))) > 1)
+    first = np.ones(len(trigger), bool)
+    if len(often):
+        often = often[np.lexsort((other[often], content[often], trigger[often]))]
+        new = _changes(trigger[often], content[often], other[often])
+        first[often[~new]] = False
+        again = often[_later(new, doc[often], lo[often])]
+        if len(again):
+            yield _lists(*_runs(doc[again], lo[again], lo[again] + last[again], bits))
+    yield _lists((trigger[first] >> np.uint64(64 - bits)).astype(np.int32), dict(zip(_PHRASE, (x[first] for x in columns))))
+
+
+def _runs(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, bits: int) -> tuple[np.ndarray, dict]:
+    """Buckets by document, and runs of window starts with neighbouring ones joined."""
+    order = np.lexsort((lo, doc))
+    doc, lo, hi = doc[order], lo[order], hi[order]
+    new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (lo[1:] != hi[:-1] + 1)))
+    at = np.flatnonzero(new)
+    doc, lo, hi = doc[at], lo[at], hi[np.append(at[1:], len(hi)) - 1]
+    with np.errstate(over="ignore"):
+        bucket = (mixed(doc.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    return bucket[order], {"done_docs": doc[order], "done_los": lo[order], "done_his": hi[order].astype(np.int32)}
+
+
+MARKS = "doc_id long, lo int, hi int, gram byte, key int, kind byte"
+
+
+def _resolver(hot: int):
+    """A function of one bucket's phrases to its marks: REPEAT runs, and dictionary phrases to sort."""
+
+    def resolve(table: pa.Table) -> pa.Table:
+        trigger, content, other, doc, lo, gram, last = _flat(table, _PHRASE)
+        done_doc, done_lo, done_hi = _flat(table, _DONE)
+        order = np.argsort(trigger, kind="stable")
+        start = np.flatnonzero(_changes(trigger[order]))
+        size = np.diff(np.append(start, len(order)))
+        pick = order[np.repeat(size > 1, size)]
+        trigger, content, other, doc, lo, gram, last = (x[pick] for x in (trigger, content, other, doc, lo, gram, last))
+        order = np.lexsort((lo, doc, other, content, trigger))
+        trigger, content, other, doc, lo, gram, last = (x[order] for x in (trigger, content, other, doc, lo, gram, last))
+        new = _changes(trigger, content, other)
+        of = np.cumsum(_changes(trigger)) - 1
+        distinct = np.bincount(of, new)[of] if len(of) else np.zeros(0)
+        key = (trigger.view(np.uint64) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        again, check = _later(new, doc, lo), new & (distinct > 1)
+        kind = np.where(distinct > hot, HOT, CHECK).astype(np.int8)
+        cat = lambda a, b, c: np.concatenate((a, b[again], c[check]))
+        none = np.zeros(len(done_doc), np.int8)
+        zero, hi = np.zeros(len(new), np.int8), (lo + last).astype(np.int32)
+        columns = [cat(done_doc, doc, doc), cat(done_lo, lo, lo), cat(done_hi, hi, hi), cat(none, gram, gram), cat(none.astype(np.int32), key, key), cat(none, zero, kind)]
+        return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int8(), pa.int32(), pa.int8()))], names=["doc_id", "lo", "hi", "gram", "key", "kind"])
+
+    return resolve
+
+
+def marks(rows: DataFrame, total_bytes: int, hot: int = HOT_PHRASES) -> DataFrame:
+    """MARKS of (doc_id, text): runs of window starts that repeat, and dictionary phrases that share their trigger."""
     common.ship(rows.sparkSession)
     bits = max(LEAST_BITS, (total_bytes // 30 // BUCKET_PHRASES).bit_length())
 
     def run(batches):
+        held, size = [], 0
         for batch in batches:
-            held, size = [], 0
             for i in range(batch.num_rows):
-                doc, data = batch.column(0)[i].as_py(), batch.column(1)[i].as_py().encode()
-                held.append((doc, data))
-                size += len(data)
-                if size > common.SLICE_BYTES:
+                held.append((batch.column(0)[i].as_py(), batch.column(1)[i].as_py().encode()))
+                size += len(held[-1][1])
+                if size > SLICE_PARSED:
                     yield from _local(held, bits)
                     held, size = [], 0
-            yield from _local(held, bits)
+        yield from _local(held, bits)
 
     dealt = rows.filter("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, COLUMNS)
-    return dealt.groupBy("bucket").applyInArrow(_resolve, "doc_id long, lo int, hi int, kind byte")
+    return dealt.groupBy("bucket").applyInArrow(_resolver(hot), MARKS)
 
 
-def _first_windows(rows: list[tuple[int, bytes, list]], bits: int):
-    """Rows of WINDOW_COLUMNS for a slice of documents: the windows to check.
+DICTIONARY = "bucket int, docs array<long>, los array<int>, grams array<byte>, lasts array<byte>, content binary"
 
-    The first occurrence of a window in the slice goes to its hash's bucket; later
-    ones are repeats whatever other slices hold, and are dealt by document.
-    """
-    hashes, docs, places = [], [], []
-    with np.errstate(over="ignore"):
-        for doc, text, runs in rows:
-            data = np.frombuffer(text, np.uint8)
-            for lo, hi in runs:
-                for at in range(lo, min(hi, len(data) - WINDOW) + 1, BLOCK):
-                    part = data[at : min(hi + WINDOW, at + BLOCK + WINDOW - 1, len(data))]
-                    sums = _sums(part)
-                    starts = np.arange(len(part) - WINDOW + 1)
-                    hashes.append(_hash(sums, starts, starts + WINDOW))
-                    places.append(starts + at)
-                    docs.append(np.full(len(starts), doc))
-    if not hashes:
+
+def _dealt(entries: list[tuple], bits: int):
+    """A batch of DICTIONARY of (key, document, lo, gram, last, bytes): one row per bucket."""
+    if not entries:
         return
-    h, doc, at = np.concatenate(hashes), np.concatenate(docs), np.concatenate(places).astype(np.int32)
-    order = np.lexsort((at, doc, h))
-    h, doc, at = h[order], doc[order], at[order]
-    first, again = _split(h, doc, at)
-    bucket = np.concatenate(((h[first] >> np.uint64(64 - bits)).astype(np.int32), (doc[again] % (1 << bits)).astype(np.int32)))
-    known = np.repeat([False, True], [len(first), len(again)])
-    pick = np.concatenate((first, again))
+    bucket = (np.array([e[0] for e in entries], np.int64) & 0xFFFFFFFF) >> (32 - bits)
     order = np.argsort(bucket, kind="stable")
-    bucket, known, pick = bucket[order], known[order], pick[order]
-    edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
-    out = []
+    edges = [0, *(np.flatnonzero(np.diff(bucket[order])) + 1).tolist(), len(order)]
+    out = {c: [] for c in ("bucket", "docs", "los", "grams", "lasts", "content")}
     for a, b in zip(edges, edges[1:]):
-        mine, sure = pick[a:b][~known[a:b]], pick[a:b][known[a:b]]
-        out.append({"bucket": int(bucket[a]), "hashes": h[mine].view(np.int64), "docs": doc[mine], "places": at[mine], "done_docs": doc[sure], "done_places": at[sure]})
-    cols = {c: pa.array([r[c] for r in out], t) for c, t in (("bucket", pa.int32()), ("hashes", pa.list_(pa.int64())), ("docs", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("done_docs", pa.list_(pa.int64())), ("done_places", pa.list_(pa.int32())))}
-    yield pa.RecordBatch.from_pydict(cols)
+        mine = [entries[i] for i in order[a:b].tolist()]
+        out["bucket"].append(int(bucket[order[a]]))
+        for c, k in (("docs", 1), ("los", 2), ("grams", 3), ("lasts", 4)):
+            out[c].append([e[k] for e in mine])
+        out["content"].append(b"".join(e[5] for e in mine))
+    kinds = (pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int8()), pa.list_(pa.int8()), pa.binary())
+    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], names=list(out))
 
 
-WINDOW_COLUMNS = "bucket int, hashes array<long>, docs array<long>, places array<int>, done_docs array<long>, done_places array<int>"
+def _common(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows of bytes, and how many bytes each has in common with the one ahead of it there."""
+    words = rows.view(">u8").astype(np.uint64)
+    order = np.lexsort(words.T[::-1])
+    sorted_rows = rows[order]
+    differ = sorted_rows[1:] != sorted_rows[:-1]
+    return order, np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1]).astype(np.int16)
 
 
-def _split(h: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of first and of later occurrences, in arrays sorted by hash, document and place."""
-    if not len(h):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    new = np.concatenate(([True], h[1:] != h[:-1]))
-    first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-    # Repeated rows of one id don't remove each other.
-    same = (doc == doc[first]) & (at == at[first])
-    return np.flatnonzero(new), np.flatnonzero(~new & ~same)
-
-
-def _resolve_windows(table: pa.Table) -> pa.Table:
-    """(doc_id, places) of the windows of one bucket that also start earlier."""
-    flat = lambda c: np.concatenate([x.values.to_numpy(zero_copy_only=False)[x.offsets[0].as_py() : x.offsets[-1].as_py()] for x in table.column(c).chunks if len(x)])
-    h, doc, at = flat("hashes"), flat("docs"), flat("places")
-    order = np.lexsort((at, doc, h))
-    h, doc, at = h[order], doc[order], at[order]
-    _, again = _split(h, doc, at)
-    doc, at = np.concatenate((doc[again], flat("done_docs"))), np.concatenate((at[again], flat("done_places")))
-    order = np.lexsort((at, doc))
-    doc, at = doc[order], at[order]
-    starts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.zeros(0, np.int64)
-    offsets = pa.array(np.concatenate((starts, [len(doc)])), pa.int32())
-    return pa.table({"doc_id": pa.array(doc[starts], pa.int64()), "places": pa.ListArray.from_arrays(offsets, pa.array(at, pa.int32()))})
-
-
-def repeated_windows(held: DataFrame, n_windows: int) -> DataFrame:
-    """(doc_id, places) of windows of held (doc_id, text, checks) that also start earlier.
-
-    One shuffle moves arrays of hashes, each window's first occurrence in a slice only.
+def repeated(doc: np.ndarray, lo: np.ndarray, gram: np.ndarray, last: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, lo, hi): runs of window starts of dictionary phrases that also start earlier.
+
+    content: the bytes of the phrases, one after the other; last + WINDOW of each.
     """
-    bits = max(LEAST_BITS, (n_windows // BUCKET_WINDOWS).bit_length())
+    gram, last = gram.astype(np.int64), last.astype(np.int64)
+    size = last + WINDOW
+    at = np.cumsum(size) - size
+    order = np.lexsort((lo + gram, doc))  # the parse: corpus order
+    doc, lo, gram, last, size, at = (x[order] for x in (doc, lo, gram, last, size, at))
+    n, place = len(doc), lo + gram
+    ahead, behind = -(-AHEAD // 8) * 8, -(-WINDOW // 8) * 8
+    padded = np.concatenate((np.zeros(ahead, np.uint8), content, np.zeros(behind, np.uint8)))
+    view = np.lib.stride_tricks.sliding_window_view
+    right = view(padded, behind)[at + gram + ahead]
+    right[np.arange(behind) >= (size - gram)[:, None]] = 0
+    left = np.ascontiguousarray(view(padded, ahead)[at + gram][:, ::-1])
+    left[np.arange(ahead) >= gram[:, None]] = 0
+    (by_right, same_right), (by_left, same_left) = _common(right), _common(left)
+    del right, left, padded
+    hit = np.zeros((n, AHEAD + 3), np.int8)  # a column per window start from place - AHEAD on, between two empty ones
+    side = np.empty((2, n), np.int64)
+    for d in range(AHEAD + 1):  # windows that begin d bytes ahead of their trigger
+        pick = np.flatnonzero((gram - last <= d) & (d <= gram))
+        if len(pick) < 2:
+            continue
+        side[0, by_left] = np.concatenate(([0], np.cumsum(same_left < d)))
+        side[1, by_right] = np.concatenate(([0], np.cumsum(same_right < WINDOW - d)))
+        key = side[0, pick] * n + side[1, pick]
+        o = np.argsort(key, kind="stable")
+        again = pick[o[_later(_changes(key[o]), doc[pick[o]], place[pick[o]])]]
+        hit[again, 1 + AHEAD - d] = 1
+    edge = np.diff(hit, axis=1)
+    row, first = np.nonzero(edge == 1)
+    stop = np.nonzero(edge == -1)[1]
+    return doc[row], place[row] - AHEAD + first, place[row] - AHEAD + stop - 1
+
+
+def _sorted(table: pa.Table) -> pa.Table:
+    columns = _flat(table, ("docs", "los", "grams", "lasts"))
+    content = np.frombuffer(b"".join(x.as_py() for x in table.column("content")), np.uint8)
+    out = repeated(*columns, content)
+    return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "lo", "hi"])
+
+
+def repeated_windows(held: DataFrame, n_phrases: int) -> DataFrame:
+    """(doc_id, lo, hi): runs of window starts of held (doc_id, text, marks) that the suffix arrays find to repeat."""
+    bits = max(LEAST_BITS, (n_phrases // BUCKET_SORTED).bit_length())
 
     def run(batches):
-        rows, size = [], 0
+        entries, size = [], 0
         for batch in batches:
+            own = batch.column(2)
+            ends = own.offsets.to_numpy()
+            ends = ends - ends[0]
+            lo, hi, gram, key, kind = (own.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("lo", "hi", "gram", "key", "kind"))
             for i in range(batch.num_rows):
-                runs = [(r["lo"], r["hi"]) for r in batch.column(2)[i].as_py()]
-                rows.append((batch.column(0)[i].as_py(), batch.column(1)[i].as_py().encode(), runs))
-                size += len(rows[-1][1]) + 20 * sum(b - a + 1 for a, b in runs)
-                if size > SLICE_WINDOWS:
-                    yield from _first_windows(rows, bits)
-                    rows, size = [], 0
-        yield from _first_windows(rows, bits)
-
-    dealt = held.filter(F.size("checks") > 0).select("doc_id", "text", "checks").mapInArrow(run, WINDOW_COLUMNS)
-    return dealt.groupBy("bucket").applyInArrow(_resolve_windows, "doc_id long, places array<int>")
-
-
-def removed_runs(repeat: list[dict], places: list[int], size: int) -> list[tuple[int, int]]:
-    """Maximal runs of bytes that repeated windows cover."""
-    spans = sorted([(r["lo"], min(size, r["hi"] + WINDOW)) for r in repeat if r["lo"] < size] + [(a, a + WINDOW) for a in places if a + WINDOW <= size])
+                pick = ends[i] + np.flatnonzero(kind[ends[i] : ends[i + 1]] != REPEAT)
+                if not len(pick):
+                    continue
+                doc, data = batch.column(0)[i].as_py(), batch.column(1)[i].as_py().encode()
+                for a, b, g, k, hot in zip(lo[pick].tolist(), hi[pick].tolist(), gram[pick].tolist(), key[pick].tolist(), (kind[pick] == HOT).tolist()):
+                    if b + WINDOW > len(data):
+                        continue  # of another text with this id
+                    if hot:
+                        own_windows = [(data[s : s + WINDOW], s) for s in range(a, b + 1)]
+                        entries += [(zlib.crc32(w), doc, s, a + g - s, 0, w) for w, s in own_windows]
+                    else:
+                        entries.append((k, doc, a, g, b - a, data[a : b + WINDOW]))
+                    size += (b - a + 1) * WINDOW if hot else b - a + WINDOW
+                if size > SLICE_DEALT:
+                    yield from _dealt(entries, bits)
+                    entries, size = [], 0
+        yield from _dealt(entries, bits)
+
+    dealt = held.select("doc_id", "text", "marks").mapInArrow(run, DICTIONARY)
+    return dealt.groupBy("bucket").applyInArrow(_sorted, "doc_id long, lo int, hi int")
+
+
+def removed_runs(starts: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
+    """Maximal runs of bytes that windows cover, of their runs of starts (lo, hi)."""
     out: list[list[int]] = []
-    for a, b in spans:
-        if out and a <= out[-1][1]:
+    for lo, hi in sorted(starts):
+        b = min(size, hi + WINDOW)
+        if lo >= size:
+            continue
+        if out and lo <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
-            out.append([a, b])
+            out.append([lo, b])
     return [(a, b) for a, b in out]
 
 
+_CUT = pa.schema([("doc_id", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("kept", pa.binary())])
+
+
 def _cut(batches):
     """(doc_id, spans, kept) of (doc_id, text, repeats, places)."""
+    rows, held = [], 0
     for batch in batches:
-        for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
-            data, at, parts = row["text"].encode(), 0, []
-            spans = removed_runs(row["repeats"] or [], row["places"] or [], len(data))
+        for i in range(batch.num_rows):
+            doc, text, *runs = (batch.column(c)[i].as_py() for c in range(4))
+            data, at, parts = text.encode(), 0, []
+            spans = removed_runs([(r["lo"], r["hi"]) for part in runs for r in part or []], len(data))
             for a, b in spans:
                 parts.append(data[at:a])
                 at = b
-            kept = b"".join([*parts, data[at:]])
-            yield pa.RecordBatch.from_arrays([pa.array([row["doc_id"]], pa.int64()), pa.array([[{"start": a, "end": b} for a, b in spans]], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array([kept], pa.binary())], names=["doc_id", "spans", "kept"])
+            rows.append({"doc_id": doc, "spans": [{"start": a, "end": b} for a, b in spans], "kept": b"".join([*parts, data[at:]])})
+            held += len(data)
+            if held > SLICE_CUT:
+                yield pa.RecordBatch.from_pylist(rows, _CUT)
+                rows, held = [], 0
+    yield pa.RecordBatch.from_pylist(rows, _CUT)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT_PHRASES) -> DataFrame:
     """One row per document with repeats: doc_id, spans array<struct<start, end>>, kept binary.
 
     A byte goes if a WINDOW-byte string covers it that also starts earlier, in a
@@ -334,13 +436,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = common.id_and_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    marks = common.saved(repeats(rows, total), "marks")
-    run = F.struct("lo", "hi")
-    own = marks.groupBy("doc_id").agg(F.collect_list(F.when(F.col("kind") == REPEAT, run)).alias("repeats"), F.collect_list(F.when(F.col("kind") == CHECK, run)).alias("checks"))
+    found = common.saved(marks(rows, total, hot), "marks")
+    own = found.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi", "gram", "key", "kind")).alias("marks"))
     held = common.saved(rows.join(own, "doc_id"), "held")
-    n_windows = marks.filter(F.col("kind") == CHECK).agg(F.sum(F.col("hi") - F.col("lo") + F.lit(1).cast("long"))).first()[0] or 0
-    places = repeated_windows(held, n_windows).groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias("places"))
-    cut = held.join(places, "doc_id", "left").select("doc_id", "text", "repeats", "places")
+    n = found.filter(F.col("kind") != REPEAT).count()
+    places = repeated_windows(held, n).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("places"))
+    repeats = F.filter("marks", lambda m: m["kind"] == REPEAT)
+    cut = held.join(places, "doc_id", "left").select("doc_id", "text", repeats.alias("repeats"), "places")
     return cut.mapInArrow(_cut, "doc_id long, spans array<struct<start:int,end:int>>, kept binary")
 
 
