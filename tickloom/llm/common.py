@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The white space of every contract: space, and tab to carriage return.
@@ -24,11 +24,14 @@ _shipped: set[str] = set()
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see.
 
-    The cluster names it in spark.checkpoint.dir; only where that is unset, as
-    in local tests, one temporary folder per session is made and set.
+    The cluster names it in spark.checkpoint.dir. Only where that is unset and
+    the master is local, as in tests, a temporary folder is made and set; on a
+    cluster a folder of this machine would be wrong, so that raises.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         found = "file://" + tempfile.mkdtemp(prefix="tickloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -43,7 +46,49 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tickloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables made by saved() that no later plan reads; others are left alone."""
+    for df in tables:
+        if path := getattr(df, "_saved_at", None):
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def numbered(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """rows (doc_id, text) with key, a long that is unique and ascends with doc_id; whether it is the id itself.
+
+    It is where ids are integers, never null and unique. Else rows are sorted by
+    id (nulls last) and text hash and numbered in a saved table, so that every
+    row is a document of its own; of wholly equal rows it doesn't matter which
+    comes first.
+    """
+    if dict(rows.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint"):
+        n, different = rows.agg(F.count("*"), F.count_distinct("doc_id")).first()
+        if n == different:
+            return rows.withColumn("key", F.col("doc_id").cast("long")), True
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
+    return saved(rows.orderBy(*order).withColumn("key", F.monotonically_increasing_id()), "numbered"), False
+
+
+def picked(docs: DataFrame, id_col: str, of: Column, kept: DataFrame) -> DataFrame:
+    """n of the rows of docs with each (id, of) of kept (id, of, n, rows), with the columns of docs.
+
+    rows is how many there are; only where some but not all of them stay are they counted out.
+    """
+    own = [F.col(c).alias(f"own_{i}") for i, c in enumerate(docs.columns)]
+    all_rows = docs.select(*own, F.col(id_col).alias("__id"), of.alias("__of"))
+    on = F.col("__id").eqNullSafe(F.col("id")) & (F.col("__of") == F.col("of"))
+    if kept.filter("n < rows").isEmpty():
+        out = all_rows.join(kept.select("id", "of"), on, "left_semi")
+    else:
+        turn = Window.partitionBy("__id", "__of").orderBy(F.lit(0))
+        out = all_rows.withColumn("__turn", F.row_number().over(turn)).join(kept, on).filter("__turn <= n")
+    return out.select(*[F.col(f"own_{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def ship(spark: SparkSession) -> None:
