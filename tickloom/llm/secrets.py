@@ -6,13 +6,14 @@ every text is scored, and the tags are those of Viterbi over the whole text (see
 Decoder, which looks at a word once and leaves out only what can't matter).
 
 The field is trained on a bounded sample of rows (SAMPLE_ROWS), labelled by the
-base patterns; those patterns' own spans are always reported, and the field adds
-the secrets that it finds elsewhere.
+base patterns, and on MADE_RUNS runs written here: random keys of many kinds in
+the places where people leave them, among the words of the sample, and look-alikes
+that are no secrets. So it doesn't learn the base patterns only. Those patterns'
+own spans are always reported, and the field adds the secrets found elsewhere.
 """
 
 from __future__ import annotations
 
-import math
 import re
 
 import numpy as np
@@ -25,7 +26,11 @@ from .pii import digest
 KINDS = ("assign", "access", "hex")
 #: Rows, at most, whose base spans label the training runs; runs, and tokens of a run.
 SAMPLE_ROWS, SAMPLE_RUNS, RUN_TOKENS = 4000, 3000, 48
+#: Runs with made keys and look-alikes that are trained on as well.
+MADE_RUNS = 1500
 EPOCHS, RATE, L2 = 8, 0.3, 1e-3
+#: Runs of a step of training, and steps at least.
+BATCH, STEPS = 32, 1500
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -79,7 +84,35 @@ def shape(token: str) -> list[str]:
     else:
         kind = "other"
     size = next(i for i, most in enumerate((0, 3, 7, 11, 15, 19, 27, 35, 1 << 60)) if n <= most)
-    return [f"s{kind}", f"l{size}", f"s{kind}l{size}", f"d{digits * 4 // max(n, 1)}", "q" if token[:1] in "\"'" else "-q", "k" if _KEY.search(core) else "-k", "=" if "=" in core[:-1] or ":" in core[:-1] else "-="]
+    value = _value(core)
+    turns = min(6, _turns(value))
+    mixture = f"m{_size(len(value))}t{turns}"
+    vowels = sum(c in "aeiouyAEIOUY" for c in value) * 8 // max(1, len(value))
+    return [f"s{kind}", f"l{size}", f"s{kind}l{size}", f"d{digits * 4 // max(n, 1)}", "q" if token[:1] in "\"'" else "-q", "k" if _KEY.search(core) else "-k", "=" if "=" in core[:-1] or ":" in core[:-1] else "-=",
+            mixture, f"v{min(4, vowels)}", f"{mixture}v{min(4, vowels)}", "web" if "://" in core or "@" in core or core[:1] == "/" or core.count("/") > 2 else "-web", "head" if _HEAD.match(value) else "-head"]
+
+
+_HEAD = re.compile(r"(?:[A-Za-z]{2,6}[_-](?:[a-z]{3,5}[_-])?|eyJ|AIza|SG\.)[A-Za-z0-9]{8}")
+
+
+def _value(core: str) -> str:
+    """What an assignment within a token assigns, else the token."""
+    at = max(core.rfind("=", 0, -2), core.rfind(":", 0, -2))
+    value = core[at + 1 :].strip(_TRIM)
+    return value if at > 0 and len(value) >= 12 and "//" not in value else core
+
+
+def _size(n: int) -> int:
+    return next(i for i, most in enumerate((7, 11, 15, 19, 27, 35, 1 << 60)) if n <= most)
+
+
+def _turns(value: str) -> int:
+    """How often the kind of character changes, but for a capital that begins a word."""
+    kinds = "".join("d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else "." for c in value)
+    return len(_TURN.findall(kinds))
+
+
+_TURN = re.compile(r"d(?=[ul])|[ul](?=d)|u(?=ul)|l(?=u[^l]|uu)|l(?=ul{1,2}[ud])")
 
 
 def _beside(token: str) -> str:
@@ -143,48 +176,69 @@ class Field:
 NEVER = -1e6
 
 
-def train(data: list[list[tuple[int, list[str]]]], epochs: int = EPOCHS) -> Field:
-    """Fit a field to runs of (tag, features) by AdaGrad on the log likelihood."""
-    weights: dict[str, list[float]] = {}
-    pairs = [[0.0, 0.0, NEVER], [0.0, 0.0, 0.0], [0.0, 0.0, 0.0]]
-    size: dict = {}
-    field = Field(weights, pairs)
-
-    def lse(xs):
-        m = max(xs)
-        return m + math.log(sum(math.exp(x - m) for x in xs))
-
-    def step(row, at, key, g):
-        h = size[key] = size.get(key, 1e-8) + g * g
-        row[at] += RATE * g / math.sqrt(h)
-
-    for _ in range(epochs):
-        for run in data:
-            feats, tags = [f for _, f in run], [t for t, _ in run]
-            rows, n = field.scores(feats), len(run)
-            ahead = [[pairs[0][t] + rows[0][t] for t in range(3)]]
-            for i in range(1, n):
-                ahead.append([lse([ahead[-1][s] + pairs[s][t] for s in range(3)]) + rows[i][t] for t in range(3)])
-            after = [[pairs[t][0] for t in range(3)]]
-            for i in range(n - 1, 0, -1):
-                after.insert(0, [lse([pairs[t][u] + rows[i][u] + after[0][u] for u in range(3)]) for t in range(3)])
-            z = lse([ahead[-1][t] + pairs[t][0] for t in range(3)])
-            for i in range(n):
-                for t in range(3):
-                    g = (tags[i] == t) - math.exp(min(0.0, ahead[i][t] + after[i][t] - z))
-                    if abs(g) > 1e-3:
-                        for f in feats[i]:
-                            w = weights.setdefault(f, [0.0, 0.0, 0.0])
-                            step(w, t, (f, t), g - L2 * w[t])
-            path = [0, *tags, 0]
-            for i in range(1, n):
-                for s in range(3):
-                    for t in range(3):
-                        if pairs[s][t] > NEVER:
-                            g = (path[i] == s and path[i + 1] == t) - math.exp(min(0.0, ahead[i - 1][s] + pairs[s][t] + rows[i][t] + after[i][t] - z))
-                            if abs(g) > 1e-3:
-                                step(pairs[s], t, (s, t), g)
-    return field
+def train(data: list[list[tuple[int, list[str]]]], epochs: int = EPOCHS, steps: int = STEPS) -> Field:
+    """Fit a field to runs of (tag, features) by AdaGrad on the log likelihood.
+
+    Runs are taken BATCH at a time, epochs times over, and more often where that
+    makes fewer than `steps` steps.
+    """
+    data = [r for r in data if r]
+    number: dict[str, int] = {}
+    for run in data:
+        for _, fs in run:
+            for f in fs:
+                number.setdefault(f, len(number) + 1)  # 0 stands for no feature
+    batches = []
+    for at in range(0, len(data), BATCH):
+        some = data[at : at + BATCH]
+        n, width = max(map(len, some)), max(len(fs) for run in some for _, fs in run)
+        feats, tags, real = np.zeros((len(some), n, width), np.int32), np.zeros((len(some), n), np.int64), np.zeros((len(some), n), bool)
+        for i, run in enumerate(some):
+            for j, (tag, fs) in enumerate(run):
+                tags[i, j], real[i, j] = tag, True
+                feats[i, j, : len(fs)] = [number[f] for f in fs]
+        batches.append((feats, tags, real))
+    w, pairs = np.zeros((len(number) + 1, 3)), np.array([[0.0, 0.0, NEVER], [0.0, 0.0, 0.0], [0.0, 0.0, 0.0]])
+    w_size, pair_size = np.full_like(w, 1e-8), np.full_like(pairs, 1e-8)
+    for _ in range(max(epochs, -(-steps // max(1, len(batches))))):
+        for feats, tags, real in batches:
+            node, edge = _gradient(w[feats].sum(axis=2), pairs, tags, real)
+            g = np.stack([np.bincount(feats.ravel(), np.repeat(node[:, :, t].ravel(), feats.shape[2]), len(w)) for t in range(3)], axis=1)
+            g -= L2 * w
+            g[0] = 0.0
+            edge[pairs == NEVER] = 0.0
+            w_size += g * g
+            pair_size += edge * edge
+            w += RATE * g / np.sqrt(w_size)
+            pairs += RATE * edge / np.sqrt(pair_size)
+    return Field({f: w[i].tolist() for f, i in number.items()}, pairs.tolist())
+
+
+def _gradient(rows: np.ndarray, pairs: np.ndarray, tags: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the log likelihood of runs (scores by run, token, tag): by token and tag, and by pair of tags, the ends being O."""
+    many, n, _ = rows.shape
+    lse = lambda x, axis: (m := x.max(axis=axis)) + np.log(np.exp(x - np.expand_dims(m, axis)).sum(axis=axis))
+    ends = real.sum(axis=1) - 1
+    ahead, after = np.zeros_like(rows), np.zeros_like(rows)
+    ahead[:, 0] = pairs[0] + rows[:, 0]
+    for i in range(1, n):
+        ahead[:, i] = lse(ahead[:, i - 1, :, None] + pairs, 1) + rows[:, i]
+    after[:, n - 1] = pairs[:, 0]
+    for i in range(n - 2, -1, -1):
+        after[:, i] = np.where((i >= ends)[:, None], pairs[:, 0], lse(pairs + (rows[:, i + 1] + after[:, i + 1])[:, None, :], 2))
+    z = lse(ahead[np.arange(many), ends] + pairs[:, 0], 1)
+    p = np.exp(np.minimum(0.0, ahead + after - z[:, None, None]))
+    node = (np.eye(3)[tags] - p) * real[:, :, None]
+    inner = real[:, 1:]
+    between = np.exp(np.minimum(0.0, ahead[:, :-1, :, None] + pairs + (rows[:, 1:] + after[:, 1:])[:, :, None, :] - z[:, None, None, None]))
+    seen = np.zeros((3, 3))
+    np.add.at(seen, (tags[:, :-1][inner], tags[:, 1:][inner]), 1.0)
+    np.add.at(seen, (np.zeros(many, int), tags[:, 0]), 1.0)
+    np.add.at(seen, (tags[np.arange(many), ends], np.zeros(many, int)), 1.0)
+    edge = seen - (between * inner[:, :, None, None]).sum(axis=(0, 1))
+    edge[0] -= p[:, 0].sum(axis=0)
+    edge[:, 0] -= p[np.arange(many), ends].sum(axis=0)
+    return node, edge
 
 
 def labelled_runs(text: str) -> list[str]:
@@ -217,20 +271,102 @@ def labelled_runs(text: str) -> list[str]:
     return out
 
 
+def made_runs(words: list[str], n: int = MADE_RUNS, seed: int = 7) -> list[str]:
+    """Training runs as of labelled_runs: a made key, or a look-alike, among plain words."""
+    import random
+
+    rng = random.Random(seed)
+    letters, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    alphabets = (letters + letters.upper() + digits, letters + letters.upper() + digits, letters + digits, letters.upper() + digits, letters + letters.upper(), letters + letters.upper() + digits + "+/", letters + letters.upper() + digits + "-_")
+    names = ("key", "api key", "access key", "secret key", "client_secret", "credential", "credentials", "pwd", "pass", "passphrase", "auth", "authorization", "bearer", "private key", "signing key", "token", "password", "access_token", "conn", "login", "license key", "session", "webhook", "encryption_key", "db_pass", "app.secret")
+    plain = [w for w in words if w.isalpha()] or ["the", "house", "river", "people"]
+
+    def text(k: int) -> list[str]:
+        return [rng.choice(plain) for _ in range(k)]
+
+    def run_of(alphabet: str, low: int, high: int) -> str:
+        return "".join(rng.choice(alphabet) for _ in range(rng.randint(low, high)))
+
+    def key() -> str:
+        kind = rng.random()
+        body = run_of(rng.choice(alphabets), 16, 48)
+        if kind < 0.3:
+            return run_of(letters, 2, 5) + rng.choice("_-") + (run_of(letters, 3, 4) + rng.choice("_-") if rng.random() < 0.4 else "") + body
+        if kind < 0.4:
+            return "eyJ" + body + "." + run_of(alphabets[0], 16, 40) + "." + run_of(alphabets[6], 16, 30)
+        return body + ("=" * rng.randint(1, 2) if kind > 0.9 else "")
+
+    def like() -> str:
+        """A long token that is no key."""
+        w = rng.choice
+        kind = rng.randrange(10)
+        if kind == 0:
+            return "https://" + ".".join(text(2)) + "/" + "/".join(text(3)).lower()
+        if kind == 1:
+            return "".join(x.capitalize() for x in text(rng.randint(3, 5)))
+        if kind == 2:
+            return "_".join(text(rng.randint(3, 5))).lower()
+        if kind == 3:
+            return "-".join(text(rng.randint(2, 5)))
+        if kind == 4:
+            return f"{rng.randint(1990, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}T{rng.randint(10, 23)}:{rng.randint(10, 59)}:00Z"
+        if kind == 5:
+            return f"{w(plain)}.{w(plain)}@{w(plain)}.com".lower()
+        if kind == 6:
+            return "".join(text(3)).lower()
+        if kind == 7:
+            return run_of(digits, 8, 20)
+        if kind == 8:
+            return "-".join(run_of(digits + "abcdef", k, k) for k in (8, 4, 4, 4, 12))
+        return f"{w(plain)}={rng.randint(0, 99999)}"
+
+    out = []
+    for _ in range(n):
+        before, after = text(rng.randint(0, 14)), text(rng.randint(0, 14))
+        if rng.random() < 0.45:
+            tokens = [*before, like(), *text(rng.randint(0, 5)), *([rng.choice(names)] if rng.random() < 0.4 else []), *text(rng.randint(1, 3)), like(), *after]
+            tokens = [t for x in tokens for t in x.split(" ")]
+            tags = [0] * len(tokens)
+        else:
+            name, value = rng.choice(names), key()
+            name = rng.choice((name, name.upper(), name.title(), name.replace(" ", "_"), name.replace("_", "-")))
+            quote = rng.choice(("", "", "'", '"'))
+            value = quote + value + quote + rng.choice(("", "", "", ",", ";", "."))
+            form = rng.randrange(7)
+            joined = name.replace(" ", "_")
+            middle = [[*name.split(" "), value], [*name.split(" "), "=", value], [f"{joined}={value}"], [*f"{name}:".split(" "), value], [f'"{joined}":', value], ["-H", "'Authorization:", "Bearer", value], [value]][form]
+            tokens = [*before, *middle, *after]
+            at = len(before) + len(middle) - 1
+            tags = [int(i == at) for i in range(len(tokens))]
+        file = [rng.choice(("f=0", "f=1", "f=2", "f=3")), rng.choice(("fcode", "ftext"))]
+        out.append("\n".join(f"{t} {' '.join(f)}" for t, f in zip(tags, features(tokens, file))))
+    return out
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Field:
-    """A field trained on the SAMPLE_ROWS rows of docs with the smallest hashed ids."""
+    """A field trained on the SAMPLE_ROWS rows of docs with the smallest hashed ids, and on made runs.
+
+    Null ids are not sampled; without any row the field is trained on the made
+    runs alone. The order of training depends on the ids only, of whatever type.
+    """
     ids = [r[0] for r in docs.select(F.col(id_col).alias("i")).filter("i IS NOT NULL").orderBy(F.xxhash64("i"), "i").limit(SAMPLE_ROWS).collect()]
-    spark = docs.sparkSession
-    if not ids:
-        return Field({}, [[0.0, 0.0, NEVER], [0.0, 0.0, 0.0], [0.0, 0.0, 0.0]])
-    sample = spark.createDataFrame([(i,) for i in ids], f"i {dict(docs.dtypes)[id_col]}").distinct()
-    rows = common.id_and_text(docs, id_col, text_col).join(F.broadcast(sample), F.col("doc_id") == F.col("i"), "left_semi")
-    found = common.map_texts(rows, lambda: lambda texts: [(labelled_runs(t),) for t in texts], "runs array<string>")
-    picked = found.select("doc_id", F.posexplode("runs").alias("at", "run")).withColumn("is_secret", F.expr("run rlike '(^|\n)1 '"))
-    # All runs with a secret come first, then others by a hash of their place.
-    picked = picked.orderBy(F.desc("is_secret"), F.xxhash64("doc_id", "at"), "doc_id", "at").limit(SAMPLE_RUNS).collect()
-    picked.sort(key=lambda r: hash((r.doc_id, r.at)))
-    return train([[(int(x[0]), x[2:].split(" ")) for x in r.run.split("\n")] for r in picked])
+    spark, runs, words = docs.sparkSession, [], []
+    if ids:
+        sample = spark.createDataFrame([(i,) for i in ids], f"i {dict(docs.dtypes)[id_col]}").distinct()
+        rows = common.id_and_text(docs, id_col, text_col).join(F.broadcast(sample), F.col("doc_id") == F.col("i"), "left_semi")
+        found = common.map_texts(rows, lambda: lambda texts: [(labelled_runs(t), _TOKEN.findall(t[:400])[:8]) for t in texts], "runs array<string>, words array<string>")
+        found = common.saved(found, "labelled")
+        picked = found.select("doc_id", F.posexplode("runs").alias("at", "run")).withColumn("is_secret", F.expr("run rlike '(^|\n)1 '"))
+        # All runs with a secret come first, then others by a hash of their place.
+        order = F.xxhash64("doc_id", "at")
+        picked = picked.withColumn("turn", order).orderBy(F.desc("is_secret"), "turn", "doc_id", "at").limit(SAMPLE_RUNS).collect()
+        runs = [r.run for r in sorted(picked, key=lambda r: (r.turn, r.at))]
+        words = [r.w for r in found.select(F.explode("words").alias("w")).filter("length(w) BETWEEN 2 AND 14").distinct().orderBy(F.xxhash64("w"), "w").limit(2000).collect()]
+        common.discard(found)
+    made = made_runs(words)
+    step = max(1, len(runs) // max(1, len(made)))
+    both = [x for i, m in enumerate(made) for x in (*runs[i * step : (i + 1) * step], m)] + runs[len(made) * step :]
+    return train([[(int(x[0]), x[2:].split(" ")) for x in run.split("\n")] for run in both])
 
 
 class Decoder:
@@ -334,6 +470,8 @@ class Decoder:
             core = text[a:b]
             a += len(core) - len(core.lstrip(_TRIM + "."))
             b -= len(core) - len(core.rstrip(_TRIM + "."))
+            if a < b and i == k:
+                a += text[a:b].find(_value(text[a:b]))
             if a < b:
                 out.append((a, b))
         return out
@@ -372,4 +510,5 @@ def scan(docs: DataFrame, field: Field | None = None, id_col: str = "doc_id", te
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
+    """The contract's columns over all documents."""
     return scan(common.documents(spark, sf_dir)).select("doc_id", *digest("spans", KINDS))
