@@ -43,6 +43,17 @@ def byte_chars() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def checked(j: dict) -> dict:
+    """The content of a vocabulary file; raises where it isn't plain byte-level BPE, whose splits PATTERN makes."""
+    model, pre = j["model"], j.get("pre_tokenizer") or {}
+    plain = model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if not plain or j.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+        raise ValueError("the vocabulary isn't byte-level BPE without normalizer, added prefix or other pre-tokenizer")
+    if any(t.get(k) for t in j["added_tokens"] for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens that match whole words only, or take white space along, aren't supported")
+    return j
+
+
 class Recent(dict):
     """A dict that forgets keys not asked for while KNOWN_WORDS / 2 others were."""
 
@@ -65,7 +76,7 @@ class Decoder:
     """Decoder of one vocabulary file of the byte-level BPE kind."""
 
     def __init__(self, spec: str):
-        self.read(json.loads(spec))
+        self.read(checked(json.loads(spec)))
 
     def read(self, j: dict) -> dict[bytes, int]:
         of = byte_chars()
@@ -84,7 +95,7 @@ class Codec(Decoder):
     def __init__(self, spec: str):
         import regex
 
-        j = json.loads(spec)
+        j = checked(json.loads(spec))
         self.vocab = self.read(j)
         of = byte_chars()
         raw = lambda s: bytes(of[c] for c in s)
@@ -285,9 +296,13 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     vocabulary: path, on the driver, of a byte-level BPE file; its fixed content
     (a few MB) is broadcast. Special tokens written in a text become their ids.
     Null and empty texts give an empty array; other columns are dropped; no
-    shuffle. Texts are encoded whole, a long one in slices of words.
+    shuffle. Texts are encoded whole, a long one in slices of words. Repeated
+    rows and null ids are encoded like others; an empty table gives an empty
+    table. A file of another kind (with a normalizer, say) raises.
     """
-    spec = docs.sparkSession.sparkContext.broadcast(Path(vocabulary or default_vocabulary()).read_text())
+    content = Path(vocabulary or default_vocabulary()).read_text()
+    checked(json.loads(content))
+    spec = docs.sparkSession.sparkContext.broadcast(content)
 
     def make():
         codec = _codec(spec.value)
@@ -321,11 +336,15 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of encoding and decoding each text."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of encoding and decoding each text, one row per input row.
+
+    A null or empty text has 0 tokens and the hashes of nothing; all else as in encode.
+    """
     both = decode(encode(docs, vocabulary=vocabulary), vocabulary)
     ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
+    """The contract's columns over all documents."""
     return round_trip(common.documents(spark, sf_dir))

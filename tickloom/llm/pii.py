@@ -32,7 +32,6 @@ SCORES = {
 }
 SPANS = "array<struct<kind:string,start:int,end:int,score:double>>"
 
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"[0-9](?<![0-9][0-9])[0-9]*+(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
@@ -170,4 +169,6 @@ def digest(spans, kinds) -> list:
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
-    return find_pii(common.documents(spark, sf_dir)).select("doc_id", *digest("spans", BASE_KINDS))
+    """The contract's columns over all documents, and the spans' scores in the order of spans."""
+    scores = F.concat_ws(",", F.transform("spans", lambda s: F.format_number(s["score"], 2)))
+    return find_pii(common.documents(spark, sf_dir)).select("doc_id", *digest("spans", BASE_KINDS), scores.alias("scores"))

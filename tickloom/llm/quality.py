@@ -93,22 +93,21 @@ def quality(docs: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame:
     base_failed: fewer than 50 words, or over half of the words in repeated
     windows of three. kept: not base_failed, and all rules hold. Null and empty
     texts fail; repeated rows are judged alike; an empty table stays empty.
+
+    The optimizer would push a filter on the result below the projections and so
+    write their arrays out again inside each lambda, at a quadratic cost. A row
+    number that both columns read keeps filters above the statistics.
     """
-    df = statistics(docs, text_col)
+    df = statistics(docs, text_col).withColumn("__row", F.monotonically_increasing_id())
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return df.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & verdict(rules))
+    here = F.col("__row") >= 0
+    return df.withColumn("base_failed", failed & here).withColumn("kept", ~F.col("base_failed") & verdict(rules) & here).drop("__row")
 
 
 def kept_rows(docs: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame:
-    """The rows of docs that every rule keeps, with their own columns only.
-
-    The optimizer would push a plain filter below the projections and so write
-    their arrays out again inside each lambda, at a quadratic cost. A row number
-    in the condition keeps the filter where it is.
-    """
+    """The rows of docs that every rule keeps, with their own columns only; repeated rows all stay."""
     own = [F.col(c).alias(f"own_{i}") for i, c in enumerate(docs.columns)]
-    df = quality(docs.select(*own, F.col(text_col).alias("__of")), "__of", rules)
-    df = df.withColumn("__row", F.monotonically_increasing_id()).filter("kept AND __row >= 0")
+    df = quality(docs.select(*own, F.col(text_col).alias("__of")), "__of", rules).filter("kept")
     return df.select(*[F.col(f"own_{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
@@ -116,6 +115,7 @@ COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_rep
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
+    """The contract's columns over all documents."""
     return quality(common.documents(spark, sf_dir).select("doc_id", "text")).select(*COLUMNS)
 
 

@@ -24,4 +24,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": exact_dedup.SQL,
         "op3_quality_rules": quality.sql(),
+        "op8_ngram_join": near_dup.SQL,
+        "op10_substring_dedup": substring_dedup.SQL,
     }

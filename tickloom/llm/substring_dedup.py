@@ -276,8 +276,8 @@ def marks(rows: DataFrame, total_bytes: int, hot: int = HOT_PHRASES) -> DataFram
                     held, size = [], 0
         yield from _local(held, bits)
 
-    dealt = rows.filter("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, COLUMNS)
-    return dealt.groupBy("bucket").applyInArrow(_resolver(hot), MARKS)
+    dealt = rows.select("doc_id", "text").mapInArrow(run, COLUMNS)
+    return dealt.repartition(1 << bits - 2, "bucket").groupBy("bucket").applyInArrow(_resolver(hot), MARKS)  # tasks grow in number, not in size
 
 
 DICTIONARY = "bucket int, docs array<long>, los array<int>, grams array<byte>, lasts array<byte>, content binary"
@@ -372,8 +372,6 @@ def repeated_windows(held: DataFrame, n_phrases: int) -> DataFrame:
                     continue
                 doc, data = batch.column(0)[i].as_py(), batch.column(1)[i].as_py().encode()
                 for a, b, g, k, hot in zip(lo[pick].tolist(), hi[pick].tolist(), gram[pick].tolist(), key[pick].tolist(), (kind[pick] == HOT).tolist()):
-                    if b + WINDOW > len(data):
-                        continue  # of another text with this id
                     if hot:
                         own_windows = [(data[s : s + WINDOW], s) for s in range(a, b + 1)]
                         entries += [(zlib.crc32(w), doc, s, a + g - s, 0, w) for w, s in own_windows]
@@ -386,7 +384,7 @@ def repeated_windows(held: DataFrame, n_phrases: int) -> DataFrame:
         yield from _dealt(entries, bits)
 
     dealt = held.select("doc_id", "text", "marks").mapInArrow(run, DICTIONARY)
-    return dealt.groupBy("bucket").applyInArrow(_sorted, "doc_id long, lo int, hi int")
+    return dealt.repartition(1 << bits - 2, "bucket").groupBy("bucket").applyInArrow(_sorted, "doc_id long, lo int, hi int")
 
 
 def removed_runs(starts: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
@@ -425,37 +423,62 @@ def _cut(batches):
     yield pa.RecordBatch.from_pylist(rows, _CUT)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT_PHRASES) -> DataFrame:
-    """One row per document with repeats: doc_id, spans array<struct<start, end>>, kept binary.
-
-    A byte goes if a WINDOW-byte string covers it that also starts earlier, in a
-    document of smaller id or ahead in the same one. Offsets are bytes of the
-    UTF-8 text. Null and short texts have no such string. Ids are integers; rows
-    with a null id, and repeated rows of one id among themselves, are left as
-    they are (rows of one id and different texts share their cuts).
-    """
-    rows = common.id_and_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+def _cuts(rows: DataFrame, hot: int = HOT_PHRASES) -> DataFrame:
+    """(doc_id, spans, kept) of the documents of (doc_id, text) with repeats; doc_id unique longs in corpus order."""
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     found = common.saved(marks(rows, total, hot), "marks")
     own = found.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi", "gram", "key", "kind")).alias("marks"))
     held = common.saved(rows.join(own, "doc_id"), "held")
     n = found.filter(F.col("kind") != REPEAT).count()
+    common.discard(found)
     places = repeated_windows(held, n).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("places"))
     repeats = F.filter("marks", lambda m: m["kind"] == REPEAT)
     cut = held.join(places, "doc_id", "left").select("doc_id", "text", repeats.alias("repeats"), "places")
     return cut.mapInArrow(_cut, "doc_id long, spans array<struct<start:int,end:int>>, kept binary")
 
 
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT_PHRASES) -> DataFrame:
+    """One row per document with repeats: doc_id, spans array<struct<start, end>>, kept binary.
+
+    A byte goes if a WINDOW-byte string covers it that also starts earlier, in a
+    document of smaller id or ahead in the same one. Offsets are bytes of the
+    UTF-8 text. Null and short texts have no such string. Every row is a
+    document: null ids come last, and rows of one id follow in the order of
+    their texts' hash, so all copies of a row but one go wholly. An empty table
+    gives an empty table.
+    """
+    rows, same = common.numbered(common.id_and_text(docs, id_col, text_col))
+    cut = _cuts(rows.select(F.col("key").alias("doc_id"), "text"), hot)
+    return cut if same else cut.withColumnRenamed("doc_id", "key").join(rows.select("key", "doc_id"), "key").select("doc_id", "spans", "kept")
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    text = common.text_or_empty(text_col)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("__whole"))
-    cut = remove_repeats(docs, id_col, text_col)
-    cut = cut.select("doc_id", F.size("spans").cast("long").alias("n_spans"), F.octet_length("kept").cast("long").alias("__kept"), F.sha2("kept", 256).alias("__sha"))
-    cut = cut.groupBy("doc_id").agg(*[F.first(c).alias(c) for c in ("n_spans", "__kept", "__sha")])
-    out = base.join(cut, "doc_id", "left")
+    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256; rows as in remove_repeats."""
+    rows, _ = common.numbered(common.id_and_text(docs, id_col, text_col))
+    text = F.col("text")
+    base = rows.select("key", "doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("__whole"))
+    cut = _cuts(rows.select(F.col("key").alias("doc_id"), "text"))
+    cut = cut.select(F.col("doc_id").alias("key"), F.size("spans").cast("long").alias("n_spans"), F.octet_length("kept").cast("long").alias("__kept"), F.sha2("kept", 256).alias("__sha"))
+    out = base.join(cut, "key", "left")
     return out.select("doc_id", "n_bytes", F.coalesce(F.col("n_bytes") - F.col("__kept"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("__sha", "__whole").alias("kept_sha256"))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
+    """The contract's columns over all documents."""
     return digests(common.documents(spark, sf_dir))
+
+
+#: DuckDB SQL of op10: every window, those that start later than the first of their kind, and the runs they cover.
+SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS t, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, unnest(range(0, n - 99)) AS s, unnest(list_transform(range(0, n - 99), lambda i: t[i + 1 : i + 100])) AS g FROM d WHERE n >= 100),
+f AS (SELECT g, min(struct_pack(d := doc_id, s := s)) AS first FROM w GROUP BY g HAVING count(*) > 1),
+r AS (SELECT w.doc_id, w.s FROM w JOIN f USING (g) WHERE struct_pack(d := w.doc_id, s := w.s) > f.first),
+i AS (SELECT doc_id, s, CASE WHEN s > lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 1 ELSE 0 END AS new FROM r),
+k AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS run FROM i),
+c AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS b FROM k GROUP BY doc_id, run),
+o AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS z FROM c),
+x AS (SELECT o.doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(hex(t[z + 1 : a]), '' ORDER BY a) AS kept, max(b) AS last FROM o JOIN d USING (doc_id) GROUP BY o.doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || hex(t[coalesce(last, 0) + 1 : n]))) AS kept_sha256
+FROM d LEFT JOIN x USING (doc_id)
+"""
