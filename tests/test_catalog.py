@@ -44,14 +44,14 @@ def test_gate(spark):
     rows = [("s", 1000, 1.0, 1, 1100, 4100, 10.0, 11.0, None), ("s", 2000, 1.0, 1, 2100, 5100, 10.0, 11.0, "thin_book"), ("s", 4000, 1.0, 1, 4100, 7100, 10.0, 11.0, "stale_book"), ("s", 4100, 1.0, 1, 4200, 7200, 10.0, 11.0, None)]
     df = spark.createDataFrame(rows, "symbol string, sig_t long, pred double, side int, entry_t long, exit_t long, in_px double, out_px double, reason string")
     got = [r.outcome for r in gate(df, ["symbol"]).orderBy("sig_t").collect()]
-    assert got == ["trade", "in_position", "stale_book", "trade"]
+    assert got == ["trade", "in_position", "in_position", "trade"]  # the signal at 4000 comes before the exit at 4100
 
 
 def _gate_loop(rows):
     """(key, sig, entry, exit, ok) in order of time: whether each is held."""
     free, out = {}, []
     for key, sig, entry, leave, ok in sorted(rows, key=lambda r: (r[0] or "", *r[1:4], not r[4])):
-        held = entry < free.get(key, -(2**62))
+        held = sig < free.get(key, -(2**62))
         if ok and not held:
             free[key] = leave
         out.append((key or "", sig, entry, leave, ok, held))
@@ -151,7 +151,7 @@ def _outcomes_loop():
                 continue
             a, z = t + 1000, t + 1000 + c.HORIZON
             i, j = (bisect.bisect_right(times, x) - 1 for x in (a, z))
-            if a < free:
+            if t < free:
                 outcome = "in_position"
             elif a - times[i] > c.HORIZON // 3 or z - times[j] > c.HORIZON // 3:
                 outcome = "stale_book"

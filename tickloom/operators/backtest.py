@@ -40,11 +40,12 @@ def feasibility(signals: DataFrame, book: DataFrame, keys: list[str], size: floa
 def gate(candidates: DataFrame, keys: list[str], bucket: int = GATE_BUCKET) -> DataFrame:
     """candidates with outcome: trade, in_position, or the reason of infeasibility.
 
-    In time order of a key: while a position is held, in_position; else the
-    signal's own reason, which doesn't block; else a trade, which holds to exit_t.
-    The fold is sequential over a key, a bucket of time at once (see gate_free).
+    In order of the signals' time in a key: a signal while a position is held (before
+    the last trade's exit_t) is in_position; else it has its own reason, which
+    doesn't block; else it is a trade, which holds to exit_t. The fold is
+    sequential over a key, a bucket of time at once (see gate_free).
     """
-    rows = candidates.withColumns({"__entry": F.col("entry_t"), "__exit": F.col("exit_t"), "__ok": F.col("reason").isNull(), "__why": F.coalesce("reason", F.lit(""))})
+    rows = candidates.withColumns({"__entry": F.col("sig_t"), "__exit": F.col("exit_t"), "__ok": F.col("reason").isNull(), "__why": F.coalesce("reason", F.lit(""))})
     gated = gate_free(rows, keys, ["sig_t", "entry_t", "exit_t", "__why", "pred", "side", "in_px", "out_px"], bucket)
     outcome = F.when(F.col("held"), "in_position").otherwise(F.coalesce("reason", F.lit("trade")))
     return gated.select(*keys, "sig_t", "entry_t", "exit_t", "pred", "side", "in_px", "out_px", outcome.alias("outcome"))
@@ -56,19 +57,40 @@ def trades_of(gated: DataFrame, taker_bps: float = 5.0) -> DataFrame:
     return gated.filter("outcome = 'trade'").withColumns({"gross_bps": gross, "fee_bps": F.lit(2 * taker_bps)}).withColumn("net_bps", F.col("gross_bps") - F.col("fee_bps"))
 
 
-def metrics(trades: DataFrame, keys: list[str]) -> DataFrame:
-    """Counts, means, hit rates, drawdown, holding time and Sharpe per key."""
-    w = Window.partitionBy(*keys).orderBy("entry_t")
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    d = trades.withColumn("__cum", F.sum("net_bps").over(run))
-    d = d.withColumn("__dd", F.greatest(F.max("__cum").over(run), F.lit(0.0)) - F.col("__cum"))
-    hours = (F.max("exit_t") - F.min("entry_t")) / 3_600_000
+def metrics(trades: DataFrame, keys: list[str], bucket: int = 86_400_000) -> DataFrame:
+    """Counts, means, hit rates, drawdown, holding time and Sharpe per key.
+
+    The span runs from the first trade's signal to the last one's exit, 1 ms at
+    least. A single trade has standard deviation and Sharpe ratio 0. The running
+    sum behind the drawdown starts at 0 and goes by buckets of time, whose totals
+    and peaks are a small table.
+    """
+    d = trades.withColumn("__b", F.floor(F.col("sig_t") / bucket).cast("long"))
+    run = Window.partitionBy(*keys, "__b").orderBy("sig_t", "exit_t").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("__cum", F.sum("net_bps").over(run))
+    d = d.withColumns({"__top": F.max("__cum").over(run)})
+    ahead = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    per = d.groupBy(*keys, "__b").agg(F.sum("net_bps").alias("__total"), F.max("__cum").alias("__peak"))
+    per = per.withColumn("__base", F.coalesce(F.sum("__total").over(ahead), F.lit(0.0)))
+    per = per.withColumn("__before", F.greatest(F.coalesce(F.max(F.col("__base") + F.col("__peak")).over(ahead), F.lit(0.0)), F.lit(0.0)))
+    d = d.join(per.select(*keys, "__b", "__base", "__before"), [*keys, "__b"])
+    d = d.withColumn("__dd", F.greatest(F.col("__base") + F.col("__top"), F.col("__before")) - F.col("__base") - F.col("__cum"))
+    hours = F.greatest(F.max("exit_t") - F.min("sig_t"), F.lit(1)) / 3_600_000
     out = d.groupBy(*keys).agg(
         F.count("*").alias("n"), F.count_if(F.col("side") > 0).alias("n_long"), F.count_if(F.col("side") < 0).alias("n_short"),
-        F.avg("gross_bps").alias("gross_mean"), F.avg("net_bps").alias("net_mean"), F.sum("net_bps").alias("net_total"), F.stddev_samp("net_bps").alias("net_std"),
+        F.avg("gross_bps").alias("gross_mean"), F.avg("net_bps").alias("net_mean"), F.sum("net_bps").alias("net_total"), F.coalesce(F.stddev_samp("net_bps"), F.lit(0.0)).alias("net_std"),
         F.avg((F.col("gross_bps") > 0).cast("double")).alias("hit_gross"), F.avg((F.col("net_bps") > 0).cast("double")).alias("hit_net"),
         F.max("__dd").alias("max_drawdown"), F.avg((F.col("exit_t") - F.col("entry_t")) / 1000).alias("hold_s"), hours.alias("span_h"),
     )
-    per_day = F.try_divide(F.col("n") * 24, F.col("span_h"))
+    per_day = F.col("n") * 24 / F.col("span_h")
     sharpe = F.when(F.col("net_std") > 0, F.col("net_mean") / F.col("net_std")).otherwise(0.0)
     return out.withColumns({"trades_per_day": per_day, "sharpe": sharpe}).withColumn("sharpe_annual", F.col("sharpe") * F.sqrt(F.col("trades_per_day") * 365))
+
+
+def costs(trades: DataFrame, keys: list[str], taker_bps: float = 5.0, maker_bps: float = 2.0) -> DataFrame:
+    """Per key: mean gross return, and net of a round trip as taker and as maker.
+
+    The maker's figure is an upper bound: queues and orders that don't fill aren't simulated.
+    """
+    g = F.avg("gross_bps")
+    return trades.groupBy(*keys).agg(F.count("*").alias("n"), g.alias("gross_mean"), (g - 2 * taker_bps).alias("net_taker"), (g - 2 * maker_bps).alias("net_maker"), F.avg((F.col("gross_bps") > 2 * maker_bps).cast("double")).alias("hit_maker"))

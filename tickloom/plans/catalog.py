@@ -102,10 +102,11 @@ def a3(spark, d):
     return stats.gap_summary(_trades(spark, d), SYM, "t_ms", GAP).withColumn("span_s", F.round("span_s", 6))
 
 
-@query("a12_hourly_counts", f"WITH {T} SELECT h AS hour, coalesce(n, 0) AS n FROM range(24) r(h) LEFT JOIN (SELECT (t_ms // {HOUR}) % 24 AS hh, count(*) AS n FROM t WHERE symbol = 'click' GROUP BY 1) ON h = hh")
+@query("a12_hourly_counts", f"WITH {T}, c AS (SELECT symbol, (t_ms // {HOUR}) % 24 AS hh, count(*) AS n FROM t GROUP BY ALL) SELECT s.symbol, h AS hour, coalesce(n, 0) AS n FROM (SELECT DISTINCT symbol FROM t) s CROSS JOIN range(24) r(h) LEFT JOIN c ON c.symbol = s.symbol AND h = hh")
 def a12(spark, d):
-    n = _trades(spark, d).filter("symbol = 'click'").groupBy(F.expr(f"t_ms div {HOUR} % 24").alias("hour")).agg(F.count("*").alias("n"))
-    return spark.range(24).withColumnRenamed("id", "hour").join(n, "hour", "left").select("hour", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    n = _trades(spark, d).groupBy("symbol", F.expr(f"t_ms div {HOUR} % 24").alias("hour")).agg(F.count("*").alias("n"))
+    slots = n.select("symbol").distinct().withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23)).cast("array<long>")))
+    return slots.join(n, ["symbol", "hour"], "left").select("symbol", "hour", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 @query("a13_inventory", f"WITH {T} SELECT symbol, t_ms // {DAY} AS day, count(*) AS n_rows, min(t_ms) AS t_min, max(t_ms) AS t_max FROM t GROUP BY ROLLUP (symbol, day)")
@@ -212,11 +213,11 @@ def flagship(spark, d):
     return _micro(spark, d).groupBy("symbol").agg(F.count("*").alias("n"), r6(F.avg("y_bps"), "y_mean", 5), r6(F.corr("flow_imb", "y_bps"), "ic", 5))
 
 
-@query("w12_greedy_gate", f"""WITH RECURSIVE {T}, s AS (SELECT DISTINCT symbol, t_ms FROM t WHERE symbol = 'click'),
+@query("w12_greedy_gate", f"""WITH RECURSIVE {T}, s AS (SELECT DISTINCT symbol, t_ms FROM t),
 r AS (SELECT symbol, min(t_ms) AS t_ms FROM s GROUP BY symbol UNION ALL SELECT r.symbol, x.t_ms FROM r, LATERAL (SELECT min(s.t_ms) AS t_ms FROM s WHERE s.symbol = r.symbol AND s.t_ms >= r.t_ms + {WINDOW}) x WHERE x.t_ms IS NOT NULL)
 SELECT symbol, t_ms FROM r""")
 def w12(spark, d):
-    return timealign.greedy_nonoverlap(_trades(spark, d).filter("symbol = 'click'"), SYM, "t_ms", WINDOW)
+    return timealign.greedy_nonoverlap(_trades(spark, d), SYM, "t_ms", WINDOW)
 
 
 @query("j9_gap_membership", f"""WITH {T}, k AS (SELECT DISTINCT a FROM t WHERE a % 7 <> 0), g AS (SELECT lag(a) OVER (ORDER BY a) + 1 AS from_a, a - 1 AS to_a FROM k), h AS (SELECT * FROM g WHERE from_a <= to_a)
@@ -383,30 +384,64 @@ def _signals(t: DataFrame) -> DataFrame:
     return t.select("symbol", "t_ms", (F.col("q") - 50).alias("pred"))
 
 
+def _candidates(spark, d) -> DataFrame:
+    """Every trade as a signal."""
+    return backtest.feasibility(_signals(_trades(spark, d)), tables.book(spark, d), SYM, 20.0, 1000, HORIZON, HORIZON // 3, 20.0)
+
+
 def _gated(spark, d) -> DataFrame:
-    c = backtest.feasibility(_signals(_trades(spark, d)), tables.book(spark, d), SYM, 20.0, 1000, HORIZON, HORIZON // 3, 20.0)
-    return backtest.gate(c, SYM)
+    return backtest.gate(_candidates(spark, d), SYM)
+
+
+#: Candidates in SQL: every level's quantity is at least 1, so 20 levels always hold the size of 20.
+CANDIDATES = f"""{T}, m AS (SELECT symbol, t_ms, arg_max(p, a) AS p, arg_max(k, a) AS k FROM t GROUP BY symbol, t_ms),
+s AS (SELECT symbol, t_ms AS sig_t, q - 50 AS pred, t_ms + 1000 AS te, t_ms + 1000 + {HORIZON} AS tx FROM t WHERE abs(q - 50) >= 20),
+x AS (SELECT s.*, m.t_ms AS m1, m.p AS p1, m.k AS k1 FROM s ASOF LEFT JOIN m ON s.symbol = m.symbol AND s.te >= m.t_ms), y AS (SELECT x.*, m.t_ms AS m2, m.p AS p2, m.k AS k2 FROM x ASOF LEFT JOIN m ON x.symbol = m.symbol AND x.tx >= m.t_ms),
+c AS (SELECT *, row_number() OVER (ORDER BY symbol, sig_t, pred) AS id, CASE WHEN m1 IS NULL OR m2 IS NULL THEN 'no_data' WHEN te - m1 > {HORIZON // 3} OR tx - m2 > {HORIZON // 3} THEN 'stale_book' ELSE 'feasible' END AS reason FROM y)"""
+#: The gate in SQL: the earliest feasible signal, then each time the earliest at or after its exit.
+GATED = f"""WITH RECURSIVE {CANDIDATES}, ok AS (SELECT symbol, sig_t, tx, id FROM c WHERE reason = 'feasible'),
+g AS (SELECT symbol, arg_min(struct_pack(sig_t := sig_t, tx := tx, id := id), id) AS z FROM ok GROUP BY symbol
+  UNION ALL SELECT g.symbol, n.z FROM g, LATERAL (SELECT arg_min(struct_pack(sig_t := ok.sig_t, tx := ok.tx, id := ok.id), ok.id) AS z FROM ok WHERE ok.symbol = g.symbol AND ok.sig_t >= g.z.tx) n WHERE n.z IS NOT NULL),
+h AS (SELECT symbol, z.sig_t AS from_t, z.tx AS to_t, z.id AS id FROM g),
+o AS (SELECT c.*, h.id AS held_id, h.to_t FROM c ASOF LEFT JOIN h ON c.symbol = h.symbol AND c.id >= h.id),
+out AS (SELECT *, CASE WHEN held_id = id THEN 'trade' WHEN held_id IS NOT NULL AND sig_t < to_t THEN 'in_position' ELSE reason END AS outcome FROM o)"""
 
 
-@query("e2_candidates", f"""WITH {B}, s AS (SELECT symbol, t_ms AS sig_t, q - 50 AS pred, t_ms + 1000 AS te, t_ms + 1000 + {HORIZON} AS tx FROM t WHERE a % 3 = 0 AND abs(q - 50) >= 20),
-m AS (SELECT DISTINCT symbol, t_ms FROM b), x AS (SELECT s.*, m.t_ms AS m1 FROM s ASOF LEFT JOIN m ON s.symbol = m.symbol AND s.te >= m.t_ms), y AS (SELECT x.*, m.t_ms AS m2 FROM x ASOF LEFT JOIN m ON x.symbol = m.symbol AND x.tx >= m.t_ms)
-SELECT symbol, CASE WHEN m1 IS NULL OR m2 IS NULL THEN 'no_data' WHEN te - m1 > {HORIZON // 3} OR tx - m2 > {HORIZON // 3} THEN 'stale_book' ELSE 'feasible' END AS reason, count(*) AS n FROM y GROUP BY ALL""")
+@query("e2_candidates", f"WITH {CANDIDATES} SELECT symbol, reason, count(*) AS n FROM c GROUP BY ALL")
 def e2c(spark, d):
-    c = backtest.feasibility(_signals(_trades(spark, d).filter("a % 3 = 0")), tables.book(spark, d), SYM, 20.0, 1000, HORIZON, HORIZON // 3, 20.0)
-    return c.groupBy("symbol", F.coalesce("reason", F.lit("feasible")).alias("reason")).agg(F.count("*").alias("n"))
+    return _candidates(spark, d).groupBy("symbol", F.coalesce("reason", F.lit("feasible")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("e2_backtest")
+@query("e2_backtest", GATED + " SELECT symbol, outcome, count(*) AS n FROM out GROUP BY ALL")
 def e2(spark, d):
-    """Outcomes of the sequential gate (tested against a plain loop)."""
+    """Outcomes of the sequential gate."""
     return _gated(spark, d).groupBy("symbol", "outcome").agg(F.count("*").alias("n"))
 
 
-@query("e3_metrics")
+def _level_cost(p: str, k: str, buys: bool) -> str:
+    """SQL of the mean price of taking 20 of the ladder of a row with price p and number k."""
+    qty = f"(1 + ({k} + 3 * i) % 5)" if buys else f"(1 + ({k} + i) % 7)"
+    price = f"({p} + 0.1 * (i + 1))" if buys else f"({p} - 0.1 * i)"
+    ahead = f"coalesce(list_sum(list_transform(range(i), lambda j: {qty.replace('i)', 'j)')})), 0)"
+    return f"list_sum(list_transform(range(20), lambda i: greatest(0, least({qty}, 20 - {ahead})) * {price})) / 20"
+
+
+@query("e3_metrics", GATED + f""", f AS (SELECT *, CASE WHEN pred > 0 THEN 1 ELSE -1 END AS side, CASE WHEN pred > 0 THEN {_level_cost('p1', 'k1', True)} ELSE {_level_cost('p1', 'k1', False)} END AS px_in, CASE WHEN pred > 0 THEN {_level_cost('p2', 'k2', False)} ELSE {_level_cost('p2', 'k2', True)} END AS px_out FROM out WHERE outcome = 'trade'),
+r AS (SELECT *, side * (px_out - px_in) / px_in * 10000 AS gross, side * (px_out - px_in) / px_in * 10000 - 10 AS net FROM f), q AS (SELECT *, sum(net) OVER w AS cum FROM r WINDOW w AS (PARTITION BY symbol ORDER BY sig_t ROWS UNBOUNDED PRECEDING)),
+v AS (SELECT *, greatest(0, max(cum) OVER (PARTITION BY symbol ORDER BY sig_t ROWS UNBOUNDED PRECEDING)) - cum AS dd FROM q)
+SELECT symbol, count(*) AS n, count(*) FILTER (side > 0) AS n_long, count(*) FILTER (side < 0) AS n_short, round(avg(gross), 4) AS gross_mean, round(avg(net), 4) AS net_mean, round(sum(net), 3) AS net_total, round(coalesce(stddev_samp(net), 0), 4) AS net_std,
+round(avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END), 4) AS hit_net, round(max(dd), 3) AS max_drawdown, round(coalesce(avg(net) / nullif(stddev_samp(net), 0), 0), 4) AS sharpe, round((max(tx) - min(sig_t)) / 3600000.0, 5) AS span_h FROM v GROUP BY symbol""")
 def e3(spark, d):
-    """Metrics of the trades (tested against a plain loop)."""
+    """Metrics of the trades."""
     m = backtest.metrics(backtest.trades_of(_gated(spark, d)), SYM)
-    return m.select("symbol", "n", "n_long", "n_short", *[r6(F.col(c), c, 4) for c in ("gross_mean", "net_mean", "net_total", "net_std", "hit_net", "max_drawdown", "sharpe")])
+    return m.select("symbol", "n", "n_long", "n_short", *[r6(F.col(c), c, 4) for c in ("gross_mean", "net_mean", "net_std", "hit_net", "sharpe")], r6(F.col("net_total"), "net_total", 3), r6(F.col("max_drawdown"), "max_drawdown", 3), r6(F.col("span_h"), "span_h", 5))
+
+
+@query("e5_maker_bound", GATED + f""", f AS (SELECT *, CASE WHEN pred > 0 THEN 1 ELSE -1 END AS side, CASE WHEN pred > 0 THEN {_level_cost('p1', 'k1', True)} ELSE {_level_cost('p1', 'k1', False)} END AS px_in, CASE WHEN pred > 0 THEN {_level_cost('p2', 'k2', False)} ELSE {_level_cost('p2', 'k2', True)} END AS px_out FROM out WHERE outcome = 'trade')
+SELECT symbol, count(*) AS n, round(avg(side * (px_out - px_in) / px_in) * 10000, 4) AS gross_mean, round(avg(side * (px_out - px_in) / px_in) * 10000 - 10, 4) AS net_taker, round(avg(side * (px_out - px_in) / px_in) * 10000 - 4, 4) AS net_maker FROM f GROUP BY symbol""")
+def e5(spark, d):
+    c = backtest.costs(backtest.trades_of(_gated(spark, d)), SYM)
+    return c.select("symbol", "n", *[r6(F.col(x), x, 4) for x in ("gross_mean", "net_taker", "net_maker")])
 
 
 @query("st1_book_replay")
