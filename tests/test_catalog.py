@@ -110,7 +110,8 @@ def test_replay_batches(spark):
     rows = [(s, "s0", kind, u, body(u)) for s in ("x", "y", None) for u in range(1, 60) for kind in (["snapshot", "depth"] if u == 1 else ["depth"])]
     m = spark.createDataFrame(rows, "symbol string, session string, kind string, recv long, body string")
     one = book.Book()
-    want = [r for s, _, kind, u, b in rows if s == "x" for r in (one.snapshot if kind == "snapshot" else one.event)(json.loads(b) | {"recv": u})]
+    outs = [(u, o) for s, _, kind, u, b in rows if s == "x" for o in (one.snapshot if kind == "snapshot" else one.event)(json.loads(b) | {"recv": u})]
+    want = [(1, u, u, flags, *ladders) for u, (kind, flags, ladders) in outs if kind == "row"]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
         got = book.replay(m)
@@ -197,24 +198,126 @@ def test_segments_and_dedup(spark):
     assert sorted(r.v for r in dedup.keep_first(d, ["k"], ["o"]).collect()) == [2, 3]
 
 
+def _event(first, last, prev, bid="100.0", recv=None, qty="1.000"):
+    return {"U": first, "u": last, "pu": prev, "recv": last if recv is None else recv, "bids": [[bid, qty]], "asks": [["101.0", "2.000"]]}
+
+
+def _kinds(out):
+    return [(k, r) for k, r, _ in out]
+
+
 def test_book_states():
     from tickloom.streaming.book import Book, to_units
 
-    def event(a, u, pu, bid="100.0"):
-        return {"U": a, "u": u, "pu": pu, "recv": u, "bids": [[bid, "1.000"]], "asks": [["101.0", "2.000"]]}
-
     b = Book()
-    assert b.event(event(1, 2, 0)) == [] and b.state == "SYNCING"
-    rows = b.snapshot({"u": 2, "recv": 0, "bids": [["99.0", "1.000"]], "asks": []})
-    assert [(r[0], r[1], r[3]) for r in rows] == [(1, 2, "first_after_snapshot")] and b.state == "LIVE"
-    assert [r[1] for r in b.event(event(3, 3, 2))] == [3]
-    assert b.event(event(3, 3, 2)) == []
-    assert b.event(event(9, 9, 8)) == [] and b.state == "SYNCING"
+    assert b.event(_event(1, 2, 0)) == [] and b.state == "SYNCING"
+    assert _kinds(b.snapshot({"u": 2, "bids": [["99.0", "1.000"]], "asks": []})) == [("state", "synced"), ("row", "first_after_snapshot")]
+    assert _kinds(b.snapshot({"u": 2, "bids": [], "asks": []})) == [("dropped", "snapshot_while_not_syncing")]
+    out = b.event(_event(3, 3, 2))
+    assert _kinds(out) == [("row", "")] and out[0][2] == ([100.0, 99.0], [1.0, 1.0], [101.0], [2.0])
+    assert _kinds(b.event(_event(3, 3, 2))) == [("dropped", "duplicate")]
+    assert _kinds(b.event(_event(3, 3, 2, qty="7.000"))) == [("conflict", "same_u_different_content")]
+    assert _kinds(b.event(_event(1, 1, 0))) == [("dropped", "old")] and b.state == "LIVE"
+    assert _kinds(b.event(_event(9, 9, 8))) == [("state", "pu_mismatch")] and b.state == "INVALID"
+    assert _kinds(b.event(_event(10, 10, 9))) == [("dropped", "book_invalid")]
+    b.resync()
+    assert b.event(_event(10, 10, 9)) == [] and b.epoch == 1
     with pytest.raises(ValueError):
         to_units("1.05", "0.1")
-    crossed = Book()
-    crossed.snapshot({"u": 1, "recv": 0, "bids": [], "asks": []})
-    assert crossed.event(event(1, 1, 0, bid="102.0")) == [] and crossed.state == "INVALID"
+
+
+def test_book_sync_order():
+    from tickloom.streaming.book import Book
+
+    b = Book()
+    b.event(_event(5, 6, 4))
+    assert _kinds(b.snapshot({"u": 3, "bids": [], "asks": []})) == [("need_snapshot", "snapshot_older_than_buffer")] and b.state == "SYNCING"
+    b.event(_event(9, 9, 8))
+    assert _kinds(b.snapshot({"u": 6, "bids": [], "asks": []})) == [("state", "synced"), ("row", "first_after_snapshot"), ("state", "pu_mismatch_during_sync")]
+    early = Book()
+    assert early.snapshot({"u": 4, "bids": [["99.0", "1.000"]], "asks": [["102.0", "1.000"]]}) == []  # waits for an event
+    assert early.event(_event(2, 3, 1)) == [] and _kinds(early.event(_event(4, 5, 3))) == [("state", "synced"), ("row", "first_after_snapshot")]
+    full = Book(buffer=2)
+    for u in (1, 2):
+        full.event(_event(u, u, u - 1))
+    assert _kinds(full.event(_event(3, 3, 2))) == [("need_snapshot", "buffer_overflow")] and full.waiting == []
+
+
+def test_book_bad_messages():
+    from tickloom.streaming.book import Book
+
+    b = Book()
+    b.event(_event(1, 1, 0))
+    assert _kinds(b.snapshot({"u": 1, "bids": [["99.05", "1.000"]], "asks": []})) == [("state", "snapshot_parse_error")] and b.state == "INVALID"
+    b = Book()
+    b.event(_event(1, 1, 0))
+    b.snapshot({"u": 1, "bids": [], "asks": []})
+    assert _kinds(b.event(_event(2, 2, 1, bid="100.01"))) == [("state", "event_parse_error")]
+    b = Book()
+    b.event(_event(1, 1, 0, bid="102.0"))
+    assert _kinds(b.snapshot({"u": 1, "bids": [], "asks": []})) == [("state", "synced"), ("state", "crossed_book")]
+
+
+def test_book_coverage_and_silence():
+    from tickloom.streaming.book import Book
+
+    b = Book(top=2, stale_after=10)
+    b.event(_event(1, 1, 0))
+    snap = {"u": 1, "limit": 2, "bids": [["99.0", "1.000"], ["98.0", "1.000"]], "asks": [["102.0", "1.000"], ["103.0", "1.000"]]}
+    assert _kinds(b.snapshot(snap))[-1] == ("row", "first_after_snapshot")  # 100 and 99 lie above the snapshot's floor
+    assert b.check_stale(11) == [] and _kinds(b.check_stale(12)) == [("state", "no_depth_event")] and b.state == "STALE"
+    assert _kinds(b.event(_event(2, 2, 1, recv=13))) == [("row", "resumed_after_stale")] and b.state == "LIVE"
+    gone = {"U": 3, "u": 3, "pu": 2, "recv": 14, "bids": [["100.0", "0"], ["99.0", "0"], ["97.0", "1.000"]], "asks": []}
+    assert _kinds(b.event(gone)) == [("state", "top_levels_coverage_unconfirmed")]  # 98 is known, what lies between it and 97 isn't
+
+
+def test_id_gaps_state():
+    from tickloom.streaming import book
+
+    ids = book.IdGaps()
+    assert [ids.take(a) for a in (5, 6, 6, 10, 8, 8, 7, 9, 11)] == ["ok", "ok", None, "gap", "late", None, "late", "late", "ok"] and ids.gaps == []
+    assert ids.take(10**9) == "gap" and len(ids.gaps) == 1 and ids.take(12) is None and ids.take(10**9 - 5) == "late"
+
+
+def test_streams(spark, tmp_path):
+    """The streaming forms give, over several micro-batches, what the batch forms give."""
+    import json
+
+    from tickloom.streaming import book
+
+    rows = [("x", "s0", "depth", u, json.dumps({"U": u, "u": u, "pu": u - 1, "bids": [[f"{50 + u % 9}.0", "1.000"]], "asks": [["101.0", "2.000"]]})) for u in range(1, 40)]
+    rows.insert(3, ("x", "s0", "snapshot", 3, json.dumps({"u": 2, "bids": [["49.0", "1.000"]], "asks": []})))
+    schema = "symbol string, session string, kind string, recv long, body string"
+    for i in range(0, len(rows), 10):
+        spark.createDataFrame(rows[i : i + 10], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/m")
+    def streamed(df, name):
+        q = df.writeStream.format("memory").queryName(name).option("checkpointLocation", f"{tmp_path}/c{name}").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return spark.sql(f"SELECT * FROM {name}").collect()
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/m")
+    got = streamed(book.stream_replay(source), "books")
+    want = book.replay(spark.createDataFrame(rows, schema)).collect()
+    assert len(got) > 30 and sorted(tuple(map(str, r)) for r in got) == sorted(tuple(map(str, r)) for r in want)
+    spark.createDataFrame([("x", a) for a in (1, 2, 2, 7, 5)], "symbol string, a long").coalesce(1).write.parquet(f"{tmp_path}/a")
+    ids = streamed(book.stream_id_gaps(spark.readStream.schema("symbol string, a long").parquet(f"{tmp_path}/a")), "ids")
+    assert [(r.a, r.verdict) for r in ids] == [(1, "ok"), (2, "ok"), (7, "gap"), (5, "late")]
+
+
+def test_replay_log_and_diff(spark):
+    import json
+
+    from tickloom.streaming import book
+
+    def row(u, kind="depth", pu=None, bid="50.0"):
+        return ("x", "s0", kind, u, json.dumps({"U": u, "u": u, "pu": u - 1 if pu is None else pu, "bids": [[bid, "1.000"]], "asks": [["101.0", "2.000"]]}))
+
+    rows = [row(1, "snapshot"), row(1), row(2), row(2, bid="51.0"), row(5), row(6, "snapshot"), row(6), row(7)]
+    m = spark.createDataFrame(rows, "symbol string, session string, kind string, recv long, body string")
+    log = sorted((r.recv, r.kind, r.reason) for r in book.replay_log(m).collect())
+    assert log == [(1, "state", "synced"), (2, "conflict", "same_u_different_content"), (5, "state", "pu_mismatch"), (6, "state", "synced")]
+    a = book.replay(m)
+    assert book.replay_digest(a).collect() == book.replay_digest(book.replay(m)).collect() and a.count() == 4
+    assert {r.status: r.n for r in book.replay_against(a, a.filter("u <> 7")).groupBy("status").count().withColumnRenamed("count", "n").collect()} == {"matched": 3, "only_left": 1}
 
 
 def test_days_and_store(spark, tmp_path):
