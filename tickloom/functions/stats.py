@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import carry
+
 
 def nearest_rank(values: str, p: float) -> Column:
     """Element min(n - 1, floor(p n)) of a sorted array, from 0."""
@@ -19,17 +21,51 @@ def upper_median(values: str) -> Column:
 
 def gap_summary(df: DataFrame, keys: list[str], t: str, gap: int) -> DataFrame:
     """n_rows, t_start, t_end, span_s, max_gap and n_gaps (steps over gap) per key."""
-    w = Window.partitionBy(*keys).orderBy(t)
-    d = df.withColumn("__d", F.col(t) - F.lag(t).over(w))
+    d = carry.previous(df.select(*keys, t), keys, t, [], [t], name="__prev").withColumn("__d", F.col(t) - F.col(f"__prev.{t}"))
     return d.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.min(t).alias("t_start"), F.max(t).alias("t_end"), ((F.max(t) - F.min(t)) / 1000).alias("span_s"), F.max("__d").alias("max_gap"), F.count_if(F.col("__d") > gap).alias("n_gaps"))
 
 
+def quantiles(df: DataFrame, keys: list[str], x: str, shares: list[float]) -> DataFrame:
+    """(keys, share, value, n): exact quantiles, interpolated between the two nearest ranks; nulls are left out.
+
+    Approximate quantiles bracket each rank; only the values within a bracket,
+    a few in a thousand, are counted and ranked, so no task holds a key's values.
+    """
+    d = df.filter(F.col(x).isNotNull()).select(*keys, F.col(x).cast("double").alias("__x"))
+    near = F.percentile_approx("__x", F.lit([max(0.0, s - MARGIN) for s in shares]), F.lit(ACCURACY))
+    far = F.percentile_approx("__x", F.lit([min(1.0, s + MARGIN) for s in shares]), F.lit(ACCURACY))
+    b = d.groupBy(*keys).agg(F.count("*").alias("n"), near.alias("__lo"), far.alias("__hi"), F.min("__x").alias("__min"), F.max("__x").alias("__max"))
+    few = F.col("n") < 4 / MARGIN  # too few for a bracket to hold the next rank: all values are ranked
+    edge = lambda s, i: F.struct(F.lit(float(s)).alias("share"), F.when(few | F.lit(s <= MARGIN), F.col("__min")).otherwise(F.col("__lo")[i]).alias("lo"), F.when(few | F.lit(s >= 1 - MARGIN), F.col("__max")).otherwise(F.col("__hi")[i]).alias("hi"))
+    b = b.select(*keys, "n", F.explode(F.array(*[edge(s, i) for i, s in enumerate(shares)])).alias("__e")).select(*keys, "n", "__e.share", "__e.lo", "__e.hi")
+    # Values below a bracket count as one, those within by themselves.
+    rows = d.join(b, keys) if keys else d.crossJoin(F.broadcast(b))  # without keys b has one row per share
+    at = F.when(F.col("__x") >= F.col("lo"), F.col("__x"))
+    c = rows.filter(F.col("__x") <= F.col("hi")).groupBy(*keys, "n", "share", at.alias("__v")).agg(F.count("*").alias("__c"))
+    run = Window.partitionBy(*keys, "share").orderBy(F.col("__v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    c = c.withColumn("__end", F.sum("__c").over(run))
+    rank = (F.col("n") - 1) * F.col("share")
+    low, high = F.floor(rank), F.ceil(rank)
+    hit = lambda r: F.min(F.when(F.col("__end") > r, F.col("__v")))
+    return c.groupBy(*keys, "n", "share").agg(hit(low).alias("__a"), hit(high).alias("__z")).select(*keys, "share", (F.col("__a") + (F.col("__z") - F.col("__a")) * (rank - low)).alias("value"), "n")
+
+
+#: Accuracy of the bracketing quantiles, and what they are taken apart.
+ACCURACY, MARGIN = 10_000, 0.001
+
+
 def histogram(df: DataFrame, x: str, bins: int = 41, low: float = 0.001, high: float = 0.999) -> DataFrame:
-    """(bin, center, n) over [q_low, q_high], values outside clipped, the last bin closed, empty bins 0."""
-    q = df.agg(F.percentile(x, F.lit(low)).alias("lo"), F.percentile(x, F.lit(high)).alias("hi"))
+    """(bin, center, n) over [q_low, q_high], values outside clipped, the last bin closed, empty bins 0.
+
+    Where these quantiles are equal the range is that of all values, widened by 1e-9 on both sides.
+    """
+    q = quantiles(df, [], x, [low, high])
+    q = q.agg(F.min_by("value", "share").alias("lo"), F.max_by("value", "share").alias("hi")).crossJoin(df.agg(F.min(x).alias("__min"), F.max(x).alias("__max")))  # one row each
+    flat = ~(F.col("hi") > F.col("lo"))
+    q = q.select(F.when(flat, F.col("__min") - 1e-9).otherwise(F.col("lo")).alias("lo"), F.when(flat, F.col("__max") + 1e-9).otherwise(F.col("hi")).alias("hi"))
     width = (F.col("hi") - F.col("lo")) / bins
     at = F.least(F.floor((F.greatest(F.least(F.col(x), F.col("hi")), F.col("lo")) - F.col("lo")) / width).cast("int"), F.lit(bins - 1))
-    counted = df.join(F.broadcast(q)).withColumn("bin", at).groupBy("bin").agg(F.count("*").alias("n"))  # q is one row
+    counted = df.filter(F.col(x).isNotNull()).join(F.broadcast(q)).withColumn("bin", at).groupBy("bin").agg(F.count("*").alias("n"))  # q is one row
     slots = q.select("lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     return slots.join(counted, "bin", "left").select("bin", (F.col("lo") + (F.col("bin") + 0.5) * width).alias("center"), F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -40,42 +76,63 @@ def score(df: DataFrame, y: str, p: str) -> DataFrame:
     return out.withColumn("improvement", 1 - F.try_divide("rmse", "rmse_zero"))
 
 
+def score_bins(df: DataFrame, y: str, p: str, bins: int = 10) -> DataFrame:
+    """(bin, n, pred_mean, y_mean): rows by the quantile of their prediction; an empty bin has 0 throughout."""
+    q = quantiles(df, [], p, [i / bins for i in range(1, bins)]).agg(F.sort_array(F.collect_list(F.struct("share", "value"))).alias("__q"))
+    rows = df.filter(F.col(p).isNotNull()).crossJoin(F.broadcast(q))  # one row
+    rows = rows.withColumn("bin", F.size(F.filter("__q", lambda e: e["value"] <= F.col(p))))
+    got = rows.groupBy("bin").agg(F.count("*").alias("n"), F.avg(p).alias("pred_mean"), F.avg(y).alias("y_mean"))
+    slots = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    return slots.join(got, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("pred_mean", F.lit(0.0)).alias("pred_mean"), F.coalesce("y_mean", F.lit(0.0)).alias("y_mean"))
+
+
+def monotonic_share(binned: DataFrame) -> DataFrame:
+    """One row: the share of neighbouring bins over which y_mean rises. A table of a few bins."""
+    up = F.col("y_mean") > F.lag("y_mean").over(Window.orderBy("bin"))
+    return binned.select(up.alias("__up")).agg(F.coalesce(F.avg(F.col("__up").cast("double")), F.lit(0.0)).alias("monotonic"))
+
+
 def r2_oos(df: DataFrame, y: str, p: str) -> DataFrame:
     """r2 against the segment's own mean; 0 where y doesn't vary."""
     a = df.agg(F.sum((F.col(y) - F.col(p)) ** 2).alias("sse"), F.var_pop(y).alias("v"), F.count(y).alias("n"))
     return a.select(F.when(F.col("v") > 0, 1 - F.col("sse") / (F.col("v") * F.col("n"))).otherwise(0.0).alias("r2"))
 
 
-def bootstrap_ci(df: DataFrame, x: str, replicates: int = 2000, seed: int = 0, block: int = 1, max_values: int = 1_000_000) -> DataFrame:
-    """(n, mean, low, high): 2.5 and 97.5 percentiles of means of resampled trades.
+def uniform(*parts: Column) -> Column:
+    """A number in [0, 1) that depends on the text of the parts only: 32 bits of their MD5."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts).cast("binary")), 1, 8), 16, 10).cast("double") / 2.0**32
+
+
+def poisson(u: Column, mean: Column, most: int = 12) -> Column:
+    """The Poisson number, at most `most`, whose distribution function first exceeds u."""
+    term, total, out = F.exp(-mean), F.exp(-mean), F.lit(0)
+    for k in range(1, most + 1):
+        out = out + (u >= total).cast("int")
+        term = term * mean / k
+        total = total + term
+    return out
+
+
+def bootstrap_ci(df: DataFrame, keys: list[str], x: str, order: list[str], replicates: int = 2000, seed: int = 0, block: int = 1) -> DataFrame:
+    """(keys, n, mean, low, high): 2.5 and 97.5 percentiles of the mean of x over resampled rows.
 
-    The values, one per trade, are one array of at most max_values (else an
-    error); the replicates are spread over tasks.
+    Rows are taken a Poisson number of times in each replicate, which needs no
+    row to know of the others: every replicate is a pair of sums. With block > 1
+    runs of `block` neighbouring rows are taken, in the given order, which is
+    that of time; x is then averaged over the runs. Numbers depend on a row's
+    place, the replicate and the seed. Keys with no more rows than a block have
+    null limits.
     """
-    import numpy as np
-    import pandas as pd
-
-    values = df.select(F.col(x).cast("double")).limit(max_values + 1).toPandas().iloc[:, 0].sort_values().to_numpy()
-    if len(values) > max_values:
-        raise ValueError("too many values for one array")
-    spark = df.sparkSession
-    if len(values) <= (block if block > 1 else 0):
-        return spark.createDataFrame([(len(values), None, None, None)], "n long, mean double, low double, high double")
-    shared = spark.sparkContext.broadcast(values)
-
-    def means(batches):
-        v = shared.value
-        n = len(v)
-        for pdf in batches:
-            out = []
-            for i in pdf.id:
-                rng = np.random.default_rng((seed, int(i)))
-                if block == 1:
-                    out.append(v[rng.integers(0, n, n)].mean())
-                else:
-                    starts = rng.integers(0, n - block + 1, -(-n // block))
-                    out.append(np.concatenate([v[s : s + block] for s in starts])[:n].mean())
-            yield pd.DataFrame({"mean": out})
-
-    got = spark.range(replicates).mapInPandas(means, "mean double")
-    return got.agg(F.lit(len(values)).cast("long").alias("n"), F.lit(float(values.mean())).alias("mean"), F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"))
+    d = carry.positions(df.filter(F.col(x).isNotNull()).withColumn("__t", F.col(order[0]).cast("double")), keys, "__t", order, "__i")
+    w = Window.partitionBy(*keys).orderBy("__i").rowsBetween(0, block - 1)
+    n = d.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(x).alias("mean"))
+    units = d.withColumns({"__s": F.sum(x).over(w), "__m": F.count(x).over(w)}).filter(F.col("__m") == block) if block > 1 else d.withColumns({"__s": F.col(x).cast("double"), "__m": F.lit(1)})
+    units = units.join(n, keys) if keys else units.crossJoin(F.broadcast(n))  # one row
+    rate = F.ceil(F.col("n") / block) / (F.col("n") - block + 1)
+    drawn = units.withColumn("__r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    drawn = drawn.withColumn("__k", poisson(uniform(F.lit(seed), F.col("__i"), F.col("__r")), rate))
+    means = drawn.groupBy(*keys, "__r").agg((F.sum(F.col("__k") * F.col("__s")) / F.nullif(F.sum("__k") * block, F.lit(0))).alias("__mean"))
+    limits = means.groupBy(*keys).agg(F.percentile("__mean", F.lit(0.025)).alias("low"), F.percentile("__mean", F.lit(0.975)).alias("high"))  # of the replicates
+    out = n.join(limits, keys, "left") if keys else n.crossJoin(F.broadcast(limits))  # one row
+    enough = F.col("n") > (block if block > 1 else 0)
+    return out.select(*keys, "n", "mean", F.when(enough, F.col("low")).alias("low"), F.when(enough, F.col("high")).alias("high"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import features, timealign
+from . import carry, features, timealign
 from .index import global_index
 
 
@@ -75,15 +75,16 @@ def halves(trades: DataFrame, t: str, tie: list[str], x: str) -> DataFrame:
 
 def longest_gap(df: DataFrame, keys: list[str], t: str) -> DataFrame:
     """(from_t, to_t, gap) of the longest step of each key; of ties the earliest."""
-    d = df.withColumn("__p", F.lag(t).over(Window.partitionBy(*keys).orderBy(t))).filter("__p IS NOT NULL")
+    d = carry.previous(df.select(*keys, t), keys, t, [], [t], name="__prev").withColumn("__p", F.col(f"__prev.{t}")).filter("__p IS NOT NULL")
     row = F.max_by(F.struct(F.col("__p").alias("from_t"), F.col(t).alias("to_t")), F.struct(F.col(t) - F.col("__p"), -F.col("__p")))
     return d.groupBy(*keys).agg(row.alias("__x")).select(*keys, "__x.from_t", "__x.to_t", (F.col("__x.to_t") - F.col("__x.from_t")).alias("gap"))
 
 
-def clock_jumps(df: DataFrame, keys: list[str], order: str, wall: Column, mono: Column, limit: int) -> DataFrame:
-    """Rows where the wall clock moved against the monotone one by more than limit since the row before."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return df.withColumn("jump", (wall - F.lag(wall).over(w)) - (mono - F.lag(mono).over(w))).filter(F.abs("jump") > limit)
+def clock_jumps(df: DataFrame, keys: list[str], order: str, wall: Column, mono: Column, limit: int, bucket: int = 1 << 18) -> DataFrame:
+    """Rows where the wall clock moved against the monotone one by more than limit since the row before; order is a number."""
+    d = carry.previous(df.withColumns({"__w": wall, "__m": mono}), keys, order, [], ["__w", "__m"], bucket, "__prev")
+    jump = (F.col("__w") - F.col("__prev.__w")) - (F.col("__m") - F.col("__prev.__m"))
+    return d.withColumn("jump", jump).drop("__w", "__m", "__prev").filter(F.abs("jump") > limit)
 
 
 def top_levels(px: str, qty: str, n: int, descending: bool) -> Column:

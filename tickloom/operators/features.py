@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import carry
+
 BPS = 1e4
 
 
@@ -25,16 +27,19 @@ def book_features(book: DataFrame) -> DataFrame:
     })
 
 
-def increments(book: DataFrame, keys: list[str], t: str, tie: str) -> DataFrame:
-    """book with ofi and r2 (squared log return in bps) against the row before; the first row of a group has 0."""
-    w = Window.partitionBy(*keys).orderBy(t, tie)
+def increments(book: DataFrame, keys: list[str], t: str, tie: str, segment: str | None = None) -> DataFrame:
+    """book with ofi and r2 (squared log return in bps) against the row before; the first row of a key, and of a segment, has 0."""
     b, a, bq, aq = (F.col(c)[0] for c in ("bid_px", "ask_px", "bid_qty", "ask_qty"))
-    pb, pa, pbq, paq = (F.lag(x).over(w) for x in (b, a, bq, aq))
+    d = book.withColumns({"__bp": b, "__ap": a, "__bq": bq, "__aq": aq})
+    names = ["__bp", "__ap", "__bq", "__aq", *([segment] if segment else [])]
+    d = carry.previous(d, keys, t, [tie], names, name="__prev")
+    b, a, bq, aq = (F.col(c) for c in names[:4])
+    pb, pa, pbq, paq = (F.col(f"__prev.{c}") for c in names[:4])
     when = lambda c, x: F.when(c, x).otherwise(0.0)
     ofi = when(b >= pb, bq) - when(b <= pb, pbq) - when(a <= pa, aq) + when(a >= pa, paq)
-    mid = (b + a) / 2
-    step = (F.log(mid) - F.log(F.lag(mid).over(w))) * BPS
-    return book.withColumns({"ofi": F.when(pb.isNull(), 0.0).otherwise(ofi), "r2": F.coalesce(step * step, F.lit(0.0))})
+    step = (F.log((b + a) / 2) - F.log((pb + pa) / 2)) * BPS
+    first = pb.isNull() | (F.col(f"__prev.{segment}") != F.col(segment) if segment else F.lit(False))
+    return d.withColumns({"ofi": F.when(first, 0.0).otherwise(ofi), "r2": F.when(first, 0.0).otherwise(step * step)}).drop(*names[:4], "__prev")
 
 
 def bars(trades: DataFrame, width: int, keys=("symbol",)) -> DataFrame:

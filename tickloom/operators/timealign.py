@@ -13,12 +13,14 @@ import bisect
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import carry
+
 
 def segments(df: DataFrame, keys: list[str], t: str, tie: str, max_gap: int) -> DataFrame:
     """df with segment (from 0): a new one begins where t moves on by more than max_gap."""
-    w = Window.partitionBy(*keys).orderBy(t, tie)
-    new = F.when(F.col(t) - F.lag(t).over(w) > max_gap, 1).otherwise(0)
-    return df.withColumn("__new", new).withColumn("segment", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("__new")
+    d = carry.previous(df, keys, t, [tie], [t], name="__prev")
+    new = F.when(F.col(t) - F.col(f"__prev.{t}") > max_gap, 1).otherwise(0)
+    return carry.running_sum(d.withColumn("__new", new), keys, t, [tie], F.col("__new"), "segment").withColumn("segment", F.col("segment").cast("int")).drop("__new", "__prev")
 
 
 def grid(df: DataFrame, keys: list[str], t: str, step: int, window: int, horizon: int, align: int | None = None) -> DataFrame:

@@ -7,11 +7,13 @@ differ in their last digits.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..operators import backtest, dedup, features, index, ridge, timealign
+from ..operators import backtest, carry, dedup, features, index, ridge, timealign
 from ..sources import tables
 from ..streaming import book as books
 
@@ -153,8 +155,7 @@ def o4(spark, d):
 def w9(spark, d):
     t = _trades(spark, d)
     n = t.groupBy("symbol").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("symbol").orderBy("t_ms", "a")
-    r = t.withColumn("i", F.row_number().over(w) - 1).join(n, "symbol")
+    r = carry.positions(t, SYM, "t_ms", ["a"], "i").join(n, "symbol")
     return r.filter("i % greatest(1, n div 100) = 0").select("symbol", "t_ms", r6(F.col("p"), "p"))
 
 
@@ -353,7 +354,8 @@ def a11(spark, d):
 
 @query("m6_threshold", "SELECT o_orderpriority, round(quantile_cont(abs(o_totalprice - 100000), 0.99), 3) AS threshold FROM orders GROUP BY 1")
 def m6(spark, d):
-    return tables.table(spark, d, "orders").groupBy("o_orderpriority").agg(r6(F.percentile(F.abs(F.col("o_totalprice") - 100000), F.lit(0.99)), "threshold", 3))
+    x = tables.table(spark, d, "orders").withColumn("x", F.abs(F.col("o_totalprice") - 100000))
+    return stats.quantiles(x, ["o_orderpriority"], "x", [0.99]).select("o_orderpriority", r6(F.col("value"), "threshold", 3))
 
 
 @query("a9_by_hour", f"WITH {T} SELECT (t_ms // {HOUR}) % 24 AS hour, count(*) AS n, round(avg(q - 50), 5) AS mean, round(avg(CASE WHEN q > 50 THEN 1.0 ELSE 0.0 END), 5) AS hit, round(avg(q - 50) / (stddev_samp(q) / sqrt(count(*))), 4) AS t_stat FROM t GROUP BY 1 HAVING count(*) >= 3")
@@ -363,11 +365,40 @@ def a9(spark, d):
     return out.select("hour", "n", r6(F.col("m"), "mean", 5), r6(F.col("hit"), "hit", 5), r6(F.col("m") / (F.col("s") / F.sqrt("n")), "t_stat", 4))
 
 
-@query("a20_bootstrap")
+@query("a4_bins", """WITH p AS (SELECT 1000 * l_quantity AS pred, l_extendedprice AS y FROM lineitem), q AS (SELECT unnest(range(1, 10)) AS i, unnest(quantile_cont(pred, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS v FROM p),
+b AS (SELECT p.*, (SELECT count(*) FROM q WHERE q.v <= p.pred) AS bin FROM p), g AS (SELECT bin, count(*) AS n, avg(pred) AS pred_mean, avg(y) AS y_mean FROM b GROUP BY bin)
+SELECT CAST(s AS INT) AS bin, coalesce(n, 0) AS n, round(coalesce(pred_mean, 0), 3) AS pred_mean, round(coalesce(y_mean, 0), 3) AS y_mean FROM range(10) r(s) LEFT JOIN g ON g.bin = s""")
+def a4_bins(spark, d):
+    li = tables.table(spark, d, "lineitem").select((1000 * F.col("l_quantity")).alias("pred"), "l_extendedprice")
+    return stats.score_bins(li, "l_extendedprice", "pred").select("bin", "n", r6(F.col("pred_mean"), "pred_mean", 3), r6(F.col("y_mean"), "y_mean", 3))
+
+
+def _bootstrap_sql(block: int, replicates: int) -> str:
+    """The same resampling in SQL: Poisson numbers from MD5, sums per replicate."""
+    terms = " + ".join(f"CASE WHEN u >= exp(-l) * ({' + '.join(f'power(l, {j}) / {math.factorial(j)}' for j in range(k))}) THEN 1 ELSE 0 END" for k in range(1, 13))
+    return f"""WITH {T}, e AS (SELECT t_ms // {DAY} AS day, avg(q) AS x FROM t GROUP BY 1), i AS (SELECT *, row_number() OVER (ORDER BY day) - 1 AS i, count(*) OVER () AS n FROM e),
+b AS (SELECT i, n, sum(x) OVER w AS s, count(x) OVER w AS m FROM i WINDOW w AS (ORDER BY i ROWS BETWEEN CURRENT ROW AND {block - 1} FOLLOWING)), u AS (SELECT *, ceil(n / {block}) / (n - {block} + 1) AS l, unnest(range({replicates})) AS r FROM b WHERE m = {block}),
+v AS (SELECT *, CAST('0x' || substr(md5('0:' || i || ':' || r), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM u), k AS (SELECT r, s, {terms} AS k FROM v),
+z AS (SELECT r, sum(k * s) / nullif(sum(k) * {block}, 0) AS mean FROM k GROUP BY r)
+SELECT (SELECT count(*) FROM e) AS n, (SELECT round(avg(x), 6) FROM e) AS mean, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM z"""
+
+
+def _daily(spark, d) -> DataFrame:
+    return _trades(spark, d).groupBy(F.expr(f"t_ms div {DAY}").alias("day")).agg(F.avg("q").alias("x"))
+
+
+@query("a20_bootstrap", _bootstrap_sql(1, 2000))
 def a20(spark, d):
     """Bootstrap interval of the mean over daily means, one value a day."""
-    daily = _trades(spark, d).groupBy(F.expr(f"t_ms div {DAY}").alias("day")).agg(F.avg("q").alias("x"))
-    return stats.bootstrap_ci(daily, "x")
+    b = stats.bootstrap_ci(_daily(spark, d), [], "x", ["day"])
+    return b.select("n", *[r6(F.col(c), c) for c in ("mean", "low", "high")])
+
+
+@query("a21_block_bootstrap", _bootstrap_sql(5, 1000))
+def a21(spark, d):
+    """The same by blocks of five days in the order of time."""
+    b = stats.bootstrap_ci(_daily(spark, d), [], "x", ["day"], replicates=1000, block=5)
+    return b.select("n", *[r6(F.col(c), c) for c in ("mean", "low", "high")])
 
 
 # Backtest
