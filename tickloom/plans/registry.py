@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog, datasets  # noqa: F401  datasets adds its queries
+from . import catalog, datasets, research  # noqa: F401  datasets and research add their queries
 
 
 def flagship(spark, sf_dir: str):
