@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog, datasets, research  # noqa: F401  datasets and research add their queries
+from . import catalog, datasets, monitor, research  # noqa: F401  the other modules add their queries
 
 
 def flagship(spark, sf_dir: str):

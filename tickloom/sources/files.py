@@ -37,17 +37,86 @@ def read_zipped_bars(spark: SparkSession, path: str, glob: str = "*.zip") -> Dat
     return files.mapInPandas(lines, f"{BARS}, path string, line long")
 
 
+def listing(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """(path, size, modified, symbol, day) of the files below path, without their content.
+
+    symbol and day come from folders of the form symbol=x/day=y, else they are null.
+    """
+    f = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    part = lambda k: F.nullif(F.regexp_extract("path", rf"/{k}=([^/]*)/", 1), F.lit(""))
+    return f.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), part("symbol").alias("symbol"), part("day").alias("day"))
+
+
+def available_days(spark: SparkSession, root: str, table: str, symbol: str) -> list[str]:
+    """Days for which a table has files of a symbol, in order: as many as there are days."""
+    from .tables import exists
+
+    if not exists(spark, f"{root}/{table}"):
+        return []
+    days = listing(spark, f"{root}/{table}", "*.parquet").filter((F.col("symbol") == symbol) & F.col("day").rlike("^[0-9]+$"))
+    return [r.day for r in days.select("day").distinct().orderBy("day").collect()]
+
+
+def latest_files(spark: SparkSession, root: str, table: str, symbol: str, n: int) -> DataFrame:
+    """The n last files of a symbol by day and path, in that order."""
+    f = listing(spark, f"{root}/{table}", "*.parquet").filter(F.col("symbol") == symbol)
+    return f.orderBy(F.desc("day"), F.desc("path")).limit(n).orderBy("day", "path")
+
+
+def inventory(spark: SparkSession, root: str, table: str, t: str) -> DataFrame:
+    """(symbol, day, files, size, n_rows, t_min, t_max) of a partitioned table, with totals per symbol and over all.
+
+    Only the column t is read; files and sizes come from the scan's own metadata.
+    """
+    d = spark.read.parquet(f"{root}/{table}").select("symbol", F.col("day").cast("string").alias("day"), t, "_metadata.file_path", "_metadata.file_size")
+    per = d.groupBy("symbol", "day", "file_path", "file_size").agg(F.count("*").alias("n"), F.min(t).alias("lo"), F.max(t).alias("hi"))
+    return per.rollup("symbol", "day").agg(F.count("*").alias("files"), F.sum("file_size").alias("size"), F.sum("n").alias("n_rows"), F.min("lo").alias("t_min"), F.max("hi").alias("t_max"))
+
+
 def manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(path, size, sha256) of each file; a file is one value, so below 2 GB."""
     f = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     return f.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
-def manifest_check(spark: SparkSession, recorded: DataFrame, path: str, glob: str = "*") -> DataFrame:
-    """(path, status) of recorded (path, size, sha256) against the files: matched, mismatched, only_left or only_right."""
+def shard_manifest(spark: SparkSession, path: str, id_field: str = "u", glob: str = "*.jsonl*") -> DataFrame:
+    """manifest with n_records, first_id and last_id of JSON-line files, by the place of lines in the file."""
+    lines = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path).select("value", "_metadata.file_path", F.monotonically_increasing_id().alias("at")).filter("value <> ''")
+    ident = F.get_json_object("value", f"$.{id_field}").cast("long")
+    per = lines.groupBy(F.col("file_path").alias("path")).agg(F.count("*").alias("n_records"), F.min_by(ident, "at").alias("first_id"), F.max_by(ident, "at").alias("last_id"))
+    return manifest(spark, path, glob).join(per, "path", "left").withColumn("n_records", F.coalesce("n_records", F.lit(0)))
+
+
+def manifest_check(spark: SparkSession, recorded: DataFrame, path: str, glob: str = "*", columns=("size", "sha256")) -> DataFrame:
+    """(path, status) of recorded (path, columns) against the files: matched, mismatched, only_left or only_right.
+
+    With n_records among the columns, files are read as lines of JSON.
+    """
     from ..operators.dedup import diff
 
-    return diff(recorded, manifest(spark, path, glob), ["path"], ["size", "sha256"])
+    now = shard_manifest(spark, path, glob=glob) if "n_records" in columns else manifest(spark, path, glob)
+    return diff(recorded, now, ["path"], list(columns))
+
+
+def verify_day(spark: SparkSession, raw: str, recorded: DataFrame, tables: dict[str, tuple[DataFrame, list[str]]], glob: str = "*.jsonl*") -> DataFrame:
+    """(what, status, n): a day's files against their manifests, and duplicate keys of its tables.
+
+    Files without a manifest (only_right: still open) don't fail the day; others that
+    don't match, and duplicate keys, do: their rows have ok = false.
+    """
+    from ..operators.dedup import duplicate_audit
+
+    out = manifest_check(spark, recorded, raw, glob, ("size", "sha256", "n_records")).groupBy("status").agg(F.count("*").alias("n"))
+    out = out.select(F.lit("raw").alias("what"), "status", "n", F.col("status").isin("matched", "only_right").alias("ok"))
+    for name, (df, keys) in tables.items():
+        a = duplicate_audit(df, keys)
+        out = out.unionByName(a.select(F.lit(name).alias("what"), F.lit("duplicate_keys").alias("status"), F.col("duplicate_keys").alias("n"), "ok"))
+    return out
+
+
+def write_report(rows: DataFrame, path: str) -> None:
+    """A report's rows as JSON lines: a small table, in one file that replaces the last."""
+    rows.coalesce(1).write.mode("overwrite").json(path)
 
 
 def route(root: str, tables: dict[str, tuple[Column, list[Column]]]):
@@ -81,3 +150,16 @@ def instrument_specs(spark: SparkSession, path: str) -> DataFrame:
     pick = lambda kind, field: F.get(F.filter("filters", lambda f: f["filterType"] == kind), F.lit(0))[field]
     live = s.filter("contractType = 'PERPETUAL' AND quoteAsset = 'USDT' AND status = 'TRADING'")
     return live.select("symbol", pick("PRICE_FILTER", "tickSize").alias("tick"), pick("LOT_SIZE", "stepSize").alias("step"))
+
+
+def required_specs(specs: DataFrame, symbols: list[str]) -> DataFrame:
+    """specs of the symbols; a symbol that has none (unknown, or no trading perpetual) raises when the rows are read."""
+    want = specs.sparkSession.createDataFrame([(s,) for s in symbols], "symbol string")
+    problem = F.raise_error(F.concat(F.lit("no trading perpetual: "), F.col("symbol"))).cast("string")
+    return want.join(specs, "symbol", "left").withColumn("tick", F.coalesce("tick", problem))
+
+
+def spec_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(symbol, old_tick, new_tick, old_step, new_step) where a later file of specs differs: their books start over."""
+    a, b = (d.select("symbol", F.col("tick").alias(f"{n}_tick"), F.col("step").alias(f"{n}_step")) for d, n in ((old, "old"), (new, "new")))
+    return a.join(b, "symbol").filter("NOT (old_tick <=> new_tick AND old_step <=> new_step)").select("symbol", "old_tick", "new_tick", "old_step", "new_step")

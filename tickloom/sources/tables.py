@@ -59,12 +59,37 @@ def book(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def load(spark: SparkSession, root: str, name: str, symbol: str, start: str, end: str, columns=None, valid_only: bool = False) -> DataFrame:
+_LADDERS = [f"{side}_{what}_{i}" for side in ("bid", "ask") for what in ("px", "qty") for i in range(LEVELS)]
+#: Columns of each normalized table that load() knows the types of; files may have more, or lack some.
+SCHEMAS = {
+    "book_top20": "book_epoch long, u long, T_ms long, E_ms long, recv_seq long, recv_time_ns long, is_valid boolean, " + ", ".join(f"{c} string" for c in _LADDERS),
+    "agg_trades": "a long, price string, qty string, first_trade long, last_trade long, T_ms long, E_ms long, buyer_is_maker boolean, aggressor_side string, recv_time_ns long",
+    "mark_price": "E_ms long, recv_seq long, price string, index_price string, settle_price string, funding_rate string, recv_time_ns long",
+    "gaps": "gap_id string, stream string, kind string, certainty string, reason string, detected_time_ns long, start_time_ns long, end_time_ns long, prev_known_id long, next_known_id long, repair_status string, update_time_ns long",
+    "quality_events": "time_ns long, stream string, event_type string, severity string, detail string",
+}
+#: Text columns that hold numbers.
+NUMERIC = ["price", "qty", "notional_qty", "settle_price", "avg_price", "index_price", "funding_rate", *_LADDERS]
+
+
+def empty(spark: SparkSession, name: str) -> DataFrame:
+    return spark.createDataFrame([], f"symbol string, day string, {SCHEMAS[name]}")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at))
+
+
+def load(spark: SparkSession, root: str, name: str, symbol: str, start: str, end: str, columns=None, valid_only: bool = False, schema: str | None = None, numbers: bool = False) -> DataFrame:
     """A normalized table of one symbol and a closed range of days (YYYYMMDD), deduplicated.
 
-    Unknown tables raise. The read covers the partition columns' range only, so
-    other days' files aren't listed by the scan; keys are read beside the asked
-    columns and dropped again.
+    Unknown tables raise; one that was never written is empty. The types come
+    from SCHEMAS (or schema), so no file's footer is opened for them; a column
+    that a file lacks is null. The filter on the partition columns keeps the scan
+    to the days' files. Keys are read beside the asked columns and dropped again.
+    With numbers, prices and quantities in text become doubles. Tables without
+    keys come in the order of time.
     """
     from ..operators.dedup import keep_first, keep_last
 
@@ -72,16 +97,30 @@ def load(spark: SparkSession, root: str, name: str, symbol: str, start: str, end
         raise ValueError(f"unknown table {name!r}")
     if end < start:
         raise ValueError("the range of days ends before it starts")
-    df = spark.read.option("mergeSchema", "true").parquet(f"{root}/{name}").filter((F.col("symbol") == symbol) & F.col("day").cast("string").between(start, end))
+    if not exists(spark, f"{root}/{name}"):
+        df = empty(spark, name)
+    else:
+        df = spark.read.schema(f"{schema or SCHEMAS[name]}, symbol string, day string").parquet(f"{root}/{name}")
+    df = df.filter((F.col("symbol") == symbol) & F.col("day").between(start, end))
     if valid_only and "is_valid" in df.columns:
         df = df.filter("is_valid")
     keys, which, order = KEYS[name]
     if keys:
         df = (keep_first if which == "first" else keep_last)(df, list(keys), list(order))
         df = df.orderBy(*order)
+    elif "time_ns" in df.columns:
+        df = df.orderBy("time_ns")
+    if numbers:
+        df = to_numbers(df)
     return df.select(*columns) if columns else df
 
 
+def to_numbers(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """df with its text columns of NUMERIC (or columns) as doubles; text that is no number raises."""
+    text = {c for c, kind in df.dtypes if kind == "string"}
+    return df.withColumns({c: F.col(c).cast("double") for c in (columns or NUMERIC) if c in text})
+
+
 def days_between(start, end) -> list[str]:
     """Days of a closed range as YYYYMMDD; takes dates or YYYY-MM-DD or YYYYMMDD."""
     from datetime import date, datetime, timedelta
@@ -102,6 +141,31 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").json(path)
 
 
-def write_normalized(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Partitioned store (symbol, day) in zstd Parquet; files stay below a row limit."""
-    df.repartition("symbol", "day").write.partitionBy("symbol", "day").option("compression", "zstd").option("maxRecordsPerFile", 5_000_000).mode(mode).parquet(path)
+def raw_messages(spark: SparkSession, root: str, symbol: str, day: str) -> DataFrame:
+    """(symbol, session, kind, recv, body) of a day's raw shards, as streaming.book.replay takes them.
+
+    Shards lie in root/depth/symbol/day and root/rest/symbol/day as JSON lines of
+    (recv_time_ns, session_id, endpoint, status, raw). Of the requests only depth
+    snapshots that succeeded count. Damaged lines and unfinished files (.tmp) go.
+    """
+    line = "recv_time_ns long, session_id string, endpoint string, status int, raw string"
+    parts = []
+    for kind, folder in (("depth", "depth"), ("snapshot", "rest")):
+        path = f"{root}/{folder}/{symbol}/{day}"
+        if exists(spark, path):
+            d = read_jsonl(spark, path, line).filter("_corrupt_record IS NULL AND raw IS NOT NULL AND NOT input_file_name() LIKE '%.tmp'")
+            d = d.filter("endpoint LIKE '%/depth' AND status = 200") if kind == "snapshot" else d
+            parts.append(d.select(F.lit(symbol).alias("symbol"), F.col("session_id").alias("session"), F.lit(kind).alias("kind"), F.col("recv_time_ns").alias("recv"), F.col("raw").alias("body")))
+    if not parts:
+        return spark.createDataFrame([], "symbol string, session string, kind string, recv long, body string")
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def write_normalized(df: DataFrame, path: str, mode: str = "append", rows_per_file: int = 5_000_000, writers: int = 8) -> None:
+    """Partitioned store (symbol, day) in zstd Parquet; files stay below a row limit.
+
+    A symbol's day is written by up to `writers` tasks, so that a busy one isn't
+    a single task's; small ones have that many small files at most.
+    """
+    spread = F.pmod(F.xxhash64(*df.columns), F.lit(writers))
+    df.repartition("symbol", "day", spread).write.partitionBy("symbol", "day").option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).mode(mode).parquet(path)
