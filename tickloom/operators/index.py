@@ -19,12 +19,13 @@ def global_index(df: DataFrame, t: str, tie: list[str], bucket: int = 86_400_000
     return d.withColumn("__r", F.row_number().over(w)).join(offset, "__b").withColumn(name, (F.col("__r") - 1 + F.col("__o")).cast("long")).drop("__b", "__r", "__o")
 
 
-def fold_bounds(indexed: DataFrame, t: str, folds: int, horizon: int, purge: int | None = None, expanding: bool = True, min_train: int = 1000) -> DataFrame:
+def fold_bounds(indexed: DataFrame, t: str, folds: int, horizon: int, purge: int | None = None, expanding: bool = True, min_train: int = 500) -> DataFrame:
     """(k, tr_beg, te_beg, te_end, cut): purged walk-forward folds over rows idx = 0 .. n-1.
 
     Edges are int(n i / (folds + 1)). Training rows need t + horizon <= cut =
     t[te_beg] - purge; purge is horizon unless given, so labels end two horizons
-    ahead of the test. Folds with fewer than min_train training rows are left out.
+    ahead of the test. Folds with fewer than min_train training rows are left
+    out, and k numbers the others from 1.
     """
     purge = horizon if purge is None else purge
     n = indexed.agg((F.max("idx") + 1).alias("n"))
@@ -33,7 +34,8 @@ def fold_bounds(indexed: DataFrame, t: str, folds: int, horizon: int, purge: int
     b = b.join(indexed.select(F.col("idx").alias("te_beg"), (F.col(t) - purge).alias("cut")), "te_beg")
     train = indexed.select("idx", F.col(t).alias("__t")).join(F.broadcast(b), (F.col("idx") >= F.col("tr_beg")) & (F.col("idx") < F.col("te_beg")) & (F.col("__t") + horizon <= F.col("cut")))  # one row per fold
     sizes = train.groupBy("k").agg(F.count("*").alias("n_train"))
-    return b.join(sizes, "k").filter(F.col("n_train") >= min_train).select("k", "tr_beg", "te_beg", "te_end", "cut", "n_train")
+    kept = b.join(sizes, "k").filter(F.col("n_train") >= min_train)
+    return kept.select(F.row_number().over(Window.orderBy("k")).alias("k"), "tr_beg", "te_beg", "te_end", "cut", "n_train")  # a row per fold
 
 
 def time_split(indexed: DataFrame, t: str, horizon: int, shares=(0.6, 0.2)) -> DataFrame:
