@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of documents. A driver may write each stage's result as
 Parquet and read it again; run() does so in the shared folder.
+
+Null texts count as empty, null sources as a source of their own; rows with null
+or repeated ids are documents of their own; further columns are kept; an empty
+table gives an empty one. Of texts without words none passes the first stage.
 """
 
 from __future__ import annotations
