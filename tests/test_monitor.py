@@ -64,6 +64,7 @@ def test_day_check(spark, tmp_path):
     assert got == {("raw", "matched"): (1, True), ("raw", "only_right"): (1, True), ("trades", "duplicate_keys"): (1, False)}
     wrong = recorded.withColumn("n_records", F.lit(7).cast("long"))
     assert {r.status for r in files.verify_day(spark, str(tmp_path), wrong, {}).collect()} == {"mismatched", "only_right"}
+    assert files.daily_check(spark, str(tmp_path), recorded, {}, f"{tmp_path}/d") and not files.daily_check(spark, str(tmp_path), wrong, {}, f"{tmp_path}/d")
     files.write_report(rows, f"{tmp_path}/r")
     files.write_report(rows.limit(1), f"{tmp_path}/r")
     assert spark.read.json(f"{tmp_path}/r").count() == 1
@@ -97,3 +98,27 @@ def test_histogram_constant(spark):
     assert sum(r.n for r in h) == 5 and len(h) == 3
     b = stats.score_bins(spark.createDataFrame([(float(i), float(i)) for i in range(100)], "y double, p double"), "y", "p")
     assert [r.n for r in b.orderBy("bin").collect()] == [10] * 10 and stats.monotonic_share(b).first().monotonic == 1.0
+
+
+def test_settings(tmp_path):
+    from tickloom.sources import config
+
+    (tmp_path / "c.json").write_text('{"symbols": ["A"], "data_dir": "/d", "book": {"export_levels": 5}}')
+    c = config.read(f"{tmp_path}/c.json")
+    assert (c.symbols, c.book.export_levels, c.book.stale_after_ms, c.backfill.max_attempts) == (["A"], 5, 5000, 5)
+    base = {"symbols": [], "data_dir": "d"}
+    for wrong in ({"sym": 1}, {"book": {"levels": 1}}, {"book": {"export_levels": -1}}, {"book": {"export_levels": True}}):
+        with pytest.raises(ValueError, match="settings"):
+            config.parsed(config.Settings, base | wrong)
+    with pytest.raises(ValueError, match="data_dir"):
+        config.parsed(config.Settings, {"symbols": []})
+
+
+def test_reference_bars(spark, tmp_path):
+    import zipfile
+
+    assert files.reference_bars(spark, f"{tmp_path}/none").count() == 0
+    for name, close in (("a", 1.5), ("b", 9.9)):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as z:
+            z.writestr(f"{name}.csv", f"60000,1,2,0.5,{close},10,119999,15,3,6,9,0\n")
+    assert [r.close for r in files.reference_bars(spark, str(tmp_path)).collect()] == [1.5]

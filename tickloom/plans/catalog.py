@@ -475,14 +475,53 @@ def e5(spark, d):
     return c.select("symbol", "n", *[r6(F.col(x), x, 4) for x in ("gross_mean", "net_taker", "net_maker")])
 
 
-@query("st1_book_replay")
-def st1(spark, d):
-    """Replay of synthetic depth messages, rows per symbol (golden tests check the states)."""
+def _messages(spark, d) -> DataFrame:
+    """Synthetic depth messages of every symbol: one per trade, after a snapshot."""
     t = _trades(spark, d)
-    w = Window.partitionBy("symbol").orderBy("a")
-    n = t.withColumn("i", F.row_number().over(w))
+    n = carry.positions(t, SYM, "a", [], "i", 1 << 18).withColumn("i", F.col("i") + 1)
     tick = lambda x: F.format_string("%.1f", x.cast("double"))
     body = F.to_json(F.struct(F.col("i").alias("U"), F.col("i").alias("u"), (F.col("i") - 1).alias("pu"), F.array(F.array(tick(F.floor("p") - F.col("k") % 7), F.format_string("%.3f", F.col("q")))).alias("bids"), F.array(F.array(tick(F.floor("p") + 20 + F.col("k") % 5), F.lit("1.000"))).alias("asks")))
     m = n.select("symbol", F.lit("s0").alias("session"), F.when(F.col("i") == 1, "snapshot").otherwise("depth").alias("kind"), F.col("i").alias("recv"), body.alias("body"))
-    first = m.filter("recv = 1").withColumn("kind", F.lit("depth"))
-    return books.replay(m.unionByName(first)).groupBy("symbol", "session").agg(F.count("*").alias("n"), F.max("epoch").alias("epochs"), F.max("u").alias("last_u"))
+    return m.unionByName(m.filter("recv = 1").withColumn("kind", F.lit("depth")))
+
+
+@query("st1_book_replay")
+def st1(spark, d):
+    """Replay of the messages, rows per symbol (tested against plain dictionaries as sides)."""
+    return books.replay(_messages(spark, d)).groupBy("symbol", "session").agg(F.count("*").alias("n"), F.max("epoch").alias("epochs"), F.max("u").alias("last_u"))
+
+
+@query("v1_replay_twice", "SELECT event_type AS symbol, 's0' AS session, count(*) AS n, TRUE AS same FROM events GROUP BY 1")
+def v1(spark, d):
+    """Two replays, of messages that come in another order, give the same rows."""
+    a, b = books.replay_digest(books.replay(_messages(spark, d))), books.replay_digest(books.replay(_messages(spark, d).repartition(5)))
+    b = b.select("symbol", "session", F.col("n").alias("__n"), F.col("digest").alias("__d"))
+    return a.join(b, ["symbol", "session"], "full_outer").select("symbol", "session", "n", ((F.col("n") == F.col("__n")) & (F.col("digest") == F.col("__d"))).alias("same"))
+
+
+@query("v2_replay_diff", "WITH n AS (SELECT event_type AS symbol, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS u FROM events) SELECT symbol, CASE WHEN u % 5 = 0 THEN 'only_left' WHEN u % 7 = 0 THEN 'mismatched' ELSE 'matched' END AS status, count(*) AS n FROM n GROUP BY ALL")
+def v2(spark, d):
+    """Replayed rows against a store that lacks some and has others changed."""
+    r = books.replay(_messages(spark, d))
+    stored = r.filter("u % 5 <> 0").withColumn("bid_qty", F.when(F.col("u") % 7 == 0, F.array(F.lit(-1.0))).otherwise(F.col("bid_qty")))
+    return books.replay_against(r, stored).groupBy("symbol", "status").agg(F.count("*").alias("n"))
+
+
+@query("o3_last_trades", f"WITH {T} SELECT symbol, a, t_ms FROM t QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY a DESC) <= 50")
+def o3(spark, d):
+    """The last 50 trades of each symbol by id."""
+    w = Window.partitionBy("symbol").orderBy(F.desc("a"))
+    return _trades(spark, d).withColumn("__r", F.row_number().over(w)).filter("__r <= 50").select("symbol", "a", "t_ms")
+
+
+@query("q4_quality_page", f"WITH {T} SELECT symbol, a, CASE WHEN k % 10 = 0 THEN 'error' ELSE 'info' END AS severity FROM t WHERE k % 10 = 0 ORDER BY t_ms DESC, a DESC LIMIT 200")
+def q4(spark, d):
+    """The 200 latest records of one severity."""
+    e = _trades(spark, d).withColumn("severity", F.when(F.col("k") % 10 == 0, "error").otherwise("info")).filter("severity = 'error'")
+    return e.orderBy(F.desc("t_ms"), F.desc("a")).limit(200).select("symbol", "a", "severity")
+
+
+@query("fd_times", f"WITH {T} SELECT a, strftime(make_timestamp(t_ms * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS iso, strftime(make_timestamp(t_ms * 1000), '%Y%m%d') AS day FROM t")
+def fd(spark, d):
+    """Milliseconds as ISO text, nanoseconds as a day."""
+    return _trades(spark, d).select("a", tables.iso(F.col("t_ms")).alias("iso"), tables.day_of_ns(F.col("t_ms") * 1_000_000).alias("day"))

@@ -37,6 +37,22 @@ def read_zipped_bars(spark: SparkSession, path: str, glob: str = "*.zip") -> Dat
     return files.mapInPandas(lines, f"{BARS}, path string, line long")
 
 
+def reference_bars(spark: SparkSession, path: str, glob: str = "*.zip") -> DataFrame:
+    """read_zipped_bars with each open time once, the first by file and line; no bars where path has no such file."""
+    from ..operators.dedup import keep_first
+    from .tables import exists
+
+    if not exists(spark, path):
+        return spark.createDataFrame([], f"{BARS}, path string, line long")
+    return keep_first(read_zipped_bars(spark, path, glob), ["open_ms"], ["path", "line"])
+
+
+def daily_check(spark: SparkSession, raw: str, recorded: DataFrame, tables: dict[str, tuple[DataFrame, list[str]]], report: str) -> bool:
+    """Write a day's verify_day as a report; whether all of it is well."""
+    write_report(verify_day(spark, raw, recorded, tables), report)
+    return spark.read.schema("ok boolean").json(report).filter("NOT ok").isEmpty()
+
+
 def listing(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(path, size, modified, symbol, day) of the files below path, without their content.
 

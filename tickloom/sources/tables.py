@@ -37,6 +37,19 @@ def millis(col: str) -> Column:
     return F.unix_millis(F.col(col).cast("timestamp"))
 
 
+def iso(ms: Column) -> Column:
+    """Milliseconds as text in UTC, to the millisecond, whatever the session's time zone."""
+    of = F.pmod(ms, F.lit(86_400_000))
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(ms / 86_400_000).cast("int"))
+    part = lambda unit, most, digits: F.lpad((F.floor(of / unit) % most).cast("string"), digits, "0")
+    return F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T"), part(3_600_000, 24, 2), F.lit(":"), part(60_000, 60, 2), F.lit(":"), part(1000, 60, 2), F.lit("."), part(1, 1000, 3), F.lit("Z"))
+
+
+def day_of_ns(ns: Column) -> Column:
+    """The UTC day of nanoseconds as YYYYMMDD."""
+    return F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(ns / 86_400_000_000_000).cast("int")), "yyyyMMdd")
+
+
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """symbol, a (id), t_ms, p, q, side, k: one trade per event."""
     e = table(spark, sf_dir, "events")
