@@ -196,9 +196,10 @@ def _micro(spark, d) -> DataFrame:
     side = F.col("side") == "buy"
     sums = {"bv": F.when(side, F.col("q")).otherwise(0.0), "sv": F.when(side, 0.0).otherwise(F.col("q")), "n": F.lit(1).cast("long")}
     g = timealign.window_sums(_grid(t), t, SYM, "t_ms", WINDOW, sums)
-    now = timealign.asof_backward(g, t, SYM, "t_ms", "a", ["p"]).withColumnRenamed("p", "p0").drop("t_match")
-    ahead = now.withColumn("grid_t", F.col("t_ms")).withColumn("t_ms", F.col("t_ms") + HORIZON)
-    y = timealign.asof_backward(ahead, t, SYM, "t_ms", "a", ["p"]).withColumnRenamed("p", "p1").drop("t_match", "t_ms").withColumnRenamed("grid_t", "t_ms")
+    # One as-of lookup for now and for the horizon, then a row per grid time again.
+    both = g.withColumn("__at", F.col("t_ms")).withColumn("__ahead", F.explode(F.array(F.lit(0), F.lit(HORIZON))))
+    hit = timealign.asof_backward(both.withColumn("t_ms", F.col("__at") + F.col("__ahead")), t, SYM, "t_ms", "a", ["p"])
+    y = hit.groupBy("symbol", F.col("__at").alias("t_ms")).agg(*[F.max(c).alias(c) for c in sums], F.max(F.when(F.col("__ahead") == 0, F.col("p"))).alias("p0"), F.max(F.when(F.col("__ahead") > 0, F.col("p"))).alias("p1"))
     total = F.col("bv") + F.col("sv")
     return y.select("symbol", "t_ms", "bv", "sv", "n", F.when(total > 0, (F.col("bv") - F.col("sv")) / total).otherwise(0.0).alias("flow_imb"), ((F.col("p1") / F.col("p0") - 1) * 1e4).alias("y_bps"))
 
