@@ -151,6 +151,9 @@ def test_toxicity(spark, edge):
     docs = common.documents(spark, "/root/testdata/sf0.01")
     model = toxicity.fit(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
     low = model.probability(0.0)
+    small = docs.filter("doc_id < 400").withColumn("doc_id", docs.doc_id.cast("string"))
+    text = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").selectExpr("CAST(doc_id AS STRING) AS doc_id", "toxic")
+    assert 0 <= toxicity.fit(small, text).probability(0.0) < 1  # ids of another type
     got = toxicity.score(edge, model).collect()
     assert len(got) == len(ROWS) and all(r.score == pytest.approx(low) and not r.passages for r in got) and low < 0.5
     none = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))

@@ -148,15 +148,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A model of labels (doc_id, toxic) on the texts; held-out rows aren't used.
 
     At most SAMPLE_ROWS labelled rows, those with the smallest hashed ids, are
-    used; of an id labelled more than once, the largest label. Without labels of
-    both kinds, every text gets the same low score.
+    used; of an id labelled more than once, the largest label. Ids may be of any
+    type, the same in both tables; null ids and labels aren't used. Without
+    labels of both kinds, every text gets the same low score.
     """
     spark = docs.sparkSession
     own = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~is_held_out(F.col("doc_id")))
     picked = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS).collect()
     if len({r.toxic for r in picked}) < 2:
         return Model({}, -1.0)
-    sample = spark.createDataFrame([(r.doc_id, int(r.toxic)) for r in picked], "i long, toxic int")
+    sample = spark.createDataFrame([(r.doc_id, int(r.toxic)) for r in picked], f"i {dict(labels.dtypes)['doc_id']}, toxic int")
     rows = common.id_and_text(docs, id_col, text_col)
     rows = common.saved(rows.join(F.broadcast(sample), F.col("doc_id") == F.col("i")).select("doc_id", "text", "toxic"), "toxic-sample")
     # Each document counts once for a word, so a text that repeats a word can't carry it.
