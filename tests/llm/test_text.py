@@ -197,6 +197,20 @@ def test_field_whole_text():
     assert sum(map(len, late)) == 102 and [t for t, _ in late[-1]][-1] == 1
 
 
+def test_plain_words(spark):
+    """Words that share a computation have the features that each has by itself."""
+    import random
+
+    rng = random.Random(1)
+    words = {w for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").collect() for w in (r.text or "").split()} | {"Token", "(Password)", "deadbeef.", "Größe,", "naïve", "A", "iPhone", "e", "İstanbul", "ǅ", "secret:", "'quoted'"}
+    names = sorted({f for w in words for f in secrets.shape(w)})
+    field = secrets.Field({f: [rng.gauss(0, 1) for _ in range(3)] for f in names}, [[0.0, 0.0, secrets.NEVER], [0.0] * 3, [0.0] * 3])
+    decoder = secrets.Decoder(field)
+    for w in words:
+        at = decoder.words[w.encode()]
+        assert decoder.rows[at].tolist() == pytest.approx(field.scores([secrets.shape(w)])[0]) and secrets._CLASSES[decoder.kind[at]] == secrets._beside(w)
+
+
 def test_field_recall():
     """Of keys that no base pattern matches the field finds nine in ten at least, in places unlike those it was trained on."""
     import random

@@ -42,6 +42,9 @@ _TOKEN = re.compile(common.WORD)
 _KEY = re.compile(r"pass(word|wd|phrase)?|secret|token|api_?key|access_?key|private|credential|auth|bearer|pwd", re.I)
 _KEYS = ("pass", "secret", "token", "key")
 _TRIM = "\"'`,;!?()[]{}<>*&%$#"
+#: What may stand around a plain word: the marks of _TRIM that mean nothing to its neighbours.
+_AROUND = "`,;.!?()[]{}<>*&%$#"
+_NO_VOWELS, _HEX_DIGITS = str.maketrans("", "", "aeiouyAEIOUY"), "0123456789abcdefABCDEF"
 #: What a neighbouring word can be.
 _CLASSES = ("none", "sets", "keysets", "key", "mark", "plain")
 #: Bytes of words that a decoder remembers, about, and tokens that it scores at a time.
@@ -356,10 +359,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Fiel
         rows = common.id_and_text(docs, id_col, text_col).join(F.broadcast(sample), F.col("doc_id") == F.col("i"), "left_semi")
         found = common.map_texts(rows, lambda: lambda texts: [(labelled_runs(t), _TOKEN.findall(t[:400])[:8]) for t in texts], "runs array<string>, words array<string>")
         found = common.saved(found, "labelled")
-        picked = found.select("doc_id", F.posexplode("runs").alias("at", "run")).withColumn("is_secret", F.expr("run rlike '(^|\n)1 '"))
-        # All runs with a secret come first, then others by a hash of their place.
-        order = F.xxhash64("doc_id", "at")
-        picked = picked.withColumn("turn", order).orderBy(F.desc("is_secret"), "turn", "doc_id", "at").limit(SAMPLE_RUNS).collect()
+        every = found.select("doc_id", F.posexplode("runs").alias("at", "run")).dropDuplicates(["doc_id", "at"]).withColumns({"is_secret": F.expr("run rlike '(^|\n)1 '"), "turn": F.xxhash64("doc_id", "at")})
+        # All runs with a secret come first, then others by a hash of their place; only the chosen ones' features travel.
+        chosen = every.select("doc_id", "at", "is_secret", "turn").orderBy(F.desc("is_secret"), "turn", "doc_id", "at").limit(SAMPLE_RUNS).select("doc_id", "at")
+        picked = every.join(F.broadcast(chosen), ["doc_id", "at"]).select("run", "turn", "at").collect()
         runs = [r.run for r in sorted(picked, key=lambda r: (r.turn, r.at))]
         words = [r.w for r in found.select(F.explode("words").alias("w")).filter("length(w) BETWEEN 2 AND 14").distinct().orderBy(F.xxhash64("w"), "w").limit(2000).collect()]
         common.discard(found)
@@ -386,6 +389,7 @@ class Decoder:
         self.near = {side: np.array([w.get(side + c, none) for c in _CLASSES]) for side in ("p", "pp", "n")}
         self.file = {f: np.array(w.get(f, none)) for f in ("f=0", "f=1", "f=2", "f=3", "fcode", "ftext")}
         end = max(0.0, pairs[1][0] - pairs[0][0], pairs[2][0] - pairs[0][0])
+        self.plain: dict[tuple, tuple] = {}
         self.bound = [max(p[t] for p in pairs) - pairs[0][0] + end for t in (1, 2)]
         self.reset()
 
@@ -405,8 +409,16 @@ class Decoder:
         if at == len(self.rows):
             self.rows, self.kind = np.concatenate([self.rows, np.zeros_like(self.rows)]), np.concatenate([self.kind, np.zeros_like(self.kind)])
         text = word.decode()
-        self.rows[at] = self.field.scores([shape(text)])[0]
-        self.kind[at] = _CLASSES.index(_beside(text))
+        core = text.strip(_AROUND)
+        if core.isalpha() and (core.islower() or core[1:].islower()):
+            # Of a plain word all features follow from these, so words alike share one computation.
+            key = (len(core), len(core.translate(_NO_VOWELS)), core.isascii() and not core.strip(_HEX_DIGITS), core.isascii(), bool(_KEY.search(core)))
+            if key not in self.plain:
+                self.plain[key] = self.field.scores([shape(text)])[0], _CLASSES.index(_beside(text))
+            self.rows[at], self.kind[at] = self.plain[key]
+        else:
+            self.rows[at] = self.field.scores([shape(text)])[0]
+            self.kind[at] = _CLASSES.index(_beside(text))
         self.held += len(word) + 200
         return at
 
