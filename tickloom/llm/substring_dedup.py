@@ -38,15 +38,15 @@ WINDOW, GRAM = 100, 40
 #: Bytes at most of a window ahead of its trigger.
 AHEAD = WINDOW - GRAM
 #: Phrases that one bucket of triggers holds on average, and bits of a bucket at least.
-BUCKET_PHRASES, LEAST_BITS = 300_000, 6
+BUCKET_PHRASES, LEAST_BITS = 150_000, 6
 #: Dictionary phrases that one bucket of the suffix arrays holds on average.
 BUCKET_SORTED = 50_000
 #: Distinct phrases from which on a trigger's windows are dealt one by one, by their bytes.
 HOT_PHRASES = 50_000
 #: Bytes of text whose phrases a task holds at a time, and that are hashed at a time.
-SLICE_PARSED, BLOCK = 16_000_000, 500_000
+SLICE_PARSED, BLOCK = 8_000_000, 500_000
 #: Bytes of phrases that a task deals at a time, and of texts that it cuts at a time.
-SLICE_DEALT, SLICE_CUT = 16_000_000, 4_000_000
+SLICE_DEALT, SLICE_CUT = 8_000_000, 4_000_000
 REPEAT, CHECK, HOT = 0, 1, 2
 
 _powers: dict[int, tuple] = {}
@@ -277,7 +277,7 @@ def marks(rows: DataFrame, total_bytes: int, hot: int = HOT_PHRASES) -> DataFram
         yield from _local(held, bits)
 
     dealt = rows.select("doc_id", "text").mapInArrow(run, COLUMNS)
-    return dealt.repartition(1 << bits - 2, "bucket").groupBy("bucket").applyInArrow(_resolver(hot), MARKS)  # tasks grow in number, not in size
+    return dealt.repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(_resolver(hot), MARKS)  # tasks grow in number, not in size
 
 
 DICTIONARY = "bucket int, docs array<long>, los array<int>, grams array<byte>, lasts array<byte>, content binary"
@@ -384,7 +384,7 @@ def repeated_windows(held: DataFrame, n_phrases: int) -> DataFrame:
         yield from _dealt(entries, bits)
 
     dealt = held.select("doc_id", "text", "marks").mapInArrow(run, DICTIONARY)
-    return dealt.repartition(1 << bits - 2, "bucket").groupBy("bucket").applyInArrow(_sorted, "doc_id long, lo int, hi int")
+    return dealt.repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(_sorted, "doc_id long, lo int, hi int")
 
 
 def removed_runs(starts: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
