@@ -1,6 +1,7 @@
 """Plain-Python versions of the contracts, for comparison on small tables."""
 
 import collections
+import fractions
 import hashlib
 import re
 import zlib
@@ -150,3 +151,128 @@ def shards(rows, n):
 
 def held_out(doc_id):
     return zlib.crc32(str(doc_id).encode()) % 3 == 1
+
+
+def planted(doc_id, text):
+    """Words of a document after the contract's periods are planted."""
+    words = [w.decode() for w in (text or "").encode().split()]
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if h % 10 == 0 and n:
+        g = h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
+    return words
+
+
+def periods(words, least=24, times=3):
+    """(start, length, period) of every run, by comparing the words with their own shift by each period."""
+    out = {}
+    for q in range(1, len(words) // times + 1):
+        i = 0
+        while i + q < len(words):
+            j = i
+            while j + q < len(words) and words[j] == words[j + q]:
+                j += 1
+            if j + q - i >= max(least, times * q):
+                out.setdefault((i, j + q), q)
+            i = max(j, i + 1)
+    return sorted((a, b - a, q) for (a, b), q in out.items())
+
+
+def collapsed(words, runs):
+    gone = {i for start, length, period in runs for i in range(start + period, start + length)}
+    return " ".join(w for i, w in enumerate(words) if i not in gone)
+
+
+def run_row(words):
+    """The contract's columns but doc_id."""
+    runs = periods(words)
+    best = min(runs, key=lambda r: (-fractions.Fraction(r[1], r[2]), r[0], r[2]), default=None)
+    lines = "".join(f"{a},{b},{c}\n" for a, b, c in runs)
+    return (len(runs), *(best or (None,) * 3), 1000 * best[1] // best[2] if best else None, sha(lines), sha(collapsed(words, runs)))
+
+
+def damage(rows):
+    """rows (conv_id, turn, role, text) after the contract's damage."""
+    out = []
+    for c, t, role, text in rows:
+        kind = zlib.crc32(f"{' ' if c is None else c}:{' ' if t is None else t}".encode()) % 20
+        role, text = " " if role is None else role, " " if text is None else text
+        row = (c, t, "user" if kind == 4 else role, "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text)
+        out += [row] * (0 if kind == 0 else 2 if kind == 3 else 1)
+    return out
+
+
+def cheapest(turns):
+    """Least (cost, audit, repaired) of turns (role, text, must go, truncated), by trying every edit from the end back."""
+    steps = {"": {"s": "s", "u": "u"}, "s": {"u": "u"}, "u": {"a": "a"}, "a": {"u": "u"}}
+    names = {"u": "user", "a": "assistant"}
+    best = {s: (0, "", ()) if s in ("", "a") else (10**9, "", ()) for s in steps}
+
+    def insertions(best):
+        for _ in range(3):  # more than two insertions in a row lead nowhere new
+            old = dict(best)
+            for s in steps:
+                best[s] = min([old[s]] + [(old[to][0] + 5, "I" + old[to][1], ((names[r], ""), *old[to][2])) for r, to in steps[s].items() if r in names])
+        return best
+
+    best = insertions(best)
+    for role, text, gone, cut in reversed(turns):
+        new = {}
+        for s in steps:
+            ways = [(best[s][0] + 2, "D" + best[s][1], best[s][2])]
+            if not gone:
+                for r, to in steps[s].items():
+                    cost, audit, rest = best[to]
+                    if r == role[:1]:
+                        ways.append((cost + 5 * cut, "K" + audit, ((role, text), *rest)))
+                    if r in names:
+                        ways.append((cost + 5 * cut + 1, "R" + audit, ((names[r], text), *rest)))
+            new[s] = min(ways)
+        best = insertions(new)
+    return best[""]
+
+
+def repairs(rows):
+    """conv_id: the contract's columns; rows are as given."""
+    out = {}
+    damaged_rows = damage(rows)
+    for conv in {r[0] for r in rows}:
+        mine = sorted((r for r in damaged_rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0, r[2], r[3]))
+        at, seen, counts, turns = [r[1] for r in mine if r[1] is not None], set(), [0, 0, 0], []
+        for _, _, role, text in mine:
+            blank = not WORDS.search(text)
+            again = not blank and (role, text) in seen
+            cut = not blank and not again and WORDS.findall(text)[-1][-1] not in ".!?"
+            seen.add((role, text))
+            counts = [a + b for a, b in zip(counts, (blank, again, cut))]
+            turns.append((role, text, blank or again, cut))
+        cost, audit, fixed = cheapest(turns)
+        illegal = sum(a[0][:1] + b[0][:1] not in ("su", "ua", "au") for a, b in zip(turns, turns[1:]))
+        gaps = max(at) - min(at) + 1 - len(set(at)) if at else 0
+        out[conv] = (gaps, *counts, illegal, cost, audit, sha("\n".join(f"{r}:{t}" for r, t in fixed)))
+    return out
+
+
+def walk_digits(text, moves, classes, records, slots, period):
+    """Digits of a text's fingerprint, one step of the walk after the other."""
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        x = ((x ^ (x >> 31)) * 0x7FB5D329728EA185) & mask
+        x = ((x ^ (x >> 27)) * 0x81DADEF4BC2DD44D) & mask
+        return x ^ (x >> 33)
+
+    stands = []
+    for i, c in enumerate(text):
+        stands += [i] * int(moves[classes[ord(c)], len(stands) % period])
+    out = []
+    for slot in range(slots):
+        step = max((int(r) for r in records[slot] if r < len(stands)), default=None)
+        gram = 0
+        for k in range(4 if step is not None else 0):
+            at = stands[step] + k
+            gram = mix((gram * 0x9E3779B97F4A7C15 + (ord(text[at]) + 1 if at < len(text) else 0)) & mask)
+        out.append(mix((gram + step * 0xD6E8FEB86659FD93) & mask) >> 60 if step is not None else 0)
+    return out

@@ -37,6 +37,8 @@ def folders(spark, tmp_path_factory):
     for name, rows in (("edge", list(unique.values())), ("empty", [])):
         at = str(tmp_path_factory.mktemp(name))
         spark.createDataFrame([(i, t, None, s, None) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{at}/documents.parquet")
+        talk = [(i, None if i == 3 else t, (None, "user", "assistant", "system", "")[t % 5], text) for i, text, _ in rows for t in range(3)]
+        spark.createDataFrame(talk, "conv_id long, turn long, role string, text string").write.parquet(f"{at}/conversations.parquet")
         spark.createDataFrame([(i, None, i % 2) for i, _, _ in rows] + [(None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
         out[name] = (at, sorted(rows))
     return out
@@ -164,12 +166,17 @@ def test_toxicity(spark, edge):
 def test_queries(spark, folders, name):
     at, rows = folders["edge"]
     got = queries.queries()[name](spark, at).collect()
-    assert sorted(r.doc_id for r in got) == [i for i, _, _ in rows]
+    assert sorted(r[0] for r in got) == [i for i, _, _ in rows]
     assert queries.queries()[name](spark, folders["empty"][0]).collect() == []
     if name == "op1_exact_dedup":
         assert {r.doc_id: tuple(r)[1:] for r in got} == plain.exact([(i, t) for i, t, _ in rows])
     if name == "op8_ngram_join":
         assert {r.doc_id: tuple(r)[1:] for r in got} == plain.near([(i, t) for i, t, _ in rows], 4, 85)
+    if name == "op11_periodic_runs":
+        assert {r.doc_id: tuple(r)[1:] for r in got} == {i: plain.run_row(plain.planted(i, t)) for i, t, _ in rows}
+    if name == "op13_conversation_repair":
+        talk = [tuple(r) for r in spark.read.parquet(f"{at}/conversations.parquet").collect()]
+        assert {r.conv_id: tuple(r)[1:] for r in got} == plain.repairs(talk)
     if name == "op10_substring_dedup":
         assert {r.doc_id: tuple(r)[1:] for r in got} == plain.repeats([(i, t) for i, t, _ in rows])
 

@@ -163,5 +163,18 @@ def map_texts(df: DataFrame, make, schema: str, slice_bytes: int = SLICE_BYTES)
     return df.select("doc_id", "text").mapInArrow(run, out)
 
 
+def slices(batches, slice_bytes: int = SLICE_BYTES):
+    """(ids, texts) lists of the first two columns of Arrow batches, a few MB of text at a time."""
+    for batch in batches:
+        ids, texts, at = batch.column(0), batch.column(1), 0
+        while at < batch.num_rows:
+            end, held = at, 0
+            while end < batch.num_rows and (end == at or held < slice_bytes):
+                held += len(texts[end].as_buffer() or b"")
+                end += 1
+            yield ids.slice(at, end - at).to_pylist(), texts.slice(at, end - at).to_pylist()
+            at = end
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, near_dup, pii, quality, secrets, sharding, substring_dedup, toxicity
+from . import bpe, conversations, exact_dedup, fingerprints, mixing, near_dup, pii, quality, runs, secrets, sharding, substring_dedup, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_ngram_join": near_dup.op8,
         "op9_bpe": bpe.op9,
         "op10_substring_dedup": substring_dedup.op10,
+        "op11_periodic_runs": runs.op11,
+        "op12_fingerprints": fingerprints.op12,
+        "op13_conversation_repair": conversations.op13,
     }
 
 
