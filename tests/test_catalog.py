@@ -114,7 +114,7 @@ def test_gate_buckets(spark):
             entry = sig + rng.randint(0, 40)
             rows.append((key, sig, entry, entry + rng.randint(0, 120), rng.random() < 0.6))
     df = spark.createDataFrame(rows, "symbol string, sig_t long, entry_t long, exit_t long, ok boolean").selectExpr("*", "1.0D AS pred", "1 AS side", "1.0D AS in_px", "1.0D AS out_px", "CASE WHEN NOT ok THEN 'thin_book' END AS reason")
-    for bucket in (7, 100, 10_000):
+    for bucket in (3, 20, 10_000):
         got = backtest.gate(df, ["symbol"], bucket).collect()
         assert sorted((r.symbol or "", r.sig_t, r.entry_t, r.exit_t, r.outcome in ("trade",), r.outcome == "in_position") for r in got if r.outcome != "in_position") == sorted((k, a, e, x, ok, h) for k, a, e, x, ok, h in _gate_loop(rows) if not h)
         assert len(got) == len(rows)
@@ -127,6 +127,45 @@ def test_gate_buckets(spark):
         assert sorted((r.symbol or "", r.sig_t) for r in kept) == want
 
 
+def test_quantile_rounds(spark):
+    """Ranges narrowed over several rounds: heavy values, ties, infinities, null keys; as numpy ranks them."""
+    import random
+
+    from tickloom.functions import stats
+
+    rng = random.Random(4)
+    values = {"a": [rng.gauss(0, 1) ** 7 for _ in range(3000)], "b": [float(rng.choice([1, 1, 1, 2, 3])) for _ in range(2500)], "c": [5.0] * 900, None: [rng.random() * 10 ** rng.randint(-9, 9) for _ in range(2000)], "d": [1.0, 2.0], "e": [float("-inf"), 0.0, 7.0, float("inf")] * 300}
+    shares = [0.0, 0.001, 0.25, 0.5, 0.9999, 1.0]
+    df = spark.createDataFrame([(k, v) for k, x in values.items() for v in [*x, None]], "k string, x double").repartition(6)
+    for ranked in (3, 40, 500, 50_000):
+        got = {(r.k, r.share): (r.value, r.n) for r in stats.quantiles(df, ["k"], "x", shares, ranked).collect()}
+        assert len(got) == len(values) * len(shares)
+        for k, x in values.items():
+            for s in shares:
+                value, n = got[k, s]
+                a, z = (sorted(x)[int(f((len(x) - 1) * s))] for f in (np.floor, np.ceil))
+                want = a + (z - a) * ((len(x) - 1) * s - np.floor((len(x) - 1) * s)) if a != z else a
+                assert n == len(x) and (value == pytest.approx(want, rel=1e-12) or (np.isinf(a) and not np.isfinite(value)))
+    one = {r.share: r.value for r in stats.quantiles(df.filter("k = 'a'"), [], "x", [0.1, 0.5], 100).collect()}
+    assert one == {s: pytest.approx(np.quantile(values["a"], s)) for s in (0.1, 0.5)}
+    assert stats.quantiles(df.limit(0), ["k"], "x", [0.5]).collect() == []
+
+
+def test_carried_nulls(spark):
+    """Rows with a null key or time keep their place in segments, positions and sums; none is lost."""
+    from tickloom.operators import carry, index, timealign
+
+    rows = [("s", 5, 1), ("s", 900, 2), (None, 3, 3), ("s", None, 4), (None, None, 5), (None, 700, 6)]
+    d = spark.createDataFrame(rows, "k string, t long, i int")
+    want = {1: (0, 1), 2: (1, 2), 3: (0, 1), 4: (0, 0), 5: (0, 0), 6: (1, 2)}
+    seg = {r.i: r.segment for r in timealign.segments(d, ["k"], "t", "i", 50).collect()}
+    pos = {r.i: r.idx for r in carry.positions(d, ["k"], "t", ["i"], "idx", 100).collect()}
+    assert {i: (seg[i], pos[i]) for i in want} == want
+    assert [r.i for r in index.global_index(d, "t", ["i"], 100).orderBy("idx").collect()] == [4, 5, 3, 1, 6, 2]
+    hit = timealign.asof_backward(d.filter("i in (2, 6)"), d.withColumnRenamed("i", "j").filter("t < 10"), ["k"], "t", "j", ["j"], 100)
+    assert {r.i: r.j for r in hit.collect()} == {2: 1, 6: 3}
+
+
 def test_gate_size(spark):
     """No row of the gate's plan holds a key's rows as an array, and gaps aren't one window over all ids."""
     from tickloom.operators import timealign
@@ -134,7 +173,8 @@ def test_gate_size(spark):
 
     t = spark.createDataFrame([("a", 1), ("a", 5), ("a", 90), ("a", 91), ("b", 3)], "symbol string, a long")
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
-    assert "collect_list" not in plan(timealign.greedy_nonoverlap(t, ["symbol"], "a", 2))
+    gated = timealign.greedy_nonoverlap(t, ["symbol"], "a", 2)
+    assert "collect_list" not in plan(gated) and "FlatMapGroupsInArrow [symbol#" not in plan(gated).replace(", __b", "!") and gated.count() == 4
     for bucket in (1, 3, 64, 1 << 18):
         assert sorted(tuple(r) for r in book.id_gaps(t, ["symbol"], "a", bucket).collect()) == [("a", 2, 4), ("a", 6, 89)]
     assert "__b" in plan(book.id_gaps(t, ["symbol"], "a"))
@@ -154,6 +194,9 @@ def test_replay_batches(spark):
     one = book.Book()
     outs = [(u, o) for s, _, kind, u, b in rows if s == "x" for o in (one.snapshot if kind == "snapshot" else one.event)(json.loads(b) | {"recv": u})]
     want = [(1, u, u, flags, *ladders) for u, (kind, flags, ladders) in outs if kind == "row"]
+    sliced = book.replay(m, slice_rows=50)  # the book goes from one slice of time to the next
+    for s in ("x", "y", None):
+        assert sorted(tuple(r)[2:] for r in sliced.collect() if r.symbol == s) == sorted(want)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
         got = book.replay(m)
@@ -321,30 +364,112 @@ def test_id_gaps_state():
     assert ids.take(10**9) == "gap" and len(ids.gaps) == 1 and ids.take(12) is None and ids.take(10**9 - 5) == "late"
 
 
-def test_streams(spark, tmp_path):
-    """The streaming forms give, over several micro-batches, what the batch forms give."""
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+MESSAGE = "symbol string, session string, kind string, recv long, body string"
+
+
+def _depth(u, pu=None, bid="50.0", qty="1.000", ask="101.0"):
+    import json
+
+    return json.dumps({"e": "depthUpdate", "E": u, "T": u, "s": "x", "U": u, "u": u, "pu": u - 1 if pu is None else pu, "b": [[bid, qty]], "a": [[ask, "2.000"]]})
+
+
+@pytest.fixture
+def rocks(spark):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    yield
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def _streamed(spark, df, at, name):
+    q = df.writeStream.format("parquet").option("path", f"{at}/{name}").option("checkpointLocation", f"{at}/c{name}").outputMode("append").trigger(availableNow=True).start()
+    assert q.awaitTermination(180)
+    return spark.read.parquet(f"{at}/{name}").collect()
+
+
+def test_streams(spark, tmp_path, rocks):
+    """The streaming forms give, over several micro-batches and a restart from the checkpoint, what the batch forms give."""
     import json
 
     from tickloom.streaming import book
 
-    rows = [("x", "s0", "depth", u, json.dumps({"U": u, "u": u, "pu": u - 1, "bids": [[f"{50 + u % 9}.0", "1.000"]], "asks": [["101.0", "2.000"]]})) for u in range(1, 40)]
-    rows.insert(3, ("x", "s0", "snapshot", 3, json.dumps({"u": 2, "bids": [["49.0", "1.000"]], "asks": []})))
-    schema = "symbol string, session string, kind string, recv long, body string"
-    for i in range(0, len(rows), 10):
-        spark.createDataFrame(rows[i : i + 10], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/m")
-    def streamed(df, name):
-        q = df.writeStream.format("memory").queryName(name).option("checkpointLocation", f"{tmp_path}/c{name}").outputMode("append").trigger(availableNow=True).start()
-        q.awaitTermination(120)
-        return spark.sql(f"SELECT * FROM {name}").collect()
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/m")
-    got = streamed(book.stream_replay(source), "books")
-    want = book.replay(spark.createDataFrame(rows, schema)).collect()
-    assert len(got) > 30 and sorted(tuple(map(str, r)) for r in got) == sorted(tuple(map(str, r)) for r in want)
+    rows = [("x", "s0", "depth", u, _depth(u, bid=f"{50 + u % 9}.0")) for u in range(1, 40) if u != 20]
+    rows.insert(3, ("x", "s0", "snapshot", 3, json.dumps({"lastUpdateId": 2, "bids": [["49.0", "1.000"]], "asks": []})))
+    rows.insert(30, ("x", "s0", "snapshot", 30, json.dumps({"lastUpdateId": 25, "bids": [["49.0", "1.000"]], "asks": [["99.0", "1.000"]]})))
+    for half in (rows[:17], rows[17:]):  # each half is a query of its own, which goes on where the last one stopped
+        for i in range(0, len(half), 9):
+            spark.createDataFrame(half[i : i + 9], MESSAGE).coalesce(1).write.mode("append").parquet(f"{tmp_path}/m")
+        source = spark.readStream.schema(MESSAGE).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/m")
+        got = _streamed(spark, book.stream_replay(source), tmp_path, "books")
+    want = book.replay(spark.createDataFrame(rows, MESSAGE)).collect()
+    assert len(got) > 30 and {r.epoch for r in got} == {1, 2} and sorted(tuple(map(str, r)) for r in got) == sorted(tuple(map(str, r)) for r in want)
     spark.createDataFrame([("x", a) for a in (1, 2, 2, 7, 5)], "symbol string, a long").coalesce(1).write.parquet(f"{tmp_path}/a")
-    ids = streamed(book.stream_id_gaps(spark.readStream.schema("symbol string, a long").parquet(f"{tmp_path}/a")), "ids")
+    ids = _streamed(spark, book.stream_id_gaps(spark.readStream.schema("symbol string, a long").parquet(f"{tmp_path}/a")), tmp_path, "ids")
     assert [(r.a, r.verdict) for r in ids] == [(1, "ok"), (2, "ok"), (7, "gap"), (5, "late")]
 
 
+def test_stream_gaps(spark, tmp_path, rocks):
+    """Silence alone makes a book stale; a gap has one version per cause, is made certain, and closes with the next valid book."""
+    import json
+    import time
+
+    from tickloom.operators import dedup
+    from tickloom.streaming import book
+
+    def write(*rows):
+        spark.createDataFrame([("x", "s0", *r) for r in rows], MESSAGE).coalesce(1).write.mode("append").parquet(f"{tmp_path}/m")
+
+    snap = lambda u: json.dumps({"lastUpdateId": u, "bids": [["49.0", "1.000"]], "asks": []})
+    write(("depth", 1, _depth(1)))
+    source = spark.readStream.schema(MESSAGE).parquet(f"{tmp_path}/m")
+    q = book.stream_depth(source, stale_ms=1500, resync_ms=200).writeStream.format("memory").queryName("gaps_of").option("checkpointLocation", f"{tmp_path}/c").trigger(processingTime="200 milliseconds").start()
+
+    def until(condition, seconds=60):
+        end = time.time() + seconds
+        while time.time() < end:
+            assert q.exception() is None
+            if spark.sql("SELECT * FROM gaps_of").filter(condition).count():
+                return
+            time.sleep(0.3)
+        raise AssertionError(condition)
+
+    try:
+        until("kind = 'request'")  # a message is held, and no snapshot has come
+        write(("snapshot", 2, snap(1)), ("depth", 3, _depth(2)))
+        until("kind = 'row' AND u = 2")
+        until("kind = 'state' AND reason = 'no_depth_event'")  # nothing was written
+        write(("depth", 9, _depth(9)))
+        until("kind = 'state' AND reason = 'pu_mismatch'")
+        write(("depth", 10, _depth(10)), ("snapshot", 11, snap(10)), ("depth", 12, _depth(11)))
+        until("kind = 'row' AND u = 11")
+        write(("depth", 13, "not json"))
+        until("kind = 'state' AND reason = 'event_unparseable'")
+    finally:
+        q.stop()
+    gaps = spark.sql("SELECT * FROM gaps_of WHERE kind = 'gap'")
+    first = gaps.filter("gap_id LIKE '%no_depth_event'").orderBy("version").collect()
+    assert [(r.version, r.certainty, r.status) for r in first] == [(0, "suspected", "open"), (1, "certain", "open"), (2, "certain", "not_applicable")]
+    assert first[0].gap_kind == "depth_stale" and first[1].note == "then pu_mismatch" and (first[0].prev_u, first[2].next_u) == (2, 10)
+    last = {r.gap_id.split(":")[-1]: r.status for r in dedup.keep_last(gaps, ["gap_id"], ["version"]).collect()}
+    assert last == {"no_depth_event": "not_applicable", "event_unparseable": "open"}
+
+
+def test_readable():
+    """Wire and own forms; whatever is damaged is None."""
+    import json
+
+    from tickloom.streaming.book import readable
+
+    wire = json.loads(_depth(5))
+    assert readable("depth", json.dumps(wire))["bids"] == [["50.0", "1.000"]] == readable("depth", json.dumps({"stream": "x@depth", "data": wire}))["bids"]
+    for change in ({"u": True}, {"u": "5"}, {"U": 6}, {"E": 1.5}, {"b": "x"}, {"pu": None}):
+        assert readable("depth", json.dumps(wire | change)) is None
+    for text in ("", "{", "[]", "3", "null", json.dumps({k: v for k, v in wire.items() if k != "T"}), json.dumps({k: v for k, v in wire.items() if k != "a"})):
+        assert readable("depth", text) is None and readable("snapshot", text) is None
+    assert readable("snapshot", json.dumps({"lastUpdateId": 4, "bids": [], "asks": []})) == {"u": 4, "bids": [], "asks": [], "limit": None}
+    assert readable("snapshot", json.dumps({"bids": [], "asks": []})) is None
+
+
 def test_replay_log_and_diff(spark):
     import json
 

@@ -93,6 +93,24 @@ def test_nested(made, expanding):
     _compare(found.collect(), trades.collect(), want)
 
 
+def test_scales(spark):
+    """Columns of one key that are 10^8 times those of another don't change the other's model (sums are shifted per key)."""
+    rng, rows = np.random.default_rng(6), []
+    for s, base in (("big", 1e8), ("small", 20.0)):
+        x = np.column_stack([base + rng.normal(size=900), rng.normal(size=900)])
+        y = (x[:, 0] - base) - 0.5 * x[:, 1] + rng.normal(size=900)
+        rows += [(s, i, *map(float, a), float(b)) for i, (a, b) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "symbol string, idx long, a double, b double, y double")
+    bounds = spark.createDataFrame([(s, 0, 0, 700) for s in ("big", "small")], "symbol string, k int, lo long, hi long")
+    got = {r.symbol: r for r in research.models(df, bounds, {"full": ("lo", "hi")}, ["symbol"], ["a", "b"], "y", (1.0,)).collect()}
+    for s in ("big", "small"):
+        own = np.array([r[2:] for r in rows if r[0] == s])[:700]
+        x, y = own[:, :2], own[:, 2]
+        z = (x - x.mean(0)) / x.std(0)
+        w = np.linalg.solve(z.T @ z + np.eye(2), z.T @ (y - y.mean()))
+        assert got[s].weights == pytest.approx(w, rel=1e-6) and got[s].stds == pytest.approx(x.std(0), rel=1e-6) and got[s].means == pytest.approx(x.mean(0))
+
+
 def test_queries(spark):  # the longest of the suite
     """m5, and one horizon of m8, over the events: what a numpy loop over the same dataset gives."""
     from tickloom.plans import research as plans

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import carry
+from ..sources.shared import cut, small
 
 
 def nearest_rank(values: str, p: float) -> Column:
@@ -25,33 +26,55 @@ def gap_summary(df: DataFrame, keys: list[str], t: str, gap: int) -> DataFrame:
     return d.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.min(t).alias("t_start"), F.max(t).alias("t_end"), ((F.max(t) - F.min(t)) / 1000).alias("span_s"), F.max("__d").alias("max_gap"), F.count_if(F.col("__d") > gap).alias("n_gaps"))
 
 
-def quantiles(df: DataFrame, keys: list[str], x: str, shares: list[float]) -> DataFrame:
+#: Values that a task ranks for one quantile at most, and parts into which a range of values is cut at a time.
+RANKED, PARTS = 50_000, 64
+
+
+def quantiles(df: DataFrame, keys: list[str], x: str, shares: list[float], ranked: int = RANKED) -> DataFrame:
     """(keys, share, value, n): exact quantiles, interpolated between the two nearest ranks; nulls are left out.
 
-    Approximate quantiles bracket each rank; only the values within a bracket,
-    a few in a thousand, are counted and ranked, so no task holds a key's values.
+    The range in which a quantile's two ranks lie is cut at approximate quantiles
+    of its own values, the parts are counted exactly, and those that hold the
+    ranks are the next range, until `ranked` values or fewer lie within. Each
+    round is one partial aggregation, and there are as many as log(rows) to the
+    base of PARTS: no task holds more than `ranked` values, whatever they are.
     """
-    d = df.filter(F.col(x).isNotNull()).select(*keys, F.col(x).cast("double").alias("__x"))
-    near = F.percentile_approx("__x", F.lit([max(0.0, s - MARGIN) for s in shares]), F.lit(ACCURACY))
-    far = F.percentile_approx("__x", F.lit([min(1.0, s + MARGIN) for s in shares]), F.lit(ACCURACY))
-    b = d.groupBy(*keys).agg(F.count("*").alias("n"), near.alias("__lo"), far.alias("__hi"), F.min("__x").alias("__min"), F.max("__x").alias("__max"))
-    few = F.col("n") < 4 / MARGIN  # too few for a bracket to hold the next rank: all values are ranked
-    edge = lambda s, i: F.struct(F.lit(float(s)).alias("share"), F.when(few | F.lit(s <= MARGIN), F.col("__min")).otherwise(F.col("__lo")[i]).alias("lo"), F.when(few | F.lit(s >= 1 - MARGIN), F.col("__max")).otherwise(F.col("__hi")[i]).alias("hi"))
-    b = b.select(*keys, "n", F.explode(F.array(*[edge(s, i) for i, s in enumerate(shares)])).alias("__e")).select(*keys, "n", "__e.share", "__e.lo", "__e.hi")
-    # Values below a bracket count as one, those within by themselves.
-    rows = d.join(b, keys) if keys else d.crossJoin(F.broadcast(b))  # without keys b has one row per share
-    at = F.when(F.col("__x") >= F.col("lo"), F.col("__x"))
-    c = rows.filter(F.col("__x") <= F.col("hi")).groupBy(*keys, "n", "share", at.alias("__v")).agg(F.count("*").alias("__c"))
-    run = Window.partitionBy(*keys, "share").orderBy(F.col("__v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    c = c.withColumn("__end", F.sum("__c").over(run))
+    d = df.select(*keys, F.col(x).cast("double").alias("__x")).filter("__x IS NOT NULL")
+    per = d.groupBy(*keys).agg(F.count("*").alias("n"), F.max("__x").alias("hi"))
+    each = F.explode(F.array(*[F.lit(float(s)) for s in dict.fromkeys(shares)])).alias("share")
+    # lo is outside the range, hi is its last value; below: rows at or before lo; inside: rows ahead of hi
+    r = per.select(*keys, "n", each, F.lit(None).cast("double").alias("lo"), "hi", F.lit(0).cast("long").alias("below"), F.col("n").alias("inside"))
+    by = [*keys, "share"]
+
+    def met(ranges: DataFrame) -> DataFrame:
+        both = carry.matched(d, small(ranges) if most > ranked else ranges, keys) if keys else d.crossJoin(F.broadcast(ranges))  # without keys a row per share
+        return both.filter((F.col("lo").isNull() | (F.col("__x") > F.col("lo"))) & (F.col("__x") <= F.col("hi")))
+
+    low, high = F.floor((F.col("n") - 1) * F.col("share")), F.ceil((F.col("n") - 1) * F.col("share"))
+    done, most = None, per.agg(F.max("n")).first()[0] or 0
+    if most > ranked:
+        d, r = cut(d), cut(r)
+        while not (wide := r.filter(F.col("inside") > ranked)).isEmpty():
+            few = r.filter(F.col("inside") <= ranked)
+            done = few if done is None else done.unionByName(few)
+            rows = met(wide)
+            at = F.percentile_approx("__x", F.lit([i / PARTS for i in range(1, PARTS)]), F.lit(20 * PARTS))
+            edges = cut(rows.filter(F.col("__x") < F.col("hi")).groupBy(*by).agg(F.array_distinct(at).alias("__edges")))
+            parts = met(carry.matched(wide, edges, by)).withColumn("__part", F.size(F.filter("__edges", lambda e: e < F.col("__x"))))
+            parts = parts.groupBy(*by, "n", "lo", "below", "__part").agg(F.count("*").alias("__c"), F.max("__x").alias("__top"), F.count_if(F.col("__x") < F.col("hi")).alias("__own"), F.max("hi").alias("hi"))
+            run = Window.partitionBy(*by).orderBy("__part")  # at most PARTS rows
+            end = F.col("below") + F.sum("__c").over(run)
+            parts = parts.withColumns({"__end": end, "__prev": F.lag("__top").over(run)}).withColumn("__begin", F.col("__end") - F.col("__c"))
+            held = (F.col("__end") > low) & (F.col("__begin") <= high)
+            kept = parts.filter(held).groupBy(*by, "n").agg(F.min_by(F.coalesce("__prev", "lo"), "__part").alias("lo"), F.max("__top").alias("hi"), F.min("__begin").alias("below"))
+            sizes = met(kept.withColumn("inside", F.lit(0))).groupBy(*by).agg(F.count_if(F.col("__x") < F.col("hi")).alias("inside"))
+            r = cut(carry.matched(kept, sizes, by).select(r.columns))
+    r = r if done is None else done.unionByName(r)
+    c = met(r).groupBy(*by, "n", "below", F.col("__x").alias("__v")).agg(F.count("*").alias("__c"))
+    c = c.withColumn("__end", F.col("below") + F.sum("__c").over(Window.partitionBy(*by).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)))  # at most `ranked` values and the last
+    hit = lambda rank: F.min(F.when(F.col("__end") > rank, F.col("__v")))
     rank = (F.col("n") - 1) * F.col("share")
-    low, high = F.floor(rank), F.ceil(rank)
-    hit = lambda r: F.min(F.when(F.col("__end") > r, F.col("__v")))
-    return c.groupBy(*keys, "n", "share").agg(hit(low).alias("__a"), hit(high).alias("__z")).select(*keys, "share", (F.col("__a") + (F.col("__z") - F.col("__a")) * (rank - low)).alias("value"), "n")
-
-
-#: Accuracy of the bracketing quantiles, and what they are taken apart.
-ACCURACY, MARGIN = 10_000, 0.001
+    return c.groupBy(*by, "n").agg(hit(low).alias("__a"), hit(high).alias("__z")).select(*keys, "share", (F.col("__a") + (F.col("__z") - F.col("__a")) * (rank - low)).alias("value"), "n")
 
 
 def histogram(df: DataFrame, x: str, bins: int = 41, low: float = 0.001, high: float = 0.999) -> DataFrame:
@@ -104,7 +127,12 @@ def uniform(*parts: Column) -> Column:
 
 
 def poisson(u: Column, mean: Column, most: int = 12) -> Column:
-    """The Poisson number, at most `most`, whose distribution function first exceeds u."""
+    """The Poisson number whose distribution function first exceeds u.
+
+    For u of 32 bits (see uniform) and a mean of at most 1 the number is 12 at
+    most: that of 13 or more has a probability of 6.4e-11, below 2^-32. So `most`
+    cuts nothing there; for larger means give a larger one.
+    """
     term, total, out = F.exp(-mean), F.exp(-mean), F.lit(0)
     for k in range(1, most + 1):
         out = out + (u >= total).cast("int")

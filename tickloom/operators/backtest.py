@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .timealign import GATE_BUCKET, asof_backward, gate_free
+from .timealign import GATE_BLOCK, asof_backward, gate_free
 
 
 def walk_book(px: str, qty: str, size: float) -> Column:
@@ -37,16 +37,16 @@ def feasibility(signals: DataFrame, book: DataFrame, keys: list[str], size: floa
     return b.select(*keys, "sig_t", "pred", "side", "entry_t", "exit_t", F.col("in.vwap").alias("in_px"), F.col("out.vwap").alias("out_px"), reason.alias("reason"))
 
 
-def gate(candidates: DataFrame, keys: list[str], bucket: int = GATE_BUCKET) -> DataFrame:
+def gate(candidates: DataFrame, keys: list[str], block: int = GATE_BLOCK) -> DataFrame:
     """candidates with outcome: trade, in_position, or the reason of infeasibility.
 
     In order of the signals' time in a key: a signal while a position is held (before
     the last trade's exit_t) is in_position; else it has its own reason, which
-    doesn't block; else it is a trade, which holds to exit_t. The fold is
-    sequential over a key, a bucket of time at once (see gate_free).
+    doesn't block; else it is a trade, which holds to exit_t. See gate_free for how
+    this is found without going through a key in one task.
     """
     rows = candidates.withColumns({"__entry": F.col("sig_t"), "__exit": F.col("exit_t"), "__ok": F.col("reason").isNull(), "__why": F.coalesce("reason", F.lit(""))})
-    gated = gate_free(rows, keys, ["sig_t", "entry_t", "exit_t", "__why", "pred", "side", "in_px", "out_px"], bucket)
+    gated = gate_free(rows, keys, ["sig_t", "entry_t", "exit_t", "__why", "pred", "side", "in_px", "out_px"], block)
     outcome = F.when(F.col("held"), "in_position").otherwise(F.coalesce("reason", F.lit("trade")))
     return gated.select(*keys, "sig_t", "entry_t", "exit_t", "pred", "side", "in_px", "out_px", outcome.alias("outcome"))
 

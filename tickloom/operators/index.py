@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import carry
+
 
 def global_index(df: DataFrame, t: str, tie: list[str], bucket: int = 86_400_000, name: str = "idx") -> DataFrame:
     """df with its position (from 0) in the order of t and tie.
 
     Buckets of time are numbered apart; the bucket counts, a small table, give
-    each its offset.
+    each its offset. Rows without a time come first.
     """
     d = df.withColumn("__b", F.floor(F.col(t) / bucket).cast("long"))
     counts = d.groupBy("__b").agg(F.count("*").alias("__n"))
     offset = counts.select("__b", F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__o"))
     w = Window.partitionBy("__b").orderBy(t, *tie)
-    return d.withColumn("__r", F.row_number().over(w)).join(offset, "__b").withColumn(name, (F.col("__r") - 1 + F.col("__o")).cast("long")).drop("__b", "__r", "__o")
+    return carry.matched(d.withColumn("__r", F.row_number().over(w)), offset, ["__b"]).withColumn(name, (F.col("__r") - 1 + F.col("__o")).cast("long")).drop("__b", "__r", "__o")
 
 
 def fold_bounds(indexed: DataFrame, t: str, folds: int, horizon: int, purge: int | None = None, expanding: bool = True, min_train: int = 500) -> DataFrame:

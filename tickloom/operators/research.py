@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..sources.shared import cut
+from ..sources.shared import cut, ship, small
 from . import backtest, carry, datasets, features, ridge, timealign
 
 STATE = ["mid", "spread_bps", "imb1", "imb20", "micro_bps", "depth20_bid", "depth20_ask"]
@@ -143,16 +143,21 @@ def models(data: DataFrame, bounds: DataFrame, sets: dict[str, tuple[str, str]],
     """
     import pandas as pd
 
+    ship(data.sparkSession)
     ends = sorted({e for pair in sets.values() for e in pair})
     edges = bounds.select(*keys, F.explode(F.array(*ends)).alias("__e")).groupBy(*keys).agg(F.sort_array(F.collect_set("__e")).alias("__edges"))  # a few per fold
-    rows = data.join(edges, keys).withColumn("__block", F.size(F.filter("__edges", lambda e: e <= F.col(idx))))
-    sums, pivot = ridge.gram(rows, columns, y, [*keys, "__block"], data.agg(*[F.avg(c).alias(c) for c in [*columns, y]]).first().asDict())
+    names_of = [*columns, y]
+    means = data.groupBy(*keys).agg(*[F.avg(c).alias(f"__m{i}") for i, c in enumerate(names_of)])  # sums are shifted by their own key's means
+    edges = cut(edges.join(means, keys))
+    rows = data.join(small(edges), keys).withColumn("__block", F.size(F.filter("__edges", lambda e: e <= F.col(idx))))
+    sums, _ = ridge.gram(rows, columns, y, [*keys, "__block"], {c: F.col(f"__m{i}") for i, c in enumerate(names_of)})
     spec = bounds.groupBy(*keys).agg(F.collect_list(F.struct("k", *ends)).alias("__folds"))
     work = sums.join(edges, keys).join(spec, keys)
     names = sorted(sets)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         first = pdf.iloc[0]
+        pivot = {c: first[f"__m{i}"] for i, c in enumerate(names_of)}
         own, edge = list(first["__edges"]), {b: row for b, row in zip(pdf["__block"], pdf.to_dict("records"))}
         out = []
         for fold in first["__folds"]:
@@ -210,7 +215,12 @@ def nested(data: DataFrame, keys: list[str], columns: list[str], y: str, horizon
 
     def predictions(lo: str, hi: str, use: DataFrame) -> DataFrame:
         ranges = use.join(b.select(*keys, "k", F.col(lo).alias("__lo"), F.col(hi).alias("__hi")), [*keys, "k"])
-        met = rows.join(ranges, keys).filter((F.col("idx") >= F.col("__lo")) & (F.col("idx") < F.col("__hi")))
+        # a row per key, with its folds and models as an array: a data row meets one row and keeps the ranges it lies in
+        own = [c for c in ranges.columns if c not in keys]
+        per = cut(ranges.groupBy(*keys).agg(F.collect_list(F.struct(*own)).alias("__ranges")))
+        within = F.filter("__ranges", lambda r: (F.col("idx") >= r["__lo"]) & (F.col("idx") < r["__hi"]))
+        met = rows.join(small(per), keys).withColumn("__r", F.explode(within))
+        met = met.select(*rows.columns, *[F.col(f"__r.{c}").alias(c) for c in own])
         return met.withColumn("pred", predicted(met, columns))
 
     inner = cut(predictions("val_beg", "tr_end", fitted.filter("stage = 'inner'")).select(*by, t, "y", "pred"))

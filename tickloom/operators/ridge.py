@@ -33,15 +33,15 @@ class Ridge:
         return sorted(zip(self.columns, map(float, self.weights)), key=lambda x: -abs(x[1]))
 
 
-def gram(df: DataFrame, columns: list[str], y: str, by: list[str] | None = None, pivot: dict[str, float] | None = None) -> tuple[DataFrame, dict[str, float]]:
-    """Sums n, x, x x', x y of values shifted by a pivot (the global means), per group `by`.
+def gram(df: DataFrame, columns: list[str], y: str, by: list[str] | None = None, pivot: dict | None = None) -> tuple[DataFrame, dict]:
+    """Sums n, x, x x', x y of values shifted by a pivot (numbers, or columns; else the global means), per group `by`.
 
     Shifted sums keep their digits where a column's spread is small against its
     mean. Groups add up: expanding folds are running sums of block rows.
     """
     pivot = pivot or df.agg(*[F.avg(c).alias(c) for c in [*columns, y]]).first().asDict()
-    x = [(F.col(c) - float(pivot[c] or 0.0)) for c in columns]
-    t = F.col(y) - float(pivot[y] or 0.0)
+    at = lambda c: pivot[c] if isinstance(pivot[c], Column) else float(pivot[c] or 0.0)
+    x, t = [F.col(c) - at(c) for c in columns], F.col(y) - at(y)
     sums = [F.count("*").alias("n"), F.sum(t).alias("sy")]
     for i in range(len(columns)):
         sums += [F.sum(x[i]).alias(f"s{i}"), F.sum(x[i] * t).alias(f"t{i}"), F.min(columns[i]).alias(f"lo{i}"), F.max(columns[i]).alias(f"hi{i}")]

@@ -8,11 +8,10 @@ reach for a trailing window.
 
 from __future__ import annotations
 
-import bisect
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut, ship
 from . import carry
 
 
@@ -46,11 +45,11 @@ def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], t: str, ti
     ends = r.groupBy(*keys, "__b").agg(F.max_by("__row", F.struct(t, "__tie")).alias("__row"))
     spots = ends.unionByName(l.select(*keys, "__b").distinct(), allowMissingColumns=True).groupBy(*keys, "__b").agg(F.max("__row").alias("__row"))
     before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = spots.select(*keys, "__b", F.last("__row", ignorenulls=True).over(before).alias("__carry"))
+    carried = spots.select(*keys, "__b", F.last("__row", ignorenulls=True).over(before).alias("__carry"))
     both = r.withColumn("__g", F.lit(0)).unionByName(l.withColumn("__g", F.lit(1)), allowMissingColumns=True)
     w = Window.partitionBy(*keys, "__b").orderBy(t, "__g", F.col("__tie").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
     out = both.withColumn("__hit", F.last("__row", ignorenulls=True).over(w)).filter("__g = 1")
-    out = out.join(carry, [*keys, "__b"], "left").withColumn("__hit", F.coalesce("__hit", "__carry"))
+    out = carry.matched(out, carried, [*keys, "__b"], "left").withColumn("__hit", F.coalesce("__hit", "__carry"))
     return out.select(*left.columns, F.col("__hit.t_match").alias("t_match"), *[F.col(f"__hit.{c}").alias(c) for c in columns])
 
 
@@ -70,102 +69,76 @@ def window_sums(left: DataFrame, right: DataFrame, keys: list[str], t: str, wind
     return out.filter("__g = 1").select(*left.columns, *sums)
 
 
-#: Milliseconds of time whose rows the sequential gates hold at once.
-GATE_BUCKET = 3_600_000
-
+#: Rows of a key that a task of the gate holds at once.
+GATE_BLOCK = 8_192
 
-def gate_step(entry: list, exit_: list, ok: list) -> tuple[list, list]:
-    """What a bucket's rows make of the time from which a key is free: (up to, out), ascending.
 
-    A key free from f is free from out[i] after the bucket, for the first up_to[i] >= f;
-    where there is none the bucket opens nothing and f stays. Rows are in order of the gate.
-    """
-    ahead, outs = [], []  # entries, negated, of the rows that are later than all before them, the nearest last
-    for e, x, use in zip(reversed(entry), reversed(exit_), reversed(ok)):
-        if not use or e is None:
-            continue
-        at = bisect.bisect_right(ahead, -x) - 1
-        out = outs[at] if at >= 0 else x
-        keep = bisect.bisect_left(ahead, -e)
-        del ahead[keep:], outs[keep:]
-        ahead.append(-e)
-        outs.append(out)
-    up_to, out = [], []
-    for e, x in zip(reversed(ahead), reversed(outs)):
-        if out and out[-1] == x:
-            up_to[-1] = -e
-        else:
-            up_to.append(-e)
-            out.append(x)
-    return up_to, out
-
-
-def gate_free(rows: DataFrame, keys: list[str], order: list[str], bucket: int = GATE_BUCKET) -> DataFrame:
+def gate_free(rows: DataFrame, keys: list[str], order: list[str], block: int = GATE_BLOCK) -> DataFrame:
     """rows with held (boolean): whether an earlier row of the key is held at this one's __entry.
 
-    rows have __entry, __exit and __ok (may be held); a row that is ok and not held
-    itself holds to __exit. Rows go by `order`, whose first column is a time; a
-    bucket of it is folded at a time, and what a bucket makes of the free time is a
-    small table, over which it is carried from one bucket to the next.
+    rows have __entry (a time, by which and by `order` they go), __exit and __ok
+    (may be held); a row that is ok and not held itself holds to __exit. Rows
+    without __entry are not held and hold nothing.
+
+    The rows that are not held form one chain from a key's first: each points to
+    the next, which after one that holds is the first at or after its exit. Blocks
+    of rows find for each of their rows where its chain leaves them; of these
+    places only, pointers are doubled until every chain's blocks are known, in as
+    many rounds as their number has binary digits. No task sees a key.
     """
     import pyarrow as pa
 
-    never, columns = -(2**62), rows.columns
-    cut = rows.withColumn("__b", F.coalesce(F.floor(F.col(order[0]) / bucket).cast("long"), F.lit(never)))
-    by = [(c, "ascending") for c in order]
-    kinds = dict(cut.dtypes)
-    head = ", ".join(f"`{c}` {kinds[c]}" for c in keys)
-
-    def key_arrays(key, n, table):
-        return [pa.array([k.as_py()] * n, type=table.schema.field(c).type) for c, k in zip(keys, key)]
-
-    def steps(key, table):
-        t = table.sort_by(by)
-        up_to, out = gate_step(*(t.column(c).to_pylist() for c in ("__entry", "__exit", "__ok")))
-        n = len(out)
-        return pa.Table.from_arrays([*key_arrays(key, n, t), pa.array([key[-1].as_py()] * n, pa.int64()), pa.array(up_to, pa.int64()), pa.array(out, pa.int64())], names=[*keys, "__b", "__up_to", "__out"])
-
-    def carry(key, table):
-        t = table.sort_by([("__b", "ascending"), ("__up_to", "ascending")])
-        free, at, done = never, [], []
-        last = None
-        for b, up_to, out in zip(*(t.column(c).to_pylist() for c in ("__b", "__up_to", "__out"))):
-            if b == last:
-                continue  # this bucket's step is taken
-            if up_to >= free:
-                free, last = out, b
-                at.append(b)
-                done.append(free)
-        n = len(at)
-        return pa.Table.from_arrays([*key_arrays(key, n, t), pa.array(at, pa.int64()), pa.array(done, pa.int64())], names=[*keys, "__b", "__free"])
-
-    def fold(key, table):
-        known = table.column("__carry").to_pylist()
-        free = max((x for x in known if x is not None), default=never)
-        t = table.filter(table.column("__row")).sort_by(by)
-        held = []
-        for e, x, use in zip(*(t.column(c).to_pylist() for c in ("__entry", "__exit", "__ok"))):
-            held.append(e is not None and e < free)
-            if use and e is not None and e >= free:
-                free = x
-        return t.select(columns).append_column("held", pa.array(held, pa.bool_()))
-
-    changed = cut.groupBy(*keys, "__b").applyInArrow(steps, f"{head}, __b long, __up_to long, __out long").groupBy(*keys).applyInArrow(carry, f"{head}, __b long, __free long")
-    # The free time at a bucket is that after the last changing bucket before it.
-    spots = cut.select(*keys, "__b").distinct().unionByName(changed, allowMissingColumns=True).groupBy(*keys, "__b").agg(F.max("__free").alias("__free"))
-    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = spots.select(*keys, "__b", F.last("__free", ignorenulls=True).over(before).alias("__carry"), F.lit(False).alias("__row"))
-    both = cut.withColumn("__row", F.lit(True)).unionByName(carried, allowMissingColumns=True)
-    return both.groupBy(*keys, "__b").applyInArrow(fold, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", held boolean")
-
-
-def greedy_nonoverlap(df: DataFrame, keys: list[str], t: str, hold: int, bucket: int = GATE_BUCKET) -> DataFrame:
-    """Rows kept by the greedy gate: a row is kept if it is hold or more after the last kept.
-
-    The gate is sequential within a key; see gate_free.
-    """
+    ship(rows.sparkSession)
+    columns = rows.columns
+    d = carry.positions(rows.filter(F.col("__entry").isNotNull()), keys, "__entry", order, "__i")
+    probe = d.withColumn("__t", F.col("__exit") - 1)
+    ahead = asof_backward(probe, d.withColumn("__t", F.col("__entry")).withColumnRenamed("__i", "__at"), keys, "__t", "__at", ["__at"])
+    after = F.col("__i") + 1
+    to = F.when(F.col("__ok"), F.greatest(after, F.coalesce(F.col("__at") + 1, after))).otherwise(after)
+    d = cut(ahead.select(*columns, "__i", to.alias("__to"), F.expr(f"__i div {block}").alias("__b")))
+
+    def leave(table):
+        """Where the chain of each row leaves the block."""
+        i, to = table.column("__i").to_pylist(), table.column("__to").to_pylist()
+        place, out = {x: n for n, x in enumerate(i)}, list(to)
+        for n in sorted(range(len(i)), key=i.__getitem__, reverse=True):
+            if to[n] in place:
+                out[n] = out[place[to[n]]]
+        return table.select([*keys, "__i"]).append_column("__to", pa.array(out, pa.int64()))
+
+    def follow(table):
+        """held of each row, given the block's first row on the chain."""
+        i, to = table.column("__i").to_pylist(), table.column("__to").to_pylist()
+        at = min((x for x, first in zip(i, table.column("__first").to_pylist()) if first), default=None)
+        place, free = {x: n for n, x in enumerate(i)}, [False] * len(i)
+        while at in place:
+            free[place[at]] = True
+            at = to[place[at]]
+        return table.select(columns).append_column("held", pa.array([not x for x in free], pa.bool_()))
+
+    kinds = dict(rows.dtypes)
+    ddl = lambda names: ", ".join(f"`{c}` {kinds[c]}" for c in names)
+    by = [*keys, "__i"]
+    first = d.filter("__i = 0").select(*by)
+    blocks = d.agg(F.max("__b")).first()[0]
+    if blocks:
+        outs = cut(d.groupBy(*keys, "__b").applyInArrow(leave, f"{ddl(keys)}, __i long, __to long"))
+        doors = outs.select(*keys, F.col("__to").alias("__i")).unionByName(first).distinct()
+        jumps = cut(carry.matched(outs, doors, by))
+        for _ in range(blocks.bit_length()):
+            hops = carry.matched(jumps, first, by).select(*keys, F.col("__to").alias("__i"))
+            first = cut(first.unionByName(hops))
+            far = jumps.withColumnRenamed("__to", "__far").withColumnRenamed("__i", "__to")
+            jumps = cut(carry.matched(jumps, far, [*keys, "__to"]).select(*by, F.col("__far").alias("__to")))
+    marked = carry.matched(d, first.distinct().withColumn("__first", F.lit(True)), by, "left")
+    out = marked.groupBy(*keys, "__b").applyInArrow(follow, f"{ddl(columns)}, held boolean")
+    return out.unionByName(rows.filter(F.col("__entry").isNull()).withColumn("held", F.lit(False)))
+
+
+def greedy_nonoverlap(df: DataFrame, keys: list[str], t: str, hold: int, block: int = GATE_BLOCK) -> DataFrame:
+    """Rows kept by the greedy gate: a row is kept if it is hold or more after the last kept. See gate_free."""
     rows = df.filter(F.col(t).isNotNull()).select(*keys, t, F.col(t).alias("__entry"), (F.col(t) + hold).alias("__exit"), F.lit(True).alias("__ok"))
-    return gate_free(rows, keys, [t], bucket).filter("NOT held").select(*keys, t)
+    return gate_free(rows, keys, [t], block).filter("NOT held").select(*keys, t)
 
 
 def position_ahead(df: DataFrame, keys: list[str], t: str, horizon: int, value: str) -> Column:

@@ -1,10 +1,14 @@
-"""Cutting lineage in the folder that the driver and all executors share."""
+"""Cutting lineage in the folder that the driver and all executors share, sizes, and shipping the package."""
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -20,3 +24,29 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         spark.sparkContext.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="tickloom-"))
     return df.checkpoint()
+
+
+#: Rows up to which a table is small enough to send to every executor.
+SMALL = 50_000
+
+
+def small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """df, to be broadcast if it has been counted to hold `most` rows at most; else left to a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the executors' Python workers, wherever the driver was started."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    path = os.path.join(tempfile.mkdtemp(prefix="tickloom-zip-"), f"{root.name}-core.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for p in sorted(root.rglob("*.py")):
+            out.write(p, p.relative_to(root.parent))
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(app)
