@@ -53,6 +53,89 @@ def test_raw_shards(spark, tmp_path):
     assert tables.raw_messages(spark, str(tmp_path), "X", "20260102").count() == 0
 
 
+@pytest.fixture
+def by_case(spark):
+    """load() makes the session case sensitive; other tests get it back as it was."""
+    old = spark.conf.get("spark.sql.caseSensitive")
+    yield
+    spark.conf.set("spark.sql.caseSensitive", old)
+
+
+def test_stored_layout(spark, tmp_path, by_case):
+    """Files in folders symbol/day with names that differ by case only, written without Spark."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    def put(name, day, rows, file="a"):
+        at = tmp_path / name / "S" / day
+        at.mkdir(parents=True, exist_ok=True)
+        pq.write_table(pa.Table.from_pylist(rows), at / f"{file}.parquet")
+
+    def row(u, epoch, valid, t, **more):
+        return {"symbol": "S", "book_epoch": epoch, "u": u, "U": u - 1, "pu": u - 2, "T_ms": t, "recv_seq": u, "is_valid": valid, "bid_px_0": f"{100 + u}.5", "bid_qty_0": "1.000"} | more
+
+    put("book_top20", "20260101", [row(5, 0, True, 50), row(1, 0, True, 10), row(2, 0, False, 20)])
+    put("book_top20", "20260102", [row(3, 0, True, 30, bid_px_0="999.0", recv_seq=9, flags="late"), row(3, 0, True, 30), row(5, 1, True, 60)], "b")
+    put("book_top20", "20260104", [row(7, 0, True, 70)])
+    got = tables.load(spark, str(tmp_path), "book_top20", "S", "20260101", "20260102", numbers=True)
+    assert [(r.u, r.first_id, r.prev_id, r.book_epoch, r.bid_px_0, r.day) for r in got.collect()] == [(1, 0, -1, 0, 101.5, "20260101"), (3, 2, 1, 0, 103.5, "20260102"), (5, 4, 3, 0, 105.5, "20260101"), (5, 4, 3, 1, 105.5, "20260102")]
+    assert "flags" in got.columns and got.filter("flags = 'late'").count() == 0
+    assert [r.u for r in tables.load(spark, str(tmp_path), "book_top20", "S", "20260101", "20260104", ["u"], valid_only=False).collect()] == [1, 2, 3, 5, 5, 7]
+    trade = {"symbol": "S", "a": 4, "p": "10.5", "q": "2", "nq": "2", "f": 1, "l": 2, "T_ms": 5, "m": True}
+    put("agg_trades", "20260101", [trade, trade | {"T_ms": 6, "p": "11"}, trade | {"a": 3}])
+    put("mark_price", "20260101", [{"symbol": "S", "E_ms": 1, "p": "5.5", "P": "6.5", "i": "1", "ap": "2", "r": "0.1", "recv_seq": 1}])
+    assert [tuple(r) for r in tables.load(spark, str(tmp_path), "agg_trades", "S", "20260101", "20260101", ["a", "p", "m"], numbers=True).collect()] == [(3, 10.5, True), (4, 10.5, True)]
+    assert [tuple(r) for r in tables.load(spark, str(tmp_path), "mark_price", "S", "20260101", "20260101", ["price", "settle_price", "funding_rate"], numbers=True).collect()] == [(5.5, 6.5, 0.1)]
+    assert tables.load(spark, str(tmp_path), "agg_trades", "S", "20260201", "20260202").count() == 0 == tables.load(spark, str(tmp_path), "gaps", "S", "20260101", "20260102").count()
+    back = tables.load(spark, str(tmp_path), "agg_trades", "S", "20260101", "20260101", numbers=True)
+    tables.write_normalized(back, f"{tmp_path}/own/agg_trades")  # the engine's own doubles are read as they are
+    assert [r.price for r in tables.load(spark, f"{tmp_path}/own", "agg_trades", "S", "20260101", "20260101").collect()] == [10.5, 10.5]
+
+
+def test_wire_shards(spark, tmp_path):
+    """Shards as they are received: events alone and in a stream's envelope, snapshots with their request's limit, gzip, damaged bodies."""
+    import gzip
+
+    from tickloom.streaming import book
+
+    def event(recv, u, pu, stream=False, **more):
+        m = {"e": "depthUpdate", "E": u, "T": u, "s": "X", "U": pu + 1, "u": u, "pu": pu, "b": [["100.0", "1.000"]], "a": [["101.0", "2.000"]]} | more
+        return json.dumps({"recv_time_ns": recv, "session_id": "s0", "connection_id": "c", "raw": json.dumps({"stream": "x@depth", "data": m} if stream else m)})
+
+    def snapshot(recv, u, status=200, **params):
+        levels = {"bids": [["100.0", "1.000"], ["99.0", "1.000"]], "asks": [["101.0", "2.000"], ["102.0", "1.000"]]}
+        return json.dumps({"recv_time_ns": recv, "session_id": "s0", "endpoint": "/fapi/v1/depth", "status": status, "params": {"symbol": "X"} | params, "raw": json.dumps({"lastUpdateId": u, "E": 1, "T": 1} | levels)})
+
+    for folder in ("depth", "rest"):
+        (tmp_path / "raw" / folder / "X" / "20260101").mkdir(parents=True)
+    with gzip.open(tmp_path / "raw/depth/X/20260101/a.jsonl.gz", "wt") as f:
+        f.write("\n".join([event(5, 2, 0), event(7, 3, 2, True), event(8, 4, 3, U="4"), json.dumps({"recv_time_ns": 9, "session_id": "s0", "raw": "{broken"}), event(10, 5, 3, True), event(12, 6, 5)]) + "\n")
+    (tmp_path / "raw/rest/X/20260101/a.jsonl").write_text("\n".join([snapshot(6, 2, limit=1000), snapshot(11, 6, 418), snapshot(13, 6, limit=2)]) + "\n")
+    m = tables.raw_messages(spark, str(tmp_path), "X", "20260101")
+    assert m.count() == 8
+    limits = [json.loads(r.body)["limit"] for r in m.filter("kind = 'snapshot'").orderBy("recv").collect()]
+    assert limits == [1000, 2]
+    assert [(r.epoch, r.u, r.flags) for r in book.replay(m, top=2).orderBy("recv").collect()] == [(1, 2, "first_after_snapshot"), (1, 3, ""), (1, 5, ""), (1, 6, "")]
+    log = [(r.recv, r.kind, r.reason) for r in book.replay_log(m, top=2).orderBy("recv").collect()]
+    assert (8, "dropped", "parse_error") in log and (9, "dropped", "parse_error") in log and (13, "dropped", "snapshot_while_not_syncing") in log
+
+
+def test_footers(spark, store):
+    """Counts and ends come from the files' footers: the plan reads no column."""
+    plan = files.inventory(spark, store, "agg_trades", "T_ms")._jdf.queryExecution().optimizedPlan().toString() + files.inventory(spark, store, "agg_trades", "T_ms")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [COUNT(*), MIN(T_ms), MAX(T_ms)]" in plan and spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"
+
+
+def test_long_gap(spark):
+    """One jump of 3 * 10^9 ids is one interval, for filling and for membership."""
+    far = 3_000_000_000
+    gaps = spark.createDataFrame([("S", 2, far), ("S", far + 2, far + 2), (None, 5, 6)], "k string, from_a long, to_a long")
+    rows = spark.createDataFrame([("S", 1, 1), ("S", 7, 2), ("S", 7, 1), ("S", far + 2, 5), ("S", far + 3, 5), (None, 6, 1)], "k string, a long, v int")
+    assert sorted((r.a, r.from_a) for r in monitor.in_gaps(rows, gaps, ["k"], "a").collect()) == [(6, 5), (7, 2), (7, 2), (far + 2, far + 2)]
+    out, found = monitor.filled_gaps(gaps.filter("k = 'S'"), rows.filter("k = 'S'"), ["k"], "a", ["v"])
+    assert sorted((r.n_filled, r.repair_status) for r in out.collect()) == [(1, "partial"), (1, "repaired")] and sorted((r.a, r.v) for r in found.collect()) == [(7, 1), (far + 2, 5)]
+
+
 def test_day_check(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"u": 4}\n{"u": 5}\n{"u": 9}\n')
     (tmp_path / "b.jsonl").write_text('{"u": 10}\n')

@@ -50,31 +50,36 @@ def quantiles(df: DataFrame, keys: list[str], x: str, shares: list[float], ranke
         both = carry.matched(d, small(ranges) if most > ranked else ranges, keys) if keys else d.crossJoin(F.broadcast(ranges))  # without keys a row per share
         return both.filter((F.col("lo").isNull() | (F.col("__x") > F.col("lo"))) & (F.col("__x") <= F.col("hi")))
 
-    low, high = F.floor((F.col("n") - 1) * F.col("share")), F.ceil((F.col("n") - 1) * F.col("share"))
-    done, most = None, per.agg(F.max("n")).first()[0] or 0
+    rank = (F.col("n") - 1) * F.col("share")
+    low, high = F.floor(rank), F.ceil(rank)
+    between = (F.col("__a") + F.when(F.col("__z") > F.col("__a"), (F.col("__z") - F.col("__a")) * (rank - low)).otherwise(0.0)).alias("value")
+    out, most = None, per.agg(F.max("n")).first()[0] or 0
     if most > ranked:
         d, r = cut(d), cut(r)
         while not (wide := r.filter(F.col("inside") > ranked)).isEmpty():
-            few = r.filter(F.col("inside") <= ranked)
-            done = few if done is None else done.unionByName(few)
-            rows = met(wide)
+            rows = met(wide).filter(F.col("__x") < F.col("hi"))
             at = F.percentile_approx("__x", F.lit([i / PARTS for i in range(1, PARTS)]), F.lit(20 * PARTS))
-            edges = cut(rows.filter(F.col("__x") < F.col("hi")).groupBy(*by).agg(F.array_distinct(at).alias("__edges")))
-            parts = met(carry.matched(wide, edges, by)).withColumn("__part", F.size(F.filter("__edges", lambda e: e < F.col("__x"))))
-            parts = parts.groupBy(*by, "n", "lo", "below", "__part").agg(F.count("*").alias("__c"), F.max("__x").alias("__top"), F.count_if(F.col("__x") < F.col("hi")).alias("__own"), F.max("hi").alias("hi"))
+            edges = cut(rows.groupBy(*by).agg(F.array_distinct(at).alias("__edges")))
+            ranges = carry.matched(wide, edges, by, "left").withColumn("__edges", F.coalesce("__edges", F.array().cast("array<double>")))  # none where all values are hi
+            parts = met(ranges).withColumn("__part", F.size(F.filter("__edges", lambda e: e < F.col("__x"))))
+            end = F.coalesce(F.get("__edges", F.col("__part")), F.col("hi"))  # edges are values, so a part ends with its edge
+            sums = [F.count("*").alias("__c"), F.min("__x").alias("__first"), F.max("__x").alias("__top"), F.count_if(F.col("__x") < end).alias("__own")]
+            parts = parts.groupBy(*by, "n", "lo", "below", "__part").agg(*sums)
             run = Window.partitionBy(*by).orderBy("__part")  # at most PARTS rows
-            end = F.col("below") + F.sum("__c").over(run)
-            parts = parts.withColumns({"__end": end, "__prev": F.lag("__top").over(run)}).withColumn("__begin", F.col("__end") - F.col("__c"))
-            held = (F.col("__end") > low) & (F.col("__begin") <= high)
-            kept = parts.filter(held).groupBy(*by, "n").agg(F.min_by(F.coalesce("__prev", "lo"), "__part").alias("lo"), F.max("__top").alias("hi"), F.min("__begin").alias("below"))
-            sizes = met(kept.withColumn("inside", F.lit(0))).groupBy(*by).agg(F.count_if(F.col("__x") < F.col("hi")).alias("inside"))
-            r = cut(carry.matched(kept, sizes, by).select(r.columns))
-    r = r if done is None else done.unionByName(r)
+            parts = parts.withColumns({"__end": F.col("below") + F.sum("__c").over(run), "__prev": F.lag("__top").over(run)}).withColumn("__begin", F.col("__end") - F.col("__c"))
+            held = parts.filter((F.col("__end") > low) & (F.col("__begin") <= high)).groupBy(*by, "n").agg(
+                F.count("*").alias("__parts"), F.min("__top").alias("__a"), F.max("__first").alias("__z"), F.min_by(F.coalesce("__prev", "lo"), "__part").alias("lo"), F.max("__top").alias("hi"), F.min("__begin").alias("below"), F.max("__own").alias("inside")
+            )
+            held = cut(held)
+            # ranks on both sides of a cut are the last value of one part and the first of the next
+            split = held.filter("__parts > 1").select(*keys, "share", between, "n")
+            out = split if out is None else out.unionByName(split)
+            r = cut(r.filter(F.col("inside") <= ranked).unionByName(held.filter("__parts = 1").select(r.columns)))
     c = met(r).groupBy(*by, "n", "below", F.col("__x").alias("__v")).agg(F.count("*").alias("__c"))
     c = c.withColumn("__end", F.col("below") + F.sum("__c").over(Window.partitionBy(*by).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)))  # at most `ranked` values and the last
     hit = lambda rank: F.min(F.when(F.col("__end") > rank, F.col("__v")))
-    rank = (F.col("n") - 1) * F.col("share")
-    return c.groupBy(*by, "n").agg(hit(low).alias("__a"), hit(high).alias("__z")).select(*keys, "share", (F.col("__a") + (F.col("__z") - F.col("__a")) * (rank - low)).alias("value"), "n")
+    exact = c.groupBy(*by, "n").agg(hit(low).alias("__a"), hit(high).alias("__z")).select(*keys, "share", between, "n")
+    return exact if out is None else exact.unionByName(out)
 
 
 def histogram(df: DataFrame, x: str, bins: int = 41, low: float = 0.001, high: float = 0.999) -> DataFrame:

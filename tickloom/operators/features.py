@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from . import carry
 
+from . import carry
+
 BPS = 1e4
 
 
@@ -67,8 +69,24 @@ def rolling(x: Column, w, n: int, what: str) -> Column:
     return F.when(full, out)
 
 
-def kline_features(bars: DataFrame, keys=("symbol",)) -> DataFrame:
-    """Rolling features of bars by position: returns, volatility, imbalance, z-scores, range, VWAP, RSI, autocorrelation."""
+#: Features of bars, and the rows that the longest of them looks back on.
+KLINE = ["ret_1", "ret_5", "ret_15", "ret_60", "rv_15", "rv_60", "taker_imb_5", "taker_imb_30", "vol_z_15", "trade_z_15", "range_15", "vwap_dev", "rsi_14", "ac_15"]
+LOOK_BACK = 64
+
+
+def kline_features(bars: DataFrame, keys=("symbol",), block: int = 65_536) -> DataFrame:
+    """Rolling features of bars by position: returns, volatility, imbalance, z-scores, range, VWAP, RSI, autocorrelation.
+
+    A key's bars are numbered and cut into blocks, each of which also gets the
+    LOOK_BACK bars ahead of it, so that no window is over a whole key.
+    """
+    at = carry.positions(bars, list(keys), "open_ms", [], "__p", 1000 * carry.DAY)
+    into = F.when(F.col("__p") % block >= block - LOOK_BACK, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    at = at.withColumn("__ahead", F.explode(into)).withColumn("__block", F.expr(f"__p div {block}") + F.col("__ahead"))
+    return _kline_features(at, (*keys, "__block")).filter("__ahead = 0").drop("__p", "__ahead", "__block")
+
+
+def _kline_features(bars: DataFrame, keys) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("open_ms")
     lagged = lambda c, n: F.lag(c, n).over(w)
     df = bars.withColumn("r", F.log(F.col("close") / lagged("close", 1)) * BPS)

@@ -79,16 +79,26 @@ def gap_summary(versions: DataFrame) -> DataFrame:
     return g.groupBy("symbol", "stream", "kind", "repair_status").agg(F.count("*").alias("n"), F.max("__d").alias("longest_s"), F.max_by("reason", F.struct("__d", "gap_id")).alias("reason"))
 
 
-def filled_gaps(gaps: DataFrame, source: DataFrame, keys: list[str], a: str, bucket: int = 1 << 18) -> tuple[DataFrame, DataFrame]:
+def in_gaps(rows: DataFrame, gaps: DataFrame, keys: list[str], a: str, bucket: int = 1 << 18) -> DataFrame:
+    """rows whose a lies in a gap (keys, from_a, to_a) of their key, with from_a and to_a.
+
+    Gaps of a key don't overlap, so a row can lie only in the last one that begins
+    at or before it: an as-of lookup by id, however far a gap reaches.
+    """
+    from . import timealign
+
+    hit = timealign.asof_backward(rows.withColumn("__a", F.col(a)), gaps.select(*keys, F.col("from_a").alias("__a"), "from_a", "to_a"), keys, "__a", "to_a", ["from_a", "to_a"], bucket)
+    return hit.filter(F.col(a) <= F.col("to_a")).drop("__a", "t_match")
+
+
+def filled_gaps(gaps: DataFrame, source: DataFrame, keys: list[str], a: str, order: list[str] | None = None, bucket: int = 1 << 18) -> tuple[DataFrame, DataFrame]:
     """Gaps (keys, from_a, to_a) filled from recorded rows: (gaps with n_missing, n_filled and repair_status, the rows).
 
-    repaired: all ids were found; partial: some; unrepairable: none. Rows and gaps
-    meet in buckets of ids; a gap is in as many as it reaches into, and no id is
-    written out for it.
+    repaired: all ids were found; partial: some; unrepairable: none. Of rows with one id the first by `order` (all columns
+    unless given) counts.
     """
-    b = lambda c: F.floor(F.col(c) / bucket).cast("long")
-    spread = gaps.select(*keys, "from_a", "to_a", F.explode(F.sequence(b("from_a"), b("to_a"))).alias("__b"))
-    rows = source.dropDuplicates([*keys, a]).withColumn("__b", b(a)).join(spread, [*keys, "__b"]).filter(F.col(a).between(F.col("from_a"), F.col("to_a"))).drop("__b")
+    one = dedup.keep_first(source, [*keys, a], order or source.columns)
+    rows = in_gaps(one, gaps, keys, a, bucket)
     n = rows.groupBy(*keys, "from_a", "to_a").agg(F.count("*").alias("n_filled"))
     out = gaps.select(*keys, "from_a", "to_a").join(n, [*keys, "from_a", "to_a"], "left")
     out = out.withColumns({"n_missing": F.col("to_a") - F.col("from_a") + 1, "n_filled": F.coalesce("n_filled", F.lit(0)).cast("long")})

@@ -71,17 +71,20 @@ def feature_columns(windows: list[int]) -> list[str]:
     return STATE[1:] + [f"{c}_w{w}" for w in windows for c in FLOW]
 
 
-def kline_rows(bars: DataFrame, keys: list[str], width: int, horizon: int, warm: int = 60, stride: int = 1) -> DataFrame:
-    """Features of bars inside runs without a missing bar, with y_bps over `horizon` bars.
+def kline_rows(bars: DataFrame, keys: list[str], width: int, horizon: int, warm: int = 60, stride: int = 1, columns: list[str] | None = None) -> DataFrame:
+    """Features of bars by position, with segment and with y_bps over `horizon` bars, of rows without a missing or infinite value.
 
-    Of each run the first `warm` bars and the last `horizon` go, and of the others
-    every stride-th stays, counted from the run's first that is kept.
+    A segment ends where more than two bars in a row are missing. Of each the
+    first `warm` bars and the last `horizon` go, and of the others every
+    stride-th stays, counted from the segment's first that is kept; then rows
+    whose columns (all features unless given) or label aren't finite go.
     """
-    b = timealign.segments(bars, keys, "open_ms", "n_trades", width)
+    b = timealign.segments(bars, keys, "open_ms", "n_trades", 3 * width)
     k = features.kline_features(b, tuple(keys))
     run = Window.partitionBy(*keys, "segment").orderBy("open_ms")
     k = k.withColumns({"__i": F.row_number().over(run) - 1, "y_bps": (F.lead("close", horizon).over(run) / F.col("close") - 1) * 1e4})
-    return k.filter((F.col("__i") >= warm) & F.col("y_bps").isNotNull() & ((F.col("__i") - warm) % stride == 0)).drop("__i")
+    kept = k.filter((F.col("__i") >= warm) & F.col("y_bps").isNotNull() & ((F.col("__i") - warm) % stride == 0)).drop("__i")
+    return kept.filter(features.finite([*(features.KLINE if columns is None else columns), "close", "y_bps"]))
 
 
 def join_bars(grid: DataFrame, bars: DataFrame, keys: list[str], width: int, columns: list[str]) -> DataFrame:
@@ -226,7 +229,11 @@ def nested(data: DataFrame, keys: list[str], columns: list[str], y: str, horizon
     inner = cut(predictions("val_beg", "tr_end", fitted.filter("stage = 'inner'")).select(*by, t, "y", "pred"))
     levels = stats.quantiles(inner.withColumn("__a", F.abs("pred")), by, "__a", list(shares)).select(*by, "share", F.col("value").alias("threshold"))
     tried = trade_stats(trades_at(inner.join(levels, by), [*by, "share"], horizon, t), [*by, "share"])
-    best = tried.filter(F.col("n_trades") >= least_trades).groupBy(*keys, "k").agg(F.max_by(F.struct("alpha", "share"), F.struct("mean_bps", -F.col("alpha"), -F.col("share"))).alias("__best"))
+    # a few models and shares a fold; means that differ by rounding only are ties
+    best = tried.filter(F.col("n_trades") >= least_trades).groupBy(*keys, "k").agg(F.collect_list(F.struct("alpha", "share", "mean_bps")).alias("__all"))
+    top = F.array_max(F.transform("__all", lambda e: e["mean_bps"])) - 1e-12
+    first = F.array_min(F.transform(F.filter("__all", lambda e: e["mean_bps"] >= top), lambda e: F.struct(e["alpha"].alias("alpha"), e["share"].alias("share"))))
+    best = best.select(*keys, "k", first.alias("__best"))
     chosen = cut(best.select(*keys, "k", "__best.*"))
     use = fitted.filter("stage = 'full'").join(chosen, by)
     train = predictions("tr_beg", "tr_end", use).withColumn("__a", F.abs("pred"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..operators import backtest, carry, dedup, features, index, ridge, timealign
+from ..operators import backtest, carry, dedup, features, index, monitor, ridge, timealign
 from ..sources import tables
 from ..streaming import book as books
 
@@ -227,9 +227,7 @@ SELECT h.from_a, h.to_a, count(*) AS n_late FROM h JOIN t ON t.a BETWEEN h.from_
 def j9(spark, d):
     t = _trades(spark, d).withColumn("one", F.lit(1))
     gaps = books.id_gaps(t.filter("a % 7 <> 0"), ["one"], "a")
-    # Ids of a gap are exploded to an equi-join: no range join over both sides.
-    ids = gaps.select("from_a", "to_a", F.explode(F.sequence("from_a", "to_a")).alias("a"))
-    return ids.join(t.select("a"), "a").groupBy("from_a", "to_a").agg(F.count("*").alias("n_late"))
+    return monitor.in_gaps(t.select("one", "a"), gaps, ["one"], "a").groupBy("from_a", "to_a").agg(F.count("*").alias("n_late"))
 
 
 @query("j8_missing_minutes", f"""WITH {T}, b AS (SELECT DISTINCT symbol, t_ms // {HOUR} * {HOUR} AS open_ms FROM t), e AS (SELECT symbol, min(open_ms) AS lo, max(open_ms) AS hi FROM b GROUP BY symbol),
@@ -279,17 +277,19 @@ def a1(spark, d):
     return b.select("symbol", "open_ms", "n_trades", *[r6(F.col(c), c, 5) for c in ("open", "high", "low", "close")], *[r6(F.col(c), c, 4) for c in ("volume", "buy_volume")], r6(F.col("quote_volume"), "quote_volume"))
 
 
-@query("w13_kline_features", f"""WITH {T}, {BARS}, r AS (SELECT *, ln(close / lag(close) OVER w) * 10000 AS r, ln(close / lag(close, 5) OVER w) * 10000 AS ret_5, ln(close / lag(close, 60) OVER w) * 10000 AS ret_60 FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY open_ms)),
+@query("w13_kline_features", f"""WITH {T}, {BARS}, r AS (SELECT *, ln(close / lag(close) OVER w) * 10000 AS r, ln(close / lag(close, 5) OVER w) * 10000 AS ret_5, ln(close / lag(close, 60) OVER w) * 10000 AS ret_60, ln(close / lag(close, 15) OVER w) * 10000 AS ret_15 FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY open_ms)),
 r1 AS (SELECT *, lag(r) OVER (PARTITION BY symbol ORDER BY open_ms) AS rl FROM r),
-s AS (SELECT *, count(*) OVER w15 AS c15, count(*) OVER w14 AS c14, count(*) OVER w30 AS c30, sum(coalesce(r * r, 0)) OVER w15 AS rr, sum(coalesce(r * rl, 0)) OVER w15 AS rrl, sum(volume) OVER w30 AS v30, sum(buy_volume) OVER w30 AS bv30, avg(high - low) OVER w15 AS hl,
+s AS (SELECT *, count(*) OVER w15 AS c15, count(*) OVER w14 AS c14, count(*) OVER w30 AS c30, count(*) OVER w60 AS c60, count(*) OVER w5 AS c5, sum(volume) OVER w5 AS v5, sum(buy_volume) OVER w5 AS bv5, sum(coalesce(r * r, 0)) OVER w60 AS rr60,
+  avg(volume) OVER w15 AS m15, avg(volume) OVER w60 AS m60, sqrt(greatest(avg(volume * volume) OVER w60 - pow(avg(volume) OVER w60, 2), 0)) AS s60, avg(n_trades) OVER w15 AS k15, avg(n_trades) OVER w60 AS k60, sqrt(greatest(avg(n_trades * n_trades) OVER w60 - pow(avg(n_trades) OVER w60, 2), 0)) AS ks60, sum(coalesce(r * r, 0)) OVER w15 AS rr, sum(coalesce(r * rl, 0)) OVER w15 AS rrl, sum(volume) OVER w30 AS v30, sum(buy_volume) OVER w30 AS bv30, avg(high - low) OVER w15 AS hl,
   sum(quote_volume) OVER w15 AS qv, sum(volume) OVER w15 AS v15, avg(greatest(coalesce(r, 0), 0)) OVER w14 AS up, avg(greatest(-coalesce(r, 0), 0)) OVER w14 AS dn FROM r1
-  WINDOW w15 AS (PARTITION BY symbol ORDER BY open_ms ROWS 14 PRECEDING), w14 AS (PARTITION BY symbol ORDER BY open_ms ROWS 13 PRECEDING), w30 AS (PARTITION BY symbol ORDER BY open_ms ROWS 29 PRECEDING))
-SELECT symbol, open_ms, round(ret_5, 4) AS ret_5, round(ret_60, 4) AS ret_60, CASE WHEN c15 = 15 THEN round(sqrt(rr), 4) END AS rv_15, CASE WHEN c30 = 30 AND v30 > 0 THEN round(bv30 / v30 - 0.5, 4) + 0.0 ELSE 0 END AS taker_imb_30,
+  WINDOW w15 AS (PARTITION BY symbol ORDER BY open_ms ROWS 14 PRECEDING), w14 AS (PARTITION BY symbol ORDER BY open_ms ROWS 13 PRECEDING), w30 AS (PARTITION BY symbol ORDER BY open_ms ROWS 29 PRECEDING), w5 AS (PARTITION BY symbol ORDER BY open_ms ROWS 4 PRECEDING), w60 AS (PARTITION BY symbol ORDER BY open_ms ROWS 59 PRECEDING))
+SELECT symbol, open_ms, round(r, 4) AS ret_1, round(ret_15, 4) AS ret_15, CASE WHEN c60 = 60 THEN round(sqrt(rr60), 4) END AS rv_60, CASE WHEN c5 = 5 AND v5 > 0 THEN round(bv5 / v5 - 0.5, 4) + 0.0 ELSE 0 END AS taker_imb_5,
+CASE WHEN c60 = 60 AND s60 > 0 THEN round((m15 - m60) / s60, 4) + 0.0 ELSE 0 END AS vol_z_15, CASE WHEN c60 = 60 AND ks60 > 0 THEN round((k15 - k60) / ks60, 4) + 0.0 ELSE 0 END AS trade_z_15, round(ret_5, 4) AS ret_5, round(ret_60, 4) AS ret_60, CASE WHEN c15 = 15 THEN round(sqrt(rr), 4) END AS rv_15, CASE WHEN c30 = 30 AND v30 > 0 THEN round(bv30 / v30 - 0.5, 4) + 0.0 ELSE 0 END AS taker_imb_30,
 CASE WHEN c15 = 15 THEN round(hl / close * 10000, 4) END AS range_15, CASE WHEN c15 = 15 THEN round((close / (qv / greatest(v15, 1e-12)) - 1) * 10000, 4) END AS vwap_dev, CASE WHEN c14 = 14 THEN round(100 - 100 / (1 + up / greatest(dn, 1e-12)) - 50, 4) END AS rsi_14,
 CASE WHEN c15 = 15 AND rr > 0 THEN round(rrl / rr, 4) ELSE 0 END AS ac_15 FROM s""")
 def w13(spark, d):
     k = features.kline_features(features.bars(_trades(spark, d), HOUR))
-    return k.select("symbol", "open_ms", *[r6(F.col(c), c, 4) for c in ("ret_5", "ret_60", "rv_15", "taker_imb_30", "range_15", "vwap_dev", "rsi_14", "ac_15")])
+    return k.select("symbol", "open_ms", *[r6(F.col(c), c, 4) for c in features.KLINE])
 
 
 @query("a2_median_ratio", f"WITH {T}, {BARS}, x AS (SELECT a.open_ms, a.n_trades / greatest(b.n_trades, 1) AS ratio FROM bars a JOIN bars b ON a.open_ms = b.open_ms AND a.symbol = 'click' AND b.symbol = 'view') SELECT count(*) AS n, round(median(ratio), 6) AS ratio FROM x")

@@ -64,12 +64,12 @@ def b4(spark, d):
     return c.select("symbol", "t_ms", *[r6(F.col(x), x, 3) for x in (*KLINE, "imb1", f"flow_imb_w{WINDOWS[1]}", "y_bps")])
 
 
-@query("w14_kline_trims", f"""WITH {B}, {BARS.replace(str(HOUR), str(DAY))}, g AS (SELECT *, CASE WHEN open_ms - lag(open_ms) OVER w > {DAY} THEN 1 ELSE 0 END AS new, ln(close / lag(close, 5) OVER w) * 10000 AS ret_5 FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY open_ms)),
+@query("w14_kline_trims", f"""WITH {B}, {BARS.replace(str(HOUR), str(DAY))}, g AS (SELECT *, CASE WHEN open_ms - lag(open_ms) OVER w > {3 * DAY} THEN 1 ELSE 0 END AS new, ln(close / lag(close, 5) OVER w) * 10000 AS ret_5 FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY open_ms)),
 s AS (SELECT *, sum(new) OVER (PARTITION BY symbol ORDER BY open_ms ROWS UNBOUNDED PRECEDING) AS segment FROM g), i AS (SELECT *, row_number() OVER w - 1 AS i, (lead(close, 3) OVER w / close - 1) * 10000 AS y_bps FROM s WINDOW w AS (PARTITION BY symbol, segment ORDER BY open_ms))
-SELECT symbol, CAST(segment AS INT) AS segment, open_ms, round(ret_5, 4) AS ret_5, round(y_bps, 4) AS y_bps FROM i WHERE i >= 8 AND y_bps IS NOT NULL AND (i - 8) % 2 = 0""")
+SELECT symbol, CAST(segment AS INT) AS segment, open_ms, round(ret_5, 4) AS ret_5, round(y_bps, 4) AS y_bps FROM i WHERE i >= 8 AND y_bps IS NOT NULL AND ret_5 IS NOT NULL AND (i - 8) % 2 = 0""")
 def w14(spark, d):
-    """Bars inside runs, without warm-up and horizon, by a stride."""
-    k = research.kline_rows(features.bars(tables.trades(spark, d), DAY), SYM, DAY, 3, warm=8, stride=2)
+    """Bars inside segments (up to two missing bars), without warm-up and horizon, by a stride."""
+    k = research.kline_rows(features.bars(tables.trades(spark, d), DAY), SYM, DAY, 3, warm=8, stride=2, columns=["ret_5"])
     return k.select("symbol", "segment", "open_ms", r6(F.col("ret_5"), "ret_5", 4), r6(F.col("y_bps"), "y_bps", 4))
 
 

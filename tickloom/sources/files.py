@@ -82,11 +82,19 @@ def latest_files(spark: SparkSession, root: str, table: str, symbol: str, n: int
 def inventory(spark: SparkSession, root: str, table: str, t: str) -> DataFrame:
     """(symbol, day, files, size, n_rows, t_min, t_max) of a partitioned table, with totals per symbol and over all.
 
-    Only the column t is read; files and sizes come from the scan's own metadata.
+    Counts and ends of t are pushed down to the files' footers: the table is read
+    by the second Parquet reader with aggregate push-down, in a session of its
+    own so that this one's settings stay. Files and sizes come from a listing.
     """
-    d = spark.read.parquet(f"{root}/{table}").select("symbol", F.col("day").cast("string").alias("day"), t, "_metadata.file_path", "_metadata.file_size")
-    per = d.groupBy("symbol", "day", "file_path", "file_size").agg(F.count("*").alias("n"), F.min(t).alias("lo"), F.max(t).alias("hi"))
-    return per.rollup("symbol", "day").agg(F.count("*").alias("files"), F.sum("file_size").alias("size"), F.sum("n").alias("n_rows"), F.min("lo").alias("t_min"), F.max("hi").alias("t_max"))
+    own = spark.newSession()
+    sources = [s for s in own.conf.get("spark.sql.sources.useV1SourceList").split(",") if s != "parquet"]
+    own.conf.set("spark.sql.sources.useV1SourceList", ",".join(sources))
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    d = own.read.parquet(f"{root}/{table}")
+    per = d.groupBy("symbol", "day").agg(F.count("*").alias("n"), F.min(t).alias("lo"), F.max(t).alias("hi")).withColumn("day", F.col("day").cast("string"))
+    found = listing(own, f"{root}/{table}", "*.parquet").groupBy("symbol", "day").agg(F.count("*").alias("files"), F.sum("size").alias("size"))
+    both = per.join(found, ["symbol", "day"])
+    return both.rollup("symbol", "day").agg(F.sum("files").alias("files"), F.sum("size").alias("size"), F.sum("n").alias("n_rows"), F.min("lo").alias("t_min"), F.max("hi").alias("t_max"))
 
 
 def manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:

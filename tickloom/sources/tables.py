@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 LEVELS = 20
 
-#: Names on disk that differ only by case, and what they are called here.
+#: Names on disk that differ only by case or are short, and what they are called here.
 RENAMES = {
-    "book_top20": {"u": "last_id", "U": "first_id", "pu": "prev_id"},
-    "agg_trades": {"p": "price", "q": "qty", "nq": "notional_qty", "a": "a", "f": "first_trade", "l": "last_trade", "m": "buyer_is_maker"},
+    "book_top20": {"U": "first_id", "pu": "prev_id"},
+    "agg_trades": {"p": "price", "q": "qty", "nq": "notional_qty", "f": "first_trade", "l": "last_trade", "m": "buyer_is_maker"},
     "mark_price": {"p": "price", "P": "settle_price", "ap": "avg_price", "i": "index_price", "r": "funding_rate"},
 }
 #: Dedup key, survivor and order of each normalized table.
@@ -94,15 +94,35 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at))
 
 
-def load(spark: SparkSession, root: str, name: str, symbol: str, start: str, end: str, columns=None, valid_only: bool = False, schema: str | None = None, numbers: bool = False) -> DataFrame:
-    """A normalized table of one symbol and a closed range of days (YYYYMMDD), deduplicated.
+def _stored(spark: SparkSession, root: str, name: str, symbol: str, start: str, end: str, schema: str | None) -> DataFrame | None:
+    """A stored table's files of a symbol and a range of days, under their own names; None if there is none.
 
-    Unknown tables raise; one that was never written is empty. The types come
-    from SCHEMAS (or schema), so no file's footer is opened for them; a column
-    that a file lacks is null. The filter on the partition columns keeps the scan
-    to the days' files. Keys are read beside the asked columns and dropped again.
-    With numbers, prices and quantities in text become doubles. Tables without
-    keys come in the order of time.
+    Folders are symbol/day or symbol=x/day=y. Without a schema the files' own are
+    merged, so a column that only some have is null in the others, and none is lost.
+    """
+    reader = spark.read.schema(f"{schema}, symbol string, day string") if schema else spark.read.option("mergeSchema", "true")
+    if exists(spark, f"{root}/{name}/{symbol}"):
+        found = [at for d in days_between(start, end) if exists(spark, at := f"{root}/{name}/{symbol}/{d}")]
+        if not found:
+            return None
+        df = reader.parquet(*found).withColumn("day", F.regexp_extract("_metadata.file_path", r"/([0-9]+)/[^/]*$", 1))
+        return df.withColumn("symbol", F.lit(symbol))
+    if not exists(spark, f"{root}/{name}"):
+        return None
+    df = reader.parquet(f"{root}/{name}")
+    return df.withColumn("day", F.col("day").cast("string")).filter((F.col("symbol") == symbol) & F.col("day").between(start, end))
+
+
+def load(spark: SparkSession, root: str, name: str, symbol: str, start: str, end: str, columns=None, valid_only: bool = True, schema: str | None = None, numbers: bool = False) -> DataFrame:
+    """A normalized table of one symbol and a closed range of days (YYYYMMDD), deduplicated and in order.
+
+    Unknown tables raise; one without files for the range is empty. Stored names
+    that differ by case only (u and U, p and P) are renamed (RENAMES), for which
+    the session is made case sensitive, as Parquet files are read by its setting
+    when they are scanned. Columns may be asked for by either name; keys are read
+    beside them and dropped again. With numbers, prices and quantities in text
+    become doubles. Of a book, rows that aren't valid go unless valid_only is
+    false. Tables without keys come in the order of time.
     """
     from ..operators.dedup import keep_first, keep_last
 
@@ -110,14 +130,17 @@ def load(spark: SparkSession, root: str, name: str, symbol: str, start: str, end
         raise ValueError(f"unknown table {name!r}")
     if end < start:
         raise ValueError("the range of days ends before it starts")
-    if not exists(spark, f"{root}/{name}"):
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    df = _stored(spark, root, name, symbol, start, end, schema)
+    if df is None:
         df = empty(spark, name)
-    else:
-        df = spark.read.schema(f"{schema or SCHEMAS[name]}, symbol string, day string").parquet(f"{root}/{name}")
-    df = df.filter((F.col("symbol") == symbol) & F.col("day").between(start, end))
+    names = RENAMES.get(name, {})
+    df = df.select(*[F.col(c).alias(names.get(c, c)) for c in df.columns])
+    keys, which, order = KEYS[name]
+    known = dict(empty(spark, name).dtypes)  # what no file has is null
+    df = df.withColumns({c: F.lit(None).cast(kind) for c, kind in known.items() if c not in df.columns})
     if valid_only and "is_valid" in df.columns:
         df = df.filter("is_valid")
-    keys, which, order = KEYS[name]
     if keys:
         df = (keep_first if which == "first" else keep_last)(df, list(keys), list(order))
         df = df.orderBy(*order)
@@ -125,7 +148,7 @@ def load(spark: SparkSession, root: str, name: str, symbol: str, start: str, end
         df = df.orderBy("time_ns")
     if numbers:
         df = to_numbers(df)
-    return df.select(*columns) if columns else df
+    return df.select(*[names.get(c, c) for c in columns]) if columns else df
 
 
 def to_numbers(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -154,21 +177,29 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").json(path)
 
 
-def raw_messages(spark: SparkSession, root: str, symbol: str, day: str) -> DataFrame:
+def raw_messages(spark: SparkSession, root: str, symbol: str, day: str, limit: int = 1000) -> DataFrame:
     """(symbol, session, kind, recv, body) of a day's raw shards, as streaming.book.replay takes them.
 
-    Shards lie in root/depth/symbol/day and root/rest/symbol/day as JSON lines of
-    (recv_time_ns, session_id, endpoint, status, raw). Of the requests only depth
-    snapshots that succeeded count. Damaged lines and unfinished files (.tmp) go.
+    Shards lie in depth/symbol/day and rest/symbol/day below root or root/raw, as
+    JSON lines (plain or gzip) whose raw holds what was received. Of the requests
+    only depth snapshots that succeeded count; a snapshot without a limit of its
+    own gets its request's, or the given one. Damaged lines and unfinished files
+    (.tmp) go; damaged bodies stay, and the replay logs them.
     """
-    line = "recv_time_ns long, session_id string, endpoint string, status int, raw string"
+    root = f"{root}/raw" if exists(spark, f"{root}/raw") else root
+    line = "recv_time_ns long, session_id string, endpoint string, status int, params struct<limit: string>, raw string"
     parts = []
     for kind, folder in (("depth", "depth"), ("snapshot", "rest")):
         path = f"{root}/{folder}/{symbol}/{day}"
         if exists(spark, path):
             d = read_jsonl(spark, path, line).filter("_corrupt_record IS NULL AND raw IS NOT NULL AND NOT input_file_name() LIKE '%.tmp'")
-            d = d.filter("endpoint LIKE '%/depth' AND status = 200") if kind == "snapshot" else d
-            parts.append(d.select(F.lit(symbol).alias("symbol"), F.col("session_id").alias("session"), F.lit(kind).alias("kind"), F.col("recv_time_ns").alias("recv"), F.col("raw").alias("body")))
+            body = F.col("raw")
+            if kind == "snapshot":
+                d = d.filter("endpoint LIKE '%/depth' AND status = 200")
+                own = F.get_json_object("raw", "$.limit").isNotNull() | ~F.col("raw").rlike(r"^\s*\{\s*\"")
+                most = F.coalesce(F.expr("try_cast(params.limit AS INT)"), F.lit(limit)).cast("string")
+                body = F.when(own, body).otherwise(F.concat(F.lit('{"limit":'), most, F.lit(","), F.regexp_replace("raw", r"^\s*\{", "")))
+            parts.append(d.select(F.lit(symbol).alias("symbol"), F.col("session_id").alias("session"), F.lit(kind).alias("kind"), F.col("recv_time_ns").alias("recv"), body.alias("body")))
     if not parts:
         return spark.createDataFrame([], "symbol string, session string, kind string, recv long, body string")
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
