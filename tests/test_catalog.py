@@ -17,7 +17,7 @@ def test_oracle(spark, name):
 
 
 #: Queries that SQL can't express, and the tests that compare them.
-PLAIN = {"m4_walk_forward": "test_walk_forward", "st1_book_replay": "test_replay_query", "m5_nested": "test_research.py", "m8_scan": "test_research.py", "m9_stability": "test_research.py", "e4_report": "test_research.py"}
+PLAIN = {"a20_resampled": "test_resampled", "a21_resampled": "test_resampled", "m4_walk_forward": "test_walk_forward", "st1_book_replay": "test_replay_query", "m5_nested": "test_research.py", "m8_scan": "test_research.py", "m9_stability": "test_research.py", "e4_report": "test_research.py"}
 
 
 def test_all_compared():
@@ -63,6 +63,62 @@ def test_replay_query(spark):
     assert got == {s: w[:3] for s, w in want.items()}
 
 
+def _resampled_loop(x, block, replicates, bucket, seed=0):
+    """Means of n draws, dealt by recursion down to buckets, every drawn row (or block) added up by itself."""
+    n, out = len(x), np.zeros(replicates)
+    units, pieces = n - block + 1, -(-n // block)
+
+    def split(lo, hi, draws, part, length):
+        if hi - lo == 1:
+            size = min(bucket, units - lo * bucket)
+            rng = np.random.default_rng([seed, part, lo, 1 << 40])
+            for r in range(replicates):
+                if draws[r]:
+                    for at in rng.integers(0, size, draws[r]):
+                        out[r] += sum(x[lo * bucket + at : lo * bucket + at + length])
+            return
+        mid = (lo + hi) // 2
+        left = np.random.default_rng([seed, part, lo, hi]).binomial(draws, (mid - lo) * bucket / (min(hi * bucket, units) - lo * bucket))
+        split(lo, mid, left, part, length)
+        split(mid, hi, draws - left, part, length)
+
+    split(0, -(-units // bucket), np.full(replicates, pieces - (block > 1)), 0, block)
+    if block > 1:
+        split(0, -(-units // bucket), np.full(replicates, 1), 1, n - block * (pieces - 1))
+    return out / n
+
+
+def test_resampled(spark):
+    """Against the same split by recursion, for buckets smaller than a key; its spread against numpy's own draws; and both queries."""
+    import duckdb
+
+    from tickloom.functions import resample
+
+    rng = np.random.default_rng(5)
+    x = {"a": rng.normal(3, 2, 400), "b": rng.exponential(1, 37), "c": np.array([2.0, 4.0, 9.0]), None: rng.normal(size=60)}
+    df = spark.createDataFrame([(k, i, float(v)) for k, xs in x.items() for i, v in enumerate(xs)] + [("a", 9999, None)], "k string, t int, x double").repartition(5)
+    for block, bucket in ((1, 64), (1, 7), (5, 16), (5, 1000), (4, 3)):
+        got = {r.k: r for r in resample.resampled_ci(df, ["k"], "x", ["t"], 120, 0, block, bucket).collect()}
+        for k, xs in x.items():
+            assert got[k].n == len(xs) and got[k].mean == pytest.approx(xs.mean())
+            if block > 1 and len(xs) <= block:
+                assert got[k].low is None and got[k].high is None
+                continue
+            means = _resampled_loop(xs, block, 120, bucket)
+            assert (got[k].low, got[k].high) == (pytest.approx(np.quantile(means, 0.025)), pytest.approx(np.quantile(means, 0.975)))
+    whole = resample.resampled_ci(df.filter("k = 'a'"), [], "x", ["t"], 2000, bucket=50).first()
+    own = x["a"][rng.integers(0, 400, (2000, 400))].mean(axis=1)
+    assert (whole.low, whole.high) == (pytest.approx(np.quantile(own, 0.025), abs=0.04), pytest.approx(np.quantile(own, 0.975), abs=0.04))
+    assert all(r.low == r.high == 1 for r in resample.resampled_ci(df.withColumn("x", df.x * 0 + 1), ["k"], "x", ["t"], 50, bucket=9).filter("n > 1").collect())  # n draws, no more or less
+    assert resample.resampled_ci(df.limit(0), ["k"], "x", ["t"]).collect() == []
+    rows = duckdb.sql(f"SELECT event_type, value FROM '{DATA}/events.parquet' ORDER BY event_type, ts, event_id").fetchall()
+    for name, block in (("a20_resampled", 1), ("a21_resampled", 5)):
+        for r in Q[name](spark, DATA).collect():
+            own = np.array([v for s, v in rows if s == r.symbol])
+            means = _resampled_loop(own, block, 500, resample.BUCKET)
+            assert r.n == len(own) and (r.low, r.high) == (pytest.approx(np.quantile(means, 0.025), abs=1e-5), pytest.approx(np.quantile(means, 0.975), abs=1e-5))
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

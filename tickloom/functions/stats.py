@@ -27,7 +27,7 @@ def gap_summary(df: DataFrame, keys: list[str], t: str, gap: int) -> DataFrame:
 
 
 #: Values that a task ranks for one quantile at most, and parts into which a range of values is cut at a time.
-RANKED, PARTS = 50_000, 64
+RANKED, PARTS = 500_000, 64
 
 
 def quantiles(df: DataFrame, keys: list[str], x: str, shares: list[float], ranked: int = RANKED) -> DataFrame:

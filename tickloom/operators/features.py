@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import carry
-
+from ..sources.shared import cut
 from . import carry
 
 BPS = 1e4
@@ -31,17 +30,41 @@ def book_features(book: DataFrame) -> DataFrame:
 
 def increments(book: DataFrame, keys: list[str], t: str, tie: str, segment: str | None = None) -> DataFrame:
     """book with ofi and r2 (squared log return in bps) against the row before; the first row of a key, and of a segment, has 0."""
-    b, a, bq, aq = (F.col(c)[0] for c in ("bid_px", "ask_px", "bid_qty", "ask_qty"))
-    d = book.withColumns({"__bp": b, "__ap": a, "__bq": bq, "__aq": aq})
-    names = ["__bp", "__ap", "__bq", "__aq", *([segment] if segment else [])]
-    d = carry.previous(d, keys, t, [tie], names, name="__prev")
-    b, a, bq, aq = (F.col(c) for c in names[:4])
-    pb, pa, pbq, paq = (F.col(f"__prev.{c}") for c in names[:4])
+    d = carry.previous(_tops(book), keys, t, [tie], [*TOPS, *([segment] if segment else [])], name="__prev")
+    first = F.col("__prev.__bp").isNull() | (F.col(f"__prev.{segment}") != F.col(segment) if segment else F.lit(False))
+    return d.withColumns(_steps(first)).drop(*TOPS, "__prev")
+
+
+#: The best prices and quantities of both sides, as inner columns.
+TOPS = ["__bp", "__ap", "__bq", "__aq"]
+
+
+def _tops(book: DataFrame) -> DataFrame:
+    return book.withColumns({c: F.col(of)[0] for c, of in zip(TOPS, ("bid_px", "ask_px", "bid_qty", "ask_qty"))})
+
+
+def _steps(first: Column) -> dict[str, Column]:
+    """ofi and r2 of rows with TOPS and those of the row ahead in __prev; 0 for a first row."""
+    b, a, bq, aq = (F.col(c) for c in TOPS)
+    pb, pa, pbq, paq = (F.col(f"__prev.{c}") for c in TOPS)
     when = lambda c, x: F.when(c, x).otherwise(0.0)
     ofi = when(b >= pb, bq) - when(b <= pb, pbq) - when(a <= pa, aq) + when(a >= pa, paq)
     step = (F.log((b + a) / 2) - F.log((pb + pa) / 2)) * BPS
-    first = pb.isNull() | (F.col(f"__prev.{segment}") != F.col(segment) if segment else F.lit(False))
-    return d.withColumns({"ofi": F.when(first, 0.0).otherwise(ofi), "r2": F.when(first, 0.0).otherwise(step * step)}).drop(*names[:4], "__prev")
+    return {"ofi": F.when(first, 0.0).otherwise(ofi), "r2": F.when(first, 0.0).otherwise(step * step)}
+
+
+def segmented(book: DataFrame, keys: list[str], t: str, tie: str, max_gap: int, columns: list[str]) -> DataFrame:
+    """book rows (keys, t, tie, segment, columns, ofi, r2), saved: segments and increments from one look at the row ahead.
+
+    A segment begins where t moves on by more than max_gap; its first row has
+    increments 0. The narrow rows are written down, so the ladders are read once.
+    """
+    d = carry.previous(_tops(book_features(book)), keys, t, [tie], [*TOPS, t], name="__prev")
+    new = F.col(t) - F.col(f"__prev.{t}") > max_gap
+    first = F.col("__prev").isNull() | F.coalesce(new, F.lit(False)) | F.col("__prev.__bp").isNull()
+    d = cut(d.withColumns(_steps(first)).select(*keys, t, tie, *columns, "ofi", "r2", F.when(new, 1).otherwise(0).alias("__new")))
+    out = carry.running_sum(d, keys, t, [tie], F.col("__new"), "segment")
+    return cut(out.withColumn("segment", F.col("segment").cast("int")).drop("__new"))
 
 
 def bars(trades: DataFrame, width: int, keys=("symbol",)) -> DataFrame:

@@ -33,15 +33,14 @@ def micro_dataset(book: DataFrame, trades: DataFrame, keys: list[str], step: int
     """
     if any((w - min(windows)) % step for w in windows):
         raise ValueError("windows differ by multiples of the step")
-    b = timealign.segments(book, keys, "t_ms", "u", max_gap)
-    b = features.increments(features.book_features(b), keys, "t_ms", "u", "segment").select(*keys, "t_ms", "u", "segment", *STATE, "ofi", "r2")
+    b = features.segmented(book, keys, "t_ms", "u", max_gap, STATE)
     ends = b.groupBy(*keys, "segment").agg(F.min("t_ms").alias("__t0"), F.max("t_ms").alias("__t1"))
     start = F.col("__t0") + min(windows)
     if align:
         start = (F.ceil(start / align) * align).cast("long")
     ends = ends.withColumns({"__a": start, "__z": F.col("__t1") - horizon - 1}).filter("__a <= __z")
     grid = ends.select(*keys, "segment", "__t0", F.explode(F.sequence("__a", "__z", F.lit(step).cast("long"))).alias("t_ms"))
-    grid = grid.filter(F.col("t_ms") >= F.col("__t0") + max(windows)).drop("__t0")
+    grid = cut(grid.filter(F.col("t_ms") >= F.col("__t0") + max(windows)).drop("__t0"))
 
     # One as-of lookup for now and for the horizon.
     both = grid.withColumn("__at", F.col("t_ms")).withColumn("__ahead", F.explode(F.array(F.lit(0), F.lit(horizon))))

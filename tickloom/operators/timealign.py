@@ -90,6 +90,7 @@ def gate_free(rows: DataFrame, keys: list[str], order: list[str], block: int = G
 
     ship(rows.sparkSession)
     columns = rows.columns
+    rows = cut(rows)  # read several times below
     d = carry.positions(rows.filter(F.col("__entry").isNotNull()), keys, "__entry", order, "__i")
     probe = d.withColumn("__t", F.col("__exit") - 1)
     ahead = asof_backward(probe, d.withColumn("__t", F.col("__entry")).withColumnRenamed("__i", "__at"), keys, "__t", "__at", ["__at"])

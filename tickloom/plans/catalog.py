@@ -12,7 +12,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import stats
+from ..functions import resample, stats
 from ..operators import backtest, carry, dedup, features, index, monitor, ridge, timealign
 from ..sources import tables
 from ..streaming import book as books
@@ -402,6 +402,20 @@ def a21(spark, d):
     return b.select("n", *[r6(F.col(c), c) for c in ("mean", "low", "high")])
 
 
+@query("a20_resampled")
+def a20r(spark, d):
+    """The interval of a20 per symbol over all trades, from exactly as many draws as there are rows (tested against numpy)."""
+    b = resample.resampled_ci(_trades(spark, d), SYM, "q", ["t_ms", "a"], replicates=500)
+    return b.select("symbol", "n", *[r6(F.col(c), c) for c in ("mean", "low", "high")])
+
+
+@query("a21_resampled")
+def a21r(spark, d):
+    """The same by overlapping blocks of five trades, cut to as many as there are (tested against numpy)."""
+    b = resample.resampled_ci(_trades(spark, d), SYM, "q", ["t_ms", "a"], replicates=500, block=5)
+    return b.select("symbol", "n", *[r6(F.col(c), c) for c in ("mean", "low", "high")])
+
+
 # Backtest
 
 @query("e1_walk_book", f"""WITH {T}, l AS (SELECT symbol, a AS u, unnest(range(20)) AS i, p, k FROM t), c AS (SELECT symbol, u, i, p + 0.1 * (i + 1) AS px, CAST(1 + (k + 3 * i) % 5 AS DOUBLE) AS q FROM l),
