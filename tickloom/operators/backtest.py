@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
 from .timealign import GATE_BLOCK, asof_backward, gate_free
 
 
@@ -46,7 +47,7 @@ def gate(candidates: DataFrame, keys: list[str], block: int = GATE_BLOCK) -> Dat
     this is found without going through a key in one task.
     """
     rows = candidates.withColumns({"__entry": F.col("sig_t"), "__exit": F.col("exit_t"), "__ok": F.col("reason").isNull(), "__why": F.coalesce("reason", F.lit(""))})
-    gated = gate_free(rows, keys, ["sig_t", "entry_t", "exit_t", "__why", "pred", "side", "in_px", "out_px"], block)
+    gated = cut(gate_free(rows, keys, ["sig_t", "entry_t", "exit_t", "__why", "pred", "side", "in_px", "out_px"], block))  # metrics read it several times
     outcome = F.when(F.col("held"), "in_position").otherwise(F.coalesce("reason", F.lit("trade")))
     return gated.select(*keys, "sig_t", "entry_t", "exit_t", "pred", "side", "in_px", "out_px", outcome.alias("outcome"))
 

@@ -173,7 +173,7 @@ def models(data: DataFrame, bounds: DataFrame, sets: dict[str, tuple[str, str]],
                 for alpha in alphas:
                     m = ridge.solve(total, pivot, columns, y, alpha)
                     out.append((*(first[c] for c in keys), fold["k"], stage, alpha, m.intercept, m.weights.tolist(), m.mean.tolist(), m.std.tolist()))
-        return pd.DataFrame(out, columns=[*keys, "k", "stage", "alpha", "intercept", "weights", "means", "stds"])
+        return pd.DataFrame(out, columns=[*keys, "k", "stage", "alpha", "intercept", "weights", "means", "stds"], dtype=object)
 
     kinds = dict(bounds.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in keys) + ", k int, stage string, alpha double, intercept double, weights array<double>, means array<double>, stds array<double>"

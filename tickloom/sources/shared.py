@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -11,19 +12,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    Only where that is unset and the master is local, as in tests, a temporary
+    folder is made and set.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
+        found = "file://" + tempfile.mkdtemp(prefix="tickloom-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df from a reliable checkpoint, so that later stages don't compute it again.
+    """df from a table written in the shared folder, so that later stages don't compute it again.
 
-    The cluster names the folder in spark.checkpoint.dir. Only where that is
-    unset and the master is local, as in tests, a temporary folder is set.
+    Unlike a checkpoint, which keeps the estimates of the plan that made it (they
+    multiply from join to join), a table has its own size, by which joins are planned.
     """
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        found = spark.conf.get("spark.checkpoint.dir", None)
-        if not found and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
-        spark.sparkContext.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="tickloom-"))
-    return df.checkpoint()
+    path = f"{shared_dir(spark)}/tickloom-cut/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 #: Rows up to which a table is small enough to send to every executor.
