@@ -224,7 +224,7 @@ def _chosen(pieces: DataFrame, kind: str) -> DataFrame:
             path.append((state, to))
             state = to
         seams = [0, *[int(a + b not in LEGAL) for a, b in zip(pdf["tail"].iloc[:-1], pdf["head"].iloc[1:])]]
-        return pd.DataFrame({"conv_id": pdf["conv_id"], "piece": pdf["piece"], "src": [p[0] for p in path], "dst": [p[1] for p in path], "seams": seams})
+        return pd.DataFrame({"conv_id": pdf["conv_id"], "piece": pdf["piece"], "src": [p[0] for p in path], "dst": [p[1] for p in path], "seams": seams}, dtype=object)
 
     narrow = pieces.select("conv_id", "piece", "head", "tail", F.transform("ways", lambda w: F.struct(w.src.alias("src"), w.dst.alias("dst"), w.cost.alias("cost"), w.rank.alias("rank"))).alias("ways"))
     return narrow.groupBy("conv_id").applyInPandas(choose, f"conv_id {kind}, piece long, src int, dst int, seams long")
