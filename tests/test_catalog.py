@@ -131,11 +131,9 @@ def test_walk_book(spark):
 
     from tickloom.operators.backtest import walk_book
 
-    df = spark.createDataFrame([([100.0, 101.0, 102.0], [1.0, 1.0, 1.0]), ([100.0, 101.0], [1.0, 1.0]), ([100.0], [0.0])], "p array<double>, q array<double>")
-    got = [(r.f.vwap, r.f.filled) for r in df.select(walk_book("p", "q", 2.5).alias("f")).collect()]
-    assert got[0] == (pytest.approx((100 + 101 + 51) / 2.5), 2.5)
-    assert got[1] == (pytest.approx(100.5), 2.0)
-    assert got[2] == (None, 0.0)
+    df = spark.createDataFrame([([], []), ([7.0, 7.5, 9.0, 9.5], [4.0, 0.0, 3.0, 8.0]), ([40.0, 38.0], [2.0, 5.0]), ([3.0, None], [None, 2.0])], "p array<double>, q array<double>")
+    got = [(r.f.vwap, r.f.filled) for r in df.select(walk_book("p", "q", 9.0).alias("f")).collect()]
+    assert got == [(None, 0.0), (pytest.approx((4 * 7 + 3 * 9 + 2 * 9.5) / 9), 9.0), (pytest.approx((80 + 190) / 7), 7.0), (None, 0.0)]
 
 
 def test_gate(spark):

@@ -136,6 +136,19 @@ def test_long_gap(spark):
     assert sorted((r.n_filled, r.repair_status) for r in out.collect()) == [(1, "partial"), (1, "repaired")] and sorted((r.a, r.v) for r in found.collect()) == [(7, 1), (far + 2, 5)]
 
 
+def test_faults(spark):
+    """Types of parsed values: true is no number, a price must be text, a damaged text has one fault."""
+    rules = {"integers": ["u", "U"], "texts": ["p"], "ascending": [("U", "u")]}
+    cases = [
+        ('{"u": 5, "U": 4, "p": "1.50"}', []), ('{"u": true, "U": 4, "p": "1"}', ["u_not_integer"]), ('{"u": "5", "U": 4, "p": 1.5}', ["u_not_integer", "p_not_text"]), ('{"u": 3, "U": 4, "p": "1"}', ["U_above_u"]),
+        ('{"u": 5.5, "U": null, "p": null}', ["u_not_integer", "U_not_integer", "p_not_text"]), ("{broken", ["unparseable"]), (None, ["unparseable"]), ("", ["unparseable"]), ("[]", ["u_not_integer", "U_not_integer", "p_not_text"]),
+    ]
+    df = spark.createDataFrame([(n, b) for n, (b, _) in enumerate(cases)], "n int, body string")
+    good, bad = monitor.accepted(df, "body", **rules)
+    assert {r.n: r.reasons for r in bad.collect()} == {n: want for n, (_, want) in enumerate(cases) if want}
+    assert [r.n for r in good.collect()] == [0] and good.columns == df.columns
+
+
 def test_day_check(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"u": 4}\n{"u": 5}\n{"u": 9}\n')
     (tmp_path / "b.jsonl").write_text('{"u": 10}\n')

@@ -79,6 +79,27 @@ def gap_summary(versions: DataFrame) -> DataFrame:
     return g.groupBy("symbol", "stream", "kind", "repair_status").agg(F.count("*").alias("n"), F.max("__d").alias("longest_s"), F.max_by("reason", F.struct("__d", "gap_id")).alias("reason"))
 
 
+def faults(body: Column, integers: list[str], texts: list[str], ascending: list[tuple[str, str]] = ()) -> Column:
+    """What is wrong with a JSON text, as an array of reasons, by the types of its own values: empty if nothing is.
+
+    integers are whole numbers (true and "1" aren't), texts are strings (prices
+    must not be numbers), and of each pair of ascending the first is at most the
+    second. A null or damaged text is unparseable, and nothing else.
+    """
+    v = F.try_parse_json(body)
+    kind = lambda c: F.coalesce(F.schema_of_variant(F.try_variant_get(v, f"$.{c}", "variant")), F.lit("VOID"))
+    number = lambda c: F.try_variant_get(v, f"$.{c}", "bigint")
+    found = [(kind(c) != "BIGINT", f"{c}_not_integer") for c in integers] + [(kind(c) != "STRING", f"{c}_not_text") for c in texts]
+    found += [((kind(a) == "BIGINT") & (kind(b) == "BIGINT") & (number(a) > number(b)), f"{a}_above_{b}") for a, b in ascending]
+    return F.when(v.isNull(), F.array(F.lit("unparseable"))).otherwise(F.array_compact(F.array(*[F.when(bad, F.lit(reason)) for bad, reason in found])))
+
+
+def accepted(rows: DataFrame, body: str, **rules) -> tuple[DataFrame, DataFrame]:
+    """rows whose body has no faults, and the others with their faults as reasons: a table of rejects."""
+    d = rows.withColumn("reasons", faults(F.col(body), **rules))
+    return d.filter(F.size("reasons") == 0).drop("reasons"), d.filter(F.size("reasons") > 0)
+
+
 def in_gaps(rows: DataFrame, gaps: DataFrame, keys: list[str], a: str, bucket: int = 1 << 18) -> DataFrame:
     """rows whose a lies in a gap (keys, from_a, to_a) of their key, with from_a and to_a.
 

@@ -29,6 +29,25 @@ def fv(spark, d):
     return monitor.validated(_trades(spark, d), rules).groupBy("error").agg(F.count("*").alias("n"))
 
 
+#: A record of each trade as JSON text, some of them damaged: an expression that Spark and DuckDB read alike.
+_BODY = " || ".join([
+    "'{\"u\": '", "CASE WHEN a % 11 = 0 THEN 'true' WHEN a % 13 = 0 THEN '\"' || CAST(a AS VARCHAR(20)) || '\"' ELSE CAST(a AS VARCHAR(20)) END",
+    "', \"U\": ' || CASE WHEN a % 29 = 0 THEN CAST(a + 9 AS VARCHAR(20)) WHEN a % 31 = 0 THEN '1.5' ELSE CAST(a AS VARCHAR(20)) END",
+    "CASE WHEN a % 19 = 0 THEN '' WHEN a % 17 = 0 THEN ', \"p\": 100.5' ELSE ', \"p\": \"100.5\"' END",
+    "CASE WHEN a % 23 = 0 THEN '' ELSE '}' END",
+])
+
+
+@query("f_valid_json", f"""WITH {T}, j AS (SELECT symbol, {_BODY} AS body FROM t), v AS (SELECT symbol, body, json_valid(body) AS ok, CASE WHEN json_valid(body) THEN body END AS b FROM j),
+k AS (SELECT symbol, ok, coalesce(json_type(b, '$.u') IN ('BIGINT', 'UBIGINT'), FALSE) AS u, coalesce(json_type(b, '$.U') IN ('BIGINT', 'UBIGINT'), FALSE) AS f, coalesce(json_type(b, '$.p') = 'VARCHAR', FALSE) AS p, CAST(json_extract_string(b, '$.U') AS DOUBLE) AS nf, TRY_CAST(json_extract_string(b, '$.u') AS DOUBLE) AS nu FROM v)
+SELECT symbol, CASE WHEN NOT ok THEN 'unparseable' ELSE concat_ws(',', CASE WHEN NOT u THEN 'u_not_integer' END, CASE WHEN NOT f THEN 'U_not_integer' END, CASE WHEN NOT p THEN 'p_not_text' END, CASE WHEN u AND f AND nf > nu THEN 'U_above_u' END) END AS reasons, count(*) AS n FROM k GROUP BY ALL""")
+def fvj(spark, d):
+    """Faults of JSON records by the types of their own values: whole numbers, prices as text, ids in order."""
+    body = _trades(spark, d).select("symbol", F.expr(_BODY).alias("body"))
+    reasons = monitor.faults(F.col("body"), ["u", "U"], ["p"], [("U", "u")])
+    return body.select("symbol", F.array_join(reasons, ",").alias("reasons")).groupBy("symbol", "reasons").agg(F.count("*").alias("n"))
+
+
 @query("a16_counters", f"""WITH {T}, r AS (SELECT *, CASE k % 6 WHEN 0 THEN 'duplicate' WHEN 1 THEN 'old' WHEN 2 THEN 'parse_error' WHEN 3 THEN 'invalid' ELSE 'accepted' END AS o, CASE WHEN k % 6 <> 2 THEN t_ms - 150 END AS ex FROM t)
 SELECT symbol, count(*) AS received, count(*) FILTER (o = 'accepted') AS accepted, count(*) FILTER (o = 'duplicate') AS duplicates, count(*) FILTER (o = 'old') AS old_or_out_of_order, count(*) FILTER (o = 'parse_error') AS parse_errors, count(*) FILTER (o = 'invalid') AS invalid_values,
 min(t_ms) AS first_recv, max(t_ms) AS last_recv, arg_max(ex, t_ms) FILTER (ex IS NOT NULL) AS last_exchange FROM r GROUP BY symbol""")
