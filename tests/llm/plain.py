@@ -6,6 +6,8 @@ import hashlib
 import re
 import zlib
 
+import numpy as np
+
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -167,16 +169,13 @@ def planted(doc_id, text):
 
 def periods(words, least=24, times=3):
     """(start, length, period) of every run, by comparing the words with their own shift by each period."""
-    out = {}
+    number: dict = {}
+    ids, out = np.array([number.setdefault(w, len(number)) for w in words]), {}
     for q in range(1, len(words) // times + 1):
-        i = 0
-        while i + q < len(words):
-            j = i
-            while j + q < len(words) and words[j] == words[j + q]:
-                j += 1
+        same = np.diff(np.concatenate([[0], (ids[:-q] == ids[q:]).astype(np.int8), [0]]))
+        for i, j in zip(np.flatnonzero(same == 1).tolist(), np.flatnonzero(same == -1).tolist()):
             if j + q - i >= max(least, times * q):
                 out.setdefault((i, j + q), q)
-            i = max(j, i + 1)
     return sorted((a, b - a, q) for (a, b), q in out.items())
 
 
