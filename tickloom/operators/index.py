@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut as saved
 from . import carry
 
 
@@ -30,6 +31,7 @@ def fold_bounds(indexed: DataFrame, t: str, folds: int, horizon: int, purge: int
     out, and k numbers the others from 1.
     """
     purge = horizon if purge is None else purge
+    indexed = saved(indexed.select("idx", t))  # positions are found once, for counts, edges and training rows
     n = indexed.agg((F.max("idx") + 1).alias("n"))
     k = F.explode(F.sequence(F.lit(1), F.lit(folds))).alias("k")
     b = n.select("n", k).select("k", F.when(F.lit(expanding), F.lit(0).cast("long")).otherwise(F.expr(f"n * (k - 1) div {folds + 1}")).alias("tr_beg"), F.expr(f"n * k div {folds + 1}").alias("te_beg"), F.expr(f"n * (k + 1) div {folds + 1}").alias("te_end"))
@@ -42,6 +44,7 @@ def fold_bounds(indexed: DataFrame, t: str, folds: int, horizon: int, purge: int
 
 def time_split(indexed: DataFrame, t: str, horizon: int, shares=(0.6, 0.2)) -> DataFrame:
     """indexed with part (train, val, test) by position; rows whose label reaches the next part have null."""
+    indexed = saved(indexed)  # positions are found once, for counts, edges and rows
     n = indexed.agg((F.max("idx") + 1).alias("__n"))
     d = indexed.join(F.broadcast(n))  # one row
     a, b = F.floor(F.col("__n") * shares[0]), F.floor(F.col("__n") * (shares[0] + shares[1]))

@@ -77,18 +77,28 @@ def fit(df: DataFrame, columns: list[str], y: str, alpha: float = 1.0) -> Ridge:
 
 
 def walk_forward(indexed: DataFrame, bounds: list, t: str, columns: list[str], y: str, alpha: float, horizon: int) -> DataFrame:
-    """Predictions of every fold's test rows, each by the ridge of its training rows.
+    """Predictions of every fold's test rows (with k), each by the ridge of its training rows.
 
-    One aggregate gives all folds' Gram sums; the rows meet their folds in a
-    broadcast range join on the bounds (one row per fold).
+    A row is read once, whatever the folds: rows that train the same folds share
+    their Gram sums, and a fold adds those of its groups (2 folds + 1 at most).
     """
-    spark = indexed.sparkSession
-    b = spark.createDataFrame([tuple(r) for r in bounds], "k int, tr_beg long, te_beg long, te_end long, cut long, n_train long")
-    train = indexed.join(F.broadcast(b), (F.col("idx") >= F.col("tr_beg")) & (F.col("idx") < F.col("te_beg")) & (F.col(t) + horizon <= F.col("cut")))
-    sums, pivot = gram(train, columns, y, ["k"], indexed.agg(*[F.avg(c).alias(c) for c in [*columns, y]]).first().asDict())
-    models = {r["k"]: solve(r.asDict(), pivot, columns, y, alpha) for r in sums.collect()}  # one row per fold
-    test = indexed.join(F.broadcast(b.select("k", "te_beg", "te_end")), (F.col("idx") >= F.col("te_beg")) & (F.col("idx") < F.col("te_end")))
-    pred = F.lit(None).cast("double")
-    for k, m in models.items():
-        pred = F.when(F.col("k") == k, m.predict()).otherwise(pred)
-    return test.withColumn("pred", pred).drop("te_beg", "te_end")
+    folds = [dict(zip(("k", "tr_beg", "te_beg", "te_end", "cut"), tuple(r))) for r in bounds]
+    idx, at = F.col("idx"), F.col(t) + horizon
+    trains = F.array_compact(F.array(*[F.when((idx >= f["tr_beg"]) & (idx < f["te_beg"]) & (at <= f["cut"]), F.lit(f["k"])) for f in folds]))
+    rows = indexed.withColumn("__folds", trains)
+    pivot = indexed.agg(*[F.avg(c).alias(c) for c in [*columns, y]]).first().asDict()
+    sums, _ = gram(rows.filter(F.size("__folds") > 0), columns, y, ["__folds"], pivot)
+    groups = [r.asDict() for r in sums.collect()]  # a row per set of folds
+    k, pred = F.lit(None).cast("int"), F.lit(None).cast("double")
+    for f in folds:
+        inside = (idx >= f["te_beg"]) & (idx < f["te_end"])
+        k = F.when(inside, F.lit(f["k"])).otherwise(k)
+        if own := [g for g in groups if f["k"] in g["__folds"]]:
+            pred = F.when(inside, solve(added(own), pivot, columns, y, alpha).predict()).otherwise(pred)
+    return indexed.withColumns({"k": k, "pred": pred}).filter("k IS NOT NULL")
+
+
+def added(groups: list[dict]) -> dict:
+    """The Gram sums of groups together."""
+    how = lambda c: min if c.startswith("lo") else max if c.startswith("hi") else sum
+    return {c: how(c)(g[c] for g in groups) for c in groups[0] if not c.startswith("__")}

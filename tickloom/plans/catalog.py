@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import resample, stats
 from ..operators import backtest, carry, dedup, features, index, monitor, ridge, timealign
 from ..sources import tables
+from ..sources.shared import cut
 from ..streaming import book as books
 
 GAP, WINDOW, STEP, HORIZON = 6_000_000, 3_600_000, 600_000, 1_800_000
@@ -331,6 +332,7 @@ def m4(spark, d):
     """Per-fold score of a three-feature ridge (tested against numpy)."""
     li = tables.table(spark, d, "lineitem").select(*REG, "l_extendedprice", tables.millis("l_shipdate").alias("t_ms"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     i = index.global_index(li, "t_ms", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], 30 * DAY)
+    i = cut(i)
     bounds = index.fold_bounds(i, "t_ms", 4, DAY, min_train=100).collect()  # one row per fold
     p = ridge.walk_forward(i, bounds, "t_ms", REG, "l_extendedprice", 1.0, DAY)
     return p.groupBy("k").agg(F.count("*").alias("n"), r6(F.corr("l_extendedprice", "pred"), "ic", 4))

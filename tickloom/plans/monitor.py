@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import monitor
+from ..operators import backfill, monitor
 from ..sources import tables
+from ..sources.shared import fresh
 from .catalog import DAY, HOUR, SYM, T, query, r6
 
 
@@ -100,6 +101,42 @@ def st8(spark, d):
     return monitor.filled_gaps(book.id_gaps(t.filter("k % 3 <> 0"), SYM, "a"), t, SYM, "a")[0]
 
 
+def _after(n: int, page: str) -> str:
+    """SQL of a gap's state after round n, whose page of ids is the list `page` (one id a page, two pages a round)."""
+    was = f"s{n - 1}"
+    return f"""s{n} AS (SELECT feed, from_a, to_a, start_t, {was}.had || CASE WHEN {was}.open AND NOT far THEN {page} ELSE [] END AS had, {was}.attempts + CAST({was}.open AS BIGINT) AS attempts,
+  {was}.pages + CASE WHEN {was}.open AND NOT far THEN least(2, len({page}) + CASE WHEN coalesce(list_max({page}), -1) < to_a THEN 1 ELSE 0 END) ELSE 0 END AS pages, far, x, y, z,
+  CASE WHEN NOT {was}.open THEN status WHEN far THEN 'unrepairable' WHEN len({was}.had || {page}) = to_a - from_a + 1 THEN 'repaired' WHEN {n} >= 3 OR len({page}) + CASE WHEN coalesce(list_max({page}), -1) < to_a THEN 1 ELSE 0 END >= 2 THEN CASE WHEN len({was}.had || {page}) > 0 THEN 'partial' ELSE 'unrepairable' END ELSE 'open' END AS status, status = 'open' AS open FROM {was})"""
+
+
+def _rounds_sql() -> str:
+    """Three rounds over gaps of a feed: each finds what its source has by then."""
+    out = f"""WITH {T}, m AS (SELECT max(t_ms) AS now FROM t), f AS (SELECT 'f' || (a // 1000) AS feed, a, k, t_ms FROM t), kp AS (SELECT feed, lag(a) OVER w + 1 AS from_a, a - 1 AS to_a, lag(t_ms) OVER w AS start_t FROM f WHERE k % 3 <> 0 WINDOW w AS (PARTITION BY feed ORDER BY a)),
+g AS (SELECT * FROM kp WHERE from_a <= to_a), s0 AS (SELECT g.feed, from_a, to_a, start_t, CAST([] AS BIGINT[]) AS had, 0 AS attempts, 0 AS pages, start_t IS NOT NULL AND any_value(now) - start_t >= {20 * DAY} AS far, coalesce(list_sort(list(a) FILTER (a % 3 = 0)), []) AS x, coalesce(list_sort(list(a) FILTER (a % 3 < 2)), []) AS y, coalesce(list_sort(list(a)), []) AS z, 'open' AS status, TRUE AS open
+  FROM g JOIN f ON f.feed = g.feed AND f.a BETWEEN from_a AND to_a, m GROUP BY g.feed, from_a, to_a, start_t)"""
+    for n, ids in enumerate("xyz", 1):
+        was = f"s{n - 1}"
+        out += f", p{n} AS (SELECT *, list_filter({ids}, lambda i: NOT list_contains(had, i))[1:2] AS page FROM (SELECT * REPLACE (status = 'open' AS open) FROM {was})), " + _after(n, "page").replace(f"FROM {was})", f"FROM p{n})").replace(f"{was}.", "")
+    return out + " SELECT feed, from_a, to_a, attempts, pages, CAST(len(had) AS BIGINT) AS n_filled, status FROM s3"
+
+
+@query("st8_backfill_rounds", _rounds_sql())
+def st8_rounds(spark, d):
+    """Three rounds of backfill, of one-row pages and two pages a round, from a source that has more each time."""
+    from ..streaming import book
+
+    f = _trades(spark, d).select(F.concat(F.lit("f"), F.expr("a div 1000")).alias("feed"), "a", "k", "t_ms")
+    kept = f.filter("k % 3 <> 0")
+    start = kept.select("feed", (F.col("a") + 1).alias("from_a"), F.col("t_ms").alias("start_t"))
+    gaps = book.id_gaps(kept, ["feed"], "a").join(start, ["feed", "from_a"])
+    now = f.agg(F.max("t_ms")).first()[0] or 0
+    run = backfill.Backfill(fresh(spark, "backfill"), ["feed"], "a", page=1, pages=2, attempts=3, reach=20 * DAY)
+    run.start(gaps)
+    for there in ("a % 3 = 0", "a % 3 < 2", "a % 3 < 3"):
+        run.step(f.filter(there), now)
+    return run.gaps(spark).select("feed", "from_a", "to_a", "attempts", "pages", "n_filled", "status")
+
+
 @query("st9_downtime", f"""WITH {T}, s AS (SELECT symbol, t_ms // {DAY} AS session, min(t_ms) AS t0, max(t_ms) AS t1, arg_min(a, struct_pack(t := t_ms, a := a)) AS f, max(a) AS l FROM t GROUP BY ALL), d AS (SELECT symbol, t0 AS to_t, f AS next_id, lag(t1) OVER w AS from_t, lag(l) OVER w AS prev_id, row_number() OVER w AS r FROM s WINDOW w AS (PARTITION BY symbol ORDER BY t0))
 SELECT symbol, from_t, to_t, prev_id, next_id, greatest(next_id - prev_id - 1, 0) AS n_missing, CASE WHEN next_id - prev_id - 1 > 0 THEN 'ids_missing' ELSE 'no_id_missing' END AS status FROM d WHERE r > 1""")
 def st9(spark, d):

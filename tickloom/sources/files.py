@@ -143,6 +143,23 @@ def write_report(rows: DataFrame, path: str) -> None:
     rows.coalesce(1).write.mode("overwrite").json(path)
 
 
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that takes its place at once: readers see the old text or the new one, never a part."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    end = jvm.org.apache.hadoop.fs.Path(path)
+    start = jvm.org.apache.hadoop.fs.Path(end.getParent(), f"_{end.getName()}.next")
+    out = end.getFileSystem(conf).create(start, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    over = spark.sparkContext._gateway.new_array(rename, 1)
+    over[0] = rename.OVERWRITE
+    fs = end.getFileSystem(conf)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(start), fs.makeQualified(end), over)
+
+
 def route(root: str, tables: dict[str, tuple[Column, list[Column]]]):
     """A foreachBatch function that writes a feed's rows to several tables.
 

@@ -34,11 +34,16 @@ def cut(df: DataFrame) -> DataFrame:
     multiply from join to join), a table has its own size, by which joins are planned.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tickloom-cut/{uuid.uuid4().hex}"
+    path = fresh(spark, "cut")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(spark: SparkSession, name: str) -> str:
+    """A folder in the shared one that no other call gets."""
+    return f"{shared_dir(spark)}/tickloom-{name}/{uuid.uuid4().hex}"
+
+
 #: Rows up to which a table is small enough to send to every executor.
 SMALL = 50_000
 

@@ -107,7 +107,8 @@ def _stored(spark: SparkSession, root: str, name: str, symbol: str, start: str,
             return None
         df = reader.parquet(*found).withColumn("day", F.regexp_extract("_metadata.file_path", r"/([0-9]+)/[^/]*$", 1))
         return df.withColumn("symbol", F.lit(symbol))
-    if not exists(spark, f"{root}/{name}"):
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/symbol=*")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at):
         return None
     df = reader.parquet(f"{root}/{name}")
     return df.withColumn("day", F.col("day").cast("string")).filter((F.col("symbol") == symbol) & F.col("day").between(start, end))
