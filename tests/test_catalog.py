@@ -17,7 +17,7 @@ def test_oracle(spark, name):
 
 
 #: Queries that SQL can't express, and the tests that compare them.
-PLAIN = {"a20_resampled": "test_resampled", "a21_resampled": "test_resampled", "m4_walk_forward": "test_walk_forward", "st1_book_replay": "test_replay_query", "m5_nested": "test_research.py", "m8_scan": "test_research.py", "m9_stability": "test_research.py", "e4_report": "test_research.py"}
+PLAIN = {"a20_resampled": "test_resampled", "a21_resampled": "test_resampled", "m4_walk_forward": "test_walk_forward", "st1_book_replay": "test_replay_query", "m5_nested": "test_research.py", "m8_scan": "test_research.py", "m9_fixed_hours": "test_fixed.py", "m9_fixed_parts": "test_fixed.py", "m9_stability": "test_research.py", "e4_report": "test_research.py"}
 
 
 def test_all_compared():

@@ -195,6 +195,7 @@ def test_query_scan(spark, loops):
         w = ahead[r.symbol]
         assert (r.samples, r.folds, r.ic_positive, r.n_trades) == w[:4]
         assert (r.mean_bps, r.ic_mean, r.t_stat) == (pytest.approx(w[4], abs=1e-2), pytest.approx(w[5], abs=1e-3), pytest.approx(w[6], abs=1e-2)) and r.net_bps == pytest.approx(r.mean_bps - 4, abs=2e-3)
+        assert (r.low is None) == (r.n_trades <= 5) and (r.low is None or r.low <= r.mean_bps <= r.high)
 
 
 def test_query_stability(spark, loops):

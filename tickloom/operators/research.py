@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import stats
+from ..functions import resample, stats
 from ..sources.shared import cut, ship, small
 from . import backtest, carry, datasets, features, ridge, timealign
 
@@ -186,6 +186,18 @@ def predicted(rows: DataFrame, columns: list[str]) -> Column:
     return reduce(lambda a, i: a + F.col("weights")[i] * z(i), range(len(columns)), F.col("intercept"))
 
 
+def predictions(rows: DataFrame, bounds: DataFrame, keys: list[str], columns: list[str], lo: str, hi: str, use: DataFrame) -> DataFrame:
+    """rows (numbered by idx) of each fold between its ends lo and hi, once for every model of `use`, with pred."""
+    ranges = use.join(bounds.select(*keys, "k", F.col(lo).alias("__lo"), F.col(hi).alias("__hi")), [*keys, "k"])
+    # a row per key, with its folds and models as an array: a data row meets one row and keeps the ranges it lies in
+    own = [c for c in ranges.columns if c not in keys]
+    per = cut(ranges.groupBy(*keys).agg(F.collect_list(F.struct(*own)).alias("__ranges")))
+    within = F.filter("__ranges", lambda r: (F.col("idx") >= r["__lo"]) & (F.col("idx") < r["__hi"]))
+    met = rows.join(small(per), keys).withColumn("__r", F.explode(within))
+    met = met.select(*rows.columns, *[F.col(f"__r.{c}").alias(c) for c in own])
+    return met.withColumn("pred", predicted(met, columns))
+
+
 def trades_at(predictions: DataFrame, by: list[str], horizon: int, t: str = "t_ms", pred: str = "pred", y: str = "y", threshold: str = "threshold") -> DataFrame:
     """Rows whose prediction reaches the threshold and that don't overlap the last one kept, with ret = sign(pred) y."""
     rows = predictions.filter(F.abs(pred) >= F.col(threshold)).select(*by, t, pred, y, threshold)
@@ -215,17 +227,7 @@ def nested(data: DataFrame, keys: list[str], columns: list[str], y: str, horizon
     fitted = cut(models(rows, b, {"inner": ("tr_beg", "in_end"), "full": ("tr_beg", "tr_end")}, keys, columns, "y", alphas))
     by = [*keys, "k", "alpha"]
 
-    def predictions(lo: str, hi: str, use: DataFrame) -> DataFrame:
-        ranges = use.join(b.select(*keys, "k", F.col(lo).alias("__lo"), F.col(hi).alias("__hi")), [*keys, "k"])
-        # a row per key, with its folds and models as an array: a data row meets one row and keeps the ranges it lies in
-        own = [c for c in ranges.columns if c not in keys]
-        per = cut(ranges.groupBy(*keys).agg(F.collect_list(F.struct(*own)).alias("__ranges")))
-        within = F.filter("__ranges", lambda r: (F.col("idx") >= r["__lo"]) & (F.col("idx") < r["__hi"]))
-        met = rows.join(small(per), keys).withColumn("__r", F.explode(within))
-        met = met.select(*rows.columns, *[F.col(f"__r.{c}").alias(c) for c in own])
-        return met.withColumn("pred", predicted(met, columns))
-
-    inner = cut(predictions("val_beg", "tr_end", fitted.filter("stage = 'inner'")).select(*by, t, "y", "pred"))
+    inner = cut(predictions(rows, b, keys, columns, "val_beg", "tr_end", fitted.filter("stage = 'inner'")).select(*by, t, "y", "pred"))
     levels = stats.quantiles(inner.withColumn("__a", F.abs("pred")), by, "__a", list(shares)).select(*by, "share", F.col("value").alias("threshold"))
     tried = trade_stats(trades_at(inner.join(levels, by), [*by, "share"], horizon, t), [*by, "share"])
     # a few models and shares a fold; means that differ by rounding only are ties
@@ -235,10 +237,10 @@ def nested(data: DataFrame, keys: list[str], columns: list[str], y: str, horizon
     best = best.select(*keys, "k", first.alias("__best"))
     chosen = cut(best.select(*keys, "k", "__best.*"))
     use = fitted.filter("stage = 'full'").join(chosen, by)
-    train = predictions("tr_beg", "tr_end", use).withColumn("__a", F.abs("pred"))
+    train = predictions(rows, b, keys, columns, "tr_beg", "tr_end", use).withColumn("__a", F.abs("pred"))
     # Each fold has a share of its own: all are computed, and its own is taken.
     levels = stats.quantiles(train.select(*keys, "k", "__a"), [*keys, "k"], "__a", list(shares)).join(chosen, [*keys, "k", "share"]).select(*keys, "k", F.col("value").alias("threshold"))
-    test = cut(predictions("te_beg", "te_end", use).select(*keys, "k", t, "y", "pred").join(levels, [*keys, "k"]))
+    test = cut(predictions(rows, b, keys, columns, "te_beg", "te_end", use).select(*keys, "k", t, "y", "pred").join(levels, [*keys, "k"]))
     trades = trades_at(test, [*keys, "k"], horizon, t)
     scores = test.groupBy(*keys, "k").agg(F.count("*").alias("n_test"), F.first("threshold").alias("threshold"), F.corr("pred", "y").alias("ic"), F.when(F.var_pop("y") > 0, 1 - F.sum((F.col("y") - F.col("pred")) ** 2) / (F.var_pop("y") * F.count("y"))).otherwise(0.0).alias("r2"))
     out = chosen.join(b.select(*keys, "k", (F.col("tr_end") - F.col("tr_beg")).alias("n_train")), [*keys, "k"]).join(scores, [*keys, "k"]).join(trade_stats(trades, [*keys, "k"]), [*keys, "k"], "left")
@@ -246,9 +248,10 @@ def nested(data: DataFrame, keys: list[str], columns: list[str], y: str, horizon
 
 
 def scan(data: DataFrame, keys: list[str], columns: list[str], horizons: list[int], cost_bps: float = 4.0, **kw) -> DataFrame:
-    """Nested selection at each horizon: (keys, horizon, samples, ic_mean, ic_positive, folds, n_trades, mean_bps, net_bps, hit, t_stat).
+    """Nested selection at each horizon: (keys, horizon, samples, ic_mean, ic_positive, folds, n_trades, mean_bps, net_bps, hit, t_stat, low, high).
 
     data: a micro dataset with segment and mid, from which each horizon's label is taken.
+    low and high bound the mean by resampling the trades, where there are more than five.
     """
     parts = []
     for h in horizons:
@@ -256,9 +259,11 @@ def scan(data: DataFrame, keys: list[str], columns: list[str], horizons: list[in
         found, trades = nested(d, keys, columns, "y", h, **kw)
         per = found.groupBy(*keys).agg(F.avg("ic").alias("ic_mean"), F.count_if(F.col("ic") > 0).alias("ic_positive"), F.count("*").alias("folds"))
         n = d.filter("y IS NOT NULL").groupBy(*keys).agg(F.count("*").alias("samples"))
-        parts.append(n.join(per, keys).join(trade_stats(trades, keys), keys, "left").withColumn("horizon", F.lit(h)))
+        trades = cut(trades)
+        limits = resample.resampled_ci(trades, keys, "ret", ["k", "t_ms"]).filter("n > 5").select(*keys, "low", "high")
+        parts.append(n.join(per, keys).join(trade_stats(trades, keys), keys, "left").join(limits, keys, "left").withColumn("horizon", F.lit(h)))
     out = reduce(DataFrame.unionByName, parts)
-    return out.select(*keys, "horizon", "samples", "ic_mean", "ic_positive", "folds", F.coalesce("n_trades", F.lit(0)).cast("long").alias("n_trades"), "mean_bps", (F.col("mean_bps") - cost_bps).alias("net_bps"), "hit", "t_stat")
+    return out.select(*keys, "horizon", "samples", "ic_mean", "ic_positive", "folds", F.coalesce("n_trades", F.lit(0)).cast("long").alias("n_trades"), "mean_bps", (F.col("mean_bps") - cost_bps).alias("net_bps"), "hit", "t_stat", "low", "high")
 
 
 def stability(data: DataFrame, keys: list[str], columns: list[str], y: str, horizon: int, expanding=(4, 6, 8, 10), rolling=(6, 8), **kw) -> DataFrame:
@@ -271,6 +276,38 @@ def stability(data: DataFrame, keys: list[str], columns: list[str], y: str, hori
     return reduce(DataFrame.unionByName, parts).select(*keys, "kind", "n_folds", "folds", "ic_positive", F.coalesce("n_trades", F.lit(0)).cast("long").alias("n_trades"), "mean_bps", "hit", "t_stat")
 
 
+def fixed(data: DataFrame, keys: list[str], columns: list[str], y: str, horizon: int, n_folds: int = 6, alpha: float = 1.0, share: float = 0.99, min_train: int = 500, t: str = "t_ms") -> DataFrame:
+    """Trades (keys, t, pred, y, threshold, ret) of walk-forward folds with one alpha and one share for all.
+
+    A fold's threshold is the quantile of |prediction| over its training set; the
+    gate against overlaps runs over a key's test sets together.
+    """
+    rows = data.filter(features.finite([*columns, y])).select(*keys, t, *columns, F.col(y).alias("y"))
+    rows = cut(carry.positions(rows, keys, t, [], "idx"))
+    b = cut(folds(rows, keys, n_folds, horizon, None, True, min_train, t))
+    fitted = cut(models(rows, b, {"full": ("tr_beg", "tr_end")}, keys, columns, "y", (alpha,)))
+    train = predictions(rows, b, keys, columns, "tr_beg", "tr_end", fitted).withColumn("__a", F.abs("pred"))
+    levels = stats.quantiles(train, [*keys, "k"], "__a", [share]).select(*keys, "k", F.col("value").alias("threshold"))
+    test = predictions(rows, b, keys, columns, "te_beg", "te_end", fitted).select(*keys, "k", t, "y", "pred")
+    return trades_at(cut(test.join(levels, [*keys, "k"])), keys, horizon, t)
+
+
+def trade_parts(trades: DataFrame, keys: list[str], t: str = "t_ms", block: int = 5, **kw) -> DataFrame:
+    """(keys, part, n_trades, mean_bps, hit, t_stat, low, high, block_low, block_high) of all trades, their first n // 2 and the rest.
+
+    Limits of the mean come from resampling single trades and blocks of
+    neighbouring ones, for all trades only. Times are unique in a key.
+    """
+    d = cut(carry.positions(trades.select(*keys, t, "ret"), keys, t, [], "__i"))
+    n = d.groupBy(*keys).agg((F.max("__i") + 1).alias("__n"))
+    half = carry.matched(d, n, keys).withColumn("part", F.when(F.col("__i") < F.expr("__n div 2"), "first").otherwise("second"))
+    out = trade_stats(half.unionByName(half.withColumn("part", F.lit("all"))), [*keys, "part"])
+    for name, size in (("", 1), ("block_", block)):
+        limits = resample.resampled_ci(d, keys, "ret", [t], block=size, **kw).select(*keys, F.lit("all").alias("part"), F.col("low").alias(f"{name}low"), F.col("high").alias(f"{name}high"))
+        out = carry.matched(out, limits, [*keys, "part"], "left")
+    return out.select(*keys, "part", "n_trades", "mean_bps", "hit", "t_stat", "low", "high", "block_low", "block_high")
+
+
 def by_hour(trades: DataFrame, keys: list[str], t: str = "t_ms", least: int = 3) -> DataFrame:
     """(keys, hour, n, mean_bps, hit) by hour of day in UTC, of hours with `least` trades or more."""
     g = trades.groupBy(*keys, F.expr(f"{t} div 3600000 % 24").alias("hour"))

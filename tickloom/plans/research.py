@@ -89,7 +89,25 @@ def m5(spark, d):
 def m8(spark, d):
     """Nested selection at several horizons (tested against a numpy loop)."""
     s = research.scan(_micro(spark, d, ONE), SYM, COLUMNS, [2 * STEP, HORIZON], **NESTED)
-    return s.select("symbol", "horizon", "samples", "ic_positive", "folds", "n_trades", *[r6(F.col(c), c, 3) for c in ("ic_mean", "mean_bps", "net_bps", "hit", "t_stat")])
+    return s.select("symbol", "horizon", "samples", "ic_positive", "folds", "n_trades", *[r6(F.col(c), c, 3) for c in ("ic_mean", "mean_bps", "net_bps", "hit", "t_stat", "low", "high")])
+
+
+#: A fixed choice: few rows pass a share of 0.99 at these sizes.
+FIXED = {"n_folds": 4, "alpha": 1.0, "share": 0.9, "min_train": 300}
+
+
+@query("m9_fixed_hours")
+def m9_hours(spark, d):
+    """Trades of a fixed alpha and share by hour of day (tested against a numpy loop)."""
+    h = research.by_hour(research.fixed(_micro(spark, d, ONE), SYM, COLUMNS, "y_bps", HORIZON, **FIXED), SYM)
+    return h.select("symbol", "hour", "n", *[r6(F.col(c), c, 3) for c in ("mean_bps", "hit")])
+
+
+@query("m9_fixed_parts")
+def m9_parts(spark, d):
+    """The same trades, all with both intervals of their mean, and by halves (tested against a numpy loop)."""
+    p = research.trade_parts(research.fixed(_micro(spark, d, ONE), SYM, COLUMNS, "y_bps", HORIZON, **FIXED), SYM)
+    return p.select("symbol", "part", "n_trades", *[r6(F.col(c), c, 3) for c in ("mean_bps", "hit", "t_stat", "low", "high", "block_low", "block_high")])
 
 
 @query("m9_stability")
