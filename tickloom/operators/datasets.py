@@ -9,22 +9,6 @@ from . import carry, features, timealign
 from .index import global_index
 
 
-def multi_window_sums(left: DataFrame, right: DataFrame, keys: list[str], t: str, windows: list[int], sums: dict[str, Column], bucket: int = 86_400_000) -> DataFrame:
-    """left with <name>_w<window> for each sum and trailing window (t - window, t].
-
-    All windows share one shuffle and one sort: rows go to the buckets that the
-    widest reaches, and each window is a frame over the same order.
-    """
-    if min(windows) <= 0:
-        raise ValueError("a window has a positive width")
-    first, last = F.floor(F.col(t) / bucket).cast("long"), F.floor((F.col(t) + max(windows) - 1) / bucket).cast("long")
-    r = right.select(*keys, t, *[v.alias(f"__{k}") for k, v in sums.items()], F.explode(F.sequence(first, last)).alias("__b"))
-    both = r.withColumn("__g", F.lit(0)).unionByName(left.withColumn("__b", first).withColumn("__g", F.lit(1)), allowMissingColumns=True)
-    w = Window.partitionBy(*keys, "__b").orderBy(t)
-    out = both.withColumns({f"{k}_w{n}": F.coalesce(F.sum(f"__{k}").over(w.rangeBetween(-(n - 1), 0)), F.lit(0)) for k in sums for n in windows})
-    return out.filter("__g = 1").select(*left.columns, *[f"{k}_w{n}" for k in sums for n in windows])
-
-
 def fill_bars(bars: DataFrame, reference: DataFrame, keys: list[str]) -> DataFrame:
     """bars (keys, open_ms, n_trades) with interior bars that only the reference has; filled marks these.
 

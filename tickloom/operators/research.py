@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import resample, stats
 from ..sources.shared import cut, ship, small
-from . import backtest, carry, datasets, features, ridge, timealign
+from . import backtest, carry, features, ridge, timealign
 
 STATE = ["mid", "spread_bps", "imb1", "imb20", "micro_bps", "depth20_bid", "depth20_ask"]
 FLOW = ["ofi", "rv_bps", "buy_vol", "sell_vol", "n_trades", "flow_imb"]
@@ -55,7 +55,7 @@ def micro_dataset(book: DataFrame, trades: DataFrame, keys: list[str], step: int
         trades.select(*keys, "t_ms", zero.alias("ofi"), zero.alias("r2"), F.when(buy, F.col("q")).otherwise(0.0).alias("buy_vol"), F.when(buy, 0.0).otherwise(F.col("q")).alias("sell_vol"), F.lit(1.0).alias("n_trades"))
     )
     names = ["ofi", "r2", "buy_vol", "sell_vol", "n_trades"]
-    sums = datasets.multi_window_sums(grid.select(*keys, "t_ms"), flow, keys, "t_ms", windows, {c: F.col(c) for c in names})
+    sums = timealign.multi_window_sums(grid.select(*keys, "t_ms"), flow, keys, "t_ms", windows, {c: F.col(c) for c in names})
     out = state.join(sums, [*keys, "t_ms"])
     y = (F.col("__mid") / F.col("mid") - 1) * 1e4
     made = {"y_bps": y, "y_cls": features.three_way(y, flat)}

@@ -53,20 +53,42 @@ def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], t: str, ti
     return out.select(*left.columns, F.col("__hit.t_match").alias("t_match"), *[F.col(f"__hit.{c}").alias(c) for c in columns])
 
 
-def window_sums(left: DataFrame, right: DataFrame, keys: list[str], t: str, window: int, sums: dict[str, Column], bucket: int = 86_400_000) -> DataFrame:
-    """left with the sums of right's rows in (t - window, t]; 0 where there is none.
+def condensed(right: DataFrame, left: DataFrame, keys: list[str], t: str, windows: list[int], sums: dict[str, Column], bucket: int = 86_400_000) -> DataFrame:
+    """Sums (as __<name>) of right's rows between neighbouring ends of left's windows, each under the last of its rows' times.
+
+    A window (t - window, t] has all rows of such a piece or none, so sums over
+    pieces are those over rows, and there are no more pieces than ends and buckets:
+    what follows grows with left, however many rows a window holds. Rows are
+    sorted once and go to the bucket that they lie in only.
+    """
+    b = F.floor(F.col(t) / bucket).cast("long").alias("__b")
+    ends = left.select(*keys, F.explode(F.array(*[F.col(t) - w for w in (0, *windows)])).alias(t)).distinct().select(*keys, t, b, F.lit(1).alias("__g"))
+    r = right.select(*keys, t, b, F.lit(0).alias("__g"), *[v.alias(f"__{k}") for k, v in sums.items()])
+    run = Window.partitionBy(*keys, "__b").orderBy(t, "__g").rowsBetween(Window.unboundedPreceding, 0)
+    both = r.unionByName(ends, allowMissingColumns=True).withColumn("__piece", F.sum("__g").over(run)).filter("__g = 0")
+    return both.groupBy(*keys, "__b", "__piece").agg(F.max(t).alias(t), *[F.sum(f"__{k}").alias(f"__{k}") for k in sums]).drop("__b", "__piece")
+
 
-    A row of right goes to the buckets that its window reaches, at most
-    1 + ceil(window / bucket) of them.
+def multi_window_sums(left: DataFrame, right: DataFrame, keys: list[str], t: str, windows: list[int], sums: dict[str, Column], bucket: int = 86_400_000) -> DataFrame:
+    """left with <name>_w<window> for each sum and trailing window (t - window, t]; 0 where there is no row.
+
+    All windows share one sort of right's rows, which are condensed first; pieces
+    go to the buckets that the widest window reaches, and each window is a frame
+    over the same order.
     """
-    if window <= 0:
+    if min(windows) <= 0:
         raise ValueError("a window has a positive width")
-    first, last = F.floor(F.col(t) / bucket).cast("long"), F.floor((F.col(t) + window - 1) / bucket).cast("long")
-    r = right.select(*keys, t, *[v.alias(f"__{k}") for k, v in sums.items()], F.explode(F.sequence(first, last)).alias("__b"))
+    first, last = F.floor(F.col(t) / bucket).cast("long"), F.floor((F.col(t) + max(windows) - 1) / bucket).cast("long")
+    r = condensed(right, left, keys, t, windows, sums, bucket).withColumn("__b", F.explode(F.sequence(first, last)))
     both = r.withColumn("__g", F.lit(0)).unionByName(left.withColumn("__b", first).withColumn("__g", F.lit(1)), allowMissingColumns=True)
-    w = Window.partitionBy(*keys, "__b").orderBy(t).rangeBetween(-(window - 1), 0)
-    out = both.withColumns({k: F.coalesce(F.sum(f"__{k}").over(w), F.lit(0)) for k in sums})
-    return out.filter("__g = 1").select(*left.columns, *sums)
+    w = Window.partitionBy(*keys, "__b").orderBy(t)
+    out = both.withColumns({f"{k}_w{n}": F.coalesce(F.sum(f"__{k}").over(w.rangeBetween(-(n - 1), 0)), F.lit(0)) for k in sums for n in windows})
+    return out.filter("__g = 1").select(*left.columns, *[f"{k}_w{n}" for k in sums for n in windows])
+
+
+def window_sums(left: DataFrame, right: DataFrame, keys: list[str], t: str, window: int, sums: dict[str, Column], bucket: int = 86_400_000) -> DataFrame:
+    """left with the sums of right's rows in (t - window, t]; 0 where there is none. See multi_window_sums."""
+    return multi_window_sums(left, right, keys, t, [window], sums, bucket).withColumnsRenamed({f"{k}_w{window}": k for k in sums})
 
 
 #: Rows of a key that a task of the gate holds at once.

@@ -21,7 +21,7 @@ FROM g LEFT JOIN t ON t.symbol = g.symbol AND t.t_ms > g.t_ms - {max(WIDTHS)} AN
 def b2(spark, d):
     t = tables.trades(spark, d)
     g = timealign.grid(t, SYM, "t_ms", STEP, max(WIDTHS), HORIZON)
-    out = datasets.multi_window_sums(g, t, SYM, "t_ms", WIDTHS, {"n": F.lit(1).cast("long"), "q": F.col("q")})
+    out = timealign.multi_window_sums(g, t, SYM, "t_ms", WIDTHS, {"n": F.lit(1).cast("long"), "q": F.col("q")})
     return out.select("symbol", "t_ms", *[F.col(f"n_w{n}").cast("long").alias(f"n_w{n}") for n in WIDTHS], *[r6(F.col(f"q_w{n}"), f"q_w{n}", 5) for n in WIDTHS])
 
 
