@@ -62,7 +62,8 @@ def micro_dataset(book: DataFrame, trades: DataFrame, keys: list[str], step: int
     for w in windows:
         total = F.col(f"buy_vol_w{w}") + F.col(f"sell_vol_w{w}")
         made |= {f"rv_bps_w{w}": F.sqrt(f"r2_w{w}"), f"flow_imb_w{w}": F.when(total > 0, (F.col(f"buy_vol_w{w}") - F.col(f"sell_vol_w{w}")) / total).otherwise(0.0)}
-    return out.withColumns(made).select(*keys, "t_ms", "segment", *STATE, *feature_columns(windows)[len(STATE) - 1 :], "y_bps", "y_cls")
+    # saved, since numbering, folds and labels each read it again
+    return cut(out.withColumns(made).select(*keys, "t_ms", "segment", *STATE, *feature_columns(windows)[len(STATE) - 1 :], "y_bps", "y_cls"))
 
 
 def feature_columns(windows: list[int]) -> list[str]:
