@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,27 +14,48 @@ from .timealign import GATE_BLOCK, asof_backward, gate_free
 def walk_book(px: str, qty: str, size: float) -> Column:
     """struct(vwap, filled) of taking `size` from levels in order; unusable levels are passed over.
 
-    vwap is null if nothing fills.
+    vwap is null if nothing fills, the struct if there is no ladder. A batch of
+    rows goes down its levels together.
     """
-    levels = F.zip_with(px, qty, lambda p, q: F.struct(p.alias("p"), q.alias("q")))
-    zero = F.struct(F.lit(float(size)).alias("left"), F.lit(0.0).alias("cost"))
-    use = lambda s, x: F.when(F.coalesce((x["q"] > 0) & (x["p"] > 0), F.lit(False)) & (s["left"] > 0), F.least(s["left"], x["q"])).otherwise(0.0)
-    step = lambda s, x: F.struct((s["left"] - use(s, x)).alias("left"), (s["cost"] + use(s, x) * F.coalesce(x["p"], F.lit(0.0))).alias("cost"))
-    return F.aggregate(levels, zero, step, lambda s: F.struct(F.try_divide(s["cost"], F.lit(float(size)) - s["left"]).alias("vwap"), (F.lit(float(size)) - s["left"]).alias("filled")))
+
+    @F.arrow_udf("struct<vwap: double, filled: double>")
+    def walk(px: pa.Array, qty: pa.Array) -> pa.Array:
+        import numpy as np
+
+        def levels(column):
+            """The n-th values of all rows, for each n; NaN where there is none."""
+            own = pc.fill_null(pc.list_flatten(column), float("nan")).to_numpy(zero_copy_only=False)
+            counts = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            out = np.full((int(counts.max(initial=0)), len(counts)), np.nan)
+            row = np.repeat(np.arange(len(counts)), counts)
+            out[np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts), row] = own
+            return out
+
+        left, cost = np.full(len(px), float(size)), np.zeros(len(px))
+        for p, q in zip(levels(px), levels(qty)):
+            take = np.where((p > 0) & (q > 0), np.minimum(left, q), 0.0)
+            left, cost = left - take, cost + np.where(take > 0, take * p, 0.0)
+        filled = float(size) - left
+        vwap = pa.array(np.divide(cost, filled, out=np.zeros(len(px)), where=filled > 0), mask=filled <= 0)
+        missing = pc.or_(px.is_null(), qty.is_null())
+        return pa.StructArray.from_arrays([vwap, pa.array(filled)], names=["vwap", "filled"], mask=missing)
+
+    return walk(F.col(px).cast("array<double>"), F.col(qty).cast("array<double>"))
 
 
 def feasibility(signals: DataFrame, book: DataFrame, keys: list[str], size: float, delay: int, horizon: int, max_stale: int, enter: float) -> DataFrame:
     """Every signal of at least `enter` with side, entry and exit fills and reason (null: feasible)."""
     s = signals.filter(F.abs("pred") >= enter).withColumn("side", F.when(F.col("pred") > 0, 1).otherwise(-1))
-    cols = ["bid_px", "bid_qty", "ask_px", "ask_qty"]
+    # what the size costs is found once per book row, so lookups carry two fills and no ladders
+    fills = cut(book.select(*keys, "t_ms", "u", walk_book("ask_px", "ask_qty", size).alias("__buy"), walk_book("bid_px", "bid_qty", size).alias("__sell")))
+    cols = ["__buy", "__sell"]
     hit = s.withColumnRenamed("t_ms", "sig_t").withColumn("t_ms", F.col("sig_t") + delay).withColumn("exit_t", F.col("sig_t") + delay + horizon)
-    a = asof_backward(hit, book, keys, "t_ms", "u", cols)
+    a = asof_backward(hit, fills, keys, "t_ms", "u", cols)
     stale_in = F.col("t_ms") - F.col("t_match") > max_stale
-    buy, sell = walk_book("ask_px", "ask_qty", size), walk_book("bid_px", "bid_qty", size)
-    a = a.withColumns({"no_in": F.col("t_match").isNull(), "stale_in": stale_in, "in": F.when(F.col("side") > 0, buy).otherwise(sell)}).drop("t_match", *cols)
+    a = a.withColumns({"no_in": F.col("t_match").isNull(), "stale_in": stale_in, "in": F.when(F.col("side") > 0, F.col("__buy")).otherwise(F.col("__sell"))}).drop("t_match", *cols)
     a = a.withColumn("entry_t", F.col("t_ms")).withColumn("t_ms", F.col("exit_t"))
-    b = asof_backward(a, book, keys, "t_ms", "u", cols)
-    b = b.withColumns({"stale_out": F.col("t_ms") - F.col("t_match") > max_stale, "out": F.when(F.col("side") > 0, sell).otherwise(buy)})
+    b = asof_backward(a, fills, keys, "t_ms", "u", cols)
+    b = b.withColumns({"stale_out": F.col("t_ms") - F.col("t_match") > max_stale, "out": F.when(F.col("side") > 0, F.col("__sell")).otherwise(F.col("__buy"))})
     thin = (F.coalesce(F.col("in.filled"), F.lit(0.0)) < size * (1 - 1e-12)) | (F.coalesce(F.col("out.filled"), F.lit(0.0)) < size * (1 - 1e-12))
     reason = F.when(F.col("no_in") | F.col("t_match").isNull(), "no_data").when(F.col("stale_in") | F.col("stale_out"), "stale_book").when(thin, "thin_book")
     return b.select(*keys, "sig_t", "pred", "side", "entry_t", "exit_t", F.col("in.vwap").alias("in_px"), F.col("out.vwap").alias("out_px"), reason.alias("reason"))
