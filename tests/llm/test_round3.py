@@ -168,3 +168,22 @@ def test_undamaged(spark):
     (r,) = conversations.repair(df).collect()
     assert (r.gaps, r.blank, r.duplicate, r.truncated, r.cost) == (0, 0, 1, 0, 4) and r.audit == "RRKDK"
     assert conversations.repair(df.limit(0)).collect() == [] and conversations.repaired(df.limit(0)).collect() == []
+
+
+def test_bpe_marks_and_unknown_ids():
+    """Words with marks after them are cut as the library cuts them; an id outside the vocabulary raises, also a negative one; long runs of ids are decoded in slices."""
+    import pytest
+    from tokenizers import Tokenizer
+
+    from tickloom.llm import bpe
+
+    codec, lib = bpe.Codec(open(bpe.default_vocabulary()).read()), Tokenizer.from_file(bpe.default_vocabulary())
+    texts = ["a word, and. more! marks; so: what? it's don't x,, ,x .", " , . a", "Été, naïve. ßü! 日本, ab1, a_b. a b, c.", "x,\ny.\n\nz! ", "tail,", ",", "word's, we'll."]
+    for text, ids in zip(texts, codec.encode_batch(texts)):
+        assert ids.tolist() == lib.encode(text, add_special_tokens=False).ids
+        assert codec.decode(ids) == codec.decode(ids.tolist()) == text
+    for bad in ([-1], [10**7]):
+        with pytest.raises(KeyError):
+            codec.decode(bad)
+    assert codec.decode([]) == ""
+    assert isinstance(codec.starts, bpe.np.ndarray) and codec.decode([codec.vocab[b"a"]] * (2 * bpe.SLICE + 1)) == "a" * (2 * bpe.SLICE + 1)

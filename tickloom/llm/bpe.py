@@ -16,6 +16,7 @@ from __future__ import annotations
 import itertools
 import json
 import re
+from array import array
 from pathlib import Path
 
 import numpy as np
@@ -27,11 +28,13 @@ from . import common
 #: Splits text ahead of the merges, as byte-level tokenizers do.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words, and chunks of text, whose encodings a worker keeps.
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 150_000
 #: Bytes of text whose pieces a worker holds at a time.
 ENCODE_BYTES = 2_000_000
 #: Pieces of one text that are handled at a time.
 SLICE = 100_000
+#: Marks after a word that no contraction begins with.
+CLOSING = frozenset(".,;:!?")
 #: Beyond every rank.
 NEVER = 1 << 60
 
@@ -83,10 +86,23 @@ class Decoder:
         vocab = {bytes(of[c] for c in k): v for k, v in j["model"]["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in j["added_tokens"]}
         self.bytes = {v: k for k, v in vocab.items()} | {v: k.encode() for k, v in self.special.items()}
+        most = max(self.bytes, default=-1) + 1
+        self.blob = np.frombuffer(b"".join(self.bytes.get(i, b"") for i in range(most)), np.uint8)
+        self.lengths = np.array([len(self.bytes.get(i, b"")) for i in range(most)], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
         return vocab
 
     def decode(self, ids) -> str:
-        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
+        """The text of ids: their bytes are gathered SLICE tokens at a time. An id that isn't in the vocabulary raises."""
+        ids, parts = np.asarray(ids, np.int64), []
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.lengths) or not self.lengths[ids].all()):
+            raise KeyError("an id isn't in the vocabulary")
+        for at in range(0, len(ids), SLICE):
+            own = ids[at : at + SLICE]
+            n = self.lengths[own]
+            ends = np.cumsum(n)
+            parts.append(self.blob[np.repeat(self.starts[own] - ends + n, n) + np.arange(ends[-1])].tobytes())
+        return b"".join(parts).decode("utf-8", "replace")
 
 
 class Codec(Decoder):
@@ -158,7 +174,7 @@ class Codec(Decoder):
                     for y, y_until in self.edge(b, 0):
                         if (r := self.rank.get((x, y))) is not None and r < x_until and r <= y_until:
                             ok = False
-            if len(self.fits) > 1_000_000:
+            if len(self.fits) > 400_000:
                 self.fits.clear()
             self.fits[key] = ok
         return ok
@@ -192,7 +208,7 @@ class Codec(Decoder):
                 ids.append(t)
                 at -= size[t]
             ids.reverse()
-            out[key] = np.array(ids, np.int32).tobytes()
+            out[key] = array("i", ids).tobytes()
             before = word
         return out
 
@@ -209,7 +225,9 @@ class Codec(Decoder):
         split = self.split.findall
         words, white = {}, self.white.search
         for c in new:
-            if isinstance(c, tuple):
+            if c.__class__ is str and c.isascii() and (c.isalpha() or c[-1:] in CLOSING and c[:-1].isalpha()):
+                words[c] = (" " + c,) if c.isalpha() else (" " + c[:-1], c[-1])  # a space and letters are one piece, a mark after them another
+            elif isinstance(c, tuple):
                 words[c] = split(c[0]) if c[0] and not white(c[0]) else None
             elif not c or c == "\n" or white(c, 1) or white(c[0]) and c[0] != "\n":
                 words[c] = None
@@ -328,7 +346,7 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                texts = [codec.decode(x.values.to_numpy().tolist() if x.is_valid else ()) for x in part.column(1)]
+                texts = [codec.decode(x.values.to_numpy() if x.is_valid else ()) for x in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
 
     kinds = dict(encoded.dtypes)
