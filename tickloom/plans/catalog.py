@@ -498,8 +498,8 @@ def _messages(spark, d) -> DataFrame:
     n = carry.positions(t, SYM, "a", [], "i", 1 << 18).withColumn("i", F.col("i") + 1)
     tick = lambda x: F.format_string("%.1f", x.cast("double"))
     body = F.to_json(F.struct(F.col("i").alias("U"), F.col("i").alias("u"), (F.col("i") - 1).alias("pu"), F.array(F.array(tick(F.floor("p") - F.col("k") % 7), F.format_string("%.3f", F.col("q")))).alias("bids"), F.array(F.array(tick(F.floor("p") + 20 + F.col("k") % 5), F.lit("1.000"))).alias("asks")))
-    m = n.select("symbol", F.lit("s0").alias("session"), F.when(F.col("i") == 1, "snapshot").otherwise("depth").alias("kind"), F.col("i").alias("recv"), body.alias("body"))
-    return m.unionByName(m.filter("recv = 1").withColumn("kind", F.lit("depth")))
+    kinds = F.when(F.col("i") == 1, F.array(F.lit("snapshot"), F.lit("depth"))).otherwise(F.array(F.lit("depth")))
+    return n.select("symbol", F.lit("s0").alias("session"), F.explode(kinds).alias("kind"), F.col("i").alias("recv"), body.alias("body"))
 
 
 @query("st1_book_replay")

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import bisect
+import functools
 from decimal import Decimal
 
 
+@functools.lru_cache(maxsize=1 << 16, typed=True)
 def to_units(value: str, unit: str) -> int:
     """value / unit as an integer; raises where it isn't one, never rounds."""
     if not isinstance(value, (str, Decimal)):
@@ -17,19 +19,31 @@ def to_units(value: str, unit: str) -> int:
 
 
 class Ladder:
-    """One side: quantities by price, and the prices in order, best first; bids are kept negated, so the best is the smallest."""
+    """One side: quantities by price, and the prices in order, best first; bids are kept negated, so the best is the smallest.
 
-    def __init__(self, levels=()):
+    px and amounts are prices and quantities in the same order as doubles: sign, tick and step turn units into these.
+    """
+
+    def __init__(self, levels=(), sign: int = 1, tick: float = 1.0, step: float = 1.0):
+        self.sign, self.tick, self.step = sign, tick, step
         self.qty: dict[int, int] = dict(levels)
         self.order = sorted(self.qty)
+        self.px = [round(sign * p * tick, 10) for p in self.order]
+        self.amounts = [round(self.qty[p] * step, 10) for p in self.order]
 
     def set(self, price: int, qty: int) -> None:
         if qty:
-            if price not in self.qty:
-                bisect.insort(self.order, price)
+            at = bisect.bisect_left(self.order, price)
+            if price in self.qty:
+                self.amounts[at] = round(qty * self.step, 10)
+            else:
+                self.order.insert(at, price)
+                self.px.insert(at, round(self.sign * price * self.tick, 10))
+                self.amounts.insert(at, round(qty * self.step, 10))
             self.qty[price] = qty
         elif self.qty.pop(price, None) is not None:
-            del self.order[bisect.bisect_left(self.order, price)]
+            at = bisect.bisect_left(self.order, price)
+            del self.order[at], self.px[at], self.amounts[at]
 
 
 class Ladders:
@@ -41,7 +55,8 @@ class Ladders:
 
     def load(self, sides: list, edges: list) -> None:
         """Take levels in units, and per side the price beyond which nothing is known (None: all is)."""
-        self.sides, self.edges, self.touched = [Ladder(x) for x in sides], list(edges), [None, None]
+        px, qty = float(self.tick), float(self.step)
+        self.sides, self.edges, self.touched = [Ladder(x, sign, px, qty) for x, sign in zip(sides, (-1, 1))], list(edges), [None, None]
 
     def parsed(self, bids, asks) -> list:
         """Levels of both sides in units; raises on what isn't exact, before anything changes."""
@@ -72,8 +87,4 @@ class Ladders:
 
     def best(self, top: int) -> tuple:
         """bid_px, bid_qty, ask_px, ask_qty of the best levels as doubles."""
-        px, qty, out = float(self.tick), float(self.step), []
-        for side, sign in zip(self.sides, (-1, 1)):
-            own = side.order[:top]
-            out += [[round(sign * p * px, 10) for p in own], [round(side.qty[p] * qty, 10) for p in own]]
-        return tuple(out)
+        return tuple(x for side in self.sides for x in (side.px[:top], side.amounts[:top]))
