@@ -4,8 +4,9 @@ Let last(p) be the final token of the encoding of a word's prefix p. The
 encoding of p is that of the prefix without last(p), and then last(p); a token
 may follow another exactly if the two, merged from their bytes, come out as
 these two. So a walk over the trie of distinct words, depth first, finds one
-token per node from the states on the path above, and prefixes that words share
-are encoded once. A word's tokens are read off backwards along its path.
+token per node from the states on the path above: a node asks for the states
+ahead of the tokens that may end it, others get none, and prefixes that words
+share are encoded once. A word's tokens are read off backwards along its path.
 
 The sorted list of the words is the depth-first order of their trie: the path to
 the next word keeps the states of the prefix that it shares with the last one.
@@ -129,7 +130,8 @@ class Codec(Decoder):
         self.size = {v: len(k) for k, v in self.vocab.items()}
         self.known, self.words = Recent(), Recent()
         self.white = re.compile(r"\s")
-        self.heads = {k[:i] for k in self.vocab for i in range(len(k) + 1)}
+        #: Every end of a token, as a token or -1.
+        self.ends = {k[i:]: -1 for k in self.vocab for i in range(len(k))} | self.vocab
 
     def alone(self, t: int) -> bool:
         """Whether merging the bytes of token t, lowest rank and leftmost first, gives t."""
@@ -180,28 +182,39 @@ class Codec(Decoder):
         return ok
 
     def encode_words(self, words: dict[str, bytes]) -> dict[str, tuple]:
-        """Token ids of distinct words, by one walk over their trie."""
+        """Token ids of distinct words, by one walk over their trie; nodes that no encoding asks for get no state."""
         out, path, before = {}, [], b""
-        get, fits, follows, size, heads = self.vocab.get, self.fits.get, self.follows, self.size, self.heads
-        far: list[int] = []  # where the longest suffix of the prefix that can begin a token starts
+        ends, fits, follows, size = self.ends.get, self.fits.get, self.follows, self.size
         for key, word in sorted(words.items(), key=lambda x: x[1]):
             shared, most = 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
                 shared += 1
-            del path[shared:], far[shared:]
-            reach = far[-1] if far else 0
-            for end in range(shared + 1, len(word) + 1):
-                while word[reach:end] not in heads:
-                    reach += 1
-                far.append(reach)
-                for start in range(reach, end):
-                    t = get(word[start:end])
-                    if t is not None:
-                        last = path[start - 1] if start else None
-                        ok = fits((last, t))
-                        if ok or ok is None and follows(last, t):
-                            path.append(t)
-                            break
+            path[shared:] = [None] * (len(word) - shared)
+            asked = [(len(word), None)] if word else []  # prefixes whose state is wanted, with the tokens that may end them, longest last
+            while asked:
+                end, found = asked[-1]
+                if found is None:
+                    if path[end - 1] is not None:
+                        asked.pop()
+                        continue
+                    found, start = [], end - 1
+                    while start >= 0 and (t := ends(word[start:end])) is not None:
+                        if t >= 0:
+                            found.append((start, t))
+                        start -= 1
+                    asked[-1] = (end, found)
+                while True:
+                    start, t = found[-1]
+                    last = path[start - 1] if start else None
+                    if start and last is None:
+                        asked.append((start, None))
+                        break
+                    ok = fits((last, t))
+                    if ok or ok is None and follows(last, t):
+                        path[end - 1] = t
+                        asked.pop()
+                        break
+                    found.pop()
             ids, at = [], len(word)
             while at:
                 t = path[at - 1]
@@ -223,19 +236,22 @@ class Codec(Decoder):
         if not new:
             return
         split = self.split.findall
-        words, white = {}, self.white.search
+        words, plain, white = {}, {}, self.white.search
         for c in new:
-            if c.__class__ is str and c.isascii() and (c.isalpha() or c[-1:] in CLOSING and c[:-1].isalpha()):
-                words[c] = (" " + c,) if c.isalpha() else (" " + c[:-1], c[-1])  # a space and letters are one piece, a mark after them another
+            if c.__class__ is str and c.isascii() and c.isalpha():
+                plain[c] = " " + c  # a space and letters are one piece
+            elif c.__class__ is str and c.isascii() and c[-1:] in CLOSING and c[:-1].isalpha():
+                words[c] = (" " + c[:-1], c[-1])  # and a mark after them another
             elif isinstance(c, tuple):
                 words[c] = split(c[0]) if c[0] and not white(c[0]) else None
             elif not c or c == "\n" or white(c, 1) or white(c[0]) and c[0] != "\n":
                 words[c] = None
             else:
                 words[c] = split(c if c[0] == "\n" else " " + c)
-        more = self.words.missing({w for ws in words.values() if ws for w in ws})
+        more = self.words.missing({*plain.values(), *itertools.chain.from_iterable(ws for ws in words.values() if ws)})
         self.words.update(self.encode_words({w: w.encode() for w in more}))
         get = self.words.__getitem__
+        self.known.update(zip(plain, map(get, plain.values())))
         for c, ws in words.items():
             self.known[c] = ws and b"".join(map(get, ws))
 
