@@ -334,15 +334,26 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     rows and null ids are encoded like others; an empty table gives an empty
     table. A file of another kind (with a normalizer, say) raises.
     """
+    return _encoded(docs, id_col, text_col, vocabulary, lambda codec: lambda ids: (ids,), "ids array<int>")
+
+
+def encode_and_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
+    """decode(encode(docs)) in one Python worker a task and not two, each with a vocabulary: doc_id, ids, decoded."""
+    return _encoded(docs, id_col, text_col, vocabulary, lambda codec: lambda ids: (ids, codec.decode(ids)), "ids array<int>, decoded string")
+
+
+def _encoded(docs: DataFrame, id_col: str, text_col: str, vocabulary: str | None, row_of, schema: str) -> DataFrame:
+    """doc_id and the columns of schema, which row_of(codec) makes of a text's ids."""
     content = Path(vocabulary or default_vocabulary()).read_text()
     checked(json.loads(content))
     spec = docs.sparkSession.sparkContext.broadcast(content)
 
     def make():
         codec = _codec(spec.value)
-        return lambda texts: [(ids,) for ids in codec.encode_batch(texts)]
+        row = row_of(codec)
+        return lambda texts: [row(ids) for ids in codec.encode_batch(texts)]
 
-    return common.map_texts(common.id_and_text(docs, id_col, text_col), make, "ids array<int>", ENCODE_BYTES)
+    return common.map_texts(common.id_and_text(docs, id_col, text_col), make, schema, ENCODE_BYTES)
 
 
 def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -374,7 +385,7 @@ def round_trip(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     A null or empty text has 0 tokens and the hashes of nothing; all else as in encode.
     """
-    both = decode(encode(docs, vocabulary=vocabulary), vocabulary)
+    both = encode_and_decode(docs, vocabulary=vocabulary)
     ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
